@@ -1,0 +1,215 @@
+"""Turnover operators: monthly history (A3), period means (A4, A5), flags (A6), per group (A7),
+history means (A17) and period-vs-total comparison (J5)."""
+
+from __future__ import annotations
+
+from typing import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.dates import DEFAULT_AS_OF, date_lit, make_month, month_label
+from ..functions.numeric import pct, round_half_even
+from ..functions.text import voluntary_flag
+from . import spells
+
+RATE_COLUMNS = ("turnover_total", "turnover_vol", "turnover_inv")
+PERIOD_COLUMNS = (
+    "turnover_total", "turnover_vol", "turnover_inv",
+    "avg_headcount", "avg_exits", "avg_voluntary", "avg_involuntary", "months_used",
+)
+
+
+def _rates(df: DataFrame) -> DataFrame:
+    inv = F.col("exits") - F.col("voluntary")
+    return df.withColumns(
+        {
+            "involuntary": inv,
+            "turnover_total": pct(F.col("exits"), F.col("headcount")),
+            "turnover_vol": pct(F.col("voluntary"), F.col("headcount")),
+            "turnover_inv": pct(inv, F.col("headcount")),
+        }
+    )
+
+
+def history_frame(staff: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF,
+                  mode: str = "compat") -> DataFrame:
+    """Monthly history with ``month`` as a DATE (internal form of ``turnover_history``)."""
+    by = list(by)
+    ev = spells.month_events(staff, by, mode)
+    if by:
+        ev = spells.drop_null_keys(ev, by)
+    months = spells.spine(spells.bounds(ev, by, as_of), by)
+    return _rates(spells.running(ev, months, by))
+
+
+def turnover_history(staff: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF,
+                     mode: str = "compat") -> DataFrame:
+    """A3: per month of the spine, headcount at the month start, exits in the month, voluntary,
+    involuntary and the three rates in %. Months with headcount 0 stay, with rate 0.
+    With ``by`` each group gets its own spine bounds (as the reference's per-department subsets)."""
+    by = list(by)
+    h = history_frame(staff, by, as_of, mode)
+    return h.select(
+        *by, month_label(F.col("month")).alias("month"), "headcount", "exits", "voluntary", "involuntary",
+        *RATE_COLUMNS,
+    )
+
+
+def _target_months(staff: DataFrame, ev: DataFrame, bnds: DataFrame, by: list[str],
+                   year: int | None, month: int | None) -> DataFrame:
+    """Month list of a period filter (A4): (y,m) one month; y its 12 months; m that month in
+    every year seen in hire or exit dates; none the whole spine. Only groups with some hire
+    date get months (an all-null hire column gives the zero result)."""
+    have = bnds.where(F.col("lo").isNotNull()).select(*by)
+    if year is not None and month is not None:
+        return have.withColumn("month", date_lit(f"{year:04d}-{month:02d}-01"))
+    if year is not None:
+        seq = F.sequence(date_lit(f"{year:04d}-01-01"), date_lit(f"{year:04d}-12-01"), F.expr("INTERVAL 1 MONTH"))
+        return have.select(*by, F.explode(seq).alias("month"))
+    if month is not None:
+        years = (
+            staff.select(*by, F.explode(F.array(F.year("hire_date"), F.year("exit_date"))).alias("y"))
+            .where(F.col("y").isNotNull())
+            .distinct()
+        )
+        if by:
+            years = spells.drop_null_keys(years, by).join(have, on=by, how="left_semi")
+        else:
+            years = years.join(have, how="left_semi")  # keeps all years iff some hire date exists
+        return years.select(*by, make_month(F.col("y"), F.lit(month)).alias("month"))
+    return spells.spine(bnds, by)
+
+
+def turnover_period(staff: DataFrame, year: int | None = None, month: int | None = None,
+                    by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF, mode: str = "compat") -> DataFrame:
+    """A4/A5: mean monthly turnover over the months of a period.
+
+    Months whose start headcount is 0 are skipped with their exits. Rates are the mean of the
+    monthly rates (rounded to 1 decimal, half-even); ``avg_headcount`` is the truncated mean;
+    the mean counts are rounded to 1 decimal. No usable month → zeros (one row per group, or one
+    row overall)."""
+    by = list(by)
+    ev = spells.month_events(staff, by, mode)
+    if by:
+        ev = spells.drop_null_keys(ev, by)
+    bnds = spells.bounds(ev, by, as_of)
+    targets = _target_months(staff, ev, bnds, by, year, month)
+    series = _rates(spells.running(ev, targets, by)).where(F.col("headcount") > 0)
+    agg = series.groupBy(*by).agg(
+        F.avg("turnover_total").alias("r_total"),
+        F.avg("turnover_vol").alias("r_vol"),
+        F.avg("turnover_inv").alias("r_inv"),
+        F.sum("headcount").alias("s_hc"),
+        F.sum("exits").alias("s_ex"),
+        F.sum("voluntary").alias("s_vol"),
+        F.sum("involuntary").alias("s_inv"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    if by:
+        groups = bnds.select(*by)
+        agg = groups.join(agg, on=by, how="left")
+    n = F.coalesce(F.col("n"), F.lit(0))
+
+    def mean_count(c: str) -> Column:
+        return F.when(n > 0, round_half_even(F.col(c) / n, 1)).otherwise(F.lit(0.0))
+
+    return agg.select(
+        *by,
+        F.coalesce(round_half_even(F.col("r_total"), 1), F.lit(0.0)).alias("turnover_total"),
+        F.coalesce(round_half_even(F.col("r_vol"), 1), F.lit(0.0)).alias("turnover_vol"),
+        F.coalesce(round_half_even(F.col("r_inv"), 1), F.lit(0.0)).alias("turnover_inv"),
+        F.when(n > 0, F.floor(F.col("s_hc") / n)).otherwise(F.lit(0)).cast("long").alias("avg_headcount"),
+        mean_count("s_ex").alias("avg_exits"),
+        mean_count("s_vol").alias("avg_voluntary"),
+        mean_count("s_inv").alias("avg_involuntary"),
+        n.cast("long").alias("months_used"),
+    )
+
+
+def turnover_by_department(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "compat",
+                           group: str = "department") -> DataFrame:
+    """Whole-history turnover of each group's own subset (own spine bounds per group)."""
+    return turnover_period(staff, None, None, by=[group], as_of=as_of, mode=mode)
+
+
+def period_flags(staff: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
+    """With year and month, ``active`` = hired on/before the month's last day and not
+    left by then; ``exited_in_period`` = exit inside [first day, last day]. Without both, the
+    load-time flags (no exit → active; nobody exited in the period)."""
+    if year is not None and month is not None:
+        start = date_lit(f"{year:04d}-{month:02d}-01")
+        end = F.last_day(start)
+        h, e = F.to_date("hire_date"), F.to_date("exit_date")
+        active = F.coalesce(h <= end, F.lit(False)) & (e.isNull() | (e > end))
+        exited = F.coalesce((e >= start) & (e <= end), F.lit(False))
+        return staff.withColumns({"active": active, "exited_in_period": exited})
+    if year is None and month is None:
+        return staff.withColumns({"active": F.col("exit_date").isNull(), "exited_in_period": F.lit(False)})
+    return staff.withColumn("exited_in_period", F.lit(False)) if "active" in staff.columns else staff.withColumns(
+        {"active": F.col("exit_date").isNull(), "exited_in_period": F.lit(False)})
+
+
+def period_flag_counts(flagged: DataFrame) -> DataFrame:
+    return flagged.agg(
+        F.count_if(F.col("active")).alias("active"),
+        F.count_if(F.col("exited_in_period")).alias("exited"),
+    )
+
+
+def turnover_flagged(flagged: DataFrame, mode: str = "compat") -> DataFrame:
+    """Exits flagged in the period ÷ rows flagged active, one aggregate pass."""
+    vol = voluntary_flag(flagged, mode)
+    a = flagged.agg(
+        F.count_if(F.col("active")).alias("a"),
+        F.count_if(F.col("exited_in_period")).alias("d"),
+        F.count_if(F.col("exited_in_period") & vol).alias("dv"),
+    )
+    di = F.col("d") - F.col("dv")
+    ok = F.col("a") > 0
+
+    def rate(x: Column) -> Column:
+        return F.when(ok, round_half_even(x / F.col("a") * 100, 1)).otherwise(F.lit(0.0))
+
+    return a.select(
+        rate(F.col("d")).alias("turnover_total"),
+        rate(F.col("dv")).alias("turnover_vol"),
+        rate(di).alias("turnover_inv"),
+        F.when(ok, F.col("a")).otherwise(0).cast("long").alias("active"),
+        F.when(ok, F.col("d")).otherwise(0).cast("long").alias("exits"),
+        F.when(ok, F.col("dv")).otherwise(0).cast("long").alias("voluntary"),
+        F.when(ok, di).otherwise(0).cast("long").alias("involuntary"),
+    )
+
+
+def history_means(history: DataFrame) -> DataFrame:
+    """Means over all history rows (zero-headcount months included)."""
+    return history.agg(
+        F.floor(F.avg("headcount")).cast("long").alias("avg_headcount"),
+        F.floor(F.avg("exits")).cast("long").alias("avg_exits"),
+        round_half_even(F.avg("turnover_total"), 1).alias("avg_turnover_total"),
+        round_half_even(F.avg("turnover_vol"), 1).alias("avg_turnover_vol"),
+        round_half_even(F.avg("turnover_inv"), 1).alias("avg_turnover_inv"),
+    )
+
+
+COMPARE_MEASURES = ("turnover_total", "turnover_vol", "turnover_inv",
+                    "avg_headcount", "avg_exits", "avg_voluntary", "avg_involuntary")
+
+
+def turnover_compare(staff: DataFrame, year: int | None, month: int | None, as_of: str = DEFAULT_AS_OF,
+                     mode: str = "compat") -> DataFrame:
+    """The seven period measures next to the whole-history ones, with differences.
+    Two one-row frames joined on a constant (a 1 × 1 join), then unpivoted to rows."""
+    sel = turnover_period(staff, year, month, as_of=as_of, mode=mode)
+    tot = turnover_period(staff, None, None, as_of=as_of, mode=mode)
+    s = sel.select(*[F.col(c).cast("double").alias(f"p_{c}") for c in COMPARE_MEASURES])
+    t = tot.select(*[F.col(c).cast("double").alias(f"t_{c}") for c in COMPARE_MEASURES])
+    j = s.crossJoin(t)
+    rows = F.array(*[
+        F.struct(F.lit(i + 1).alias("ord"), F.lit(c).alias("measure"), F.col(f"p_{c}").alias("period"),
+                 F.col(f"t_{c}").alias("total"))
+        for i, c in enumerate(COMPARE_MEASURES)
+    ])
+    out = j.select(F.inline(rows))
+    return out.select("measure", "period", "total", (F.col("period") - F.col("total")).alias("difference"))

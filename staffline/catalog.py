@@ -1,13 +1,24 @@
-"""Registered queries over the test tables: name → callable(spark, sf_dir) → DataFrame."""
+"""Registered queries over the test tables: name → callable(spark, sf_dir) → DataFrame.
+
+Every query reads the whole test tables (through the staff/reviews mapping of FIXTURES.md) and
+evaluates at the fixed instant ``AS_OF``. Period parameters are fixed per query (June 2000,
+year 2000, March of every year) so that Spark and the DuckDB oracle answer the same question.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixture
-from .operators import prepare, turnover
+from .operators import filters, headcount, insights, kpis, prepare, risk, turnover
+from .plans import bundles
+from .schema import STAFF_SCHEMA, schema_report
+from .sources import tables
 
 AS_OF = fixture.AS_OF
+YEAR, MONTH, ONLY_MONTH = 2000, 6, 3
 
 
 def staff(spark: SparkSession, sf_dir: str, with_rating: bool = False) -> DataFrame:
@@ -15,10 +26,315 @@ def staff(spark: SparkSession, sf_dir: str, with_rating: bool = False) -> DataFr
     return prepare.prepare_staff(fixture.staff(spark, sf_dir), reviews, AS_OF)
 
 
+def dates_as_text(df: DataFrame) -> DataFrame:
+    """Timestamps as 'yyyy-MM-dd' text in row-level outputs (engine-neutral comparison)."""
+    return df.select(*[
+        F.date_format(F.col(f.name), "yyyy-MM-dd").alias(f.name)
+        if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType, T.DateType)) else F.col(f.name)
+        for f in df.schema.fields
+    ])
+
+
+# ---- turnover --------------------------------------------------------------------------------
 def q_turnover_history(spark, sf_dir):
     return turnover.turnover_history(staff(spark, sf_dir), as_of=AS_OF)
 
 
-QUERIES = {
-    "turnover_history": q_turnover_history,
-}
+def q_turnover_history_means(spark, sf_dir):
+    return turnover.history_means(turnover.turnover_history(staff(spark, sf_dir), as_of=AS_OF))
+
+
+def q_turnover_period_month(spark, sf_dir):
+    return turnover.turnover_period(staff(spark, sf_dir), YEAR, MONTH, as_of=AS_OF)
+
+
+def q_turnover_period_year(spark, sf_dir):
+    return turnover.turnover_period(staff(spark, sf_dir), YEAR, None, as_of=AS_OF)
+
+
+def q_turnover_period_month_all_years(spark, sf_dir):
+    return turnover.turnover_period(staff(spark, sf_dir), None, ONLY_MONTH, as_of=AS_OF)
+
+
+def q_turnover_period_all(spark, sf_dir):
+    return turnover.turnover_period(staff(spark, sf_dir), None, None, as_of=AS_OF)
+
+
+def q_turnover_flagged(spark, sf_dir):
+    return turnover.turnover_flagged(turnover.period_flags(staff(spark, sf_dir), YEAR, MONTH))
+
+
+def q_period_flags(spark, sf_dir):
+    return turnover.period_flag_counts(turnover.period_flags(staff(spark, sf_dir), YEAR, MONTH))
+
+
+def q_turnover_by_department(spark, sf_dir):
+    return turnover.turnover_by_department(staff(spark, sf_dir), as_of=AS_OF)
+
+
+def q_turnover_compare(spark, sf_dir):
+    return turnover.turnover_compare(staff(spark, sf_dir), YEAR, MONTH, as_of=AS_OF)
+
+
+# ---- headcount -------------------------------------------------------------------------------
+def q_headcount_at(spark, sf_dir):
+    at = headcount.reference_date(YEAR, MONTH, AS_OF, anchor="end")
+    return headcount.headcount_at(staff(spark, sf_dir), "department", at)
+
+
+def q_headcount_gender_at(spark, sf_dir):
+    return headcount.headcount_at(staff(spark, sf_dir), "gender", AS_OF)
+
+
+def q_headcount_compare(spark, sf_dir):
+    return headcount.headcount_compare(staff(spark, sf_dir), YEAR, MONTH, "department", AS_OF)
+
+
+def q_headcount_monthly(spark, sf_dir):
+    return headcount.headcount_monthly(staff(spark, sf_dir), "department", AS_OF)
+
+
+def q_headcount_monthly_gender(spark, sf_dir):
+    return headcount.headcount_monthly(staff(spark, sf_dir), "gender", AS_OF)
+
+
+def q_headcount_monthly_rating(spark, sf_dir):
+    return headcount.headcount_monthly(staff(spark, sf_dir, with_rating=True), "rating", AS_OF)
+
+
+def q_headcount_monthly_tenure(spark, sf_dir):
+    return headcount.headcount_monthly_tenure(staff(spark, sf_dir), AS_OF)
+
+
+def q_headcount_growth(spark, sf_dir):
+    return headcount.growth(q_headcount_monthly(spark, sf_dir), "department")
+
+
+def q_growth_summary(spark, sf_dir):
+    return headcount.growth_summary(q_headcount_monthly(spark, sf_dir), "department", 12)
+
+
+def q_growth_gender_recent(spark, sf_dir):
+    return headcount.growth_recent(q_headcount_monthly_gender(spark, sf_dir), "gender", 6)
+
+
+def q_headcount_slice(spark, sf_dir):
+    return headcount.slice_months(q_headcount_monthly(spark, sf_dir), year=YEAR)
+
+
+def q_tenure_band_latest(spark, sf_dir):
+    return headcount.latest_month(q_headcount_monthly_tenure(spark, sf_dir))
+
+
+def q_rating_latest(spark, sf_dir):
+    return headcount.latest_month(q_headcount_monthly_rating(spark, sf_dir))
+
+
+def q_headcount_growth_recent(spark, sf_dir):
+    return headcount.last_months(q_headcount_growth(spark, sf_dir), 12)
+
+
+# ---- single-pass KPIs ------------------------------------------------------------------------
+def q_tenure_at_exit(spark, sf_dir):
+    return kpis.tenure_at_exit(staff(spark, sf_dir))
+
+
+def q_contract_mix(spark, sf_dir):
+    return kpis.contract_mix(staff(spark, sf_dir))
+
+
+def q_contract_top4(spark, sf_dir):
+    return kpis.contract_top(staff(spark, sf_dir), 4)
+
+
+def q_monthly_exits(spark, sf_dir):
+    return kpis.monthly_exits(staff(spark, sf_dir))
+
+
+def q_basic_kpis(spark, sf_dir):
+    return kpis.basic_kpis(staff(spark, sf_dir))
+
+
+def q_quality_report(spark, sf_dir):
+    return kpis.quality_report(staff(spark, sf_dir), AS_OF)
+
+
+# ---- preparation -----------------------------------------------------------------------------
+def q_latest_review(spark, sf_dir):
+    return prepare.latest_review(fixture.reviews(spark, sf_dir)).select("employee_id", "rating")
+
+
+def q_prepare_staff(spark, sf_dir):
+    return dates_as_text(staff(spark, sf_dir, with_rating=True))
+
+
+def q_core_fields(spark, sf_dir):
+    return staff(spark, sf_dir).select("employee_id", "active", "tenure_months")
+
+
+def q_coerce_dates(spark, sf_dir):
+    """Dates written out as text in three formats (and an unparseable text for a missing exit),
+    then coerced back."""
+    s = fixture.staff(spark, sf_dir)
+    k = F.col("employee_id") % 3
+    hire_txt = (F.when(k == 0, F.date_format("hire_date", "yyyy-MM-dd"))
+                .when(k == 1, F.date_format("hire_date", "dd/MM/yyyy"))
+                .otherwise(F.date_format("hire_date", "yyyy-MM-dd HH:mm:ss")))
+    exit_txt = F.coalesce(F.date_format("exit_date", "dd/MM/yyyy"), F.lit("abc"))
+    txt = s.select("employee_id", hire_txt.alias("hire_date"), exit_txt.alias("exit_date"))
+    return dates_as_text(prepare.coerce_dates(txt, ("hire_date", "exit_date")))
+
+
+# ---- risk ------------------------------------------------------------------------------------
+def _scored(spark, sf_dir):
+    return risk.risk_scores(staff(spark, sf_dir, with_rating=True), AS_OF)
+
+
+def q_team_size(spark, sf_dir):
+    return risk.team_size(staff(spark, sf_dir)).select("employee_id", "manager_id", "team_size")
+
+
+def q_risk_features(spark, sf_dir):
+    return risk.risk_features(staff(spark, sf_dir, with_rating=True), AS_OF).select(
+        "employee_id", "months_since_promotion", "months_since_merit", "team_size", "perf_raw", "tenure_months")
+
+
+def q_minmax_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("employee_id", "score_perf_inv", "score_promotion", "score_tenure",
+                                         "score_merit", "score_team")
+
+
+def q_risk_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("employee_id", "risk")
+
+
+def q_risk_reasons(spark, sf_dir):
+    return risk.risk_reasons(_scored(spark, sf_dir)).select("employee_id", "reasons")
+
+
+def q_risk_summary(spark, sf_dir):
+    return risk.risk_summary(_scored(spark, sf_dir))
+
+
+def q_risk_histogram(spark, sf_dir):
+    return risk.risk_histogram(_scored(spark, sf_dir))
+
+
+def q_risk_by_promotion_gap(spark, sf_dir):
+    return risk.risk_by_promotion_gap(_scored(spark, sf_dir))
+
+
+def q_risk_ranking(spark, sf_dir):
+    return risk.risk_ranking(_scored(spark, sf_dir))
+
+
+# ---- forecast, alerts, report ----------------------------------------------------------------
+def q_turnover_forecast(spark, sf_dir):
+    return insights.forecast(q_turnover_history(spark, sf_dir))
+
+
+def q_insights(spark, sf_dir):
+    return insights.insights(staff(spark, sf_dir), AS_OF)
+
+
+def q_report_lines(spark, sf_dir):
+    return insights.report_lines(staff(spark, sf_dir), AS_OF)
+
+
+def q_overview(spark, sf_dir):
+    return bundles.overview(staff(spark, sf_dir), YEAR, MONTH, AS_OF)
+
+
+# ---- filters ---------------------------------------------------------------------------------
+def q_facet_values(spark, sf_dir):
+    return filters.facet_values(staff(spark, sf_dir), "department")
+
+
+def q_staff_filtered(spark, sf_dir):
+    df = filters.filter_staff(staff(spark, sf_dir), company="NATION_1", department=["BUILDING", "MACHINERY"],
+                              role=filters.ALL, contract_type=["CLT", "PJ"])
+    return df.select("employee_id", "name", "company", "department", "role", "contract_type")
+
+
+def q_staff_filtered_count(spark, sf_dir):
+    df = filters.filter_staff(staff(spark, sf_dir), company="NATION_1", department=["BUILDING", "MACHINERY"],
+                              role=filters.ALL, contract_type=["CLT", "PJ"])
+    return filters.row_count(df)
+
+
+def q_name_search(spark, sf_dir):
+    return filters.name_search(staff(spark, sf_dir), "CUSTOMER#00000012").select("employee_id", "name")
+
+
+def q_available_years(spark, sf_dir):
+    return filters.available_years(staff(spark, sf_dir))
+
+
+def q_hires_in_period(spark, sf_dir):
+    return dates_as_text(filters.hires_in_period(staff(spark, sf_dir), YEAR, MONTH).select("employee_id", "hire_date"))
+
+
+def q_table_profile(spark, sf_dir):
+    return filters.table_profile(fixture.staff(spark, sf_dir), "staff")
+
+
+def q_schema_report(spark, sf_dir):
+    return schema_report(spark, fixture.staff(spark, sf_dir), STAFF_SCHEMA, "staff")
+
+
+# ---- dataset store ---------------------------------------------------------------------------
+def q_dataset_roundtrip(spark, sf_dir):
+    root = bundles.store_root(spark)
+    tables.write_dataset(fixture.staff(spark, sf_dir), root, "staff", "ds-a")
+    tables.write_dataset(fixture.staff(spark, sf_dir).where(F.col("department") == "BUILDING"), root, "staff", "ds-b")
+    return dates_as_text(tables.read_dataset(spark, root, "staff", "ds-a"))
+
+
+def q_dataset_catalog(spark, sf_dir):
+    root = bundles.store_root(spark)
+    s = fixture.staff(spark, sf_dir)
+    for i, dept in enumerate(["BUILDING", "MACHINERY", "HOUSEHOLD"]):
+        part = s.where(F.col("department") == dept)
+        tables.write_dataset(part, root, "staff", f"ds-{i}")
+        tables.register_dataset(part, root, "owner-1", f"ds-{i}", dept.lower(), f"{dept.lower()}.xlsx",
+                                f"2001-12-0{i + 1} 00:00:00")
+    return tables.list_datasets(spark, root, "owner-1").select("dataset_id", "name", "file_name", "rows")
+
+
+def q_dataset_delete(spark, sf_dir):
+    root = bundles.store_root(spark)
+    s = fixture.staff(spark, sf_dir)
+    for i, dept in enumerate(["BUILDING", "MACHINERY"]):
+        part = s.where(F.col("department") == dept)
+        tables.write_dataset(part, root, "staff", f"ds-{i}")
+        tables.register_dataset(part, root, "owner-1", f"ds-{i}", dept.lower(), f"{dept.lower()}.xlsx",
+                                f"2001-12-0{i + 1} 00:00:00")
+    tables.delete_dataset(spark, root, "ds-0", "2001-12-05 00:00:00")
+    return tables.list_datasets(spark, root, "owner-1").select("dataset_id", "name", "file_name", "rows")
+
+
+def q_save_analysis(spark, sf_dir):
+    root = bundles.store_root(spark)
+    tables.save_result(q_turnover_history(spark, sf_dir), root, "ds-a", "turnover_history", "2001-12-01 00:00:00")
+    return tables.read_results(spark, root, "ds-a", "turnover_history").select("kind", "result_json")
+
+
+def q_null_clean(spark, sf_dir):
+    """A result with NaN marks (even period headcounts) cleaned to nulls before storing."""
+    g = q_headcount_compare(spark, sf_dir)
+    g = g.withColumn("marked", F.when(F.col("headcount_period") % 2 == 0, F.lit(float("nan")))
+                     .otherwise(F.col("headcount_period").cast("double")))
+    return tables.null_clean(g)
+
+
+def q_result_json(spark, sf_dir):
+    return tables.to_records(q_contract_mix(spark, sf_dir))
+
+
+def q_scan_staff(spark, sf_dir):
+    return tables.read_table(spark, f"{sf_dir}/orders.parquet", T.StructType([
+        T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderdate", T.TimestampNTZType()),
+    ])).select(F.col("o_orderkey").alias("employee_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("hire_date"))
+
+
+QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)}

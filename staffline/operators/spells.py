@@ -29,69 +29,87 @@ def _spell_cols(df: DataFrame, mode: str) -> dict[str, Column]:
     return {"h": h, "e": e, "vol": voluntary_flag(df, mode)}
 
 
-def month_events(staff: DataFrame, by: Sequence[str] = (), mode: str = "compat") -> DataFrame:
+def month_events(staff: DataFrame, by: Sequence[str] = (), mode: str = "compat", years: bool = False) -> DataFrame:
     """Month-grain change table: (by..., month, delta, exits, voluntary, hire_mark).
 
     ``delta`` is the net headcount change at that month start; ``exits``/``voluntary`` count
     exits dated inside the month (from every row with an exit, also spells that never became
     active); ``hire_mark`` is 1 where some hire date ceils to the month (bounds of the series).
     Null group keys are kept here (they matter for global bounds); callers drop them.
+    With ``years`` each hire and exit also marks January of its year (``year_mark``), so the set
+    of calendar years seen comes out of the same single pass.
     """
     by = list(by)
     c = _spell_cols(staff, mode)
     h, e, vol = c["h"], c["e"], c["vol"]
     valid = h.isNotNull() & (e.isNull() | (e > h))
-    ev = F.array(
+    def ev(month, delta, exits, voluntary, hire_mark, year_mark=0):
+        fields = [month.alias("month"), F.lit(delta).alias("delta") if isinstance(delta, int) else delta.alias("delta"),
+                  F.lit(exits).alias("exits"),
+                  F.lit(voluntary).alias("voluntary") if isinstance(voluntary, int) else voluntary.alias("voluntary"),
+                  F.lit(hire_mark).alias("hire_mark")]
+        if years:
+            fields.append(F.lit(year_mark).alias("year_mark"))
+        return F.struct(*fields)
+
+    structs = [
         # hire: counts for the bounds always, for the headcount only when the spell is valid
-        F.struct(month_ceil(h).alias("month"), F.when(valid, 1).otherwise(0).alias("delta"),
-                 F.lit(0).alias("exits"), F.lit(0).alias("voluntary"), F.lit(1).alias("hire_mark")),
+        ev(month_ceil(h), F.when(valid, 1).otherwise(0), 0, 0, 1),
         # leave the headcount at the first month start on or after the exit
-        F.struct(F.when(valid, month_ceil(e)).alias("month"), F.lit(-1).alias("delta"),
-                 F.lit(0).alias("exits"), F.lit(0).alias("voluntary"), F.lit(0).alias("hire_mark")),
+        ev(F.when(valid, month_ceil(e)), -1, 0, 0, 0),
         # exit counted in its calendar month
-        F.struct(month_floor(e).alias("month"), F.lit(0).alias("delta"), F.lit(1).alias("exits"),
-                 F.when(vol, 1).otherwise(0).alias("voluntary"), F.lit(0).alias("hire_mark")),
-    )
+        ev(month_floor(e), 0, 1, F.when(vol, 1).otherwise(0), 0),
+    ]
+    if years:
+        for d in (h, e):
+            structs.append(ev(F.make_date(F.year(d), F.lit(1), F.lit(1)), 0, 0, 0, 0, 1))
+    aggs = [F.sum("delta").alias("delta"), F.sum("exits").alias("exits"), F.sum("voluntary").alias("voluntary"),
+            F.max("hire_mark").alias("hire_mark")]
+    if years:
+        aggs.append(F.max("year_mark").alias("year_mark"))
     return (
-        staff.select(*[F.col(b) for b in by], F.inline(ev))
+        staff.select(*[F.col(b) for b in by], F.inline(F.array(*structs)))
         .where(F.col("month").isNotNull())
         .groupBy(*by, "month")
-        .agg(
-            F.sum("delta").alias("delta"),
-            F.sum("exits").alias("exits"),
-            F.sum("voluntary").alias("voluntary"),
-            F.max("hire_mark").alias("hire_mark"),
-        )
+        .agg(*aggs)
     )
 
 
 def band_events(staff: DataFrame, starts: Sequence[int] = TENURE_BAND_START_DAYS) -> DataFrame:
-    """Month-grain change table per tenure band: (band_no, month, delta).
+    """Month-grain change table per tenure band: (band_no, month, delta, exits, voluntary, hire_mark).
 
     Each valid spell is cut at hire + starts[k] days into ≤ len(starts) segments clipped to the
-    exit; each non-empty segment adds +1 at ceil(start) and −1 at ceil(end).
+    exit; each non-empty segment adds +1 at ceil(start) and −1 at ceil(end) to band k+1.
+    Band 0 carries the whole spell (the total headcount) plus the marks that fix the series
+    bounds: hire months (``hire_mark``) and exit months (``exits``), from every row.
     """
     h = F.to_date("hire_date")
     e = F.to_date("exit_date")
     valid = h.isNotNull() & (e.isNull() | (e > h))
-    structs = []
+
+    def ev(band, month, delta, exits=0, hire_mark=0):
+        return F.struct(F.lit(band).alias("band_no"), month.alias("month"),
+                        (F.lit(delta) if isinstance(delta, int) else delta).alias("delta"),
+                        F.lit(exits).alias("exits"), F.lit(0).alias("voluntary"), F.lit(hire_mark).alias("hire_mark"))
+
+    structs = [
+        ev(0, month_ceil(h), F.when(valid, 1).otherwise(0), hire_mark=1),
+        ev(0, F.when(valid, month_ceil(e)), -1),
+        ev(0, month_floor(e), 0, exits=1),
+    ]
     for k, a in enumerate(starts):
         seg_start = F.date_add(h, a)
         nxt = F.date_add(h, starts[k + 1]) if k + 1 < len(starts) else None
-        if nxt is None:
-            seg_end = e
-        else:
-            seg_end = F.when(e.isNull(), nxt).otherwise(F.least(nxt, e))
+        seg_end = e if nxt is None else F.when(e.isNull(), nxt).otherwise(F.least(nxt, e))
         live = valid & (seg_end.isNull() | (seg_start < seg_end))
-        structs.append(F.struct(F.lit(k + 1).alias("band_no"), F.when(live, month_ceil(seg_start)).alias("month"),
-                                F.lit(1).alias("delta")))
-        structs.append(F.struct(F.lit(k + 1).alias("band_no"), F.when(live, month_ceil(seg_end)).alias("month"),
-                                F.lit(-1).alias("delta")))
+        structs.append(ev(k + 1, F.when(live, month_ceil(seg_start)), 1))
+        structs.append(ev(k + 1, F.when(live, month_ceil(seg_end)), -1))
     return (
         staff.select(F.inline(F.array(*structs)))
         .where(F.col("month").isNotNull())
         .groupBy("band_no", "month")
-        .agg(F.sum("delta").alias("delta"))
+        .agg(F.sum("delta").alias("delta"), F.sum("exits").alias("exits"), F.sum("voluntary").alias("voluntary"),
+             F.max("hire_mark").alias("hire_mark"))
     )
 
 
@@ -107,32 +125,57 @@ def bounds(events: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF
     return agg.select(*by, "lo", F.coalesce("hi", end_default).alias("hi"))
 
 
-def spine(bnds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Dense month starts lo..hi per group: (by..., month)."""
-    by = list(by)
-    return bnds.select(*by, F.explode(month_sequence(F.col("lo"), F.col("hi"))).alias("month"))
-
+def step_series(events: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF,
+                extend_to: Column | None = None, lo: Column | None = None, hi: Column | None = None,
+                years: bool = False) -> DataFrame:
+    """Dense monthly series from month-grain events in one window pass (no spine join).
 
-def running(events: DataFrame, months: DataFrame, by: Sequence[str] = (), value: str = "delta",
-            carry: Sequence[str] = ("exits", "voluntary")) -> DataFrame:
-    """Headcount at each target month: running sum of ``value`` over all event months ≤ m.
+    Per group, ordered by month: the running sum of ``delta`` is the headcount from that event
+    month until the next event month, so each event row expands to the months up to the next
+    one (``sequence`` + ``explode``); exits stay on their own month. Bounds come from window
+    aggregates over the same partition: ``lo``/``hi`` as in ``bounds`` unless given as columns.
+    The expansion ends at ``hi`` (or ``greatest(hi, extend_to)``). Rows are month-grain, so the
+    window is small even when one group holds most spells.
 
-    ``months`` holds the target (by..., month) rows. The full outer join keeps event months that
-    are not targets (their deltas still count for later months); the window runs per group on
-    month-grain rows only. Returns (by..., month, headcount, *carry) for the target months.
+    Returns (by..., month, headcount, exits, voluntary, lo, hi[, years]).
     """
     by = list(by)
-    carry = [c for c in carry if c in events.columns]
-    ev = events.select(*by, "month", value, *carry)
-    t = months.select(*by, "month").withColumn("_target", F.lit(True))
-    j = t.join(ev, on=[*by, "month"], how="full_outer")
-    w = Window.partitionBy(*by).orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = j.withColumn("headcount", F.sum(F.coalesce(F.col(value), F.lit(0))).over(w).cast("long"))
-    return j.where(F.col("_target")).select(
-        *by, "month", "headcount", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in carry]
+    w_all = Window.partitionBy(*by)
+    w_ord = Window.partitionBy(*by).orderBy("month")
+    w_run = w_ord.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end_default = month_floor(F.to_date(ts_lit(as_of)))
+    lo_c = lo if lo is not None else F.min(F.when(F.col("hire_mark") > 0, F.col("month"))).over(w_all)
+    hi_c = hi if hi is not None else F.coalesce(F.max(F.when(F.col("exits") > 0, F.col("month"))).over(w_all),
+                                                end_default)
+    cols = [*[F.col(b) for b in by], F.col("month"), F.col("exits"), F.col("voluntary"),
+            F.sum("delta").over(w_run).cast("long").alias("headcount"),
+            F.lead("month").over(w_ord).alias("_next"),
+            lo_c.alias("lo"), hi_c.alias("hi")]
+    if years:
+        cols.append(F.array_sort(F.collect_set(F.when(F.col("year_mark") > 0, F.year("month"))).over(w_all)).alias("years"))
+    x = events.select(*cols)
+    end = F.col("hi") if extend_to is None else F.greatest(F.col("hi"), extend_to)
+    last = F.least(F.coalesce(F.add_months(F.col("_next"), -1), end), end)
+    x = x.withColumn("_m", F.explode(month_sequence(F.col("month"), last)))
+    first = F.col("_m") == F.col("month")
+    return x.select(
+        *by, F.col("_m").alias("month"), "headcount",
+        F.when(first, F.col("exits")).otherwise(F.lit(0)).cast("long").alias("exits"),
+        F.when(first, F.col("voluntary")).otherwise(F.lit(0)).cast("long").alias("voluntary"),
+        "lo", "hi", *(["years"] if years else []),
     )
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage of a small (month-grain) intermediate that several branches read: a reliable
+    checkpoint in the shared checkpoint folder, so the staff scan runs once and a lost executor
+    does not replay it."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def drop_null_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
     cond = None
     for b in by:

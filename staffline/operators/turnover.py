@@ -39,8 +39,9 @@ def history_frame(staff: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT
     ev = spells.month_events(staff, by, mode)
     if by:
         ev = spells.drop_null_keys(ev, by)
-    months = spells.spine(spells.bounds(ev, by, as_of), by)
-    return _rates(spells.running(ev, months, by))
+    x = spells.step_series(ev, by, as_of)
+    x = x.where(F.col("lo").isNotNull() & (F.col("month") >= F.col("lo")) & (F.col("month") <= F.col("hi")))
+    return _rates(x.drop("lo", "hi"))
 
 
 def turnover_history(staff: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF,
@@ -56,59 +57,51 @@ def turnover_history(staff: DataFrame, by: Sequence[str] = (), as_of: str = DEFA
     )
 
 
-def _target_months(staff: DataFrame, ev: DataFrame, bnds: DataFrame, by: list[str],
-                   year: int | None, month: int | None) -> DataFrame:
-    """Month list of a period filter (A4): (y,m) one month; y its 12 months; m that month in
-    every year seen in hire or exit dates; none the whole spine. Only groups with some hire
-    date get months (an all-null hire column gives the zero result)."""
-    have = bnds.where(F.col("lo").isNotNull()).select(*by)
-    if year is not None and month is not None:
-        return have.withColumn("month", date_lit(f"{year:04d}-{month:02d}-01"))
-    if year is not None:
-        seq = F.sequence(date_lit(f"{year:04d}-01-01"), date_lit(f"{year:04d}-12-01"), F.expr("INTERVAL 1 MONTH"))
-        return have.select(*by, F.explode(seq).alias("month"))
-    if month is not None:
-        years = (
-            staff.select(*by, F.explode(F.array(F.year("hire_date"), F.year("exit_date"))).alias("y"))
-            .where(F.col("y").isNotNull())
-            .distinct()
-        )
-        if by:
-            years = spells.drop_null_keys(years, by).join(have, on=by, how="left_semi")
-        else:
-            years = years.join(have, how="left_semi")  # keeps all years iff some hire date exists
-        return years.select(*by, make_month(F.col("y"), F.lit(month)).alias("month"))
-    return spells.spine(bnds, by)
-
-
 def turnover_period(staff: DataFrame, year: int | None = None, month: int | None = None,
                     by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF, mode: str = "compat") -> DataFrame:
     """A4/A5: mean monthly turnover over the months of a period.
 
-    Months whose start headcount is 0 are skipped with their exits. Rates are the mean of the
-    monthly rates (rounded to 1 decimal, half-even); ``avg_headcount`` is the truncated mean;
-    the mean counts are rounded to 1 decimal. No usable month → zeros (one row per group, or one
-    row overall)."""
+    Month list: (year, month) that month; year its 12 months (future ones too); month that month
+    in every year seen in hire or exit dates; neither the whole spine. Months whose start
+    headcount is 0 are skipped with their exits. Rates are the mean of the monthly rates
+    (rounded to 1 decimal, half-even); ``avg_headcount`` is the truncated mean; mean counts are
+    rounded to 1 decimal. No usable month → zeros (per group with ``by``; one row overall).
+    One pass: month events → one window → conditional aggregates; no spine join.
+    """
     by = list(by)
-    ev = spells.month_events(staff, by, mode)
+    need_years = year is None and month is not None
+    ev = spells.month_events(staff, by, mode, years=need_years)
     if by:
         ev = spells.drop_null_keys(ev, by)
-    bnds = spells.bounds(ev, by, as_of)
-    targets = _target_months(staff, ev, bnds, by, year, month)
-    series = _rates(spells.running(ev, targets, by)).where(F.col("headcount") > 0)
-    agg = series.groupBy(*by).agg(
-        F.avg("turnover_total").alias("r_total"),
-        F.avg("turnover_vol").alias("r_vol"),
-        F.avg("turnover_inv").alias("r_inv"),
-        F.sum("headcount").alias("s_hc"),
-        F.sum("exits").alias("s_ex"),
-        F.sum("voluntary").alias("s_vol"),
-        F.sum("involuntary").alias("s_inv"),
-        F.count(F.lit(1)).alias("n"),
+    m = F.col("month")
+    extend_to = None
+    if year is not None and month is not None:
+        target = date_lit(f"{year:04d}-{month:02d}-01")
+        extend_to, cond = target, m == target
+    elif year is not None:
+        extend_to = date_lit(f"{year:04d}-12-01")
+        cond = F.year(m) == F.lit(year)
+    elif month is not None:
+        extend_to = make_month(F.array_max(F.col("years")), F.lit(month))
+        cond = (F.month(m) == F.lit(month)) & F.array_contains(F.col("years"), F.year(m))
+    else:
+        cond = (m >= F.col("lo")) & (m <= F.col("hi"))
+    x = _rates(spells.step_series(ev, by, as_of, extend_to=extend_to, years=need_years))
+    use = F.col("lo").isNotNull() & cond & (F.col("headcount") > 0)
+
+    def when_used(c: str) -> Column:
+        return F.when(use, F.col(c))
+
+    agg = x.groupBy(*by).agg(
+        F.avg(when_used("turnover_total")).alias("r_total"),
+        F.avg(when_used("turnover_vol")).alias("r_vol"),
+        F.avg(when_used("turnover_inv")).alias("r_inv"),
+        F.sum(when_used("headcount")).alias("s_hc"),
+        F.sum(when_used("exits")).alias("s_ex"),
+        F.sum(when_used("voluntary")).alias("s_vol"),
+        F.sum(when_used("involuntary")).alias("s_inv"),
+        F.count_if(use).alias("n"),
     )
-    if by:
-        groups = bnds.select(*by)
-        agg = groups.join(agg, on=by, how="left")
     n = F.coalesce(F.col("n"), F.lit(0))
 
     def mean_count(c: str) -> Column:

@@ -481,16 +481,16 @@ GAP_LABELS = "(VALUES (1, '0–3m'), (2, '3–6m'), (3, '6–12m'), (4, '12–24
 def q_risk_histogram() -> str:
     return q_risk(f"""
 , b AS (SELECT {RISK_BANDS} AS band_no FROM scored), n AS (SELECT count(band_no) AS n FROM b),
-c AS (SELECT band_no, count(*) AS k FROM b WHERE band_no IS NOT NULL GROUP BY band_no)
-SELECT l.band_no, l.band, CASE WHEN n.n > 0 THEN coalesce(c.k, 0) / n.n * 100.0 END AS share_pct
-FROM {RISK_LABELS} CROSS JOIN n LEFT JOIN c ON c.band_no = l.band_no""")
+bc AS (SELECT band_no, count(*) AS k FROM b WHERE band_no IS NOT NULL GROUP BY band_no)
+SELECT l.band_no, l.band, CASE WHEN n.n > 0 THEN coalesce(bc.k, 0) / n.n * 100.0 END AS share_pct
+FROM {RISK_LABELS} CROSS JOIN n LEFT JOIN bc ON bc.band_no = l.band_no""")
 
 
 def q_risk_by_promotion_gap() -> str:
     return q_risk(f"""
 , b AS (SELECT {GAP_BANDS} AS band_no, risk FROM scored),
-c AS (SELECT band_no, avg(risk) AS a FROM b WHERE band_no IS NOT NULL GROUP BY band_no)
-SELECT l.band_no, l.band, {rnd('c.a', 6)} AS avg_risk FROM {GAP_LABELS} LEFT JOIN c ON c.band_no = l.band_no""")
+bc AS (SELECT band_no, avg(risk) AS a FROM b WHERE band_no IS NOT NULL GROUP BY band_no)
+SELECT l.band_no, l.band, {rnd('bc.a', 6)} AS avg_risk FROM {GAP_LABELS} LEFT JOIN bc ON bc.band_no = l.band_no""")
 
 
 def history_rates() -> str:

@@ -15,7 +15,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import DEFAULT_AS_OF, month_ceil, month_floor, month_sequence, ts_lit
+from ..functions.dates import DEFAULT_AS_OF, month_floor, month_sequence, ts_lit
 from ..functions.text import voluntary_flag
 
 # Day offsets where a spell moves to the next tenure band: whole days / 30 with right-closed
@@ -23,14 +23,36 @@ from ..functions.text import voluntary_flag
 TENURE_BAND_START_DAYS = (0, 181, 361, 721, 1081)
 
 
-def _spell_cols(df: DataFrame, mode: str) -> dict[str, Column]:
-    h = F.to_date("hire_date")
-    e = F.to_date("exit_date")
-    return {"h": h, "e": e, "vol": voluntary_flag(df, mode)}
+def month_index(d: Column) -> Column:
+    """Months since year 0 of a DATE (an int key: cheap to hash, compare and aggregate)."""
+    return F.year(d) * 12 + F.month(d) - 1
+
+
+def ceil_index(d: Column) -> Column:
+    """``month_index`` of ``month_ceil(d)``."""
+    return month_index(d) + F.when(F.dayofmonth(d) == 1, 0).otherwise(1)
+
+
+def index_month(i: Column) -> Column:
+    """Month start DATE of a month index (applied on month-grain rows only)."""
+    return F.make_date(F.floor(i / 12).cast("int"), (i % 12 + 1).cast("int"), F.lit(1))
+
+
+def _events(projected: DataFrame, by: list[str], structs: list[Column], aggs: list[Column]) -> DataFrame:
+    """Unpack per-row event structs (plain column references: all date arithmetic already ran
+    in the codegen'd projection) and sum them per (by, month index) with a partial aggregate."""
+    return (
+        projected.select(*[F.col(b) for b in by], F.inline(F.array(*structs)))
+        .where(F.col("mi").isNotNull())
+        .groupBy(*by, "mi")
+        .agg(*aggs)
+        .withColumn("month", index_month(F.col("mi")))
+        .drop("mi")
+    )
 
 
 def month_events(staff: DataFrame, by: Sequence[str] = (), mode: str = "compat", years: bool = False) -> DataFrame:
-    """Month-grain change table: (by..., month, delta, exits, voluntary, hire_mark).
+    """Month-grain change table: (by..., month, delta, exits, voluntary, hire_mark[, year_mark]).
 
     ``delta`` is the net headcount change at that month start; ``exits``/``voluntary`` count
     exits dated inside the month (from every row with an exit, also spells that never became
@@ -40,39 +62,40 @@ def month_events(staff: DataFrame, by: Sequence[str] = (), mode: str = "compat",
     of calendar years seen comes out of the same single pass.
     """
     by = list(by)
-    c = _spell_cols(staff, mode)
-    h, e, vol = c["h"], c["e"], c["vol"]
+    h = F.to_date("hire_date")
+    e = F.to_date("exit_date")
     valid = h.isNotNull() & (e.isNull() | (e > h))
-    def ev(month, delta, exits, voluntary, hire_mark, year_mark=0):
-        fields = [month.alias("month"), F.lit(delta).alias("delta") if isinstance(delta, int) else delta.alias("delta"),
-                  F.lit(exits).alias("exits"),
-                  F.lit(voluntary).alias("voluntary") if isinstance(voluntary, int) else voluntary.alias("voluntary"),
-                  F.lit(hire_mark).alias("hire_mark")]
+    proj = staff.select(
+        *[F.col(b) for b in by],
+        ceil_index(h).alias("_ch"),
+        F.when(valid, 1).otherwise(0).alias("_d"),
+        F.when(valid, ceil_index(e)).alias("_ce"),
+        month_index(e).alias("_fe"),
+        F.when(voluntary_flag(staff, mode), 1).otherwise(0).alias("_v"),
+        (F.year(h) * 12).alias("_yh"),
+        (F.year(e) * 12).alias("_ye"),
+    )
+    z, one = F.lit(0), F.lit(1)
+
+    def ev(mi, delta, exits, vol, hire_mark, year_mark=z):
+        fields = [mi.alias("mi"), delta.alias("delta"), exits.alias("exits"), vol.alias("voluntary"),
+                  hire_mark.alias("hire_mark")]
         if years:
-            fields.append(F.lit(year_mark).alias("year_mark"))
+            fields.append(year_mark.alias("year_mark"))
         return F.struct(*fields)
 
     structs = [
-        # hire: counts for the bounds always, for the headcount only when the spell is valid
-        ev(month_ceil(h), F.when(valid, 1).otherwise(0), 0, 0, 1),
-        # leave the headcount at the first month start on or after the exit
-        ev(F.when(valid, month_ceil(e)), -1, 0, 0, 0),
-        # exit counted in its calendar month
-        ev(month_floor(e), 0, 1, F.when(vol, 1).otherwise(0), 0),
+        ev(F.col("_ch"), F.col("_d"), z, z, one),        # hire (+1 when the spell is valid; bound mark always)
+        ev(F.col("_ce"), F.lit(-1), z, z, z),            # leaves the headcount at ceil(exit)
+        ev(F.col("_fe"), z, one, F.col("_v"), z),        # exit counted in its calendar month
     ]
     if years:
-        for d in (h, e):
-            structs.append(ev(F.make_date(F.year(d), F.lit(1), F.lit(1)), 0, 0, 0, 0, 1))
+        structs += [ev(F.col("_yh"), z, z, z, z, one), ev(F.col("_ye"), z, z, z, z, one)]
     aggs = [F.sum("delta").alias("delta"), F.sum("exits").alias("exits"), F.sum("voluntary").alias("voluntary"),
             F.max("hire_mark").alias("hire_mark")]
     if years:
         aggs.append(F.max("year_mark").alias("year_mark"))
-    return (
-        staff.select(*[F.col(b) for b in by], F.inline(F.array(*structs)))
-        .where(F.col("month").isNotNull())
-        .groupBy(*by, "month")
-        .agg(*aggs)
-    )
+    return _events(proj, by, structs, aggs)
 
 
 def band_events(staff: DataFrame, starts: Sequence[int] = TENURE_BAND_START_DAYS) -> DataFrame:
@@ -86,30 +109,34 @@ def band_events(staff: DataFrame, starts: Sequence[int] = TENURE_BAND_START_DAYS
     h = F.to_date("hire_date")
     e = F.to_date("exit_date")
     valid = h.isNotNull() & (e.isNull() | (e > h))
-
-    def ev(band, month, delta, exits=0, hire_mark=0):
-        return F.struct(F.lit(band).alias("band_no"), month.alias("month"),
-                        (F.lit(delta) if isinstance(delta, int) else delta).alias("delta"),
-                        F.lit(exits).alias("exits"), F.lit(0).alias("voluntary"), F.lit(hire_mark).alias("hire_mark"))
-
-    structs = [
-        ev(0, month_ceil(h), F.when(valid, 1).otherwise(0), hire_mark=1),
-        ev(0, F.when(valid, month_ceil(e)), -1),
-        ev(0, month_floor(e), 0, exits=1),
-    ]
+    cols = [ceil_index(h).alias("_ch"), F.when(valid, 1).otherwise(0).alias("_d"),
+            F.when(valid, ceil_index(e)).alias("_ce"), month_index(e).alias("_fe")]
     for k, a in enumerate(starts):
         seg_start = F.date_add(h, a)
         nxt = F.date_add(h, starts[k + 1]) if k + 1 < len(starts) else None
         seg_end = e if nxt is None else F.when(e.isNull(), nxt).otherwise(F.least(nxt, e))
         live = valid & (seg_end.isNull() | (seg_start < seg_end))
-        structs.append(ev(k + 1, F.when(live, month_ceil(seg_start)), 1))
-        structs.append(ev(k + 1, F.when(live, month_ceil(seg_end)), -1))
+        cols += [F.when(live, ceil_index(seg_start)).alias(f"_s{k}"), F.when(live, ceil_index(seg_end)).alias(f"_t{k}")]
+    proj = staff.select(*cols)
+    z, one = F.lit(0), F.lit(1)
+
+    def ev(band, mi, delta, exits=z, hire_mark=z):
+        return F.struct(F.lit(band).alias("band_no"), mi.alias("mi"), delta.alias("delta"), exits.alias("exits"),
+                        z.alias("voluntary"), hire_mark.alias("hire_mark"))
+
+    structs = [ev(0, F.col("_ch"), F.col("_d"), hire_mark=one), ev(0, F.col("_ce"), F.lit(-1)),
+               ev(0, F.col("_fe"), z, exits=one)]
+    for k in range(len(starts)):
+        structs += [ev(k + 1, F.col(f"_s{k}"), one), ev(k + 1, F.col(f"_t{k}"), F.lit(-1))]
+    aggs = [F.sum("delta").alias("delta"), F.sum("exits").alias("exits"), F.sum("voluntary").alias("voluntary"),
+            F.max("hire_mark").alias("hire_mark")]
     return (
-        staff.select(F.inline(F.array(*structs)))
-        .where(F.col("month").isNotNull())
-        .groupBy("band_no", "month")
-        .agg(F.sum("delta").alias("delta"), F.sum("exits").alias("exits"), F.sum("voluntary").alias("voluntary"),
-             F.max("hire_mark").alias("hire_mark"))
+        proj.select(F.inline(F.array(*structs)))
+        .where(F.col("mi").isNotNull())
+        .groupBy("band_no", "mi")
+        .agg(*aggs)
+        .withColumn("month", index_month(F.col("mi")))
+        .drop("mi")
     )
 
 

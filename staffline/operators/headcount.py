@@ -44,7 +44,7 @@ def share_of_total(grouped: DataFrame, value: str, out: str, digits: int | None
     share = F.col(value) / F.col("_total") * F.lit(100.0)
     if digits is not None:
         share = round_half_even(share, digits)
-    return g.crossJoin(F.broadcast(total)).withColumn(out, share).drop("_total")
+    return spells.with_scalars(g, total).withColumn(out, share).drop("_total")
 
 
 def headcount_at(staff: DataFrame, group: str = "department", at: str = DEFAULT_AS_OF) -> DataFrame:
@@ -87,7 +87,7 @@ def _global_series(staff: DataFrame, group: str, as_of: str) -> DataFrame:
         F.min(F.when(F.col("hire_mark") > 0, F.col("month"))).alias("lo"),
         F.coalesce(F.max(F.when(F.col("exits") > 0, F.col("month"))), end_default).alias("hi"),
     )
-    evg = spells.drop_null_keys(ev, [group]).crossJoin(F.broadcast(gb))
+    evg = spells.with_scalars(spells.drop_null_keys(ev, [group]), gb)
     x = spells.step_series(evg, [group], as_of, lo=F.col("lo"), hi=F.col("hi"))
     return x.where(F.col("lo").isNotNull() & (F.col("month") >= F.col("lo")) & (F.col("month") <= F.col("hi")))
 
@@ -150,8 +150,9 @@ def last_months(series: DataFrame, n: int) -> DataFrame:
     cut = months.select(F.col("month"), F.dense_rank().over(Window.orderBy(F.desc("month"))).alias("_r")) \
         .where(F.col("_r") == n).select(F.col("month").alias("_cut"))
     lo = months.agg(F.min("month").alias("_min"))
-    bound = lo.join(cut, how="left").select(F.coalesce("_cut", "_min").alias("_cut"))
-    return s.crossJoin(F.broadcast(bound)).where(F.col("month") >= F.col("_cut")).drop("_cut")
+    bound = spells.with_scalars(lo, cut.agg(F.max("_cut").alias("_cut"))).select(
+        F.coalesce("_cut", "_min").alias("_cut"))
+    return spells.with_scalars(s, bound).where(F.col("month") >= F.col("_cut")).drop("_cut")
 
 
 def growth_summary(series: DataFrame, group: str = "department", n: int = 12) -> DataFrame:

@@ -37,6 +37,13 @@ REPORT_FOOTER = "*Apresentação gerada automaticamente pela plataforma de Peopl
 # ---------------------------------------------------------------------------------------------
 
 
+def _narrow(staff: DataFrame) -> DataFrame:
+    """The columns the rules read, checkpointed once: three rule branches scan it."""
+    keep = [c for c in ("employee_id", "department", "hire_date", "exit_date", "exit_reason", "exit_type", "active")
+            if c in staff.columns]
+    return spells.materialize(staff.select(*keep))
+
+
 def fmt1(c: Column) -> Column:
     """Text of a value with one decimal, rounded half-even first (Python's formatting rule)."""
     return F.format_string("%.1f", round_half_even(c, 1))
@@ -49,7 +56,7 @@ def forecast(history: DataFrame, horizon: int = 3) -> DataFrame:
     history; the index is the month distance from the first month (the spine is dense)."""
     x = history.withColumn("_m", F.to_date(F.concat(F.col("month"), F.lit("-01"))))
     first = x.agg(F.min("_m").alias("_m0"))
-    x = x.crossJoin(F.broadcast(first)).withColumn("_x", F.months_between("_m", "_m0").cast("double"))
+    x = spells.with_scalars(x, first).withColumn("_x", F.months_between("_m", "_m0").cast("double"))
     a = x.agg(
         F.count(F.lit(1)).alias("n"),
         F.regr_slope("turnover_total", "_x").alias("slope"),
@@ -78,13 +85,14 @@ def _history_rules(history: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("k"),
     )
     m = history.agg(F.avg("turnover_total").alias("mean_rate"))
-    return a.crossJoin(m)
+    return spells.with_scalars(a, m)
 
 
 def insights(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "compat") -> DataFrame:
     """Alert and recommendation rows (line_no, kind, rule, subject, value, message) from
     four rules: rising rate, mean rate above 5%, worst department above 8%, mean tenure of
     leavers below 12 months. Rules that do not fire give no rows."""
+    staff = _narrow(staff)
     hist = spells.materialize(turnover.turnover_history(staff, as_of=as_of, mode=mode))  # month grain, read twice
     hr = _history_rules(hist)
     dept = turnover.turnover_by_department(staff, as_of=as_of, mode=mode)
@@ -94,7 +102,7 @@ def insights(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "compat")
     )
     left = staff.where(F.col("exit_date").isNotNull()) if "active" not in staff.columns else staff.where(~F.col("active"))
     ten = left.agg(F.avg(months_30(F.to_date("exit_date"), F.to_date("hire_date"))).alias("tenure"))
-    j = hr.crossJoin(worst).crossJoin(ten)
+    j = spells.with_scalars(spells.with_scalars(hr, worst), ten)
     rise = (F.col("k") >= 3) & (F.col("r_last") > F.col("r_third") * RISE_FACTOR)
     high = F.coalesce(F.col("mean_rate") > MEAN_RATE_LIMIT, F.lit(False))
     crit = F.coalesce(F.col("worst_rate") > DEPARTMENT_RATE_LIMIT, F.lit(False))
@@ -126,6 +134,7 @@ def report_lines(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "comp
     """The report as ordered (line_no, text) Markdown lines: summary (mean rate, period,
     active total), alerts, recommendations (numbered), footer. Built from metric rows with
     ``format_string``; the rows are few, ``line_no`` orders them."""
+    staff = _narrow(staff)
     hist = turnover.turnover_history(staff, as_of=as_of, mode=mode)
     hs = hist.agg(F.avg("turnover_total").alias("mean_rate"), F.min("month").alias("m0"),
                   F.max("month").alias("m1"), F.count(F.lit(1)).alias("nh"))
@@ -137,7 +146,7 @@ def report_lines(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "comp
     recs = ins.where(F.col("kind") == "recommendation").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "message"))).alias("recs"))
     # one row holding every metric; checkpointed because three branches read it
-    j = spells.materialize(hs.crossJoin(act).crossJoin(alerts).crossJoin(recs))
+    j = spells.materialize(spells.with_scalars(spells.with_scalars(spells.with_scalars(hs, act), alerts), recs))
     has_h = F.col("nh") > 0
     n_al = F.size("alerts")
     n_rc = F.size("recs")

@@ -11,6 +11,7 @@ from ..functions.binning import (
 from ..functions.dates import DEFAULT_AS_OF, months_30, ts_lit
 from ..functions.numeric import round_half_even
 from ..functions.text import capitalize_first
+from . import spells
 
 # ---- fixed values (rating scores, default weights, reason phrases of the reference) --------
 RATING_SCORES = {
@@ -85,7 +86,7 @@ def minmax(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     for src, c in clean.items():
         aggs += [F.min(c).alias(f"_min_{src}"), F.max(c).alias(f"_max_{src}")]
     stats = df.agg(*aggs)
-    j = df.crossJoin(F.broadcast(stats))
+    j = spells.with_scalars(df, stats)
     out = {}
     for name, src in columns.items():
         lo, hi = F.col(f"_min_{src}"), F.col(f"_max_{src}")
@@ -97,7 +98,9 @@ def minmax(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def risk_scores(staff: DataFrame, as_of: str = DEFAULT_AS_OF, weights: dict | None = None) -> DataFrame:
     """Five scaled scores and the weighted risk in [0, 100] (weights need not sum to 1)."""
     w = dict(DEFAULT_WEIGHTS, **(weights or {}))
-    f = risk_features(staff, as_of)
+    # the features are read twice (global min/max, then scaling): checkpoint them once instead
+    # of re-running the review and team aggregations
+    f = spells.materialize(risk_features(staff, as_of))
     s = minmax(f, SCORE_INPUTS).withColumn("score_perf_inv", F.lit(1.0) - F.col("score_perf_inv"))
     risk = (F.lit(w["perf"]) * F.col("score_perf_inv") + F.lit(w["promo"]) * F.col("score_promotion")
             + F.lit(w["casa"]) * F.col("score_tenure") + F.lit(w["eq"]) * F.col("score_team")

@@ -199,8 +199,19 @@ def materialize(df: DataFrame) -> DataFrame:
     does not replay it."""
     from ..session import ensure_checkpoint_dir
 
+    if getattr(df, "_staffline_checkpointed", False):
+        return df
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    out._staffline_checkpointed = True
+    return out
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame (global bounds, totals, min/max) to every row of
+    ``df``. The one-row side is a global aggregate, so the broadcast is one row by construction
+    and the join is linear in ``df`` (plans as a broadcast nested-loop join with no condition)."""
+    return df.crossJoin(F.broadcast(one_row))
 
 
 def drop_null_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:

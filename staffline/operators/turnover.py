@@ -198,7 +198,7 @@ def turnover_compare(staff: DataFrame, year: int | None, month: int | None, as_o
     tot = turnover_period(staff, None, None, as_of=as_of, mode=mode)
     s = sel.select(*[F.col(c).cast("double").alias(f"p_{c}") for c in COMPARE_MEASURES])
     t = tot.select(*[F.col(c).cast("double").alias(f"t_{c}") for c in COMPARE_MEASURES])
-    j = s.crossJoin(t)
+    j = spells.with_scalars(s, t)
     rows = F.array(*[
         F.struct(F.lit(i + 1).alias("ord"), F.lit(c).alias("measure"), F.col(f"p_{c}").alias("period"),
                  F.col(f"t_{c}").alias("total"))

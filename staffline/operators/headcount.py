@@ -81,7 +81,7 @@ def headcount_compare(staff: DataFrame, year: int | None, month: int | None, gro
 
 def _global_series(staff: DataFrame, group: str, as_of: str) -> DataFrame:
     """Per-group dense series on the global spine (bounds over all rows, null groups included)."""
-    ev = spells.materialize(spells.month_events(staff, [group]))
+    ev = spells.materialize(spells.month_events(staff, [group], id_col="employee_id"))
     end_default = month_floor(F.to_date(ts_lit(as_of)))
     gb = ev.agg(
         F.min(F.when(F.col("hire_mark") > 0, F.col("month"))).alias("lo"),

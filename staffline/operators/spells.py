@@ -51,7 +51,8 @@ def _events(projected: DataFrame, by: list[str], structs: list[Column], aggs: li
     )
 
 
-def month_events(staff: DataFrame, by: Sequence[str] = (), mode: str = "compat", years: bool = False) -> DataFrame:
+def month_events(staff: DataFrame, by: Sequence[str] = (), mode: str = "compat", years: bool = False,
+                 id_col: str | None = None) -> DataFrame:
     """Month-grain change table: (by..., month, delta, exits, voluntary, hire_mark[, year_mark]).
 
     ``delta`` is the net headcount change at that month start; ``exits``/``voluntary`` count
@@ -60,11 +61,14 @@ def month_events(staff: DataFrame, by: Sequence[str] = (), mode: str = "compat",
     Null group keys are kept here (they matter for global bounds); callers drop them.
     With ``years`` each hire and exit also marks January of its year (``year_mark``), so the set
     of calendar years seen comes out of the same single pass.
+    With ``id_col`` only rows with a non-null id count in the headcount (group series count ids).
     """
     by = list(by)
     h = F.to_date("hire_date")
     e = F.to_date("exit_date")
     valid = h.isNotNull() & (e.isNull() | (e > h))
+    if id_col is not None:
+        valid = valid & F.col(id_col).isNotNull()
     proj = staff.select(
         *[F.col(b) for b in by],
         ceil_index(h).alias("_ch"),
@@ -98,19 +102,23 @@ def month_events(staff: DataFrame, by: Sequence[str] = (), mode: str = "compat",
     return _events(proj, by, structs, aggs)
 
 
-def band_events(staff: DataFrame, starts: Sequence[int] = TENURE_BAND_START_DAYS) -> DataFrame:
+def band_events(staff: DataFrame, starts: Sequence[int] = TENURE_BAND_START_DAYS,
+                id_col: str | None = "employee_id") -> DataFrame:
     """Month-grain change table per tenure band: (band_no, month, delta, exits, voluntary, hire_mark).
 
     Each valid spell is cut at hire + starts[k] days into ≤ len(starts) segments clipped to the
     exit; each non-empty segment adds +1 at ceil(start) and −1 at ceil(end) to band k+1.
     Band 0 carries the whole spell (the total headcount) plus the marks that fix the series
-    bounds: hire months (``hire_mark``) and exit months (``exits``), from every row.
+    bounds: hire months (``hire_mark``) and exit months (``exits``), from every row. With
+    ``id_col`` only rows with a non-null id are counted (the reference counts ids per band).
     """
     h = F.to_date("hire_date")
     e = F.to_date("exit_date")
-    valid = h.isNotNull() & (e.isNull() | (e > h))
-    cols = [ceil_index(h).alias("_ch"), F.when(valid, 1).otherwise(0).alias("_d"),
-            F.when(valid, ceil_index(e)).alias("_ce"), month_index(e).alias("_fe")]
+    spell = h.isNotNull() & (e.isNull() | (e > h))
+    valid = spell & F.col(id_col).isNotNull() if id_col is not None and id_col in staff.columns else spell
+    # band 0 (months with anyone active) counts every row; bands 1-5 count ids
+    cols = [ceil_index(h).alias("_ch"), F.when(spell, 1).otherwise(0).alias("_d"),
+            F.when(spell, ceil_index(e)).alias("_ce"), month_index(e).alias("_fe")]
     for k, a in enumerate(starts):
         seg_start = F.date_add(h, a)
         nxt = F.date_add(h, starts[k + 1]) if k + 1 < len(starts) else None

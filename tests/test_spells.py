@@ -99,3 +99,21 @@ def test_group_without_exit_runs_to_as_of(spark):
     rows = [{"hire_date": dt.date(2001, 9, 5), "exit_date": None, "department": "A"}]
     got = turnover.turnover_history(prepared(spark, rows), by=["department"], as_of=AS_OF).collect()
     assert [r["month"] for r in got] == ["2001-10", "2001-11", "2001-12"]
+
+
+def test_group_series_count_ids_only(spark):
+    from tests.helpers import staff_df
+    from staffline.operators.prepare import prepare_staff
+
+    rows = [{"hire_date": dt.date(2001, 1, 1), "department": "A"}, {"hire_date": dt.date(2001, 1, 1), "department": "A"}]
+    df = staff_df(spark, rows)
+    df = df.withColumn("employee_id", __import__("pyspark.sql.functions", fromlist=["when"]).when(
+        df.employee_id == 1, None).otherwise(df.employee_id))
+    p = prepare_staff(df, None, AS_OF)
+    got = {r["month"]: r["headcount"] for r in headcount.headcount_monthly(p, "department", AS_OF).collect()}
+    assert got["2001-01"] == 1
+    tb = {(r["month"], r["band_no"]): r["headcount"] for r in headcount.headcount_monthly_tenure(p, AS_OF).collect()}
+    assert tb[("2001-01", 1)] == 1
+    # the history counts rows
+    h = {r["month"]: r["headcount"] for r in turnover.turnover_history(p, as_of=AS_OF).collect()}
+    assert h["2001-01"] == 2

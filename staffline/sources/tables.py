@@ -113,3 +113,8 @@ def null_clean(df: DataFrame) -> DataFrame:
 def to_records(df: DataFrame) -> DataFrame:
     """One JSON object per row (``json``), built on the executors."""
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """The Markdown report (``report_lines``: a few dozen ordered lines) as one text file."""
+    lines.orderBy("line_no").select("text").coalesce(1).write.mode("overwrite").text(path)

@@ -82,6 +82,12 @@ def q_headcount_at(spark, sf_dir):
     return headcount.headcount_at(staff(spark, sf_dir), "department", at)
 
 
+def q_headcount_at_month_start(spark, sf_dir):
+    """A2 with the REST anchor: a (year, month) period is measured at its first day."""
+    at = headcount.reference_date(YEAR, MONTH, AS_OF, anchor="start")
+    return headcount.headcount_at(staff(spark, sf_dir), "department", at)
+
+
 def q_headcount_gender_at(spark, sf_dir):
     return headcount.headcount_at(staff(spark, sf_dir), "gender", AS_OF)
 
@@ -278,6 +284,11 @@ def q_table_profile(spark, sf_dir):
     return filters.table_profile(fixture.staff(spark, sf_dir), "staff")
 
 
+def q_table_preview(spark, sf_dir):
+    """The first five rows of the staff table (by id: a preview is the feature)."""
+    return dates_as_text(fixture.staff(spark, sf_dir).orderBy("employee_id").limit(5))
+
+
 def q_schema_report(spark, sf_dir):
     return schema_report(spark, fixture.staff(spark, sf_dir), STAFF_SCHEMA, "staff")
 

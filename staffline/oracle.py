@@ -699,6 +699,7 @@ ORACLE = {
     "turnover_compare": q_turnover_compare(),
     "headcount_at": q_headcount_at("department", "2000-06-30"),
     "headcount_gender_at": q_headcount_at("gender", AS_OF),
+    "headcount_at_month_start": q_headcount_at("department", "2000-06-01"),
     "headcount_compare": q_headcount_compare(),
     "headcount_monthly": q_headcount_monthly("department"),
     "headcount_monthly_gender": q_headcount_monthly("gender"),
@@ -744,6 +745,7 @@ ORACLE = {
     "hires_in_period": q_hires_in_period(),
     "table_profile": q_table_profile(),
     "schema_report": q_schema_report(),
+    "table_preview": f"SELECT * FROM ({q_dataset_roundtrip()}) ORDER BY employee_id LIMIT 5",
     "dataset_roundtrip": q_dataset_roundtrip(),
     "dataset_catalog": q_dataset_catalog(),
     "dataset_delete": q_dataset_delete(),

@@ -143,3 +143,13 @@ def test_insights_rules(spark):
     assert ("alert", "department_critical") not in got or ("recommendation", "department_critical") in got
     lines = [r["text"] for r in insights.report_lines(prepared(spark, rows), AS_OF).orderBy("line_no").collect()]
     assert lines[0].startswith("# ") and lines[-1].startswith("*")
+
+
+def test_voluntary_word_mode(spark):
+    rows = [{"hire_date": D(2000, 1, 1), "exit_date": D(2000, 5, 10), "exit_reason": "Involuntário"},
+            {"hire_date": D(2000, 1, 1), "exit_date": D(2000, 5, 11), "exit_reason": "Pedido de demissão"}]
+    df = prepared(spark, rows)
+    compat = {r["month"]: r for r in turnover.turnover_history(df, as_of=AS_OF).collect()}["2000-05"]
+    word = {r["month"]: r for r in turnover.turnover_history(df, as_of=AS_OF, mode="word").collect()}["2000-05"]
+    assert compat["voluntary"] == 2  # 'involuntário' contains 'voluntário' (reference rule)
+    assert word["voluntary"] == 1

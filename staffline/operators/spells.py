@@ -106,43 +106,70 @@ def band_events(staff: DataFrame, starts: Sequence[int] = TENURE_BAND_START_DAYS
                 id_col: str | None = "employee_id") -> DataFrame:
     """Month-grain change table per tenure band: (band_no, month, delta, exits, voluntary, hire_mark).
 
-    Each valid spell is cut at hire + starts[k] days into ≤ len(starts) segments clipped to the
-    exit; each non-empty segment adds +1 at ceil(start) and −1 at ceil(end) to band k+1.
-    Band 0 carries the whole spell (the total headcount) plus the marks that fix the series
-    bounds: hire months (``hire_mark``) and exit months (``exits``), from every row. With
-    ``id_col`` only rows with a non-null id are counted (the reference counts ids per band).
+    A valid spell enters band 1 at ceil(hire), moves from band k to k+1 at ceil(hire + starts[k])
+    while still employed, and leaves its last band at ceil(exit). Each of these is one
+    *transition* row (month, from band, to band; 0 = outside), so a spell emits at most
+    len(starts) + 1 rows plus one exit mark. Transitions are summed per (month, from, to) with a
+    partial aggregate and only then, on month-grain rows, split into per-band deltas.
+    Band 0 carries the total headcount (+1 on entering, −1 on leaving) and the marks that fix
+    the series bounds: hire months (``hire_mark``, every row) and exit months (``exits``).
+    With ``id_col`` only rows with a non-null id are counted in bands 1-5 (the reference counts
+    ids per band); band 0 counts every row (months with anyone active).
     """
     h = F.to_date("hire_date")
     e = F.to_date("exit_date")
     spell = h.isNotNull() & (e.isNull() | (e > h))
-    valid = spell & F.col(id_col).isNotNull() if id_col is not None and id_col in staff.columns else spell
-    # band 0 (months with anyone active) counts every row; bands 1-5 count ids
-    cols = [ceil_index(h).alias("_ch"), F.when(spell, 1).otherwise(0).alias("_d"),
-            F.when(spell, ceil_index(e)).alias("_ce"), month_index(e).alias("_fe")]
-    for k, a in enumerate(starts):
-        seg_start = F.date_add(h, a)
-        nxt = F.date_add(h, starts[k + 1]) if k + 1 < len(starts) else None
-        seg_end = e if nxt is None else F.when(e.isNull(), nxt).otherwise(F.least(nxt, e))
-        live = valid & (seg_end.isNull() | (seg_start < seg_end))
-        cols += [F.when(live, ceil_index(seg_start)).alias(f"_s{k}"), F.when(live, ceil_index(seg_end)).alias(f"_t{k}")]
+    counted = spell & F.col(id_col).isNotNull() if id_col is not None and id_col in staff.columns else spell
+    n = len(starts)
+    # the band a spell is in just before its exit: 1 + number of band starts before the exit
+    last_band = sum((F.date_add(h, starts[k]) < e).cast("int") for k in range(1, n)) + F.lit(1)
+    cols = [ceil_index(h).alias("_ch"), spell.alias("_sp"), counted.alias("_ct"),
+            F.when(spell, ceil_index(e)).alias("_ce"), month_index(e).alias("_fe"),
+            F.when(e.isNotNull(), last_band).otherwise(F.lit(0)).alias("_lb")]
+    for k in range(1, n):
+        st = F.date_add(h, starts[k])
+        cols.append(F.when(spell & (e.isNull() | (st < e)), ceil_index(st)).alias(f"_s{k}"))
     proj = staff.select(*cols)
     z, one = F.lit(0), F.lit(1)
+    ct = F.col("_ct")
 
-    def ev(band, mi, delta, exits=z, hire_mark=z):
-        return F.struct(F.lit(band).alias("band_no"), mi.alias("mi"), delta.alias("delta"), exits.alias("exits"),
-                        z.alias("voluntary"), hire_mark.alias("hire_mark"))
+    def tr(mi, frm, to, total, exits=z, hire_mark=z):
+        return F.struct(mi.alias("mi"), frm.alias("frm"), to.alias("to"), total.alias("total"),
+                        exits.alias("exits"), hire_mark.alias("hire_mark"))
 
-    structs = [ev(0, F.col("_ch"), F.col("_d"), hire_mark=one), ev(0, F.col("_ce"), F.lit(-1)),
-               ev(0, F.col("_fe"), z, exits=one)]
-    for k in range(len(starts)):
-        structs += [ev(k + 1, F.col(f"_s{k}"), one), ev(k + 1, F.col(f"_t{k}"), F.lit(-1))]
-    aggs = [F.sum("delta").alias("delta"), F.sum("exits").alias("exits"), F.sum("voluntary").alias("voluntary"),
-            F.max("hire_mark").alias("hire_mark")]
-    return (
+    structs = [
+        # enter band 1 (total +1 when the spell is valid); the hire month is a bound mark for every row
+        tr(F.col("_ch"), z, F.when(ct, one).otherwise(z), F.when(F.col("_sp"), one).otherwise(z), hire_mark=one),
+        # leave the last band at ceil(exit)
+        tr(F.col("_ce"), F.when(ct, F.col("_lb")).otherwise(z), z, F.lit(-1)),
+        # exit month mark (bounds)
+        tr(F.col("_fe"), z, z, z, exits=one),
+    ]
+    for k in range(1, n):
+        structs.append(tr(F.col(f"_s{k}"), F.when(ct, F.lit(k)).otherwise(z), F.when(ct, F.lit(k + 1)).otherwise(z), z))
+    trans = (
         proj.select(F.inline(F.array(*structs)))
-        .where(F.col("mi").isNotNull())
+        .where(F.col("mi").isNotNull() & ((F.col("frm") != F.col("to")) | (F.col("total") != 0)
+                                          | (F.col("exits") > 0) | (F.col("hire_mark") > 0)))
+        .groupBy("mi", "frm", "to")
+        .agg(F.count(F.lit(1)).alias("c"), F.sum("total").alias("total"), F.sum("exits").alias("exits"),
+             F.max("hire_mark").alias("hire_mark"))
+    )
+    # month-grain: each transition group → (band 0 total) + (from band −c) + (to band +c)
+    deltas = F.array(
+        F.struct(z.alias("band_no"), F.col("total").alias("delta"), F.col("exits").alias("exits"),
+                 F.col("hire_mark").alias("hire_mark")),
+        F.struct(F.when(F.col("frm") > 0, F.col("frm")).alias("band_no"), (-F.col("c")).alias("delta"),
+                 z.alias("exits"), z.alias("hire_mark")),
+        F.struct(F.when(F.col("to") > 0, F.col("to")).alias("band_no"), F.col("c").alias("delta"),
+                 z.alias("exits"), z.alias("hire_mark")),
+    )
+    return (
+        trans.select("mi", F.inline(deltas))
+        .where(F.col("band_no").isNotNull())
         .groupBy("band_no", "mi")
-        .agg(*aggs)
+        .agg(F.sum("delta").alias("delta"), F.sum("exits").alias("exits"), F.lit(0).alias("voluntary"),
+             F.max("hire_mark").alias("hire_mark"))
         .withColumn("month", index_month(F.col("mi")))
         .drop("mi")
     )

@@ -27,12 +27,3 @@ def band_number(x: Column, edges: tuple, include_lowest: bool) -> Column:
             cond = cond & (x <= F.lit(hi))
         expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
     return expr
-
-
-def band_label(band_no: Column, labels: tuple) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in labels]), band_no)
-
-
-def band_table_rows(labels: tuple) -> Column:
-    """Array of (band_no, band) structs, to be ``inline``d for a zero-filled grid."""
-    return F.array(*[F.struct(F.lit(i + 1).alias("band_no"), F.lit(s).alias("band")) for i, s in enumerate(labels)])

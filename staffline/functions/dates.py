@@ -33,10 +33,6 @@ def date_lit(value: str) -> Column:
     return F.expr(f"DATE '{value[:10]}'")
 
 
-def as_date(c: Column | str) -> Column:
-    return F.to_date(F.col(c) if isinstance(c, str) else c)
-
-
 def month_floor(d: Column) -> Column:
     """First day of the month of a DATE."""
     return F.trunc(d, "MM")

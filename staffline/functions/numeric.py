@@ -15,8 +15,3 @@ def round_half_even(c: Column, digits: int) -> Column:
 def pct(part: Column, whole: Column) -> Column:
     """``part / whole * 100`` in double; 0 when ``whole`` is 0 (the reference's monthly rule)."""
     return F.when(whole > 0, part / whole * F.lit(100.0)).otherwise(F.lit(0.0))
-
-
-def share_pct(part: Column, whole: Column) -> Column:
-    """``part / whole * 100``; null when ``whole`` is 0 (no inf, decision Q14)."""
-    return F.try_divide(part.cast("double"), whole.cast("double")) * F.lit(100.0)

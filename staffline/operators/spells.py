@@ -175,18 +175,6 @@ def band_events(staff: DataFrame, starts: Sequence[int] = TENURE_BAND_START_DAYS
     )
 
 
-def bounds(events: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF) -> DataFrame:
-    """Series bounds (A24): lo = first month start on/after the earliest hire; hi = month of the
-    latest exit, or of ``as_of`` when nobody left. One row per group (one row overall for no ``by``)."""
-    by = list(by)
-    end_default = month_floor(F.to_date(ts_lit(as_of)))
-    agg = events.groupBy(*by).agg(
-        F.min(F.when(F.col("hire_mark") > 0, F.col("month"))).alias("lo"),
-        F.max(F.when(F.col("exits") > 0, F.col("month"))).alias("hi"),
-    )
-    return agg.select(*by, "lo", F.coalesce("hi", end_default).alias("hi"))
-
-
 def step_series(events: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF,
                 extend_to: Column | None = None, lo: Column | None = None, hi: Column | None = None,
                 years: bool = False) -> DataFrame:

@@ -14,10 +14,6 @@ from ..functions.text import voluntary_flag
 from . import spells
 
 RATE_COLUMNS = ("turnover_total", "turnover_vol", "turnover_inv")
-PERIOD_COLUMNS = (
-    "turnover_total", "turnover_vol", "turnover_inv",
-    "avg_headcount", "avg_exits", "avg_voluntary", "avg_involuntary", "months_used",
-)
 
 
 def _rates(df: DataFrame) -> DataFrame:

@@ -37,12 +37,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
         raise
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def write_dataset(df: DataFrame, root: str, table: str, dataset_id: str) -> None:
     """Store one table of a dataset, replacing that dataset's partition only."""
     (df.withColumn("dataset_id", F.lit(dataset_id))

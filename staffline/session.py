@@ -35,17 +35,33 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def _configured_root(spark: SparkSession) -> str | None:
+    for getter in (lambda: spark.conf.get(_CHECKPOINT_KEY, None),
+                   lambda: spark.sparkContext.getConf().get(_CHECKPOINT_KEY, None),
+                   lambda: spark.sparkContext.getCheckpointDir()):
+        try:
+            v = getter()
+        except Exception:  # noqa: BLE001 - an unreadable setting counts as unset
+            v = None
+        if v:
+            return v
+    return None
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder every executor can reach.
 
-    On a cluster this is under the ``spark.checkpoint.dir`` the cluster names. Only when that
-    setting is unset (local tests) do we make one of our own and register it as the checkpoint
-    folder, so later ``checkpoint()`` calls land in the same place.
+    On a cluster this is under the ``spark.checkpoint.dir`` the cluster names (or the checkpoint
+    folder already set on the context). Only when neither is set (local tests) do we make one of
+    our own and register it as the checkpoint folder, so later ``checkpoint()`` calls land there.
     """
-    root = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY, None)
+    root = _configured_root(spark)
     if not root:
         root = tempfile.mkdtemp(prefix="staffline-ckpt-")
-        spark.conf.set(_CHECKPOINT_KEY, root)
+        try:
+            spark.conf.set(_CHECKPOINT_KEY, root)
+        except Exception:  # noqa: BLE001 - some sessions reject core settings at runtime
+            pass
         spark.sparkContext.setCheckpointDir(root)
     path = root.rstrip("/")
     for p in parts:
@@ -58,6 +74,6 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make sure ``DataFrame.checkpoint()`` has a shared target; returns it."""
     root = shared_dir(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root

@@ -122,3 +122,33 @@ def period(rows, as_of, year=None, month=None):
         v = sum(1 for r in ex if is_vol(r))
         used.append((hc, len(ex), v))
     return used
+
+
+def growth(series):
+    """series: list of (month, group, headcount) → dict (month, group) → (prev, abs, pct)."""
+    out, last = {}, {}
+    for m, g, hc in sorted(series):
+        prev = last.get(g)
+        if prev is None:
+            out[(m, g)] = (None, None, 0.0)
+        else:
+            out[(m, g)] = (prev, hc - prev, round((hc - prev) / prev * 100, 2))
+        last[g] = hc
+    return out
+
+
+def growth_summary(series, n):
+    g = growth(series)
+    months = sorted({m for m, _, _ in series})[-n:]
+    out = {}
+    for grp in sorted({x for _, x, _ in series}):
+        rows = sorted((m, hc) for m, x, hc in series if x == grp)
+        recent = [g[(m, grp)] for m, _ in rows if m in months]
+        if not recent:
+            continue
+        first, last_ = rows[0][1], rows[-1][1]
+        abs_vals = [r[1] for r in recent if r[1] is not None]
+        out[grp] = (first, last_, last_ - first, round((last_ - first) / first * 100, 2) if first > 0 else 0.0,
+                    round(sum(abs_vals) / len(abs_vals), 1) if abs_vals else None,
+                    round(sum(r[2] for r in recent) / len(recent), 2))
+    return out

@@ -153,3 +153,33 @@ def test_voluntary_word_mode(spark):
     word = {r["month"]: r for r in turnover.turnover_history(df, as_of=AS_OF, mode="word").collect()}["2000-05"]
     assert compat["voluntary"] == 2  # 'involuntário' contains 'voluntário' (reference rule)
     assert word["voluntary"] == 1
+
+
+def test_growth_summary_and_recent_vs_brute(spark):
+    import random
+
+    from tests import brute
+
+    rnd = random.Random(7)
+    months = [f"2000-{m:02d}" for m in range(1, 13)] + [f"2001-{m:02d}" for m in range(1, 7)]
+    series = []
+    for g in ("A", "B", "C"):
+        for m in months:
+            if rnd.random() < 0.8 and not (g == "C" and m > "2000-09"):  # C disappears before the window
+                series.append((m, g, rnd.randint(1, 40)))
+    df = spark.createDataFrame(series, "month string, department string, headcount long")
+    got = {r["department"]: tuple(r)[1:] for r in headcount.growth_summary(df, "department", 12).collect()}
+    want = brute.growth_summary(series, 12)
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k][:4] == want[k][:4]
+        assert got[k][4] == pytest.approx(want[k][4]) if want[k][4] is not None else got[k][4] is None
+        assert got[k][5] == pytest.approx(want[k][5], abs=0.011)
+    g = brute.growth(series)
+    rec = {r["gender"]: r for r in headcount.growth_recent(df.withColumnRenamed("department", "gender"),
+                                                                   "gender", 6).collect()}
+    last6 = sorted({m for m, _, _ in series})[-6:]
+    for grp, r in rec.items():
+        vals = [g[(m, grp)] for m, x, _ in series if x == grp and m in last6]
+        assert r["growth_abs_sum"] == sum(v[1] for v in vals if v[1] is not None)
+        assert r["growth_pct_avg"] == pytest.approx(sum(v[2] for v in vals) / len(vals))

@@ -16,8 +16,19 @@ from .functions.dates import DEFAULT_AS_OF
 AS_OF = DEFAULT_AS_OF
 
 
+# Columns the mapping reads, with their Parquet types: a declared read schema skips footer-based
+# inference on the driver and limits the scan to these columns.
+READ_SCHEMAS = {
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderdate TIMESTAMP_NTZ, "
+              "o_orderpriority STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING",
+    "lineitem": "l_orderkey BIGINT, l_linenumber INT, l_returnflag STRING, l_shipdate TIMESTAMP_NTZ",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(READ_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _case(col: F.Column, pairs: list[tuple], default=None) -> F.Column:

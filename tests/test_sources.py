@@ -96,3 +96,29 @@ def test_entry_and_registry(spark):
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"save_analysis"}
+
+
+def test_report_file_and_bundles(spark):
+    import glob
+
+    from staffline.operators import insights
+    from staffline.session import shared_dir
+    from tests.helpers import prepared
+
+    rows = [{"hire_date": dt.date(2000, 1, 1), "exit_date": dt.date(2000, 2, 15), "exit_reason": "Pedido",
+             "department": "A", "gender": "M"},
+            {"hire_date": dt.date(2000, 1, 1), "exit_date": None, "department": "A", "gender": "Feminino"}]
+    df = prepared(spark, rows)
+    out = shared_dir(spark, "report-test", os.urandom(4).hex())
+    tables.write_report(insights.report_lines(df), out)
+    text = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{out}/part-*")))
+    assert text.startswith("# ") and "Resumo Executivo" in text
+
+    hb = bundles.headcount_bundle(df, 2000, 1)
+    assert set(hb) == {"headcount_by_department", "headcount_temporal", "headcount_growth", "headcount_gender",
+                       "headcount_tenure", "headcount_performance"}
+    assert [tuple(r) for r in hb["headcount_by_department"].collect()] == [("A", 2, 100.0)]
+    tb = bundles.turnover_bundle(df, None, None)
+    assert tb["turnover_history"].count() == 2  # 2000-01 .. 2000-02 (last exit)
+    ov = {(r["section"], r["metric"]): r["value"] for r in bundles.overview(df).collect()}
+    assert ov[("basic_kpis", "total_active")] == 1.0 and ov[("monthly_dismissals", "total_exits")] == 1.0

@@ -117,3 +117,30 @@ def test_group_series_count_ids_only(spark):
     # the history counts rows
     h = {r["month"]: r["headcount"] for r in turnover.turnover_history(p, as_of=AS_OF).collect()}
     assert h["2001-01"] == 2
+
+
+def test_tenure_band_day_edges(spark):
+    """Hire dates chosen so that at 2001-06-01 the tenure is exactly 180/181, 360/361, 720/721,
+    1080/1081 days: right-closed bands put 180 in 0-6m, 181 in 6-12m, and so on."""
+    m = dt.date(2001, 6, 1)
+    days = [180, 181, 360, 361, 720, 721, 1080, 1081]
+    rows = [{"hire_date": m - dt.timedelta(days=d), "exit_date": None} for d in days]
+    got = {r["band_no"]: r["headcount"] for r in headcount.headcount_monthly_tenure(prepared(spark, rows), AS_OF)
+           .where("month = '2001-06'").collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 2, 5: 1}
+    assert sorted(tuple(r) for r in headcount.headcount_monthly_tenure(prepared(spark, rows), AS_OF).collect()) == \
+        sorted(brute.tenure_bands(rows, AS_OF_D))
+
+
+def test_exit_type_column_decides_alone(spark):
+    from pyspark.sql import functions as F
+
+    rows = [{"hire_date": dt.date(2000, 1, 1), "exit_date": dt.date(2000, 3, 10), "exit_reason": "Pedido de demissão"},
+            {"hire_date": dt.date(2000, 1, 1), "exit_date": dt.date(2000, 3, 11), "exit_reason": "Dispensa"}]
+    df = prepared(spark, rows)
+    typed = df.withColumn("exit_type", F.when(F.col("employee_id") == 2, F.lit("Voluntário")).otherwise(F.lit(None)))
+    march = {r["month"]: r for r in turnover.turnover_history(typed, as_of=AS_OF).collect()}["2000-03"]
+    # the type column exists, so the reason is ignored even where the type is null
+    assert (march["exits"], march["voluntary"]) == (2, 1)
+    plain = {r["month"]: r for r in turnover.turnover_history(df, as_of=AS_OF).collect()}["2000-03"]
+    assert plain["voluntary"] == 1

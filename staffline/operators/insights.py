@@ -55,8 +55,8 @@ def forecast(history: DataFrame, horizon: int = 3) -> DataFrame:
     and the message. Fewer than 3 months → the message only. One aggregate over the month-grain
     history; the index is the month distance from the first month (the spine is dense)."""
     x = history.withColumn("_m", F.to_date(F.concat(F.col("month"), F.lit("-01"))))
-    first = x.agg(F.min("_m").alias("_m0"))
-    x = spells.with_scalars(x, first).withColumn("_x", F.months_between("_m", "_m0").cast("double"))
+    first = F.min("_m").over(Window.partitionBy())  # month-grain history: bounded by the calendar
+    x = x.withColumn("_x", F.months_between(F.col("_m"), first).cast("double"))
     a = x.agg(
         F.count(F.lit(1)).alias("n"),
         F.regr_slope("turnover_total", "_x").alias("slope"),

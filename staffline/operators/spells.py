@@ -232,9 +232,11 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row frame (global bounds, totals, min/max) to every row of
-    ``df``. The one-row side is a global aggregate, so the broadcast is one row by construction
-    and the join is linear in ``df`` (plans as a broadcast nested-loop join with no condition)."""
-    return df.crossJoin(F.broadcast(one_row))
+    ``df`` as scalar subqueries (``DataFrame.scalar()``): no join at all. Catalyst merges the
+    subqueries over one relation into a single aggregate that runs once (MergeScalarSubqueries),
+    and the value is a constant inside the main plan. ``one_row`` must be a global aggregate
+    (exactly one row)."""
+    return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
 
 
 def drop_null_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -32,8 +32,9 @@ def coerce_dates(df: DataFrame, cols=STAFF_DATE_COLUMNS) -> DataFrame:
 
 
 def truncate_days(df: DataFrame, cols=STAFF_DATE_COLUMNS) -> DataFrame:
-    """Cut staff dates to midnight (decision Q2: month starts are then exact day boundaries)."""
-    return df.withColumns({c: F.date_trunc("DD", F.col(c)).cast("timestamp_ntz") for c in cols if c in df.columns})
+    """Cut staff dates to midnight (decision Q2: month starts are then exact day boundaries).
+    NTZ → DATE → NTZ never consults the session time zone."""
+    return df.withColumns({c: F.col(c).cast("date").cast("timestamp_ntz") for c in cols if c in df.columns})
 
 
 def core_fields(df: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:

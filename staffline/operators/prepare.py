@@ -66,9 +66,11 @@ def latest_review(reviews: DataFrame, nulls: str = "last") -> DataFrame:
 
 def attach_rating(staff: DataFrame, reviews: DataFrame, nulls: str = "last") -> DataFrame:
     """Left join of the latest rating onto staff (an existing rating column is replaced, Q22)."""
-    last = latest_review(reviews, nulls).select("employee_id", "rating")
+    from .spells import left_join_spread_nulls
+
+    last = latest_review(reviews, nulls).select(F.col("employee_id").alias("_rid"), "rating")
     base = staff.drop("rating") if "rating" in staff.columns else staff
-    return base.join(last, "employee_id", "left")
+    return left_join_spread_nulls(base, last, "employee_id", "_rid").drop("_rid")
 
 
 def prepare_staff(staff: DataFrame, reviews: DataFrame | None = None, as_of: str = DEFAULT_AS_OF) -> DataFrame:

@@ -45,7 +45,8 @@ SCORE_INPUTS = {
 def team_size(staff: DataFrame) -> DataFrame:
     """Size of each row's manager's team (rows sharing its manager id), 0 without a manager.
     A per-manager aggregate joined back — a hot manager is combined map-side and, on the join,
-    split by AQE's skew handling, instead of one window partition holding the whole team."""
+    split by AQE's skew handling, instead of one window partition holding the whole team; rows
+    without a manager are spread instead of meeting in one null-key partition."""
     if "manager_id" not in staff.columns:
         return staff.withColumn("team_size", F.lit(0).cast("long"))
     teams = (
@@ -53,8 +54,8 @@ def team_size(staff: DataFrame) -> DataFrame:
         .groupBy(F.col("manager_id").alias("_mgr"))
         .agg(F.count("employee_id").alias("_team"))
     )
-    return staff.join(teams, staff.manager_id == teams._mgr, "left").withColumn(
-        "team_size", F.coalesce(F.col("_team"), F.lit(0)).cast("long")).drop("_mgr", "_team")
+    joined = spells.left_join_spread_nulls(staff, teams, "manager_id", "_mgr")
+    return joined.withColumn("team_size", F.coalesce(F.col("_team"), F.lit(0)).cast("long")).drop("_mgr", "_team")
 
 
 def rating_score(c: Column) -> Column:

@@ -239,6 +239,22 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
 
 
+NULL_KEY_SPREAD = 64
+
+
+def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """``left`` LEFT JOIN ``right`` on ``left_key = right_key`` (``right`` unique per key), with
+    left rows whose key is null spread over ``NULL_KEY_SPREAD`` partitions: they can never match,
+    but hash partitioning would otherwise send all of them to one task (a null manager or id can
+    be a third of the table). A hot non-null key is split by AQE's skew-join handling."""
+    salt = F.when(F.col(left_key).isNull(), F.pmod(F.xxhash64(*left.columns), F.lit(NULL_KEY_SPREAD))) \
+        .otherwise(F.lit(0)).cast("int")
+    lj = left.withColumn("__salt", salt)
+    rj = right.withColumn("__rsalt", F.lit(0))
+    cond = (lj[left_key] == rj[right_key]) & (lj["__salt"] == rj["__rsalt"])
+    return lj.join(rj, cond, "left").drop("__salt", "__rsalt")
+
+
 def drop_null_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
     cond = None
     for b in by:

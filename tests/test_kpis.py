@@ -183,3 +183,13 @@ def test_growth_summary_and_recent_vs_brute(spark):
         vals = [g[(m, grp)] for m, x, _ in series if x == grp and m in last6]
         assert r["growth_abs_sum"] == sum(v[1] for v in vals if v[1] is not None)
         assert r["growth_pct_avg"] == pytest.approx(sum(v[2] for v in vals) / len(vals))
+
+
+def test_team_size_null_managers_spread(spark):
+    rows = [{"hire_date": D(2000, 1, 1), "manager_id": None} for _ in range(40)] + \
+           [{"hire_date": D(2000, 1, 1), "manager_id": 7} for _ in range(3)]
+    df = risk.team_size(prepared(spark, rows))
+    got = sorted((r["manager_id"], r["team_size"]) for r in df.collect())
+    assert got == [(None, 0)] * 40 + [(7, 3)] * 3
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p

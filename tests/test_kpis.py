@@ -189,7 +189,7 @@ def test_team_size_null_managers_spread(spark):
     rows = [{"hire_date": D(2000, 1, 1), "manager_id": None} for _ in range(40)] + \
            [{"hire_date": D(2000, 1, 1), "manager_id": 7} for _ in range(3)]
     df = risk.team_size(prepared(spark, rows))
-    got = sorted((r["manager_id"], r["team_size"]) for r in df.collect())
-    assert got == [(None, 0)] * 40 + [(7, 3)] * 3
+    got = sorted((r["manager_id"] or -1, r["team_size"]) for r in df.collect())
+    assert got == [(-1, 0)] * 40 + [(7, 3)] * 3
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p

@@ -101,7 +101,10 @@ def risk_scores(staff: DataFrame, as_of: str = DEFAULT_AS_OF, weights: dict | No
     w = dict(DEFAULT_WEIGHTS, **(weights or {}))
     # the features are read twice (global min/max, then scaling): checkpoint them once instead
     # of re-running the review and team aggregations
-    f = spells.materialize(risk_features(staff, as_of))
+    f = risk_features(staff, as_of)
+    keep = [c for c in ("employee_id", "name", "department", "role", "rating", "manager_id") if c in f.columns]
+    f = spells.materialize(f.select(*keep, "tenure_months", "months_since_promotion", "months_since_merit",
+                                    "team_size", "perf_raw"))
     s = minmax(f, SCORE_INPUTS).withColumn("score_perf_inv", F.lit(1.0) - F.col("score_perf_inv"))
     risk = (F.lit(w["perf"]) * F.col("score_perf_inv") + F.lit(w["promo"]) * F.col("score_promotion")
             + F.lit(w["casa"]) * F.col("score_tenure") + F.lit(w["eq"]) * F.col("score_team")

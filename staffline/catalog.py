@@ -40,6 +40,11 @@ def q_turnover_history(spark, sf_dir):
     return turnover.turnover_history(staff(spark, sf_dir), as_of=AS_OF)
 
 
+def q_turnover_history_by_department(spark, sf_dir):
+    """A3 with ``by``: each department's own monthly history on its own spine."""
+    return turnover.turnover_history(staff(spark, sf_dir), by=["department"], as_of=AS_OF)
+
+
 def q_turnover_history_means(spark, sf_dir):
     return turnover.history_means(turnover.turnover_history(staff(spark, sf_dir), as_of=AS_OF))
 

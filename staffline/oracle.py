@@ -96,6 +96,22 @@ FROM hist ORDER BY m
 
 
 
+def q_turnover_history_by_department() -> str:
+    return f"""
+WITH {BASE},
+sp AS {spine_sql('s', 'department')},
+hist AS (
+  SELECT sp.department, sp.m,
+    count(*) FILTER (WHERE s.h <= sp.m AND (s.e IS NULL OR s.e > sp.m)) AS headcount,
+    count(*) FILTER (WHERE CAST(date_trunc('month', s.e) AS DATE) = sp.m) AS exits,
+    count(*) FILTER (WHERE CAST(date_trunc('month', s.e) AS DATE) = sp.m AND s.vol) AS voluntary
+  FROM sp JOIN s ON s.department = sp.department GROUP BY sp.department, sp.m)
+SELECT department, strftime(m, '%Y-%m') AS month, headcount, exits, voluntary, exits - voluntary AS involuntary,
+  {rate('exits')} AS turnover_total, {rate('voluntary')} AS turnover_vol, {rate('(exits - voluntary)')} AS turnover_inv
+FROM hist
+"""
+
+
 def q_turnover_history_means() -> str:
     return history_sql() + f""",
 th AS (SELECT *, {rate('exits')} AS r_total, {rate('voluntary')} AS r_vol, {rate('(exits - voluntary)')} AS r_inv FROM hist)
@@ -688,6 +704,7 @@ SCORED_COLS = "employee_id, score_perf_inv, score_promotion, score_tenure, score
 
 ORACLE = {
     "turnover_history": q_turnover_history(),
+    "turnover_history_by_department": q_turnover_history_by_department(),
     "turnover_history_means": q_turnover_history_means(),
     "turnover_period_month": q_turnover_period(2000, 6),
     "turnover_period_year": q_turnover_period(2000, None),

@@ -45,6 +45,17 @@ def q_turnover_history_by_department(spark, sf_dir):
     return turnover.turnover_history(staff(spark, sf_dir), by=["department"], as_of=AS_OF)
 
 
+def q_period_label(spark, sf_dir):
+    """Period texts for every month of the history spine: month/year, year and month-only."""
+    from .functions.dates import period_label
+
+    h = turnover.turnover_history(staff(spark, sf_dir), as_of=AS_OF).select("month")
+    y = F.substring("month", 1, 4).cast("int")
+    m = F.substring("month", 6, 2).cast("int")
+    return h.select("month", period_label(y, m).alias("label_month_year"), period_label(y, None).alias("label_year"),
+                    period_label(None, m).alias("label_month"), period_label(None, None).alias("label_all"))
+
+
 def q_turnover_history_means(spark, sf_dir):
     return turnover.history_means(turnover.turnover_history(staff(spark, sf_dir), as_of=AS_OF))
 

@@ -68,3 +68,34 @@ def coerce_timestamp(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Colu
 
 def make_month(year: Column, month: Column) -> Column:
     return F.make_date(year, month, F.lit(1))
+
+
+# ---- fixed values: month names and period texts shown by the reference ----------------------
+MONTH_NAMES = ("Janeiro", "Fevereiro", "Março", "Abril", "Maio", "Junho",
+               "Julho", "Agosto", "Setembro", "Outubro", "Novembro", "Dezembro")
+LABEL_ALL = "Todo o período"
+LABEL_YEAR = "Ano %s (média mensal)"
+LABEL_MONTH = "Mês %s (média de todos os anos)"
+# ---------------------------------------------------------------------------------------------
+
+
+def month_name(month: Column) -> Column:
+    """Month number 1-12 → its name (null outside)."""
+    return F.element_at(F.array(*[F.lit(n) for n in MONTH_NAMES]), month)
+
+
+def month_number(name: Column) -> Column:
+    """Month name → number 1-12 (0 when unknown): ``array_position`` on the name list."""
+    return F.array_position(F.array(*[F.lit(n) for n in MONTH_NAMES]), name)
+
+
+def period_label(year: Column | None, month: Column | None) -> Column:
+    """Text of a period filter: 'Março/2000', 'Ano 2000 (média mensal)',
+    'Mês Março (média de todos os anos)' or 'Todo o período'."""
+    if year is not None and month is not None:
+        return F.concat(month_name(month), F.lit("/"), year.cast("string"))
+    if year is not None:
+        return F.format_string(LABEL_YEAR, year.cast("string"))
+    if month is not None:
+        return F.format_string(LABEL_MONTH, month_name(month))
+    return F.lit(LABEL_ALL)

@@ -112,6 +112,20 @@ FROM hist
 """
 
 
+MONTHS_PT = "['Janeiro', 'Fevereiro', 'Março', 'Abril', 'Maio', 'Junho', 'Julho', 'Agosto', 'Setembro', 'Outubro', 'Novembro', 'Dezembro']"
+
+
+def q_period_label() -> str:
+    return history_sql() + f"""
+SELECT strftime(m, '%Y-%m') AS month,
+  {MONTHS_PT}[month(m)] || '/' || CAST(year(m) AS VARCHAR) AS label_month_year,
+  'Ano ' || CAST(year(m) AS VARCHAR) || ' (média mensal)' AS label_year,
+  'Mês ' || {MONTHS_PT}[month(m)] || ' (média de todos os anos)' AS label_month,
+  'Todo o período' AS label_all
+FROM hist
+"""
+
+
 def q_turnover_history_means() -> str:
     return history_sql() + f""",
 th AS (SELECT *, {rate('exits')} AS r_total, {rate('voluntary')} AS r_vol, {rate('(exits - voluntary)')} AS r_inv FROM hist)
@@ -706,6 +720,7 @@ ORACLE = {
     "turnover_history": q_turnover_history(),
     "turnover_history_by_department": q_turnover_history_by_department(),
     "turnover_history_means": q_turnover_history_means(),
+    "period_label": q_period_label(),
     "turnover_period_month": q_turnover_period(2000, 6),
     "turnover_period_year": q_turnover_period(2000, None),
     "turnover_period_month_all_years": q_turnover_period(None, 3),

@@ -122,3 +122,16 @@ def test_report_file_and_bundles(spark):
     assert tb["turnover_history"].count() == 2  # 2000-01 .. 2000-02 (last exit)
     ov = {(r["section"], r["metric"]): r["value"] for r in bundles.overview(df).collect()}
     assert ov[("basic_kpis", "total_active")] == 1.0 and ov[("monthly_dismissals", "total_exits")] == 1.0
+
+
+def test_month_names_and_labels(spark):
+    from pyspark.sql import functions as F
+
+    from staffline.functions.dates import month_name, month_number, period_label
+
+    r = spark.range(1).select(month_name(F.lit(3)).alias("n"), month_number(F.lit("Março")).alias("k"),
+                              period_label(F.lit(2000), F.lit(6)).alias("a"), period_label(F.lit(2000), None).alias("b"),
+                              period_label(None, F.lit(1)).alias("c"), period_label(None, None).alias("d")).collect()[0]
+    assert (r["n"], r["k"]) == ("Março", 3)
+    assert r["a"] == "Junho/2000" and r["b"] == "Ano 2000 (média mensal)"
+    assert r["c"] == "Mês Janeiro (média de todos os anos)" and r["d"] == "Todo o período"

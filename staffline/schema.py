@@ -118,10 +118,12 @@ def _cast(c: Column, dtype: T.DataType) -> Column:
     return c.try_cast(dtype)
 
 
-def conform(df: DataFrame, schema: T.StructType, optional: T.StructType | None = None) -> DataFrame:
+def conform(df: DataFrame, schema: T.StructType, optional: T.StructType | None = None,
+            keep: tuple[str, ...] = ()) -> DataFrame:
     """Project ``df`` onto ``schema``: resolve names, cast, add typed nulls for missing columns.
 
-    Extra columns are dropped, except those named in ``optional`` which are kept when present.
+    Extra columns are dropped, except those named in ``optional`` (kept when present, cast) and
+    in ``keep`` (passed through unchanged).
     Columns that already have the target type are passed through untouched, so a conformed
     table keeps its Parquet pushdown.
     """
@@ -139,6 +141,7 @@ def conform(df: DataFrame, schema: T.StructType, optional: T.StructType | None =
         if src is not None:
             cols.append(_cast(F.col(f"`{src}`"), f.dataType).alias(f.name) if df.schema[src].dataType != f.dataType
                         else F.col(f"`{src}`").alias(f.name))
+    cols += [F.col(f"`{k}`") for k in keep if k in df.columns]
     return df.select(*cols)
 
 

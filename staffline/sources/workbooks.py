@@ -129,7 +129,7 @@ def workbook_errors(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("error").isNotNull()).select("path", "error")
 
 
-def sheet_table(rows: DataFrame, table: str) -> DataFrame:
+def sheet_table(rows: DataFrame, table: str, keep_path: bool = False) -> DataFrame:
     """One of our tables (company / staff / reviews) from the workbook rows: the reference sheet
     name selects the rows, headers map to our column names, values are conformed to the table
     schema (text dates coerced, ids cast). A missing sheet gives an empty table. Reviews get
@@ -147,4 +147,6 @@ def sheet_table(rows: DataFrame, table: str) -> DataFrame:
 
     cols = [F.col("row_no").cast("long").alias("seq") if f.name == "seq" else cell(f.name) for f in schema.fields]
     cols += [cell(f.name) for f in (optional.fields if optional else [])]
+    if keep_path:  # which workbook (upload) each row came from
+        return conform(r.select(*cols, "path"), schema, optional, keep=("path",))
     return conform(r.select(*cols), schema, optional)

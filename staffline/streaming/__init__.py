@@ -1,6 +1,6 @@
-"""Streaming: the reference has no stream, watermark or stateful operator, so none is built here.
+"""Streaming: the reference has no stream, watermark or stateful analytics, so none is built.
 
-Staff tables arrive as whole uploads (batch). The month-delta tables of ``operators.spells`` are
-plain integer sums, so a caller who receives uploads continuously can append them and re-sum;
-no separate streaming operator is needed for that.
+``uploads`` re-expresses the reference's upload flow (workbook → prepared tables → stored
+dataset + catalog row) as a Structured Streaming file source over an uploads folder with a
+``foreachBatch`` sink into the dataset store.
 """

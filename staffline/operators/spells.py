@@ -232,11 +232,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row frame (global bounds, totals, min/max) to every row of
-    ``df`` as scalar subqueries (``DataFrame.scalar()``): no join at all. Catalyst merges the
-    subqueries over one relation into a single aggregate that runs once (MergeScalarSubqueries),
-    and the value is a constant inside the main plan. ``one_row`` must be a global aggregate
-    (exactly one row)."""
-    return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
+    ``df`` through one scalar subquery (``DataFrame.scalar()``) returning a struct of them: no
+    join at all, and the one-row plan runs once, its value a constant inside the main plan.
+    ``one_row`` must be a global aggregate (exactly one row)."""
+    packed = one_row.select(F.struct(*one_row.columns).alias("v")).scalar()
+    out = df.withColumn("__scalars", packed)
+    return out.withColumns({c: F.col("__scalars").getField(c) for c in one_row.columns}).drop("__scalars")
 
 
 NULL_KEY_SPREAD = 64

@@ -31,10 +31,24 @@ def coerce_dates(df: DataFrame, cols=STAFF_DATE_COLUMNS) -> DataFrame:
     return out
 
 
+# ---- fixed values: the date range the reference can hold (pandas nanosecond timestamps); ----
+# dates outside it become missing there, e.g. a 9999-12-31 "no exit" placeholder.
+DATE_RANGE = ("1677-09-22", "2262-04-11")
+# ---------------------------------------------------------------------------------------------
+
+
 def truncate_days(df: DataFrame, cols=STAFF_DATE_COLUMNS) -> DataFrame:
-    """Cut staff dates to midnight (decision Q2: month starts are then exact day boundaries).
+    """Cut staff dates to midnight (decision Q2: month starts are then exact day boundaries) and
+    null out dates outside ``DATE_RANGE`` as the reference does (a far-future placeholder is
+    "no date", and cannot stretch a monthly series over thousands of years).
     NTZ → DATE → NTZ never consults the session time zone."""
-    return df.withColumns({c: F.col(c).cast("date").cast("timestamp_ntz") for c in cols if c in df.columns})
+    lo, hi = (F.expr(f"DATE '{d}'") for d in DATE_RANGE)
+
+    def day(c: str):
+        d = F.col(c).cast("date")
+        return F.when(d.between(lo, hi), d).cast("timestamp_ntz")
+
+    return df.withColumns({c: day(c) for c in cols if c in df.columns})
 
 
 def core_fields(df: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:

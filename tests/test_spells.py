@@ -144,3 +144,11 @@ def test_exit_type_column_decides_alone(spark):
     assert (march["exits"], march["voluntary"]) == (2, 1)
     plain = {r["month"]: r for r in turnover.turnover_history(df, as_of=AS_OF).collect()}["2000-03"]
     assert plain["voluntary"] == 1
+
+
+def test_far_future_placeholder_is_no_exit(spark):
+    rows = [{"hire_date": dt.date(2001, 1, 1), "exit_date": dt.date(9999, 12, 31)},
+            {"hire_date": dt.date(2001, 1, 1), "exit_date": dt.date(2001, 5, 5)}]
+    got = _hist(spark, rows)
+    assert got[-1][0] == "2001-05" and len(got) == 5  # the spine ends at the real last exit
+    assert got[0][1] == 2 and got[-1][1] == 2

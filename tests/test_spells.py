@@ -152,3 +152,42 @@ def test_far_future_placeholder_is_no_exit(spark):
     got = _hist(spark, rows)
     assert got[-1][0] == "2001-05" and len(got) == 5  # the spine ends at the real last exit
     assert got[0][1] == 2 and got[-1][1] == 2
+
+
+keyed_spell = st.fixed_dictionaries({
+    "hire_date": any_date, "exit_date": any_date, "exit_reason": reasons,
+    "department": st.sampled_from(["A", "B", "C"]),
+})
+
+
+@SETTINGS
+@given(st.lists(keyed_spell, min_size=1, max_size=25))
+def test_invariants(spark, rows):
+    df = prepared(spark, rows)
+    hist = {r["month"]: r for r in turnover.turnover_history(df, as_of=AS_OF).collect()}
+    by_dept = {}
+    for r in headcount.headcount_monthly(df, "department", AS_OF).collect():
+        by_dept[r["month"]] = by_dept.get(r["month"], 0) + r["headcount"]
+    bands = {}
+    for r in headcount.headcount_monthly_tenure(df, AS_OF).collect():
+        bands[r["month"]] = bands.get(r["month"], 0) + r["headcount"]
+    for m, r in hist.items():
+        assert r["voluntary"] + r["involuntary"] == r["exits"]
+        assert by_dept.get(m, 0) == r["headcount"]       # no null keys: groups add up to the total
+        assert bands.get(m, 0) == r["headcount"]         # bands add up to the total
+
+
+@SETTINGS
+@given(st.lists(spell, min_size=1, max_size=20))
+def test_spell_closed_before_the_spine_changes_nothing(spark, rows):
+    base = _hist(spark, rows)
+    hires = [r["hire_date"] for r in rows if r["hire_date"] is not None]
+    if not hires:
+        return
+    # a spell that ends before the first month start of the spine (and is hired after the
+    # earliest hire) adds nothing to any spine month
+    lo = brute.ceil_month(min(hires))
+    extra = {"hire_date": min(hires), "exit_date": min(hires), "exit_reason": None, "department": None}
+    if extra["exit_date"] >= lo:
+        return
+    assert _hist(spark, rows + [extra]) == base

@@ -191,3 +191,39 @@ def test_spell_closed_before_the_spine_changes_nothing(spark, rows):
     if extra["exit_date"] >= lo:
         return
     assert _hist(spark, rows + [extra]) == base
+
+
+review = st.fixed_dictionaries({
+    "employee_id": st.integers(1, 4),
+    "rating": st.sampled_from(["Excepcional", "Acima do esperado", "Dentro do esperado", "Abaixo do esperado"]),
+    "cycle_end": st.one_of(st.none(), st.sampled_from([dt.datetime(2000, 1, 1), dt.datetime(2000, 6, 1),
+                                                       dt.datetime(2001, 1, 1)])),
+})
+
+
+@SETTINGS
+@given(st.lists(review, min_size=1, max_size=20))
+def test_latest_review_equals_sorted_last(spark, rows):
+    from staffline.operators.prepare import latest_review
+
+    data = [(r["employee_id"], r["rating"], r["cycle_end"], i) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(data, "employee_id long, rating string, cycle_end timestamp_ntz, seq long")
+    got = {r["employee_id"]: r["rating"] for r in latest_review(df).collect()}
+    # brute force: stable sort by (id, cycle_end with missing dates last), keep the last row per id
+    ordered = sorted(data, key=lambda x: (x[0], x[2] is None, x[2] or dt.datetime.min))
+    want = {}
+    for emp, rating, _, _ in ordered:
+        want[emp] = rating
+    assert got == want
+
+
+@SETTINGS
+@given(st.lists(spell, min_size=1, max_size=25), st.dates(min_value=dt.date(1999, 1, 1), max_value=dt.date(2002, 1, 1)))
+def test_headcount_at_equals_brute(spark, rows, at):
+    got = {r["department"]: r["headcount"] for r in
+           headcount.headcount_at(prepared(spark, rows), "department", f"{at.isoformat()} 00:00:00").collect()}
+    want = {}
+    for r in rows:
+        if r["department"] is not None and brute.active(r, at):
+            want[r["department"]] = want.get(r["department"], 0) + 1
+    assert got == want

@@ -4,7 +4,6 @@ growth (W1), growth summaries (A18, A19), period-vs-total comparison (J2), serie
 
 from __future__ import annotations
 
-from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

@@ -601,8 +601,8 @@ fixed AS (
  UNION ALL SELECT 100, '---', true UNION ALL SELECT 101, '', true
  UNION ALL SELECT 102, '*Apresentação gerada automaticamente pela plataforma de People Analytics.*', true)
 SELECT line_no, text FROM fixed WHERE keep
-UNION ALL SELECT 21 + row_number() OVER (ORDER BY line_no), '- ' || message FROM ins WHERE kind = 'alert'
-UNION ALL SELECT 61 + row_number() OVER (ORDER BY line_no),
+UNION ALL SELECT CAST(21 + row_number() OVER (ORDER BY line_no) AS INTEGER), '- ' || message FROM ins WHERE kind = 'alert'
+UNION ALL SELECT CAST(61 + row_number() OVER (ORDER BY line_no) AS INTEGER),
   printf('%d. %s', row_number() OVER (ORDER BY line_no), message) FROM ins WHERE kind = 'recommendation'
 """
 

@@ -251,7 +251,9 @@ def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, rig
     salt = F.when(F.col(left_key).isNull(), F.pmod(F.xxhash64(*left.columns), F.lit(NULL_KEY_SPREAD))) \
         .otherwise(F.lit(0)).cast("int")
     lj = left.withColumn("__salt", salt)
-    rj = right.withColumn("__rsalt", F.lit(0))
+    # 0 for every right row (keys are not null), written from the data so that the optimizer
+    # keeps it as a join key instead of folding it into a filter on the left salt
+    rj = right.withColumn("__rsalt", F.when(F.col(right_key).isNull(), F.lit(1)).otherwise(F.lit(0)))
     cond = (lj[left_key] == rj[right_key]) & (lj["__salt"] == rj["__rsalt"])
     return lj.join(rj, cond, "left").drop("__salt", "__rsalt")
 

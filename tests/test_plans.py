@@ -46,3 +46,10 @@ def test_team_size_is_aggregate_plus_join(spark):
 def test_partial_aggregation_before_shuffle(spark):
     p = plan(catalog.QUERIES["latest_review"](spark, SF))
     assert "partial_max_by" in p
+
+
+def test_null_manager_rows_are_spread_by_the_join_key(spark):
+    """The salt must be a join key (part of the hash partitioning), not a folded filter."""
+    p = plan(catalog.QUERIES["team_size"](spark, SF))
+    join = [ln for ln in p.splitlines() if "Join" in ln and "manager_id" in ln][0]
+    assert "__salt" in join.split("]")[0] + "]" + join.split("]")[1], join

@@ -248,7 +248,10 @@ def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, rig
     left rows whose key is null spread over ``NULL_KEY_SPREAD`` partitions: they can never match,
     but hash partitioning would otherwise send all of them to one task (a null manager or id can
     be a third of the table). A hot non-null key is split by AQE's skew-join handling."""
-    salt = F.when(F.col(left_key).isNull(), F.pmod(F.xxhash64(*left.columns), F.lit(NULL_KEY_SPREAD))) \
+    from pyspark.sql.types import MapType
+
+    hashable = [F.col(f"`{f.name}`") for f in left.schema.fields if not isinstance(f.dataType, MapType)]
+    salt = F.when(F.col(left_key).isNull(), F.pmod(F.xxhash64(*hashable), F.lit(NULL_KEY_SPREAD))) \
         .otherwise(F.lit(0)).cast("int")
     lj = left.withColumn("__salt", salt)
     # 0 for every right row (keys are not null), written from the data so that the optimizer

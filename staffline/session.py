@@ -16,7 +16,10 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "staffline") -> SparkSession:
-    """A session tuned the way the operators expect: AQE on, UTC, no UI, NTZ timestamps kept."""
+    """A session tuned the way the operators expect: AQE on, UTC, no UI, NTZ timestamps kept.
+    Local runs put this package on the Python workers' path (a cluster ships it with the job)."""
+    pkg_root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (pkg_root, os.environ.get("PYTHONPATH")) if p)
     spark = (
         SparkSession.builder.master(master)
         .appName(app)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from staffline.llm import simhash
+from staffline.llm import mixing, sharding, simhash
 from staffline.llm.store import table
 
 
@@ -13,7 +14,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op5_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 QUERIES = {
+    "op5_entropy_balancing": op5_entropy_balancing,
+    "op9_histogram_sort": op9_histogram_sort,
     "op8_simhash": op8_simhash,
 }
 

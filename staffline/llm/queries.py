@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.llm import mixing, sharding, simhash
+from staffline.llm import licenses, mixing, sharding, simhash, urltree
 from staffline.llm.store import table
 
 
@@ -23,7 +23,17 @@ def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_url_filter": op2_url_filter,
     "op5_entropy_balancing": op5_entropy_balancing,
     "op9_histogram_sort": op9_histogram_sort,
     "op8_simhash": op8_simhash,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.llm import licenses, mixing, sharding, simhash, urltree
+from staffline.llm import licenses, mixing, sharding, simhash, toxicity, urltree
 from staffline.llm.store import table
 
 
@@ -31,7 +31,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                   table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op10_toxicity": op10_toxicity,
     "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,
     "op5_entropy_balancing": op5_entropy_balancing,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.llm import licenses, mixing, sharding, simhash, toxicity, urltree
+from staffline.llm import licenses, mixing, pii, sharding, simhash, toxicity, unigram, urltree
 from staffline.llm.store import table
 
 
@@ -36,7 +36,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    table(spark, sf_dir, "labels"))
 
 
+#: A SentencePiece model every worker can read.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode_and_check(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op4_sentencepiece": op4_sentencepiece,
+    "op6_pii": op6_pii,
     "op10_toxicity": op10_toxicity,
     "op1_license_scan": op1_license_scan,
     "op2_url_filter": op2_url_filter,

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from staffline.llm.store import ascii_lower
+from staffline.llm.store import ascii_lower, staged
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_BROADCAST = 200_000
@@ -135,7 +135,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the row's number in the scan: ids may repeat or be null
     rows = docs.select(F.struct(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id")).alias("row"),
                        words(F.col(text_col)).alias("words"))
-    votes = diagonal_votes(rows, grams, "row").repartition("row")
+    votes = staged(diagonal_votes(rows, grams, "row"), "votes")  # read three times below
     labels = F.create_map(*[x for t, label in sorted({r["template"]: r["label"] for r in grams.select(
         "template", "label").distinct().collect()}.items()) for x in (F.lit(t), F.lit(label))])
     found = spans(votes.filter("template is not null"), "row", drift, least)

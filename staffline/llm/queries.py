@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.llm import licenses, mixing, pii, sharding, simhash, toxicity, unigram, urltree
+from staffline.llm import licenses, mixing, pii, pq, routed, sharding, simhash, toxicity, unigram, urltree
 from staffline.llm.store import table
 
 
@@ -48,7 +48,17 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routed.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
+
+
 QUERIES = {
+    "op3_pq_near_dedup": op3_pq_near_dedup,
+    "op7_learned_partitions": op7_learned_partitions,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_pii": op6_pii,
     "op10_toxicity": op10_toxicity,

@@ -152,3 +152,31 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, source, size, source_size, target, copies and taken (copies * size) of every document."""
     sized = docs.select(F.col(id_col), F.col(source_col).alias("source"), token_count(F.col(text_col)).alias("size"))
     return mix(sized, id_col, weights, cap).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+              weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+    """Every row of ``docs`` as often as the mix takes it.
+
+    Copies are decided over (id, source, size); equal ones of these are interchangeable, so each row
+    takes the copies of the decision with its number among its equals. Only ids that stand more than
+    once need numbers; the others are joined by id alone."""
+    cols = docs.columns
+    sized = docs.select(*cols, token_count(F.col(text_col)).alias("__size"))
+    decided = staged(mix(sized.select(F.col(id_col), F.col(source_col).alias("source"), F.col("__size").alias("size")),
+                         id_col, weights, cap), "copies")
+    key = [F.col(id_col).alias("__id"), F.col("source").alias("__src"), F.col("size").alias("__z")]
+    per_key = decided.groupBy(*key).agg(F.count("*").alias("__n"), F.min("copies").alias("__least"),
+                                        F.sum("copies").alias("__sum"))
+    same = (F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__src"))
+            & (F.col("__size") == F.col("__z")))
+    joined = sized.join(per_key, same)
+    # running sums round a run of equals to copies that differ by 1 at most: the first few rows get one more
+    more = F.col("__sum") - F.col("__least") * F.col("__n")
+    once = joined.filter("__n = 1").withColumn("__copies", F.col("__least"))
+    many = joined.filter("__n > 1").withColumn("__nth", F.row_number().over(
+        Window.partitionBy(id_col, source_col, "__size").orderBy(text_col)))
+    many = many.withColumn("__copies", F.col("__least") + (F.col("__nth") <= more).cast("int")).drop("__nth")
+    every = once.unionByName(many)
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))
+    return every.select(*cols, copies.alias("__copy")).select(*cols)

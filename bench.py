@@ -17,12 +17,12 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "turnover_history",
+    "attrition_history",
     "headcount_monthly_tenure",
     "latest_review",
     "risk_scores",
-    "turnover_period_all",
-    "turnover_by_department",
+    "attrition_period_all",
+    "attrition_by_department",
     "headcount_monthly",
     "headcount_monthly_rating",
     "growth_summary",
@@ -50,7 +50,7 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
-    run("turnover_history")  # warm-up, not timed
+    run("attrition_history")  # warm-up, not timed
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     times = {}
     for name in HEADLINE:

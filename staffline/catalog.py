@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fixture
-from .operators import filters, headcount, insights, kpis, prepare, risk, turnover
+from .operators import filters, headcount, insights, kpis, prepare, risk, attrition
 from .plans import bundles
 from .schema import STAFF_SCHEMA, schema_report
 from .sources import tables
@@ -35,61 +35,61 @@ def dates_as_text(df: DataFrame) -> DataFrame:
     ])
 
 
-# ---- turnover --------------------------------------------------------------------------------
-def q_turnover_history(spark, sf_dir):
-    return turnover.turnover_history(staff(spark, sf_dir), as_of=AS_OF)
+# ---- attrition --------------------------------------------------------------------------------
+def q_attrition_history(spark, sf_dir):
+    return attrition.attrition_history(staff(spark, sf_dir), as_of=AS_OF)
 
 
-def q_turnover_history_by_department(spark, sf_dir):
+def q_attrition_history_by_department(spark, sf_dir):
     """A3 with ``by``: each department's own monthly history on its own spine."""
-    return turnover.turnover_history(staff(spark, sf_dir), by=["department"], as_of=AS_OF)
+    return attrition.attrition_history(staff(spark, sf_dir), by=["department"], as_of=AS_OF)
 
 
 def q_period_label(spark, sf_dir):
     """Period texts for every month of the history spine: month/year, year and month-only."""
     from .functions.dates import period_label
 
-    h = turnover.turnover_history(staff(spark, sf_dir), as_of=AS_OF).select("month")
+    h = attrition.attrition_history(staff(spark, sf_dir), as_of=AS_OF).select("month")
     y = F.substring("month", 1, 4).cast("int")
     m = F.substring("month", 6, 2).cast("int")
     return h.select("month", period_label(y, m).alias("label_month_year"), period_label(y, None).alias("label_year"),
                     period_label(None, m).alias("label_month"), period_label(None, None).alias("label_all"))
 
 
-def q_turnover_history_means(spark, sf_dir):
-    return turnover.history_means(turnover.turnover_history(staff(spark, sf_dir), as_of=AS_OF))
+def q_attrition_history_means(spark, sf_dir):
+    return attrition.history_means(attrition.attrition_history(staff(spark, sf_dir), as_of=AS_OF))
 
 
-def q_turnover_period_month(spark, sf_dir):
-    return turnover.turnover_period(staff(spark, sf_dir), YEAR, MONTH, as_of=AS_OF)
+def q_attrition_period_month(spark, sf_dir):
+    return attrition.attrition_period(staff(spark, sf_dir), YEAR, MONTH, as_of=AS_OF)
 
 
-def q_turnover_period_year(spark, sf_dir):
-    return turnover.turnover_period(staff(spark, sf_dir), YEAR, None, as_of=AS_OF)
+def q_attrition_period_year(spark, sf_dir):
+    return attrition.attrition_period(staff(spark, sf_dir), YEAR, None, as_of=AS_OF)
 
 
-def q_turnover_period_month_all_years(spark, sf_dir):
-    return turnover.turnover_period(staff(spark, sf_dir), None, ONLY_MONTH, as_of=AS_OF)
+def q_attrition_period_month_all_years(spark, sf_dir):
+    return attrition.attrition_period(staff(spark, sf_dir), None, ONLY_MONTH, as_of=AS_OF)
 
 
-def q_turnover_period_all(spark, sf_dir):
-    return turnover.turnover_period(staff(spark, sf_dir), None, None, as_of=AS_OF)
+def q_attrition_period_all(spark, sf_dir):
+    return attrition.attrition_period(staff(spark, sf_dir), None, None, as_of=AS_OF)
 
 
-def q_turnover_flagged(spark, sf_dir):
-    return turnover.turnover_flagged(turnover.period_flags(staff(spark, sf_dir), YEAR, MONTH))
+def q_attrition_flagged(spark, sf_dir):
+    return attrition.attrition_flagged(attrition.period_flags(staff(spark, sf_dir), YEAR, MONTH))
 
 
 def q_period_flags(spark, sf_dir):
-    return turnover.period_flag_counts(turnover.period_flags(staff(spark, sf_dir), YEAR, MONTH))
+    return attrition.period_flag_counts(attrition.period_flags(staff(spark, sf_dir), YEAR, MONTH))
 
 
-def q_turnover_by_department(spark, sf_dir):
-    return turnover.turnover_by_department(staff(spark, sf_dir), as_of=AS_OF)
+def q_attrition_by_department(spark, sf_dir):
+    return attrition.attrition_by_department(staff(spark, sf_dir), as_of=AS_OF)
 
 
-def q_turnover_compare(spark, sf_dir):
-    return turnover.turnover_compare(staff(spark, sf_dir), YEAR, MONTH, as_of=AS_OF)
+def q_attrition_compare(spark, sf_dir):
+    return attrition.attrition_compare(staff(spark, sf_dir), YEAR, MONTH, as_of=AS_OF)
 
 
 # ---- headcount -------------------------------------------------------------------------------
@@ -251,8 +251,8 @@ def q_risk_ranking(spark, sf_dir):
 
 
 # ---- forecast, alerts, report ----------------------------------------------------------------
-def q_turnover_forecast(spark, sf_dir):
-    return insights.forecast(q_turnover_history(spark, sf_dir))
+def q_attrition_forecast(spark, sf_dir):
+    return insights.forecast(q_attrition_history(spark, sf_dir))
 
 
 def q_insights(spark, sf_dir):
@@ -342,8 +342,8 @@ def q_dataset_delete(spark, sf_dir):
 
 def q_save_analysis(spark, sf_dir):
     root = bundles.store_root(spark)
-    tables.save_result(q_turnover_history(spark, sf_dir), root, "ds-a", "turnover_history", "2001-12-01 00:00:00")
-    return tables.read_results(spark, root, "ds-a", "turnover_history").select("kind", "result_json")
+    tables.save_result(q_attrition_history(spark, sf_dir), root, "ds-a", "attrition_history", "2001-12-01 00:00:00")
+    return tables.read_results(spark, root, "ds-a", "attrition_history").select("kind", "result_json")
 
 
 def q_null_clean(spark, sf_dir):

@@ -1,4 +1,4 @@
-"""Turnover operators: monthly history (A3), period means (A4, A5), flags (A6), per group (A7),
+"""Attrition operators: monthly history (A3), period means (A4, A5), flags (A6), per group (A7),
 history means (A17) and period-vs-total comparison (J5)."""
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from ..functions.numeric import pct, round_half_even
 from ..functions.text import voluntary_flag
 from . import spells
 
-RATE_COLUMNS = ("turnover_total", "turnover_vol", "turnover_inv")
+RATE_COLUMNS = ("attrition_total", "attrition_vol", "attrition_inv")
 
 
 def _rates(df: DataFrame) -> DataFrame:
@@ -21,16 +21,16 @@ def _rates(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "involuntary": inv,
-            "turnover_total": pct(F.col("exits"), F.col("headcount")),
-            "turnover_vol": pct(F.col("voluntary"), F.col("headcount")),
-            "turnover_inv": pct(inv, F.col("headcount")),
+            "attrition_total": pct(F.col("exits"), F.col("headcount")),
+            "attrition_vol": pct(F.col("voluntary"), F.col("headcount")),
+            "attrition_inv": pct(inv, F.col("headcount")),
         }
     )
 
 
 def history_frame(staff: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF,
                   mode: str = "compat") -> DataFrame:
-    """Monthly history with ``month`` as a DATE (internal form of ``turnover_history``)."""
+    """Monthly history with ``month`` as a DATE (internal form of ``attrition_history``)."""
     by = list(by)
     ev = spells.month_events(staff, by, mode)
     if by:
@@ -40,7 +40,7 @@ def history_frame(staff: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT
     return _rates(x.drop("lo", "hi"))
 
 
-def turnover_history(staff: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF,
+def attrition_history(staff: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF,
                      mode: str = "compat") -> DataFrame:
     """A3: per month of the spine, headcount at the month start, exits in the month, voluntary,
     involuntary and the three rates in %. Months with headcount 0 stay, with rate 0.
@@ -53,9 +53,9 @@ def turnover_history(staff: DataFrame, by: Sequence[str] = (), as_of: str = DEFA
     )
 
 
-def turnover_period(staff: DataFrame, year: int | None = None, month: int | None = None,
+def attrition_period(staff: DataFrame, year: int | None = None, month: int | None = None,
                     by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF, mode: str = "compat") -> DataFrame:
-    """A4/A5: mean monthly turnover over the months of a period.
+    """A4/A5: mean monthly attrition over the months of a period.
 
     Month list: (year, month) that month; year its 12 months (future ones too); month that month
     in every year seen in hire or exit dates; neither the whole spine. Months whose start
@@ -89,9 +89,9 @@ def turnover_period(staff: DataFrame, year: int | None = None, month: int | None
         return F.when(use, F.col(c))
 
     agg = x.groupBy(*by).agg(
-        F.avg(when_used("turnover_total")).alias("r_total"),
-        F.avg(when_used("turnover_vol")).alias("r_vol"),
-        F.avg(when_used("turnover_inv")).alias("r_inv"),
+        F.avg(when_used("attrition_total")).alias("r_total"),
+        F.avg(when_used("attrition_vol")).alias("r_vol"),
+        F.avg(when_used("attrition_inv")).alias("r_inv"),
         F.sum(when_used("headcount")).alias("s_hc"),
         F.sum(when_used("exits")).alias("s_ex"),
         F.sum(when_used("voluntary")).alias("s_vol"),
@@ -105,9 +105,9 @@ def turnover_period(staff: DataFrame, year: int | None = None, month: int | None
 
     return agg.select(
         *by,
-        F.coalesce(round_half_even(F.col("r_total"), 1), F.lit(0.0)).alias("turnover_total"),
-        F.coalesce(round_half_even(F.col("r_vol"), 1), F.lit(0.0)).alias("turnover_vol"),
-        F.coalesce(round_half_even(F.col("r_inv"), 1), F.lit(0.0)).alias("turnover_inv"),
+        F.coalesce(round_half_even(F.col("r_total"), 1), F.lit(0.0)).alias("attrition_total"),
+        F.coalesce(round_half_even(F.col("r_vol"), 1), F.lit(0.0)).alias("attrition_vol"),
+        F.coalesce(round_half_even(F.col("r_inv"), 1), F.lit(0.0)).alias("attrition_inv"),
         F.when(n > 0, F.floor(F.col("s_hc") / n)).otherwise(F.lit(0)).cast("long").alias("avg_headcount"),
         mean_count("s_ex").alias("avg_exits"),
         mean_count("s_vol").alias("avg_voluntary"),
@@ -116,10 +116,10 @@ def turnover_period(staff: DataFrame, year: int | None = None, month: int | None
     )
 
 
-def turnover_by_department(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "compat",
+def attrition_by_department(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "compat",
                            group: str = "department") -> DataFrame:
-    """Whole-history turnover of each group's own subset (own spine bounds per group)."""
-    return turnover_period(staff, None, None, by=[group], as_of=as_of, mode=mode)
+    """Whole-history attrition of each group's own subset (own spine bounds per group)."""
+    return attrition_period(staff, None, None, by=[group], as_of=as_of, mode=mode)
 
 
 def period_flags(staff: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
@@ -146,7 +146,7 @@ def period_flag_counts(flagged: DataFrame) -> DataFrame:
     )
 
 
-def turnover_flagged(flagged: DataFrame, mode: str = "compat") -> DataFrame:
+def attrition_flagged(flagged: DataFrame, mode: str = "compat") -> DataFrame:
     """Exits flagged in the period ÷ rows flagged active, one aggregate pass."""
     vol = voluntary_flag(flagged, mode)
     a = flagged.agg(
@@ -161,9 +161,9 @@ def turnover_flagged(flagged: DataFrame, mode: str = "compat") -> DataFrame:
         return F.when(ok, round_half_even(x / F.col("a") * 100, 1)).otherwise(F.lit(0.0))
 
     return a.select(
-        rate(F.col("d")).alias("turnover_total"),
-        rate(F.col("dv")).alias("turnover_vol"),
-        rate(di).alias("turnover_inv"),
+        rate(F.col("d")).alias("attrition_total"),
+        rate(F.col("dv")).alias("attrition_vol"),
+        rate(di).alias("attrition_inv"),
         F.when(ok, F.col("a")).otherwise(0).cast("long").alias("active"),
         F.when(ok, F.col("d")).otherwise(0).cast("long").alias("exits"),
         F.when(ok, F.col("dv")).otherwise(0).cast("long").alias("voluntary"),
@@ -176,22 +176,22 @@ def history_means(history: DataFrame) -> DataFrame:
     return history.agg(
         F.floor(F.avg("headcount")).cast("long").alias("avg_headcount"),
         F.floor(F.avg("exits")).cast("long").alias("avg_exits"),
-        round_half_even(F.avg("turnover_total"), 1).alias("avg_turnover_total"),
-        round_half_even(F.avg("turnover_vol"), 1).alias("avg_turnover_vol"),
-        round_half_even(F.avg("turnover_inv"), 1).alias("avg_turnover_inv"),
+        round_half_even(F.avg("attrition_total"), 1).alias("avg_attrition_total"),
+        round_half_even(F.avg("attrition_vol"), 1).alias("avg_attrition_vol"),
+        round_half_even(F.avg("attrition_inv"), 1).alias("avg_attrition_inv"),
     )
 
 
-COMPARE_MEASURES = ("turnover_total", "turnover_vol", "turnover_inv",
+COMPARE_MEASURES = ("attrition_total", "attrition_vol", "attrition_inv",
                     "avg_headcount", "avg_exits", "avg_voluntary", "avg_involuntary")
 
 
-def turnover_compare(staff: DataFrame, year: int | None, month: int | None, as_of: str = DEFAULT_AS_OF,
+def attrition_compare(staff: DataFrame, year: int | None, month: int | None, as_of: str = DEFAULT_AS_OF,
                      mode: str = "compat") -> DataFrame:
     """The seven period measures next to the whole-history ones, with differences.
     Two one-row frames joined on a constant (a 1 × 1 join), then unpivoted to rows."""
-    sel = turnover_period(staff, year, month, as_of=as_of, mode=mode)
-    tot = turnover_period(staff, None, None, as_of=as_of, mode=mode)
+    sel = attrition_period(staff, year, month, as_of=as_of, mode=mode)
+    tot = attrition_period(staff, None, None, as_of=as_of, mode=mode)
     s = sel.select(*[F.col(c).cast("double").alias(f"p_{c}") for c in COMPARE_MEASURES])
     t = tot.select(*[F.col(c).cast("double").alias(f"t_{c}") for c in COMPARE_MEASURES])
     j = spells.with_scalars(s, t)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import DEFAULT_AS_OF, months_30
 from ..functions.numeric import round_half_even
-from . import spells, turnover
+from . import spells, attrition
 
 # ---- fixed values: thresholds and texts of the reference's rules and report ---------------
 RISE_FACTOR = 1.2
@@ -16,24 +16,24 @@ DEPARTMENT_RATE_LIMIT = 8.0
 TENURE_LIMIT = 12
 TREND_STEP = 0.1
 TREND_UP, TREND_DOWN, TREND_FLAT = "crescente", "decrescente", "estável"
-MSG_RISE = ("⚠️ Turnover aumentou significativamente nos últimos meses. "
+MSG_RISE = ("⚠️ Attrition aumentou significativamente nos últimos meses. "
             "Recomenda-se investigar causas raiz.")
 REC_RISE = "Realizar pesquisa de clima organizacional e entrevistas de desligamento."
-MSG_MEAN = "⚠️ Turnover médio (%s%%) está acima do benchmark de mercado (3-5%%)."
-MSG_DEPT = "🚨 Departamento '%s' apresenta turnover crítico (%s%%)."
+MSG_MEAN = "⚠️ Attrition médio (%s%%) está acima do benchmark de mercado (3-5%%)."
+MSG_DEPT = "🚨 Departamento '%s' apresenta attrition crítico (%s%%)."
 REC_DEPT = "Priorizar ações de retenção no departamento %s."
 MSG_TENURE = "⚠️ Tenure médio baixo (%s meses). Colaboradores estão saindo muito cedo."
 REC_TENURE = "Melhorar processo de onboarding e engajamento nos primeiros meses."
 MSG_FEW_MONTHS = "Dados insuficientes para análise preditiva. Necessário histórico de pelo menos 3 meses."
-MSG_FORECAST = "Tendência %s identificada. Previsão de turnover para os próximos 3 meses: %s%%, %s%%, %s%%"
-REPORT_TITLE = "# 📊 Apresentação Automática de People Analytics"
+MSG_FORECAST = "Tendência %s identificada. Previsão de attrition para os próximos 3 meses: %s%%, %s%%, %s%%"
+REPORT_TITLE = "# 📊 Relatório de Pessoas"
 REPORT_SUMMARY = "## Resumo Executivo"
-REPORT_MEAN = "- **Turnover Médio**: %s%%"
+REPORT_MEAN = "- **Attrition Médio**: %s%%"
 REPORT_PERIOD = "- **Período Analisado**: %s a %s"
 REPORT_ACTIVE = "- **Total de Colaboradores Ativos**: %s"
 REPORT_ALERTS = "## 🚨 Alertas Críticos"
 REPORT_RECS = "## 💡 Recomendações de Ação"
-REPORT_FOOTER = "*Apresentação gerada automaticamente pela plataforma de People Analytics.*"
+REPORT_FOOTER = "*Relatório gerado automaticamente.*"
 # ---------------------------------------------------------------------------------------------
 
 
@@ -59,8 +59,8 @@ def forecast(history: DataFrame, horizon: int = 3) -> DataFrame:
     x = x.withColumn("_x", F.months_between(F.col("_m"), first).cast("double"))
     a = x.agg(
         F.count(F.lit(1)).alias("n"),
-        F.regr_slope("turnover_total", "_x").alias("slope"),
-        F.regr_intercept("turnover_total", "_x").alias("intercept"),
+        F.regr_slope("attrition_total", "_x").alias("slope"),
+        F.regr_intercept("attrition_total", "_x").alias("intercept"),
     )
     slope = F.coalesce(F.col("slope"), F.lit(0.0))
     intercept = F.col("intercept")
@@ -78,13 +78,13 @@ def forecast(history: DataFrame, horizon: int = 3) -> DataFrame:
 def _history_rules(history: DataFrame) -> DataFrame:
     """Rise over the last three history rows (W5) and mean rate over the benchmark."""
     w = Window.orderBy(F.desc("month"))  # month-grain history: bounded by the calendar
-    last3 = history.select("month", "turnover_total", F.row_number().over(w).alias("_r")).where(F.col("_r") <= 3)
+    last3 = history.select("month", "attrition_total", F.row_number().over(w).alias("_r")).where(F.col("_r") <= 3)
     a = last3.agg(
-        F.max(F.when(F.col("_r") == 1, F.col("turnover_total"))).alias("r_last"),
-        F.max(F.when(F.col("_r") == 3, F.col("turnover_total"))).alias("r_third"),
+        F.max(F.when(F.col("_r") == 1, F.col("attrition_total"))).alias("r_last"),
+        F.max(F.when(F.col("_r") == 3, F.col("attrition_total"))).alias("r_third"),
         F.count(F.lit(1)).alias("k"),
     )
-    m = history.agg(F.avg("turnover_total").alias("mean_rate"))
+    m = history.agg(F.avg("attrition_total").alias("mean_rate"))
     return spells.with_scalars(a, m)
 
 
@@ -93,12 +93,12 @@ def insights(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "compat")
     four rules: rising rate, mean rate above 5%, worst department above 8%, mean tenure of
     leavers below 12 months. Rules that do not fire give no rows."""
     staff = _narrow(staff)
-    hist = spells.materialize(turnover.turnover_history(staff, as_of=as_of, mode=mode))  # month grain, read twice
+    hist = spells.materialize(attrition.attrition_history(staff, as_of=as_of, mode=mode))  # month grain, read twice
     hr = _history_rules(hist)
-    dept = turnover.turnover_by_department(staff, as_of=as_of, mode=mode)
+    dept = attrition.attrition_by_department(staff, as_of=as_of, mode=mode)
     worst = dept.agg(
-        F.min_by("department", F.struct((-F.col("turnover_total")).alias("r"), F.col("department").alias("d"))).alias("worst"),
-        F.max("turnover_total").alias("worst_rate"),
+        F.min_by("department", F.struct((-F.col("attrition_total")).alias("r"), F.col("department").alias("d"))).alias("worst"),
+        F.max("attrition_total").alias("worst_rate"),
     )
     left = staff.where(F.col("exit_date").isNotNull()) if "active" not in staff.columns else staff.where(~F.col("active"))
     ten = left.agg(F.avg(months_30(F.to_date("exit_date"), F.to_date("hire_date"))).alias("tenure"))
@@ -114,13 +114,13 @@ def insights(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "compat")
                         (F.lit(message) if isinstance(message, str) else message).alias("message"), fires.alias("fires"))
 
     rows = F.array(
-        line(1, "alert", "turnover_rising", nul_s, F.col("r_last"), MSG_RISE, rise),
-        line(2, "alert", "turnover_above_benchmark", nul_s, F.col("mean_rate"),
+        line(1, "alert", "attrition_rising", nul_s, F.col("r_last"), MSG_RISE, rise),
+        line(2, "alert", "attrition_above_benchmark", nul_s, F.col("mean_rate"),
              F.format_string(MSG_MEAN, fmt1(F.col("mean_rate"))), high),
         line(3, "alert", "department_critical", F.col("worst"), F.col("worst_rate"),
              F.format_string(MSG_DEPT, F.col("worst"), fmt1(F.col("worst_rate"))), crit),
         line(4, "alert", "short_tenure", nul_s, F.col("tenure"), F.format_string(MSG_TENURE, fmt1(F.col("tenure"))), short),
-        line(5, "recommendation", "turnover_rising", nul_s, F.col("r_last"), REC_RISE, rise),
+        line(5, "recommendation", "attrition_rising", nul_s, F.col("r_last"), REC_RISE, rise),
         line(6, "recommendation", "department_critical", F.col("worst"), F.col("worst_rate"),
              F.format_string(REC_DEPT, F.col("worst")), crit),
         line(7, "recommendation", "short_tenure", nul_s, F.col("tenure"), REC_TENURE, short),
@@ -135,8 +135,8 @@ def report_lines(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "comp
     active total), alerts, recommendations (numbered), footer. Built from metric rows with
     ``format_string``; the rows are few, ``line_no`` orders them."""
     staff = _narrow(staff)
-    hist = turnover.turnover_history(staff, as_of=as_of, mode=mode)
-    hs = hist.agg(F.avg("turnover_total").alias("mean_rate"), F.min("month").alias("m0"),
+    hist = attrition.attrition_history(staff, as_of=as_of, mode=mode)
+    hs = hist.agg(F.avg("attrition_total").alias("mean_rate"), F.min("month").alias("m0"),
                   F.max("month").alias("m1"), F.count(F.lit(1)).alias("nh"))
     act = staff.agg(F.count_if(F.col("exit_date").isNull() if "active" not in staff.columns
                                else F.col("active")).alias("n_active"))

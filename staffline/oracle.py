@@ -87,16 +87,16 @@ def rate(x: str, hc: str = "headcount") -> str:
     return f"(CASE WHEN {hc} > 0 THEN {x} / {hc} * 100.0 ELSE 0.0 END)"
 
 
-def q_turnover_history() -> str:
+def q_attrition_history() -> str:
     return history_sql() + f"""
 SELECT strftime(m, '%Y-%m') AS month, headcount, exits, voluntary, exits - voluntary AS involuntary,
-  {rate('exits')} AS turnover_total, {rate('voluntary')} AS turnover_vol, {rate('(exits - voluntary)')} AS turnover_inv
+  {rate('exits')} AS attrition_total, {rate('voluntary')} AS attrition_vol, {rate('(exits - voluntary)')} AS attrition_inv
 FROM hist ORDER BY m
 """
 
 
 
-def q_turnover_history_by_department() -> str:
+def q_attrition_history_by_department() -> str:
     return f"""
 WITH {BASE},
 sp AS {spine_sql('s', 'department')},
@@ -107,7 +107,7 @@ hist AS (
     count(*) FILTER (WHERE CAST(date_trunc('month', s.e) AS DATE) = sp.m AND s.vol) AS voluntary
   FROM sp JOIN s ON s.department = sp.department GROUP BY sp.department, sp.m)
 SELECT department, strftime(m, '%Y-%m') AS month, headcount, exits, voluntary, exits - voluntary AS involuntary,
-  {rate('exits')} AS turnover_total, {rate('voluntary')} AS turnover_vol, {rate('(exits - voluntary)')} AS turnover_inv
+  {rate('exits')} AS attrition_total, {rate('voluntary')} AS attrition_vol, {rate('(exits - voluntary)')} AS attrition_inv
 FROM hist
 """
 
@@ -126,12 +126,12 @@ FROM hist
 """
 
 
-def q_turnover_history_means() -> str:
+def q_attrition_history_means() -> str:
     return history_sql() + f""",
 th AS (SELECT *, {rate('exits')} AS r_total, {rate('voluntary')} AS r_vol, {rate('(exits - voluntary)')} AS r_inv FROM hist)
 SELECT CAST(floor(avg(headcount)) AS BIGINT) AS avg_headcount, CAST(floor(avg(exits)) AS BIGINT) AS avg_exits,
-  {rnd('avg(r_total)', 1)} AS avg_turnover_total, {rnd('avg(r_vol)', 1)} AS avg_turnover_vol,
-  {rnd('avg(r_inv)', 1)} AS avg_turnover_inv
+  {rnd('avg(r_total)', 1)} AS avg_attrition_total, {rnd('avg(r_vol)', 1)} AS avg_attrition_vol,
+  {rnd('avg(r_inv)', 1)} AS avg_attrition_inv
 FROM th
 """
 
@@ -149,9 +149,9 @@ def _period_months(year, month) -> str:
 
 
 PERIOD_SELECT = f"""
-  coalesce({rnd('avg(ex / hc * 100.0)', 1)}, 0.0) AS turnover_total,
-  coalesce({rnd('avg(vo / hc * 100.0)', 1)}, 0.0) AS turnover_vol,
-  coalesce({rnd('avg((ex - vo) / hc * 100.0)', 1)}, 0.0) AS turnover_inv,
+  coalesce({rnd('avg(ex / hc * 100.0)', 1)}, 0.0) AS attrition_total,
+  coalesce({rnd('avg(vo / hc * 100.0)', 1)}, 0.0) AS attrition_vol,
+  coalesce({rnd('avg((ex - vo) / hc * 100.0)', 1)}, 0.0) AS attrition_inv,
   CASE WHEN count(*) > 0 THEN CAST(floor(sum(hc) / count(*)) AS BIGINT) ELSE 0 END AS avg_headcount,
   CASE WHEN count(*) > 0 THEN {rnd('sum(ex) / count(*)', 1)} ELSE 0.0 END AS avg_exits,
   CASE WHEN count(*) > 0 THEN {rnd('sum(vo) / count(*)', 1)} ELSE 0.0 END AS avg_voluntary,
@@ -159,7 +159,7 @@ PERIOD_SELECT = f"""
   count(*) AS months_used"""
 
 
-def q_turnover_period(year=None, month=None) -> str:
+def q_attrition_period(year=None, month=None) -> str:
     return f"""
 WITH {BASE},
 tm AS (SELECT m FROM {_period_months(year, month)} WHERE EXISTS (SELECT 1 FROM s WHERE h IS NOT NULL)),
@@ -172,7 +172,7 @@ SELECT {PERIOD_SELECT} FROM mon WHERE hc > 0
 """
 
 
-def q_turnover_by_department() -> str:
+def q_attrition_by_department() -> str:
     return f"""
 WITH {BASE},
 sp AS {spine_sql('s', 'department')},
@@ -183,8 +183,8 @@ mon AS (SELECT sp.department, sp.m,
  FROM sp JOIN s ON s.department = sp.department GROUP BY sp.department, sp.m),
 agg AS (SELECT department, {PERIOD_SELECT} FROM mon WHERE hc > 0 GROUP BY department),
 d AS (SELECT DISTINCT department FROM s WHERE department IS NOT NULL)
-SELECT d.department, coalesce(turnover_total, 0.0) AS turnover_total, coalesce(turnover_vol, 0.0) AS turnover_vol,
-  coalesce(turnover_inv, 0.0) AS turnover_inv, coalesce(avg_headcount, 0) AS avg_headcount,
+SELECT d.department, coalesce(attrition_total, 0.0) AS attrition_total, coalesce(attrition_vol, 0.0) AS attrition_vol,
+  coalesce(attrition_inv, 0.0) AS attrition_inv, coalesce(avg_headcount, 0) AS avg_headcount,
   coalesce(avg_exits, 0.0) AS avg_exits, coalesce(avg_voluntary, 0.0) AS avg_voluntary,
   coalesce(avg_involuntary, 0.0) AS avg_involuntary, coalesce(months_used, 0) AS months_used
 FROM d LEFT JOIN agg USING (department)
@@ -200,14 +200,14 @@ def _flags(year: int, month: int) -> str:
             f"coalesce(e >= {first} AND e <= {last}, false) AS ext FROM s)")
 
 
-def q_turnover_flagged(year=2000, month=6) -> str:
+def q_attrition_flagged(year=2000, month=6) -> str:
     def r(x):
         return f"CASE WHEN a > 0 THEN {rnd(f'{x} / a * 100', 1)} ELSE 0.0 END"
     return f"""
 WITH {BASE}, {_flags(year, month)},
 a AS (SELECT count(*) FILTER (WHERE act) AS a, count(*) FILTER (WHERE ext) AS d,
         count(*) FILTER (WHERE ext AND vol) AS dv FROM f)
-SELECT {r('d')} AS turnover_total, {r('dv')} AS turnover_vol, {r('(d - dv)')} AS turnover_inv,
+SELECT {r('d')} AS attrition_total, {r('dv')} AS attrition_vol, {r('(d - dv)')} AS attrition_inv,
   CASE WHEN a > 0 THEN a ELSE 0 END AS active, CASE WHEN a > 0 THEN d ELSE 0 END AS exits,
   CASE WHEN a > 0 THEN dv ELSE 0 END AS voluntary, CASE WHEN a > 0 THEN d - dv ELSE 0 END AS involuntary
 FROM a
@@ -221,16 +221,16 @@ SELECT count(*) FILTER (WHERE act) AS active, count(*) FILTER (WHERE ext) AS exi
 """
 
 
-COMPARE = ("turnover_total", "turnover_vol", "turnover_inv", "avg_headcount", "avg_exits", "avg_voluntary",
+COMPARE = ("attrition_total", "attrition_vol", "attrition_inv", "avg_headcount", "avg_exits", "avg_voluntary",
            "avg_involuntary")
 
 
-def q_turnover_compare(year=2000, month=6) -> str:
+def q_attrition_compare(year=2000, month=6) -> str:
     parts = " UNION ALL ".join(
         f"SELECT '{c}' AS measure, CAST(p.{c} AS DOUBLE) AS period, CAST(t.{c} AS DOUBLE) AS total, "
         f"CAST(p.{c} AS DOUBLE) - CAST(t.{c} AS DOUBLE) AS difference FROM p, t" for c in COMPARE)
     return f"""
-WITH p AS ({q_turnover_period(year, month)}), t AS ({q_turnover_period(None, None)})
+WITH p AS ({q_attrition_period(year, month)}), t AS ({q_attrition_period(None, None)})
 {parts}
 """
 
@@ -526,21 +526,21 @@ SELECT l.band_no, l.band, {rnd('bc.a', 6)} AS avg_risk FROM {GAP_LABELS} LEFT JO
 def history_rates() -> str:
     return history_sql() + f""",
 th AS (SELECT m, strftime(m, '%Y-%m') AS month, headcount, exits, voluntary,
-   {rate('exits')} AS turnover_total FROM hist)"""
+   {rate('exits')} AS attrition_total FROM hist)"""
 
 
 def fmt1(x: str) -> str:
     return f"printf('%.1f', {rnd(x, 1)})"
 
 
-def q_turnover_forecast() -> str:
+def q_attrition_forecast() -> str:
     preds = [f"(slope0 * (n + {i}) + intercept)" for i in range(3)]
     trend = "(CASE WHEN slope0 > 0.1 THEN 'crescente' WHEN slope0 < -0.1 THEN 'decrescente' ELSE 'estável' END)"
     fc = ", ".join(f"CASE WHEN n >= 3 THEN greatest(0.0, {rnd(p, 1)}) END AS forecast_{i + 1}" for i, p in enumerate(preds))
-    msg = (f"printf('Tendência %s identificada. Previsão de turnover para os próximos 3 meses: %s%%, %s%%, %s%%', "
+    msg = (f"printf('Tendência %s identificada. Previsão de attrition para os próximos 3 meses: %s%%, %s%%, %s%%', "
            f"{trend}, {fmt1(preds[0])}, {fmt1(preds[1])}, {fmt1(preds[2])})")
     return history_rates() + f""",
-x AS (SELECT turnover_total AS y, CAST(date_diff('month', (SELECT min(m) FROM th), m) AS DOUBLE) AS x FROM th),
+x AS (SELECT attrition_total AS y, CAST(date_diff('month', (SELECT min(m) FROM th), m) AS DOUBLE) AS x FROM th),
 a AS (SELECT count(*) AS n, coalesce(regr_slope(y, x), 0.0) AS slope0, regr_intercept(y, x) AS intercept FROM x)
 SELECT CASE WHEN n >= 3 THEN {trend} END AS trend, CASE WHEN n >= 3 THEN {rnd('slope0', 3)} END AS slope, {fc},
   CASE WHEN n >= 3 THEN {msg}
@@ -550,27 +550,27 @@ FROM a
 
 
 def insights_sql() -> str:
-    dept = q_turnover_by_department()
+    dept = q_attrition_by_department()
     return history_rates() + f""",
-l3 AS (SELECT turnover_total, row_number() OVER (ORDER BY m DESC) AS r FROM th),
-hr AS (SELECT max(turnover_total) FILTER (WHERE r = 1) AS r_last, max(turnover_total) FILTER (WHERE r = 3) AS r_third,
-   count(*) FILTER (WHERE r <= 3) AS k, (SELECT avg(turnover_total) FROM th) AS mean_rate FROM l3),
+l3 AS (SELECT attrition_total, row_number() OVER (ORDER BY m DESC) AS r FROM th),
+hr AS (SELECT max(attrition_total) FILTER (WHERE r = 1) AS r_last, max(attrition_total) FILTER (WHERE r = 3) AS r_third,
+   count(*) FILTER (WHERE r <= 3) AS k, (SELECT avg(attrition_total) FROM th) AS mean_rate FROM l3),
 dep AS ({dept}),
-w AS (SELECT department AS worst, turnover_total AS worst_rate FROM dep ORDER BY turnover_total DESC, department LIMIT 1),
+w AS (SELECT department AS worst, attrition_total AS worst_rate FROM dep ORDER BY attrition_total DESC, department LIMIT 1),
 ten AS (SELECT avg(datediff('day', h, e) / 30) AS tenure FROM s WHERE exit_date IS NOT NULL),
 j AS (SELECT * FROM hr, ten LEFT JOIN w ON true),
 flags AS (SELECT *, (k >= 3 AND r_last > r_third * 1.2) AS rise, coalesce(mean_rate > 5.0, false) AS high,
    coalesce(worst_rate > 8.0, false) AS crit, coalesce(tenure < 12, false) AS short FROM j),
 ins AS (
- SELECT 1 AS line_no, 'alert' AS kind, 'turnover_rising' AS rule, CAST(NULL AS VARCHAR) AS subject, r_last AS value,
-   '⚠️ Turnover aumentou significativamente nos últimos meses. Recomenda-se investigar causas raiz.' AS message FROM flags WHERE rise
- UNION ALL SELECT 2, 'alert', 'turnover_above_benchmark', NULL, mean_rate,
-   printf('⚠️ Turnover médio (%s%%) está acima do benchmark de mercado (3-5%%).', {fmt1('mean_rate')}) FROM flags WHERE high
+ SELECT 1 AS line_no, 'alert' AS kind, 'attrition_rising' AS rule, CAST(NULL AS VARCHAR) AS subject, r_last AS value,
+   '⚠️ Attrition aumentou significativamente nos últimos meses. Recomenda-se investigar causas raiz.' AS message FROM flags WHERE rise
+ UNION ALL SELECT 2, 'alert', 'attrition_above_benchmark', NULL, mean_rate,
+   printf('⚠️ Attrition médio (%s%%) está acima do benchmark de mercado (3-5%%).', {fmt1('mean_rate')}) FROM flags WHERE high
  UNION ALL SELECT 3, 'alert', 'department_critical', worst, worst_rate,
-   printf('🚨 Departamento ''%s'' apresenta turnover crítico (%s%%).', worst, {fmt1('worst_rate')}) FROM flags WHERE crit
+   printf('🚨 Departamento ''%s'' apresenta attrition crítico (%s%%).', worst, {fmt1('worst_rate')}) FROM flags WHERE crit
  UNION ALL SELECT 4, 'alert', 'short_tenure', NULL, tenure,
    printf('⚠️ Tenure médio baixo (%s meses). Colaboradores estão saindo muito cedo.', {fmt1('tenure')}) FROM flags WHERE short
- UNION ALL SELECT 5, 'recommendation', 'turnover_rising', NULL, r_last,
+ UNION ALL SELECT 5, 'recommendation', 'attrition_rising', NULL, r_last,
    'Realizar pesquisa de clima organizacional e entrevistas de desligamento.' FROM flags WHERE rise
  UNION ALL SELECT 6, 'recommendation', 'department_critical', worst, worst_rate,
    printf('Priorizar ações de retenção no departamento %s.', worst) FROM flags WHERE crit
@@ -584,13 +584,13 @@ def q_insights() -> str:
 
 def q_report_lines() -> str:
     return insights_sql() + f""",
-hs AS (SELECT avg(turnover_total) AS mean_rate, min(month) AS m0, max(month) AS m1, count(*) AS nh FROM th),
+hs AS (SELECT avg(attrition_total) AS mean_rate, min(month) AS m0, max(month) AS m1, count(*) AS nh FROM th),
 act AS (SELECT count(*) FILTER (WHERE exit_date IS NULL) AS n_active FROM s),
 na AS (SELECT count(*) FILTER (WHERE kind = 'alert') AS n_al, count(*) FILTER (WHERE kind = 'recommendation') AS n_rc FROM ins),
 fixed AS (
- SELECT 10 AS line_no, '# 📊 Apresentação Automática de People Analytics' AS text, true AS keep
+ SELECT 10 AS line_no, '# 📊 Relatório de Pessoas' AS text, true AS keep
  UNION ALL SELECT 11, '', true UNION ALL SELECT 12, '## Resumo Executivo', true UNION ALL SELECT 13, '', true
- UNION ALL SELECT 14, printf('- **Turnover Médio**: %s%%', {fmt1('mean_rate')}), nh > 0 FROM hs
+ UNION ALL SELECT 14, printf('- **Attrition Médio**: %s%%', {fmt1('mean_rate')}), nh > 0 FROM hs
  UNION ALL SELECT 15, printf('- **Período Analisado**: %s a %s', m0, m1), nh > 0 FROM hs
  UNION ALL SELECT 16, printf('- **Total de Colaboradores Ativos**: %s', format('{{:,}}', n_active)), true FROM act
  UNION ALL SELECT 17, '', true
@@ -599,7 +599,7 @@ fixed AS (
  UNION ALL SELECT 60, '## 💡 Recomendações de Ação', n_rc > 0 FROM na UNION ALL SELECT 61, '', n_rc > 0 FROM na
  UNION ALL SELECT 99, '', n_rc > 0 FROM na
  UNION ALL SELECT 100, '---', true UNION ALL SELECT 101, '', true
- UNION ALL SELECT 102, '*Apresentação gerada automaticamente pela plataforma de People Analytics.*', true)
+ UNION ALL SELECT 102, '*Relatório gerado automaticamente.*', true)
 SELECT line_no, text FROM fixed WHERE keep
 UNION ALL SELECT CAST(21 + row_number() OVER (ORDER BY line_no) AS INTEGER), '- ' || message FROM ins WHERE kind = 'alert'
 UNION ALL SELECT CAST(61 + row_number() OVER (ORDER BY line_no) AS INTEGER),
@@ -699,15 +699,15 @@ def _tidy(section: str, sql: str, cols) -> str:
 def q_overview(year=2000, month=6) -> str:
     basic = ("total_active", "clt_count", "clt_pct", "female_count", "female_pct", "male_count", "male_pct",
              "leader_count", "leader_pct")
-    period = ("turnover_total", "turnover_vol", "turnover_inv", "avg_headcount", "avg_exits", "avg_voluntary",
+    period = ("attrition_total", "attrition_vol", "attrition_inv", "avg_headcount", "avg_exits", "avg_voluntary",
               "avg_involuntary", "months_used")
     contract = (f"SELECT 'contract_types' AS section, contract_type || ':quantity' AS metric, CAST(quantity AS DOUBLE) AS value "
                 f"FROM ({q_contract_mix()}) UNION ALL SELECT 'contract_types', contract_type || ':pct', CAST(pct AS DOUBLE) "
                 f"FROM ({q_contract_mix()})")
     return " UNION ALL ".join([
         _tidy("basic_kpis", q_basic_kpis(), basic),
-        _tidy("turnover", q_turnover_period(year, month), period),
-        _tidy("turnover_total", q_turnover_period(None, None), period),
+        _tidy("attrition", q_attrition_period(year, month), period),
+        _tidy("attrition_total", q_attrition_period(None, None), period),
         contract,
         _tidy("monthly_dismissals", q_monthly_exits(), ("avg_exits_per_month", "total_exits", "months_with_exits")),
         _tidy("tenure", q_tenure_at_exit(), ("tenure_total", "tenure_vol", "tenure_inv")),
@@ -717,18 +717,18 @@ def q_overview(year=2000, month=6) -> str:
 SCORED_COLS = "employee_id, score_perf_inv, score_promotion, score_tenure, score_merit, score_team"
 
 ORACLE = {
-    "turnover_history": q_turnover_history(),
-    "turnover_history_by_department": q_turnover_history_by_department(),
-    "turnover_history_means": q_turnover_history_means(),
+    "attrition_history": q_attrition_history(),
+    "attrition_history_by_department": q_attrition_history_by_department(),
+    "attrition_history_means": q_attrition_history_means(),
     "period_label": q_period_label(),
-    "turnover_period_month": q_turnover_period(2000, 6),
-    "turnover_period_year": q_turnover_period(2000, None),
-    "turnover_period_month_all_years": q_turnover_period(None, 3),
-    "turnover_period_all": q_turnover_period(None, None),
-    "turnover_flagged": q_turnover_flagged(),
+    "attrition_period_month": q_attrition_period(2000, 6),
+    "attrition_period_year": q_attrition_period(2000, None),
+    "attrition_period_month_all_years": q_attrition_period(None, 3),
+    "attrition_period_all": q_attrition_period(None, None),
+    "attrition_flagged": q_attrition_flagged(),
     "period_flags": q_period_flags(),
-    "turnover_by_department": q_turnover_by_department(),
-    "turnover_compare": q_turnover_compare(),
+    "attrition_by_department": q_attrition_by_department(),
+    "attrition_compare": q_attrition_compare(),
     "headcount_at": q_headcount_at("department", "2000-06-30"),
     "headcount_gender_at": q_headcount_at("gender", AS_OF),
     "headcount_at_month_start": q_headcount_at("department", "2000-06-01"),
@@ -765,7 +765,7 @@ ORACLE = {
     "risk_histogram": q_risk_histogram(),
     "risk_by_promotion_gap": q_risk_by_promotion_gap(),
     "risk_ranking": q_risk("SELECT employee_id, name, department, role, rating, risk, reasons FROM reasons"),
-    "turnover_forecast": q_turnover_forecast(),
+    "attrition_forecast": q_attrition_forecast(),
     "insights": q_insights(),
     "report_lines": q_report_lines(),
     "overview": q_overview(),

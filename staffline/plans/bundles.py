@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import DEFAULT_AS_OF
-from ..operators import headcount, kpis, spells, turnover
+from ..operators import headcount, kpis, spells, attrition
 from ..session import shared_dir
 
 
@@ -31,13 +31,13 @@ def _tidy(df: DataFrame, section: str) -> DataFrame:
 
 def overview(staff: DataFrame, year: int | None = None, month: int | None = None,
              as_of: str = DEFAULT_AS_OF) -> DataFrame:
-    """Basic KPIs, period turnover, whole-history turnover, contract mix, monthly exits and
+    """Basic KPIs, period attrition, whole-history attrition, contract mix, monthly exits and
     tenure at exit as one tidy (section, metric, value) table."""
     s = spells.materialize(staff)
     parts = [
         _tidy(kpis.basic_kpis(s), "basic_kpis"),
-        _tidy(turnover.turnover_period(s, year, month, as_of=as_of), "turnover"),
-        _tidy(turnover.turnover_period(s, None, None, as_of=as_of), "turnover_total"),
+        _tidy(attrition.attrition_period(s, year, month, as_of=as_of), "attrition"),
+        _tidy(attrition.attrition_period(s, None, None, as_of=as_of), "attrition_total"),
         kpis.contract_mix(s).select(F.lit("contract_types").alias("section"), F.inline(F.array(
             F.struct(F.concat(F.col("contract_type"), F.lit(":quantity")).alias("metric"),
                      F.col("quantity").cast("double").alias("value")),
@@ -68,11 +68,11 @@ def headcount_bundle(staff: DataFrame, year: int | None = None, month: int | Non
     }
 
 
-def turnover_bundle(staff: DataFrame, year: int | None = None, month: int | None = None,
+def attrition_bundle(staff: DataFrame, year: int | None = None, month: int | None = None,
                     as_of: str = DEFAULT_AS_OF) -> dict[str, DataFrame]:
-    """Period turnover and the monthly history of one request."""
+    """Period attrition and the monthly history of one request."""
     s = spells.materialize(staff)
     return {
-        "turnover_period": turnover.turnover_period(s, year, month, as_of=as_of),
-        "turnover_history": turnover.turnover_history(s, as_of=as_of),
+        "attrition_period": attrition.attrition_period(s, year, month, as_of=as_of),
+        "attrition_history": attrition.attrition_history(s, as_of=as_of),
     }

@@ -101,7 +101,7 @@ def tenure_bands(rows, as_of):
 
 
 def period(rows, as_of, year=None, month=None):
-    """Mean monthly turnover of a period (A4): the four month-list cases."""
+    """Mean monthly attrition of a period (A4): the four month-list cases."""
     if not any(r["hire_date"] is not None for r in rows):
         return None
     if year is not None and month is not None:

@@ -24,7 +24,7 @@ def test_staff_counts(spark):
 
 
 def test_history_first_and_last_rows(spark):
-    h = [tuple(r) for r in catalog.QUERIES["turnover_history"](spark, SF).orderBy("month")
+    h = [tuple(r) for r in catalog.QUERIES["attrition_history"](spark, SF).orderBy("month")
          .select("month", "headcount", "exits", "voluntary").collect()]
     assert len(h) == 83
     assert h[:3] == [("1995-01", 2, 63, 16), ("1995-02", 188, 67, 19), ("1995-03", 374, 57, 19)]

@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from staffline.operators import headcount, insights, kpis, risk, turnover
+from staffline.operators import headcount, insights, kpis, risk, attrition
 from tests.helpers import prepared
 
 AS_OF = "2001-12-01 00:00:00"
@@ -89,12 +89,12 @@ def test_growth_uses_previous_present_row(spark):
     assert got[("2000-01", "A")]["growth_abs"] is None and got[("2000-01", "A")]["growth_pct"] == 0.0
 
 
-def test_flags_and_flagged_turnover(spark):
-    df = turnover.period_flags(prepared(spark, ROWS), 1999, 7)
-    c = one(turnover.period_flag_counts(df))
+def test_flags_and_flagged_attrition(spark):
+    df = attrition.period_flags(prepared(spark, ROWS), 1999, 7)
+    c = one(attrition.period_flag_counts(df))
     assert c == {"active": 1, "exited": 1}
-    t = one(turnover.turnover_flagged(df))
-    assert t["turnover_total"] == 100.0 and t["voluntary"] == 1
+    t = one(attrition.attrition_flagged(df))
+    assert t["attrition_total"] == 100.0 and t["voluntary"] == 1
 
 
 def test_risk_edges(spark):
@@ -127,10 +127,10 @@ def test_minmax_constant_and_nulls(spark):
 
 
 def test_forecast_message_only_below_three_months(spark):
-    h = spark.createDataFrame([("2000-01", 1.0), ("2000-02", 2.0)], "month string, turnover_total double")
+    h = spark.createDataFrame([("2000-01", 1.0), ("2000-02", 2.0)], "month string, attrition_total double")
     f = one(insights.forecast(h))
     assert f["trend"] is None and f["message"].startswith("Dados insuficientes")
-    h3 = spark.createDataFrame([("2000-01", 1.0), ("2000-02", 2.0), ("2000-03", 3.0)], "month string, turnover_total double")
+    h3 = spark.createDataFrame([("2000-01", 1.0), ("2000-02", 2.0), ("2000-03", 3.0)], "month string, attrition_total double")
     f3 = one(insights.forecast(h3))
     assert f3["trend"] == "crescente" and f3["slope"] == 1.0 and f3["forecast_1"] == 4.0 and f3["forecast_3"] == 6.0
 
@@ -149,8 +149,8 @@ def test_voluntary_word_mode(spark):
     rows = [{"hire_date": D(2000, 1, 1), "exit_date": D(2000, 5, 10), "exit_reason": "Involuntário"},
             {"hire_date": D(2000, 1, 1), "exit_date": D(2000, 5, 11), "exit_reason": "Pedido de demissão"}]
     df = prepared(spark, rows)
-    compat = {r["month"]: r for r in turnover.turnover_history(df, as_of=AS_OF).collect()}["2000-05"]
-    word = {r["month"]: r for r in turnover.turnover_history(df, as_of=AS_OF, mode="word").collect()}["2000-05"]
+    compat = {r["month"]: r for r in attrition.attrition_history(df, as_of=AS_OF).collect()}["2000-05"]
+    word = {r["month"]: r for r in attrition.attrition_history(df, as_of=AS_OF, mode="word").collect()}["2000-05"]
     assert compat["voluntary"] == 2  # 'involuntário' contains 'voluntário' (reference rule)
     assert word["voluntary"] == 1
 

@@ -15,16 +15,16 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["turnover_history", "turnover_period_all", "turnover_period_year",
-                                  "turnover_by_department", "headcount_monthly", "headcount_monthly_tenure",
+@pytest.mark.parametrize("name", ["attrition_history", "attrition_period_all", "attrition_period_year",
+                                  "attrition_by_department", "headcount_monthly", "headcount_monthly_tenure",
                                   "headcount_at", "contract_mix", "risk_scores", "growth_summary",
-                                  "turnover_compare", "turnover_forecast", "insights"])
+                                  "attrition_compare", "attrition_forecast", "insights"])
 def test_monthly_series_have_no_nested_loop_or_cartesian_join(spark, name):
     checks.assert_linear_plan(catalog.QUERIES[name](spark, SF))  # one-row values come in as scalar subqueries
 
 
 def test_history_scans_staff_columns_only(spark):
-    cols = checks.scanned_columns(catalog.QUERIES["turnover_history"](spark, SF))
+    cols = checks.scanned_columns(catalog.QUERIES["attrition_history"](spark, SF))
     # each scan reads only the columns the mapping needs, not the whole table
     assert cols["lineitem.parquet"] == {"l_orderkey", "l_returnflag", "l_shipdate"}
     assert cols["orders.parquet"] == {"o_orderkey", "o_custkey", "o_orderdate"}
@@ -32,7 +32,7 @@ def test_history_scans_staff_columns_only(spark):
 
 def test_history_windows_are_month_grain(spark):
     """The only window runs after the month-grain aggregate (HashAggregate below it)."""
-    df = catalog.QUERIES["turnover_history"](spark, SF)
+    df = catalog.QUERIES["attrition_history"](spark, SF)
     p = df._jdf.queryExecution().optimizedPlan().toString()
     w = p.index("Window")
     assert "Aggregate" in p[w:], "window must sit above the month-grain aggregate"

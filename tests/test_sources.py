@@ -92,7 +92,7 @@ def test_entry_and_registry(spark):
 
     df = e.entry(spark)
     assert df.count() > 0
-    assert set(df.columns) >= {"month", "headcount", "exits", "turnover_total"}
+    assert set(df.columns) >= {"month", "headcount", "exits", "attrition_total"}
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"save_analysis"}
@@ -118,8 +118,8 @@ def test_report_file_and_bundles(spark):
     assert set(hb) == {"headcount_by_department", "headcount_temporal", "headcount_growth", "headcount_gender",
                        "headcount_tenure", "headcount_performance"}
     assert [tuple(r) for r in hb["headcount_by_department"].collect()] == [("A", 2, 100.0)]
-    tb = bundles.turnover_bundle(df, None, None)
-    assert tb["turnover_history"].count() == 2  # 2000-01 .. 2000-02 (last exit)
+    tb = bundles.attrition_bundle(df, None, None)
+    assert tb["attrition_history"].count() == 2  # 2000-01 .. 2000-02 (last exit)
     ov = {(r["section"], r["metric"]): r["value"] for r in bundles.overview(df).collect()}
     assert ov[("basic_kpis", "total_active")] == 1.0 and ov[("monthly_dismissals", "total_exits")] == 1.0
 

@@ -5,7 +5,7 @@ import datetime as dt
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from staffline.operators import headcount, turnover
+from staffline.operators import headcount, attrition
 from tests import brute
 from tests.helpers import prepared
 
@@ -25,7 +25,7 @@ SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=list(H
 
 
 def _hist(spark, rows):
-    got = turnover.turnover_history(prepared(spark, rows), as_of=AS_OF).orderBy("month").collect()
+    got = attrition.attrition_history(prepared(spark, rows), as_of=AS_OF).orderBy("month").collect()
     return [tuple(r) for r in got]
 
 
@@ -53,17 +53,17 @@ def test_tenure_bands_equal_nested_loop(spark, rows):
 @given(st.lists(spell, min_size=1, max_size=20), st.sampled_from([(2000, 6), (2000, None), (None, 3), (None, None), (2002, None)]))
 def test_period_equals_nested_loop(spark, rows, period):
     y, m = period
-    got = turnover.turnover_period(prepared(spark, rows), y, m, as_of=AS_OF).collect()[0].asDict()
+    got = attrition.attrition_period(prepared(spark, rows), y, m, as_of=AS_OF).collect()[0].asDict()
     used = brute.period(rows, AS_OF_D, y, m)
     if not used:
-        assert got["months_used"] == 0 and got["turnover_total"] == 0.0 and got["avg_headcount"] == 0
+        assert got["months_used"] == 0 and got["attrition_total"] == 0.0 and got["avg_headcount"] == 0
         return
     n = len(used)
     assert got["months_used"] == n
     assert got["avg_headcount"] == int(sum(u[0] for u in used) / n)
     assert abs(got["avg_exits"] - round(sum(u[1] for u in used) / n, 1)) < 1e-9
     mean_rate = sum(u[1] / u[0] * 100 for u in used) / n
-    assert abs(got["turnover_total"] - round(mean_rate, 1)) <= 0.05 + 1e-9
+    assert abs(got["attrition_total"] - round(mean_rate, 1)) <= 0.05 + 1e-9
 
 
 EDGE_ROWS = [
@@ -90,14 +90,14 @@ def test_edge_rows_history(spark):
 
 def test_empty_table(spark):
     df = prepared(spark, [])
-    assert turnover.turnover_history(df, as_of=AS_OF).count() == 0
-    row = turnover.turnover_period(df, as_of=AS_OF).collect()[0]
-    assert row["months_used"] == 0 and row["turnover_total"] == 0.0
+    assert attrition.attrition_history(df, as_of=AS_OF).count() == 0
+    row = attrition.attrition_period(df, as_of=AS_OF).collect()[0]
+    assert row["months_used"] == 0 and row["attrition_total"] == 0.0
 
 
 def test_group_without_exit_runs_to_as_of(spark):
     rows = [{"hire_date": dt.date(2001, 9, 5), "exit_date": None, "department": "A"}]
-    got = turnover.turnover_history(prepared(spark, rows), by=["department"], as_of=AS_OF).collect()
+    got = attrition.attrition_history(prepared(spark, rows), by=["department"], as_of=AS_OF).collect()
     assert [r["month"] for r in got] == ["2001-10", "2001-11", "2001-12"]
 
 
@@ -115,7 +115,7 @@ def test_group_series_count_ids_only(spark):
     tb = {(r["month"], r["band_no"]): r["headcount"] for r in headcount.headcount_monthly_tenure(p, AS_OF).collect()}
     assert tb[("2001-01", 1)] == 1
     # the history counts rows
-    h = {r["month"]: r["headcount"] for r in turnover.turnover_history(p, as_of=AS_OF).collect()}
+    h = {r["month"]: r["headcount"] for r in attrition.attrition_history(p, as_of=AS_OF).collect()}
     assert h["2001-01"] == 2
 
 
@@ -139,10 +139,10 @@ def test_exit_type_column_decides_alone(spark):
             {"hire_date": dt.date(2000, 1, 1), "exit_date": dt.date(2000, 3, 11), "exit_reason": "Dispensa"}]
     df = prepared(spark, rows)
     typed = df.withColumn("exit_type", F.when(F.col("employee_id") == 2, F.lit("Voluntário")).otherwise(F.lit(None)))
-    march = {r["month"]: r for r in turnover.turnover_history(typed, as_of=AS_OF).collect()}["2000-03"]
+    march = {r["month"]: r for r in attrition.attrition_history(typed, as_of=AS_OF).collect()}["2000-03"]
     # the type column exists, so the reason is ignored even where the type is null
     assert (march["exits"], march["voluntary"]) == (2, 1)
-    plain = {r["month"]: r for r in turnover.turnover_history(df, as_of=AS_OF).collect()}["2000-03"]
+    plain = {r["month"]: r for r in attrition.attrition_history(df, as_of=AS_OF).collect()}["2000-03"]
     assert plain["voluntary"] == 1
 
 
@@ -164,7 +164,7 @@ keyed_spell = st.fixed_dictionaries({
 @given(st.lists(keyed_spell, min_size=1, max_size=25))
 def test_invariants(spark, rows):
     df = prepared(spark, rows)
-    hist = {r["month"]: r for r in turnover.turnover_history(df, as_of=AS_OF).collect()}
+    hist = {r["month"]: r for r in attrition.attrition_history(df, as_of=AS_OF).collect()}
     by_dept = {}
     for r in headcount.headcount_monthly(df, "department", AS_OF).collect():
         by_dept[r["month"]] = by_dept.get(r["month"], 0) + r["headcount"]

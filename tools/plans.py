@@ -11,8 +11,8 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-DEFAULT = ["turnover_history", "headcount_monthly_tenure", "latest_review", "team_size", "risk_scores",
-           "turnover_period_month_all_years"]
+DEFAULT = ["attrition_history", "headcount_monthly_tenure", "latest_review", "team_size", "risk_scores",
+           "attrition_period_month_all_years"]
 
 
 def main() -> None:

@@ -19,7 +19,7 @@ def main() -> None:
     from pyspark.sql import functions as F
 
     from staffline import fixture
-    from staffline.operators import headcount, prepare, turnover
+    from staffline.operators import headcount, prepare, attrition
     from staffline.session import build_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
@@ -37,7 +37,7 @@ def main() -> None:
         )
         staff = prepare.prepare_staff(blown, None, fixture.AS_OF)
         out = {"k": k, "spells": None}
-        for name, fn in (("turnover_history", lambda s: turnover.turnover_history(s, as_of=fixture.AS_OF)),
+        for name, fn in (("attrition_history", lambda s: attrition.attrition_history(s, as_of=fixture.AS_OF)),
                          ("headcount_monthly_tenure", lambda s: headcount.headcount_monthly_tenure(s, fixture.AS_OF))):
             t0 = time.perf_counter()
             fn(staff).write.format("noop").mode("overwrite").save()

@@ -42,7 +42,7 @@ def bounded_sample(df: DataFrame, most: int, *key: str) -> DataFrame:
     h = F.xxhash64(*key)
     n = df.count()
     if n > most:
-        bound = -(1 << 63) + int(min(1.0, (1.2 * most + 1000) / n) * ((1 << 64) - 1))
+        bound = min((1 << 63) - 1, int((min(1.0, (1.2 * most + 1000) / n) - 0.5) * (1 << 64)))
         near = df.filter(h <= F.lit(bound))
         df = near if near.count() >= most else df  # few distinct keys may all hash high
     return df.orderBy(h, *key).limit(most)

@@ -2,9 +2,10 @@
 
 Equal vectors are first joined into classes. A coarse quantiser (k-means on a bounded sample) deals
 the classes into inverted lists; each class's residual is coded by sub-space. A class looks into every
-list whose border it is near enough to: a vector within the link distance r can lie behind a border
-only if the border is within r, and for noise without a preferred direction within about
-r * z / sqrt(dimension), z standard deviations; ``probe_z`` sets z.
+list whose border with its own is near enough. A link of length r across a border has one end within
+r / 2 of it, and one look, from either end, finds the link; so borders within r / 2 are enough for all
+links. For noise without a preferred direction r is seen across a border as about r / sqrt(dimension),
+and ``probe_z`` standard deviations of that are looked through (never more than r / 2).
 
 Inside a list, queries meet members in blocks of bounded size. Table look-ups give the inner product
 with each member's quantised form; as the member's quantisation error is known, every pair that could
@@ -125,7 +126,7 @@ def class_links(classes: DataFrame, dim: int, count: int, threshold: float, prob
     block (other = node), and forest edges (links = 0)."""
     sample = bounded_sample(classes.select("node", "v"), sample_rows, "node").select("v").toArrow()  # sample_rows at most
     quantiser = Quantiser(matrix(sample["v"], dim), max(1, min(max_lists, round(count / per_list))), parts, codes)
-    margin = math.sqrt(2 - 2 * threshold) * min(1.0, probe_z / math.sqrt(dim))
+    margin = math.sqrt(2 - 2 * threshold) / 2 * min(1.0, probe_z / math.sqrt(dim))
 
     def assign(batches):
         for batch in batches:

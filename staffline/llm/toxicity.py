@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staffline.llm.store import staged
+from staffline.llm.store import bounded_sample, staged
 
 FOLDS = 5
 WORD = re.compile(r"[^\W\d_]+")
@@ -175,33 +175,35 @@ def label_model(patterns: DataFrame, voters: int, prior: float) -> tuple[float,
     """patterns: (votes, label or null, n). Bias and weight of each voter's firing against not firing,
     so that the posterior is the sigmoid of bias + sum of weights of the voters that fire."""
 
-    def weights(t: np.ndarray, c: np.ndarray, share: float, d: np.ndarray | float = 1.0) -> tuple[float, np.ndarray]:
+    def weights(t: np.ndarray, c: np.ndarray, share: float, d: np.ndarray) -> tuple[float, np.ndarray]:
         t, c, share = np.clip(t, 1e-5, 1 - 1e-5), np.clip(c, 1e-5, 1 - 1e-5), min(max(share, 1e-4), 1 - 1e-4)
         off = np.log((1 - t) / (1 - c))
         return math.log(share / (1 - share)) + float((d * off).sum()), d * (np.log(t / c) - off)
 
-    n, yes, fire, fire_t = _vote_sums(patterns, voters, 0.0, np.zeros(voters), labelled_only=True)
-    share = prior
-    t, c = (fire_t.diagonal() + 0.5) / (yes + 1), ((fire - fire_t).diagonal() + 0.5) / (n - yes + 1)
-    bias, w = weights(t, c, share)
-    for _ in range(EM_STEPS):
-        n, yes, fire, fire_t = _vote_sums(patterns, voters, bias, w)
-        t, c = (fire_t.diagonal() + 0.1) / (yes + 1), ((fire - fire_t).diagonal() + 0.1) / (n - yes + 1)
-        share = yes / max(n, 1.0)
-        now = weights(t, c, share)
+    def discount(n: float, yes: float, both: np.ndarray, both_t: np.ndarray, t: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """What two voters share beyond their class counts once: 1 / (1 + correlations inside a class),
+        of those that chance alone would not give in a class of that size."""
+        corr = np.zeros((voters, voters))
+        for size, pairs, r in ((yes, both_t, t), (n - yes, both - both_t, c)):
+            sd = np.sqrt(np.maximum(r * (1 - r), 1e-6))
+            one = (pairs / max(size, 1.0) - np.outer(r, r)) / np.outer(sd, sd)
+            corr = np.maximum(corr, np.where(one < max(0.1, 3 / math.sqrt(max(size, 1.0))), 0, np.minimum(one, 1)))
+        np.fill_diagonal(corr, 0)
+        return 1 / (1 + corr.sum(1))
+
+    bias, w = 0.0, np.zeros(voters)
+    for step in range(EM_STEPS + 1):  # the first from the labelled rows alone
+        n, yes, both, both_t = _vote_sums(patterns, voters, bias, w, labelled_only=step == 0)
+        few = 0.1 if step else 0.5
+        t, c = (both_t.diagonal() + few) / (yes + 1), ((both - both_t).diagonal() + few) / (n - yes + 1)
+        if not step:  # correlations as the labels show them: the model's own classes would hide them
+            apart = discount(n, yes, both, both_t, t, c)
+        now = weights(t, c, yes / max(n, 1.0) if step else prior, apart)
         moved = max(abs(now[0] - bias), float(np.abs(now[1] - w).max(initial=0)))
         bias, w = now
-        if moved < 0.01:
+        if step and moved < 0.01:
             break
-
-    # correlations inside a class: what two voters share beyond it counts once
-    corr = np.zeros((voters, voters))
-    for size, both, r in ((yes, fire_t, t), (n - yes, fire - fire_t, c)):
-        sd = np.sqrt(np.maximum(r * (1 - r), 1e-6))
-        corr = np.maximum(corr, (both / max(size, 1.0) - np.outer(r, r)) / np.outer(sd, sd))
-    np.fill_diagonal(corr, 0)
-    corr = np.where(corr < 0.1, 0, np.minimum(corr, 1))
-    return weights(t, c, share, 1 / (1 + corr.sum(1)))
+    return bias, w
 
 
 def fit_linear(rows: list[np.ndarray], dense: np.ndarray, target: np.ndarray, n_entries: int,
@@ -252,7 +254,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
              .filter((F.col("id").isNotNull()) & F.col("label").isin(0, 1))
              .groupBy("id").agg(F.max("label").alias("label")).filter(~held_out("id")))
     known = staged(known, "toxic-labels")
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+    sample = bounded_sample(known, max_labelled, "id")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     labelled = staged(texts.join(F.broadcast(sample), "id"), "toxic-sample")  # max_labelled ids at most
     sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -275,8 +277,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     patterns = staged(train.groupBy("votes", "label").agg(F.count("*").alias("n")), "toxic-votes")
     bias, w = label_model(patterns, lex.n_voters, prior)
 
-    rows = train.select("id", "votes", "entries", "patterns", "label").orderBy(
-        F.xxhash64("id"), "id", "votes", "entries").limit(max_train).collect()  # max_train rows at most
+    rows = bounded_sample(train, max_train, "id", "votes", "entries").collect()  # max_train rows at most
     target = np.empty(len(rows))
     for i, r in enumerate(rows):
         z = bias + sum(w[j] for j in range(lex.n_voters) if r["votes"] >> j & 1)

@@ -1,8 +1,8 @@
 """Bundles (A25-A27): several KPIs over one prepared staff table.
 
-The prepared staff table is checkpointed once into the shared checkpoint folder, so the
-bundle's sub-queries scan it instead of re-running the preparation pipeline, and a lost
-executor does not replay it.
+The columns the parts read are written once as Parquet in the shared folder, so the bundle's
+sub-queries scan (and prune) that instead of re-running the preparation, and a lost executor
+does not replay it.
 """
 
 from __future__ import annotations
@@ -29,11 +29,20 @@ def _tidy(df: DataFrame, section: str) -> DataFrame:
     return df.select(F.lit(section).alias("section"), F.inline(rows))
 
 
+#: What the parts of a bundle read of the prepared staff table.
+READ = ("employee_id", "department", "role", "gender", "contract_type", "rating", "hire_date", "exit_date", "exit_reason",
+        "exit_type", "has_exit_type", "active", "tenure_months")
+
+
+def _narrow(staff: DataFrame) -> DataFrame:
+    return spells.materialize(staff.select(*[c for c in READ if c in staff.columns]))
+
+
 def overview(staff: DataFrame, year: int | None = None, month: int | None = None,
              as_of: str = DEFAULT_AS_OF) -> DataFrame:
     """Basic KPIs, period attrition, whole-history attrition, contract mix, monthly exits and
     tenure at exit as one tidy (section, metric, value) table."""
-    s = spells.materialize(staff)
+    s = _narrow(staff)
     parts = [
         _tidy(kpis.basic_kpis(s), "basic_kpis"),
         _tidy(attrition.attrition_period(s, year, month, as_of=as_of), "attrition"),
@@ -55,7 +64,7 @@ def overview(staff: DataFrame, year: int | None = None, month: int | None = None
 def headcount_bundle(staff: DataFrame, year: int | None = None, month: int | None = None,
                      as_of: str = DEFAULT_AS_OF, anchor: str = "start") -> dict[str, DataFrame]:
     """The headcount analyses of one request (REST anchors a month at its first day)."""
-    s = spells.materialize(staff)
+    s = _narrow(staff)
     monthly = headcount.headcount_monthly(s, "department", as_of)
     return {
         "headcount_by_department": headcount.headcount_at(s, "department",
@@ -71,7 +80,7 @@ def headcount_bundle(staff: DataFrame, year: int | None = None, month: int | Non
 def attrition_bundle(staff: DataFrame, year: int | None = None, month: int | None = None,
                     as_of: str = DEFAULT_AS_OF) -> dict[str, DataFrame]:
     """Period attrition and the monthly history of one request."""
-    s = spells.materialize(staff)
+    s = _narrow(staff)
     return {
         "attrition_period": attrition.attrition_period(s, year, month, as_of=as_of),
         "attrition_history": attrition.attrition_history(s, as_of=as_of),

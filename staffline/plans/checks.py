@@ -1,12 +1,10 @@
 """Plan checks on a DataFrame's physical plan (what the tests assert, usable by callers too).
 
-They read the executed plan string (after AQE when the DataFrame has run), nothing else.
+They read the plan nodes or, for joins, the plan's text; nothing runs.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 
 
@@ -20,20 +18,31 @@ def nested_loop_or_cartesian(df: DataFrame) -> list[str]:
             if "BroadcastNestedLoopJoin" in ln or "CartesianProduct" in ln]
 
 
+def _scans(df: DataFrame) -> list:
+    """The Parquet scan nodes of the physical plan and of its scalar subqueries."""
+    def items(seq) -> list:
+        return [seq.apply(i) for i in range(seq.size())]
+
+    plan = df._jdf.queryExecution().sparkPlan()
+    plans = [plan, *items(plan.subqueriesAll())]
+    return [n for p in plans for n in items(p.collectLeaves()) if n.nodeName().startswith("Scan parquet")]
+
+
 def scanned_columns(df: DataFrame) -> dict[str, set[str]]:
-    """For every Parquet scan: file name → the columns it reads (``ReadSchema``)."""
+    """For every Parquet scan: file name → the columns it reads, from the scan nodes themselves."""
     out: dict[str, set[str]] = {}
-    for ln in physical_plan(df).splitlines():
-        if "FileScan parquet" not in ln:
-            continue
-        loc = re.search(r"Location: \w+\(?.*?\[(?:file:)?([^\]]+)\]", ln)
-        schema = re.search(r"ReadSchema: struct<(.*)>", ln)
-        name = loc.group(1).rstrip("/").split("/")[-1] if loc else "?"
-        cols = {f.split(":")[0] for f in re.split(r",(?![^<]*>)", schema.group(1))} if schema and schema.group(1) else set()
-        out.setdefault(name, set()).update(cols)
+    for n in _scans(df):
+        path = n.relation().location().rootPaths().apply(0).toString()
+        name = path.rstrip("/").split("/")[-1]
+        out.setdefault(name, set()).update(n.requiredSchema().fieldNames())
     return out
 
 
+def exchanges(df: DataFrame) -> int:
+    """Shuffles that the plan needs before run-time changes."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
 def assert_linear_plan(df: DataFrame) -> None:
     """No join in the plan pairs every row with every row of another input."""
     bad = nested_loop_or_cartesian(df)

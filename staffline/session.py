@@ -53,15 +53,22 @@ def _configured_root(spark: SparkSession) -> str | None:
     return None
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process (``local[...]``, not ``local-cluster``)."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A folder every executor can reach.
 
     On a cluster this is under the ``spark.checkpoint.dir`` the cluster names (or the checkpoint
-    folder already set on the context). Only when neither is set (local tests) do we make one of
-    our own and register it as the checkpoint folder, so later ``checkpoint()`` calls land there.
+    folder already set on the context). Only on a local master with neither set (tests) do we make
+    one of our own; on any other master that is an error, as executors could not reach it.
     """
     root = _configured_root(spark)
     if not root:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="staffline-ckpt-")
         try:
             spark.conf.set(_CHECKPOINT_KEY, root)
@@ -71,8 +78,6 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     path = root.rstrip("/")
     for p in parts:
         path = f"{path}/{p}"
-    if path.startswith("/") or path.startswith("file:"):
-        os.makedirs(path.replace("file:", "", 1), exist_ok=True)
     return path
 
 

@@ -1,9 +1,10 @@
 """Table sources and sinks.
 
-Datasets are Parquet tables partitioned by ``dataset_id`` under one root: writes overwrite only
-the partitions they carry (dynamic partition overwrite), reads prune to one partition. The
-catalog and the tombstones are append-only tables next to them; a delete is a tombstone row
-and a ``left_anti`` join on read, so nothing is rewritten in place.
+Datasets are Parquet tables partitioned by ``owner`` and ``dataset_id`` under one root: writes
+overwrite only the partition they name, reads prune to it. The catalog and the tombstones are
+append-only tables next to them. The newest catalog row of a dataset is its entry, and a delete is a
+tombstone that hides entries not newer than it, so nothing is rewritten in place and a dataset
+saved again after a delete is there again.
 """
 
 from __future__ import annotations
@@ -22,11 +23,20 @@ CATALOG_SCHEMA = T.StructType([
     T.StructField("created_at", T.TimestampNTZType()),
 ])
 TOMBSTONE_SCHEMA = T.StructType([
+    T.StructField("owner", T.StringType()),
     T.StructField("dataset_id", T.StringType()),
     T.StructField("deleted_at", T.TimestampNTZType()),
 ])
 
 
+RESULT_SCHEMA = T.StructType([
+    T.StructField("dataset_id", T.StringType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("result_json", T.StringType()),
+    T.StructField("created_at", T.TimestampNTZType()),
+])
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", **options) -> DataFrame:
     """Read a table with a fixed schema (no inference); a missing path gives an empty table."""
     try:
@@ -37,24 +47,57 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
         raise
 
 
-def write_dataset(df: DataFrame, root: str, table: str, dataset_id: str) -> None:
-    """Store one table of a dataset, replacing that dataset's partition only."""
-    (df.withColumn("dataset_id", F.lit(dataset_id))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("dataset_id").parquet(f"{root}/{table}"))
+def write_dataset(df: DataFrame, root: str, table: str, dataset_id: str, owner: str = "") -> None:
+    """Store one table of an owner's dataset, replacing that partition only (an empty table
+    leaves an empty one)."""
+    df.write.mode("overwrite").parquet(_partition(root, table, owner, dataset_id))
+
 
+def _partition(root: str, table: str, owner: str, dataset_id: str) -> str:
+    from urllib.parse import quote
 
-def read_dataset(spark: SparkSession, root: str, table: str, dataset_id: str) -> DataFrame:
-    """One dataset's table (partition pruning on ``dataset_id``), hidden once deleted."""
-    df = spark.read.parquet(f"{root}/{table}").where(F.col("dataset_id") == F.lit(dataset_id))
-    tomb = read_table(spark, f"{root}/_deleted", TOMBSTONE_SCHEMA).select("dataset_id").distinct()
-    return df.join(tomb, "dataset_id", "left_anti").drop("dataset_id")
+    folder = lambda v: quote(v, safe=" .-_") if v else "__HIVE_DEFAULT_PARTITION__"
+    return f"{root}/{table}/owner={folder(owner)}/dataset_id={folder(dataset_id)}"
 
 
-def register_dataset(df: DataFrame, root: str, owner: str, dataset_id: str, name: str, file_name: str,
-                     created_at: str) -> None:
-    """Append one catalog row (row count from one aggregate of the stored table)."""
-    row = df.agg(F.count(F.lit(1)).alias("rows")).select(
+def _latest_entries(spark: SparkSession, root: str) -> DataFrame:
+    """The newest catalog row of each dataset, without those deleted since."""
+    cat = read_table(spark, f"{root}/_catalog", CATALOG_SCHEMA)
+    rest = [f.name for f in CATALOG_SCHEMA.fields if f.name not in ("owner", "dataset_id")]
+    last = cat.groupBy("owner", "dataset_id").agg(
+        F.max(F.struct("created_at", *[c for c in rest if c != "created_at"])).alias("e"))
+    tomb = read_table(spark, f"{root}/_deleted", TOMBSTONE_SCHEMA).groupBy("owner", "dataset_id").agg(
+        F.max("deleted_at").alias("deleted_at"))
+    entries = last.select("owner", "dataset_id", *[F.col(f"e.{c}").alias(c) for c in rest])
+    return entries.join(tomb, ["owner", "dataset_id"], "left").where(
+        F.col("deleted_at").isNull() | (F.col("created_at") > F.col("deleted_at"))).drop("deleted_at")
+
+
+def read_dataset(spark: SparkSession, root: str, table: str, dataset_id: str, owner: str = "",
+                 schema: T.StructType | None = None) -> DataFrame:
+    """One dataset's table, hidden once deleted. Without data (or none of this table) it is empty:
+    with ``schema`` an empty table of that schema, else an empty one without columns."""
+    path = _partition(root, table, owner, dataset_id)
+    reader = spark.read.schema(schema) if schema else spark.read
+    try:
+        df = reader.parquet(path)
+    except AnalysisException as ex:
+        if "PATH_NOT_FOUND" in str(ex) or "Path does not exist" in str(ex):
+            return spark.createDataFrame([], schema or T.StructType([]))
+        raise
+    mine = (F.col("owner") == F.lit(owner)) & (F.col("dataset_id") == F.lit(dataset_id))
+    deleted = read_table(spark, f"{root}/_deleted", TOMBSTONE_SCHEMA).where(mine).agg(F.max("deleted_at").alias("d"))
+    created = read_table(spark, f"{root}/_catalog", CATALOG_SCHEMA).where(mine).agg(F.max("created_at").alias("c"))
+    gone, made = deleted.scalar(), created.scalar()
+    return df.where(gone.isNull() | F.coalesce(made > gone, F.lit(False)))
+
+
+def register_dataset(spark: SparkSession, root: str, table: str, owner: str, dataset_id: str, name: str,
+                     file_name: str, created_at: str) -> None:
+    """The dataset's catalog row (an upsert: the newest row counts), with the number of rows of the
+    stored ``table``."""
+    stored = spark.read.parquet(_partition(root, table, owner, dataset_id))
+    row = stored.agg(F.count(F.lit(1)).alias("rows")).select(
         F.lit(owner).alias("owner"), F.lit(dataset_id).alias("dataset_id"), F.lit(name).alias("name"),
         F.lit(file_name).alias("file_name"), F.col("rows").cast("long"),
         F.lit(created_at).cast("timestamp_ntz").alias("created_at"))
@@ -63,15 +106,14 @@ def register_dataset(df: DataFrame, root: str, owner: str, dataset_id: str, name
 
 def list_datasets(spark: SparkSession, root: str, owner: str) -> DataFrame:
     """An owner's datasets that are not deleted, newest first."""
-    cat = read_table(spark, f"{root}/_catalog", CATALOG_SCHEMA).where(F.col("owner") == F.lit(owner))
-    tomb = read_table(spark, f"{root}/_deleted", TOMBSTONE_SCHEMA).select("dataset_id").distinct()
-    return cat.join(tomb, "dataset_id", "left_anti").orderBy(F.desc("created_at"), "dataset_id")
+    mine = _latest_entries(spark, root).where(F.col("owner") == F.lit(owner))
+    return mine.orderBy(F.desc("created_at"), "dataset_id")
 
 
-def delete_dataset(spark: SparkSession, root: str, dataset_id: str, deleted_at: str) -> None:
-    """Append a tombstone; readers drop the dataset with a ``left_anti`` join."""
-    spark.createDataFrame([(dataset_id,)], "dataset_id string").select(
-        "dataset_id", F.lit(deleted_at).cast("timestamp_ntz").alias("deleted_at")
+def delete_dataset(spark: SparkSession, root: str, dataset_id: str, deleted_at: str, owner: str = "") -> None:
+    """Append a tombstone; readers drop what was saved before it."""
+    spark.createDataFrame([(owner, dataset_id)], "owner string, dataset_id string").select(
+        "owner", "dataset_id", F.lit(deleted_at).cast("timestamp_ntz").alias("deleted_at")
     ).write.mode("append").parquet(f"{root}/_deleted")
 
 
@@ -85,7 +127,7 @@ def save_result(result: DataFrame, root: str, dataset_id: str, kind: str, create
 
 
 def read_results(spark: SparkSession, root: str, dataset_id: str, kind: str | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{root}/_results").where(F.col("dataset_id") == F.lit(dataset_id))
+    df = read_table(spark, f"{root}/_results", RESULT_SCHEMA).where(F.col("dataset_id") == F.lit(dataset_id))
     return df if kind is None else df.where(F.col("kind") == F.lit(kind))
 
 
@@ -105,8 +147,9 @@ def null_clean(df: DataFrame) -> DataFrame:
 
 
 def to_records(df: DataFrame) -> DataFrame:
-    """One JSON object per row (``json``), built on the executors."""
-    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
+    """One JSON object per row (``json``), null fields included, built on the executors."""
+    return df.select(F.to_json(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_report(lines: DataFrame, path: str) -> None:

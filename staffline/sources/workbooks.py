@@ -100,8 +100,8 @@ def parse_workbook(path: str, content: bytes):
             if i == 0:
                 header = {k: v.strip().lower() for k, v in values.items() if v is not None and v.strip()}
                 continue
-            cells = {header[k]: v for k, v in values.items() if k in header}
-            if cells:
+            cells = {h: values.get(k) for k, h in header.items()}  # every header, blank cells as null
+            if any(v is not None for v in cells.values()):
                 yield (path, sh.get("name"), i, cells, None)
 
 
@@ -146,7 +146,12 @@ def sheet_table(rows: DataFrame, table: str, keep_path: bool = False) -> DataFra
         return F.coalesce(*[F.col("cells").getItem(h) for h in heads]).alias(name)
 
     cols = [F.col("row_no").cast("long").alias("seq") if f.name == "seq" else cell(f.name) for f in schema.fields]
-    cols += [cell(f.name) for f in (optional.fields if optional else [])]
+    for f in (optional.fields if optional else []):
+        if f.name == "has_exit_type":  # whether the row's own sheet has the header
+            heads = [h for h, ours in HEADER_NAMES.items() if ours == "exit_type"] + ["exit_type"]
+            cols.append(F.arrays_overlap(F.map_keys("cells"), F.array(*[F.lit(h) for h in heads])).alias(f.name))
+        else:
+            cols.append(cell(f.name))
     if keep_path:  # which workbook (upload) each row came from
         return conform(r.select(*cols, "path"), schema, optional, keep=("path",))
     return conform(r.select(*cols), schema, optional)

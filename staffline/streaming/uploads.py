@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import shared_dir
 from ..sources.workbooks import _parse_batches, OUT_SCHEMA, sheet_table
 
 DATASET_FROM_PATH = r"([^/]+)\.xlsx$"
@@ -27,11 +26,12 @@ def _store_batch(root: str, owner: str):
         rows = rows.persist()
         try:
             dataset = F.regexp_extract("path", DATASET_FROM_PATH, 1)
+            owned = F.lit(owner)
             for table in ("company", "staff", "reviews"):
                 t = sheet_table(rows, table, keep_path=True)
-                (t.withColumn("dataset_id", dataset).drop("path")
+                (t.withColumn("owner", owned).withColumn("dataset_id", dataset).drop("path")
                  .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                 .partitionBy("dataset_id").parquet(f"{root}/{table}"))
+                 .partitionBy("owner", "dataset_id").parquet(f"{root}/{table}"))
             staff_rows = sheet_table(rows, "staff", keep_path=True)
             (rows.where(F.col("error").isNull()).select("path").distinct()
              .join(staff_rows.groupBy("path").agg(F.count(F.lit(1)).alias("rows")), "path", "left")
@@ -50,12 +50,13 @@ def _store_batch(root: str, owner: str):
 
 
 def ingest_uploads(spark: SparkSession, upload_dir: str, root: str, owner: str,
-                   available_now: bool = True, checkpoint: str | None = None) -> StreamingQuery:
-    """Start the ingestion stream; with ``available_now`` it processes what is there and stops."""
+                   checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Start the ingestion stream; with ``available_now`` it processes what is there and stops.
+    ``checkpoint`` is a lasting shared folder: with another one all files are read again."""
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", "*.xlsx")
              .option("recursiveFileLookup", "true").load(upload_dir).select("path", "content"))
     rows = files.mapInPandas(_parse_batches, OUT_SCHEMA)
     writer = (rows.writeStream.foreachBatch(_store_batch(root, owner))
-              .option("checkpointLocation", checkpoint or shared_dir(spark, "staffline-uploads-ckpt", owner)))
+              .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

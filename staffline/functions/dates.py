@@ -12,16 +12,12 @@ from pyspark.sql import functions as F
 # Default reference instant for every query over the test tables ("now" in the reference).
 DEFAULT_AS_OF = "2001-12-01 00:00:00"
 
-# Text formats tried, in order, when a date arrives as text (see ``coerce_timestamp``).
-DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "dd/MM/yyyy HH:mm:ss",
-    "dd/MM/yyyy",
-    "yyyy/MM/dd",
-    "dd-MM-yyyy",
-)
+# Spellings of a date that arrives as text (see ``coerce_timestamp``): year first, year last, compact;
+# each with an optional time (seconds, fraction and zone optional).
+_TIME = r"(?:[T ]+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?"
+YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _TIME + "$"
+YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + _TIME + "$"
+COMPACT = r"^(\d{4})(\d{2})(\d{2})" + _TIME + "$"
 
 
 def ts_lit(value: str) -> Column:
@@ -38,12 +34,6 @@ def month_floor(d: Column) -> Column:
     return F.trunc(d, "MM")
 
 
-def month_ceil(d: Column) -> Column:
-    """``d`` itself when it is a month start, else the next month start."""
-    start = F.trunc(d, "MM")
-    return F.when(start == d, start).otherwise(F.add_months(start, 1))
-
-
 def month_label(d: Column) -> Column:
     """'yyyy-MM' label of a month start."""
     return F.date_format(d, "yyyy-MM")
@@ -59,11 +49,32 @@ def month_sequence(lo: Column, hi: Column) -> Column:
     return F.when(lo <= hi, F.sequence(lo, hi, F.expr("INTERVAL 1 MONTH")))
 
 
-def coerce_timestamp(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """Text → TIMESTAMP_NTZ; anything unparseable becomes null (never raises under ANSI)."""
+def coerce_timestamp(c: Column, day_first: bool = False) -> Column:
+    """Text → TIMESTAMP_NTZ; anything that is no date becomes null (never raises under ANSI).
+
+    Year-first, year-last and compact dates with one- or two-digit parts and an optional time; a zone
+    is dropped, so the wall-clock time stays. Year-last dates are read month first, as the reference
+    reads them, or day first on request; a first part above 12 is a day either way, and so is a
+    second one."""
     text = F.trim(c.cast("string"))
-    parsed = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+
+    def part(pattern: str, i: int) -> Column:
+        return F.regexp_extract(text, pattern, i)
+
+    def built(pattern: str, y: Column, m: Column, d: Column) -> Column:
+        pad = lambda x: F.when(x == "", F.lit("00")).otherwise(F.lpad(x, 2, "0"))
+        fraction = F.rpad(F.substring(part(pattern, 7), 1, 6), 6, "0")
+        iso = F.concat(y, F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0"), F.lit(" "), pad(part(pattern, 4)),
+                       F.lit(":"), pad(part(pattern, 5)), F.lit(":"), pad(part(pattern, 6)), F.lit("."), fraction)
+        return F.when(text.rlike(pattern), iso.try_cast("timestamp_ntz"))
+
+    a, b = part(YEAR_LAST, 1), part(YEAR_LAST, 2)
+    number = lambda x: x.try_cast("int")
+    a_is_day = (number(a) > 12) | ((number(b) <= 12) & F.lit(day_first))
+    return F.coalesce(
+        built(YEAR_FIRST, part(YEAR_FIRST, 1), part(YEAR_FIRST, 2), part(YEAR_FIRST, 3)),
+        built(YEAR_LAST, part(YEAR_LAST, 3), F.when(a_is_day, b).otherwise(a), F.when(a_is_day, a).otherwise(b)),
+        built(COMPACT, part(COMPACT, 1), part(COMPACT, 2), part(COMPACT, 3)))
 
 
 def make_month(year: Column, month: Column) -> Column:

@@ -7,18 +7,15 @@ from pyspark.sql import functions as F
 
 # ---- fixed values (must equal the reference's for equal results) -------------------------
 # Words that mark an exit as voluntary, searched in the lower-cased exit type or reason.
-VOLUNTARY_WORDS = ("voluntário", "pedido", "demissão", "rescisão")
+VOLUNTARY_PATTERN = "voluntário|pedido|demissão|rescisão"
 # Words that mark a leadership role, searched in the lower-cased role.
-LEADER_WORDS = ("coord", "gerente", "diretor")
+LEADER_PATTERN = "coord|gerente|diretor"
 # Contract value counted as CLT (compared upper-cased) and gender values (compared lower-cased).
 CLT_VALUE = "CLT"
 FEMALE_VALUES = ("feminino",)
 MALE_VALUES = ("masculino", "m")
 # -------------------------------------------------------------------------------------------
 
-VOLUNTARY_PATTERN = "|".join(VOLUNTARY_WORDS)
-LEADER_PATTERN = "|".join(LEADER_WORDS)
-
 
 def contains_any(c: Column, pattern: str) -> Column:
     """Null-safe regex test on the lower-cased text (null → false)."""
@@ -29,17 +26,21 @@ def voluntary_flag(df: DataFrame, mode: str = "compat") -> Column:
     """True when an exit counts as voluntary.
 
     If the table has an ``exit_type`` column it decides alone, also where it is null; otherwise
-    ``exit_reason`` is searched. ``mode='compat'`` is the plain substring search (so
+    ``exit_reason`` is searched. In a table of several data sets ``has_exit_type`` says for each
+    row whether its own set has that column. ``mode='compat'`` is the plain substring search (so
     'involuntário' matches 'voluntário'); ``mode='word'`` requires whole words.
     """
-    source = "exit_type" if "exit_type" in df.columns else "exit_reason"
-    if source not in df.columns:
+    has = [c for c in ("exit_type", "exit_reason") if c in df.columns]
+    if not has:
         return F.lit(False)
+    source = F.col(has[0])
+    if len(has) == 2 and "has_exit_type" in df.columns:
+        source = F.when(F.col("has_exit_type"), source).otherwise(F.col("exit_reason"))
     if mode == "word":
         pattern = r"(?<![\p{L}])(" + VOLUNTARY_PATTERN + r")(?![\p{L}])"
     else:
         pattern = VOLUNTARY_PATTERN
-    return contains_any(F.col(source), pattern)
+    return contains_any(source, pattern)
 
 
 def capitalize_first(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import DEFAULT_AS_OF, date_lit, make_month, month_label
 from ..functions.numeric import pct, round_half_even
 from ..functions.text import voluntary_flag
+from ..schema import absent
 from . import spells
 
 RATE_COLUMNS = ("attrition_total", "attrition_vol", "attrition_inv")
@@ -40,11 +41,18 @@ def history_frame(staff: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT
     return _rates(x.drop("lo", "hi"))
 
 
+def _dated(staff: DataFrame) -> DataFrame:
+    """``staff``, or none of its rows if it came without a hire or exit column: rates are then 0."""
+    undated = absent(staff, "hire_date") or absent(staff, "exit_date")
+    return staff.where(F.lit(False)) if undated else staff
+
+
 def attrition_history(staff: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF,
                      mode: str = "compat") -> DataFrame:
     """A3: per month of the spine, headcount at the month start, exits in the month, voluntary,
     involuntary and the three rates in %. Months with headcount 0 stay, with rate 0.
     With ``by`` each group gets its own spine bounds (as the reference's per-department subsets)."""
+    staff = _dated(staff)
     by = list(by)
     h = history_frame(staff, by, as_of, mode)
     return h.select(
@@ -64,6 +72,7 @@ def attrition_period(staff: DataFrame, year: int | None = None, month: int | Non
     rounded to 1 decimal. No usable month → zeros (per group with ``by``; one row overall).
     One pass: month events → one window → conditional aggregates; no spine join.
     """
+    staff = _dated(staff)
     by = list(by)
     need_years = year is None and month is not None
     ev = spells.month_events(staff, by, mode, years=need_years)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.binning import TENURE_LABELS
 from ..functions.dates import DEFAULT_AS_OF, month_floor, month_label, ts_lit
 from ..functions.numeric import round_half_even
+from ..schema import absent
 from . import spells
 
 
@@ -19,6 +20,17 @@ def active_at(t: Column) -> Column:
     return F.coalesce(F.col("hire_date") <= t, F.lit(False)) & (F.col("exit_date").isNull() | (F.col("exit_date") > t))
 
 
+def counted_at(staff: DataFrame, t: Column) -> Column:
+    """``active_at``, and what stands in for it where the table came without date columns: without a
+    hire column not having left decides, without an exit column the ``active`` column, and without
+    that everyone counts."""
+    if not absent(staff, "exit_date"):
+        if not absent(staff, "hire_date"):
+            return active_at(t)
+        return F.col("exit_date").isNull() | (F.col("exit_date") > t)
+    return F.coalesce(F.col("active"), F.lit(False)) if "active" in staff.columns else F.lit(True)
+
+
 def reference_date(year: int | None, month: int | None, as_of: str = DEFAULT_AS_OF, anchor: str = "end") -> str:
     """A2: the instant a period is measured at. (y, m) → last day of the month (``anchor='end'``,
     dashboard) or its first day (``'start'``, REST); y → 31 Dec; otherwise ``as_of``."""
@@ -35,10 +47,10 @@ def reference_date(year: int | None, month: int | None, as_of: str = DEFAULT_AS_
 def share_of_total(grouped: DataFrame, value: str, out: str, digits: int | None = None) -> DataFrame:
     """``value / sum(value) * 100`` for every row of an already grouped frame.
 
-    The grouped frame is checkpointed (it is small but can have many groups), its total is one
-    global aggregate joined back as a broadcast 1-row table: no window pulls rows into one task.
+    Its total is one global aggregate brought in as a scalar subquery, over the same exchange as
+    the grouped frame itself: no window pulls rows into one task.
     """
-    g = spells.materialize(grouped)
+    g = grouped
     total = g.agg(F.sum(value).alias("_total"))
     share = F.col(value) / F.col("_total") * F.lit(100.0)
     if digits is not None:
@@ -51,7 +63,7 @@ def headcount_at(staff: DataFrame, group: str = "department", at: str = DEFAULT_
     largest first (ties by group)."""
     t = ts_lit(at)
     grouped = (
-        staff.where(active_at(t) & F.col(group).isNotNull())
+        staff.where(counted_at(staff, t) & F.col(group).isNotNull())
         .groupBy(group)
         .agg(F.count("employee_id").alias("headcount"))
     )
@@ -80,7 +92,7 @@ def headcount_compare(staff: DataFrame, year: int | None, month: int | None, gro
 
 def _global_series(staff: DataFrame, group: str, as_of: str) -> DataFrame:
     """Per-group dense series on the global spine (bounds over all rows, null groups included)."""
-    ev = spells.materialize(spells.month_events(staff, [group], id_col="employee_id"))
+    ev = spells.month_events(staff, [group], id_col="employee_id")  # its exchange serves both branches
     end_default = month_floor(F.to_date(ts_lit(as_of)))
     gb = ev.agg(
         F.min(F.when(F.col("hire_mark") > 0, F.col("month"))).alias("lo"),
@@ -143,8 +155,8 @@ def growth(series: DataFrame, group: str = "department") -> DataFrame:
 
 def last_months(series: DataFrame, n: int) -> DataFrame:
     """Rows whose month is among the ``n`` latest distinct months of the whole series.
-    The series is checkpointed; the cut-off comes from its distinct months (calendar-bounded)."""
-    s = spells.materialize(series)
+    The cut-off comes from its distinct months (calendar-bounded)."""
+    s = series
     months = s.select("month").distinct()
     cut = months.select(F.col("month"), F.dense_rank().over(Window.orderBy(F.desc("month"))).alias("_r")) \
         .where(F.col("_r") == n).select(F.col("month").alias("_cut"))

@@ -38,8 +38,8 @@ REPORT_FOOTER = "*Relatório gerado automaticamente.*"
 
 
 def _narrow(staff: DataFrame) -> DataFrame:
-    """The columns the rules read, checkpointed once: three rule branches scan it."""
-    keep = [c for c in ("employee_id", "department", "hire_date", "exit_date", "exit_reason", "exit_type", "active")
+    """The columns the rules read, written once: three rule branches scan it, each its own columns."""
+    keep = [c for c in ("employee_id", "department", "hire_date", "exit_date", "exit_reason", "exit_type", "has_exit_type", "active")
             if c in staff.columns]
     return spells.materialize(staff.select(*keep))
 
@@ -93,7 +93,16 @@ def insights(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "compat")
     four rules: rising rate, mean rate above 5%, worst department above 8%, mean tenure of
     leavers below 12 months. Rules that do not fire give no rows."""
     staff = _narrow(staff)
-    hist = spells.materialize(attrition.attrition_history(staff, as_of=as_of, mode=mode))  # month grain, read twice
+    return _rules(staff, _history(staff, as_of, mode), as_of, mode)
+
+
+def _history(staff: DataFrame, as_of: str, mode: str) -> DataFrame:
+    """The month-grain history, written once for the rules and the report that read it."""
+    return spells.materialize(attrition.attrition_history(staff, as_of=as_of, mode=mode))
+
+
+def _rules(staff: DataFrame, hist: DataFrame, as_of: str, mode: str) -> DataFrame:
+    """The rows of ``insights`` over narrowed staff and its history."""
     hr = _history_rules(hist)
     dept = attrition.attrition_by_department(staff, as_of=as_of, mode=mode)
     worst = dept.agg(
@@ -135,12 +144,12 @@ def report_lines(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "comp
     active total), alerts, recommendations (numbered), footer. Built from metric rows with
     ``format_string``; the rows are few, ``line_no`` orders them."""
     staff = _narrow(staff)
-    hist = attrition.attrition_history(staff, as_of=as_of, mode=mode)
+    hist = _history(staff, as_of, mode)
     hs = hist.agg(F.avg("attrition_total").alias("mean_rate"), F.min("month").alias("m0"),
                   F.max("month").alias("m1"), F.count(F.lit(1)).alias("nh"))
     act = staff.agg(F.count_if(F.col("exit_date").isNull() if "active" not in staff.columns
                                else F.col("active")).alias("n_active"))
-    ins = insights(staff, as_of, mode)
+    ins = spells.materialize(_rules(staff, hist, as_of, mode))  # a handful of rows, read twice
     alerts = ins.where(F.col("kind") == "alert").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "message"))).alias("alerts"))
     recs = ins.where(F.col("kind") == "recommendation").agg(

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import absent
 from ..functions.dates import DEFAULT_AS_OF, months_30, ts_lit
 from ..functions.numeric import round_half_even
 from ..functions.text import CLT_VALUE, FEMALE_VALUES, LEADER_PATTERN, MALE_VALUES, contains_any, voluntary_flag
@@ -99,9 +100,9 @@ def basic_kpis(staff: DataFrame) -> DataFrame:
 
 
 def quality_report(staff: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
-    """(severity, rule, value) rows from one aggregate: errors (empty table, exit before
-    hire), warnings (null hire, hire after ``as_of``), then the statistics rows (total, active,
-    exited). Rules that do not fire are absent; an empty table gives only its error row."""
+    """(severity, rule, value) rows from one aggregate: errors (empty table, no hire column,
+    exit before hire), warnings (no exit column, null hire, hire after ``as_of``), then the
+    statistics rows (total, active, exited). Rules that do not fire are absent; an empty table gives only its error row."""
     h, e = F.col("hire_date"), F.col("exit_date")
     act = _active(staff)
     a = staff.agg(
@@ -113,14 +114,18 @@ def quality_report(staff: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
         F.count_if(~act).alias("exited"),
     )
     n = F.col("total")
+    no_hire, no_exit = absent(staff, "hire_date"), absent(staff, "exit_date")
+
     def rule(order, severity, name, value, fires):
         return F.struct(F.lit(order).alias("ord"), F.lit(severity).alias("severity"), F.lit(name).alias("rule"),
                         value.cast("long").alias("value"), fires.alias("fires"))
 
     rows = F.array(
         rule(1, "error", "empty_table", F.lit(0), n == 0),
+        rule(1, "error", "missing_hire_column", F.lit(0), F.lit(no_hire) & (n > 0)),
+        rule(2, "warning", "missing_exit_column", F.lit(0), F.lit(no_exit) & (n > 0)),
         rule(2, "error", "exit_before_hire", F.col("exit_before_hire"), (n > 0) & (F.col("exit_before_hire") > 0)),
-        rule(3, "warning", "null_hire_date", F.col("null_hire"), (n > 0) & (F.col("null_hire") > 0)),
+        rule(3, "warning", "null_hire_date", F.col("null_hire"), (n > 0) & (F.col("null_hire") > 0) & F.lit(not no_hire)),
         rule(4, "warning", "future_hire_date", F.col("future_hire"), (n > 0) & (F.col("future_hire") > 0)),
         rule(5, "stat", "total_rows", n, n > 0),
         rule(6, "stat", "active", F.col("active"), n > 0),

@@ -11,7 +11,13 @@ from ..schema import REVIEWS_SCHEMA, STAFF_OPTIONAL, STAFF_SCHEMA, conform
 STAFF_DATE_COLUMNS = ("hire_date", "exit_date", "last_promotion", "last_merit")
 
 
-def coerce_dates(df: DataFrame, cols=STAFF_DATE_COLUMNS) -> DataFrame:
+# ---- fixed values: the date range the reference can hold (pandas nanosecond timestamps); ----
+# dates outside it become missing there, e.g. a 9999-12-31 "no exit" placeholder.
+DATE_RANGE = ("1677-09-22", "2262-04-11")
+# ---------------------------------------------------------------------------------------------
+
+
+def coerce_dates(df: DataFrame, cols=STAFF_DATE_COLUMNS, day_first: bool = False) -> DataFrame:
     """Turn text (or any type) date columns into TIMESTAMP_NTZ; unparseable values become null.
 
     Columns that are already timestamps are only cast, so Parquet timestamp columns stay
@@ -27,26 +33,35 @@ def coerce_dates(df: DataFrame, cols=STAFF_DATE_COLUMNS) -> DataFrame:
         if t in ("timestamp", "date"):
             out = out.withColumn(c, F.col(c).cast("timestamp_ntz"))
         else:
-            out = out.withColumn(c, coerce_timestamp(F.col(c)))
+            out = out.withColumn(c, coerce_timestamp(F.col(c), day_first))
     return out
 
 
-# ---- fixed values: the date range the reference can hold (pandas nanosecond timestamps); ----
-# dates outside it become missing there, e.g. a 9999-12-31 "no exit" placeholder.
-DATE_RANGE = ("1677-09-22", "2262-04-11")
-# ---------------------------------------------------------------------------------------------
+def date_findings(raw: DataFrame, cols=STAFF_DATE_COLUMNS, day_first: bool = False,
+                  date_range: tuple[str, str] | None = None) -> DataFrame:
+    """(column, unparsed, out_of_range): how many non-blank values of each date column no date
+    was read from, and how many dates lie outside ``date_range``. One aggregate over ``raw``."""
+    lo, hi = (F.expr(f"DATE '{d}'") for d in date_range or DATE_RANGE)
+    present = [c for c in cols if c in raw.columns]
+    read = coerce_dates(raw.select(*[F.col(c) for c in present], *[F.col(c).cast("string").alias(f"__{c}") for c in present]),
+                        present, day_first)
+    row = F.array(*[F.struct(
+        F.lit(c).alias("column"),
+        F.count_if((F.trim(f"__{c}") != "") & F.col(c).isNull()).alias("unparsed"),
+        F.count_if(~F.col(c).cast("date").between(lo, hi)).alias("out_of_range")) for c in present])
+    return read.agg(row.alias("r")).select(F.inline("r"))
 
 
-def truncate_days(df: DataFrame, cols=STAFF_DATE_COLUMNS) -> DataFrame:
+def truncate_days(df: DataFrame, cols=STAFF_DATE_COLUMNS, date_range: tuple[str, str] = DATE_RANGE) -> DataFrame:
     """Cut staff dates to midnight (decision Q2: month starts are then exact day boundaries) and
-    null out dates outside ``DATE_RANGE`` as the reference does (a far-future placeholder is
-    "no date", and cannot stretch a monthly series over thousands of years).
-    NTZ → DATE → NTZ never consults the session time zone."""
-    lo, hi = (F.expr(f"DATE '{d}'") for d in DATE_RANGE)
+    null out dates outside ``date_range`` as the reference does (a far-future placeholder is
+    "no date", and cannot stretch a monthly series over thousands of years; ``date_findings``
+    counts them). NTZ → DATE → NTZ never consults the session time zone."""
+    lo, hi = (F.expr(f"DATE '{d}'") for d in date_range)
 
     def day(c: str):
         d = F.col(c).cast("date")
-        return F.when(d.between(lo, hi), d).cast("timestamp_ntz")
+        return F.when(d.between(lo, hi), d).cast("timestamp_ntz").alias(c, metadata=df.schema[c].metadata)
 
     return df.withColumns({c: day(c) for c in cols if c in df.columns})
 
@@ -80,20 +95,23 @@ def latest_review(reviews: DataFrame, nulls: str = "last") -> DataFrame:
 
 def attach_rating(staff: DataFrame, reviews: DataFrame, nulls: str = "last") -> DataFrame:
     """Left join of the latest rating onto staff (an existing rating column is replaced, Q22)."""
-    from .spells import left_join_spread_nulls
-
-    last = latest_review(reviews, nulls).select(F.col("employee_id").alias("_rid"), "rating")
+    rid, sid = reviews.schema["employee_id"].dataType, staff.schema["employee_id"].dataType
+    if rid != sid:  # text ids on one side: compare as text
+        reviews = reviews.withColumn("employee_id", F.col("employee_id").cast("string"))
+        staff = staff.withColumn("employee_id", F.col("employee_id").cast("string"))
+    last = latest_review(reviews, nulls).select("employee_id", "rating")
     base = staff.drop("rating") if "rating" in staff.columns else staff
-    return left_join_spread_nulls(base, last, "employee_id", "_rid").drop("_rid")
+    return base.join(last, "employee_id", "left").select(*base.columns, "rating")
 
 
-def prepare_staff(staff: DataFrame, reviews: DataFrame | None = None, as_of: str = DEFAULT_AS_OF) -> DataFrame:
+def prepare_staff(staff: DataFrame, reviews: DataFrame | None = None, as_of: str = DEFAULT_AS_OF,
+                  day_first: bool = False, date_range: tuple[str, str] | None = None) -> DataFrame:
     """Conform → coerce dates → cut to days → core fields → latest rating."""
-    s = conform(staff, STAFF_SCHEMA, STAFF_OPTIONAL)
-    s = truncate_days(coerce_dates(s))
+    s = conform(staff, STAFF_SCHEMA, STAFF_OPTIONAL, day_first=day_first)
+    s = truncate_days(coerce_dates(s), date_range=date_range or DATE_RANGE)
     s = core_fields(s, as_of)
     if reviews is not None:
-        r = conform(reviews, REVIEWS_SCHEMA)
+        r = conform(reviews, REVIEWS_SCHEMA, day_first=day_first)
         if "seq" not in reviews.columns:
             r = r.withColumn("seq", F.monotonically_increasing_id())
         s = attach_rating(s, r)

@@ -54,7 +54,7 @@ def team_size(staff: DataFrame) -> DataFrame:
         .groupBy(F.col("manager_id").alias("_mgr"))
         .agg(F.count("employee_id").alias("_team"))
     )
-    joined = spells.left_join_spread_nulls(staff, teams, "manager_id", "_mgr")
+    joined = spells.left_join_spread_nulls(staff, teams, "manager_id", "_mgr", spread_by="employee_id")
     return joined.withColumn("team_size", F.coalesce(F.col("_team"), F.lit(0)).cast("long")).drop("_mgr", "_team")
 
 
@@ -99,8 +99,8 @@ def minmax(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def risk_scores(staff: DataFrame, as_of: str = DEFAULT_AS_OF, weights: dict | None = None) -> DataFrame:
     """Five scaled scores and the weighted risk in [0, 100] (weights need not sum to 1)."""
     w = dict(DEFAULT_WEIGHTS, **(weights or {}))
-    # the features are read twice (global min/max, then scaling): checkpoint them once instead
-    # of re-running the review and team aggregations
+    # the features are read twice (global min/max, then scaling): written once instead of
+    # re-running the review and team aggregations; the min/max pass reads its five columns only
     f = risk_features(staff, as_of)
     keep = [c for c in ("employee_id", "name", "department", "role", "rating", "manager_id") if c in f.columns]
     f = spells.materialize(f.select(*keep, "tenure_months", "months_since_promotion", "months_since_merit",

@@ -217,16 +217,19 @@ def step_series(events: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage of a small (month-grain) intermediate that several branches read: a reliable
-    checkpoint in the shared checkpoint folder, so the staff scan runs once and a lost executor
-    does not replay it."""
-    from ..session import ensure_checkpoint_dir
+    """Cut lineage of an intermediate that several branches read: a Parquet table in the shared
+    folder, so it is made once, a lost executor does not replay it, and each branch reads only
+    the columns it needs."""
+    import uuid
 
-    if getattr(df, "_staffline_checkpointed", False):
+    from ..session import shared_dir
+
+    if getattr(df, "_staffline_written", False):
         return df
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    out._staffline_checkpointed = True
+    path = shared_dir(df.sparkSession, "staffline-tables", uuid.uuid4().hex)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staffline_written = True
     return out
 
 
@@ -240,23 +243,18 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return out.withColumns({c: F.col("__scalars").getField(c) for c in one_row.columns}).drop("__scalars")
 
 
-NULL_KEY_SPREAD = 64
-
-
-def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
+                           spread_by: str) -> DataFrame:
     """``left`` LEFT JOIN ``right`` on ``left_key = right_key`` (``right`` unique per key), with
-    left rows whose key is null spread over ``NULL_KEY_SPREAD`` partitions: they can never match,
-    but hash partitioning would otherwise send all of them to one task (a null manager or id can
-    be a third of the table). A hot non-null key is split by AQE's skew-join handling."""
-    from pyspark.sql.types import MapType
-
-    hashable = [F.col(f"`{f.name}`") for f in left.schema.fields if not isinstance(f.dataType, MapType)]
-    salt = F.when(F.col(left_key).isNull(), F.pmod(F.xxhash64(*hashable), F.lit(NULL_KEY_SPREAD))) \
-        .otherwise(F.lit(0)).cast("int")
+    left rows whose key is null spread by the hash of ``spread_by``: they can never match, but hash
+    partitioning would otherwise send all of them to one task (a null manager can be a third of
+    the table). The salt reads one more column and no others, and takes any value, so its spread
+    grows with the table. A hot non-null key is split by AQE's skew-join handling."""
+    salt = F.when(F.col(left_key).isNull(), F.xxhash64(spread_by)).otherwise(F.lit(0).cast("long"))
     lj = left.withColumn("__salt", salt)
     # 0 for every right row (keys are not null), written from the data so that the optimizer
     # keeps it as a join key instead of folding it into a filter on the left salt
-    rj = right.withColumn("__rsalt", F.when(F.col(right_key).isNull(), F.lit(1)).otherwise(F.lit(0)))
+    rj = right.withColumn("__rsalt", F.when(F.col(right_key).isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long"))
     cond = (lj[left_key] == rj[right_key]) & (lj["__salt"] == rj["__rsalt"])
     return lj.join(rj, cond, "left").drop("__salt", "__rsalt")
 

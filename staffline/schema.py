@@ -44,6 +44,8 @@ STAFF_SCHEMA = T.StructType(
 STAFF_OPTIONAL = T.StructType(
     [
         T.StructField("exit_type", T.StringType()),
+        # whether the row's own data set has an exit type column (tables made of several sets)
+        T.StructField("has_exit_type", T.BooleanType()),
         T.StructField("company", T.StringType()),
     ]
 )
@@ -110,20 +112,31 @@ def resolve(df: DataFrame, name: str) -> str | None:
     return None
 
 
-def _cast(c: Column, dtype: T.DataType) -> Column:
+ID_COLUMNS = ("employee_id", "manager_id")
+
+
+def id_text(c: Column) -> Column:
+    """An id as trimmed text, blank as null; an integral number written with decimals ('12.0') loses
+    them, leading zeros stay."""
+    t = F.regexp_replace(F.trim(c.cast("string")), r"^(-?[0-9]+)\.0+$", "$1")
+    return F.when(t != "", t)
+
+
+def _cast(c: Column, dtype: T.DataType, day_first: bool = False) -> Column:
     if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-        return coerce_timestamp(c)
+        return coerce_timestamp(c, day_first)
     if isinstance(dtype, T.StringType):
         return c.cast("string")
     return c.try_cast(dtype)
 
 
 def conform(df: DataFrame, schema: T.StructType, optional: T.StructType | None = None,
-            keep: tuple[str, ...] = ()) -> DataFrame:
+            keep: tuple[str, ...] = (), day_first: bool = False) -> DataFrame:
     """Project ``df`` onto ``schema``: resolve names, cast, add typed nulls for missing columns.
 
     Extra columns are dropped, except those named in ``optional`` (kept when present, cast) and
-    in ``keep`` (passed through unchanged).
+    in ``keep`` (passed through unchanged). Ids stay integers if they are, and are text otherwise.
+    A column that was absent carries ``absent`` in its metadata (see ``absent``).
     Columns that already have the target type are passed through untouched, so a conformed
     table keeps its Parquet pushdown.
     """
@@ -131,20 +144,29 @@ def conform(df: DataFrame, schema: T.StructType, optional: T.StructType | None =
     for f in schema.fields:
         src = resolve(df, f.name)
         if src is None:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+            cols.append(F.lit(None).cast(f.dataType).alias(f.name, metadata={"absent": True}))
+        elif f.name in ID_COLUMNS:
+            c = F.col(f"`{src}`")
+            integral = isinstance(df.schema[src].dataType, T.IntegralType)
+            cols.append((c.cast(f.dataType) if integral else id_text(c)).alias(f.name))
         elif df.schema[src].dataType == f.dataType:
             cols.append(F.col(f"`{src}`").alias(f.name))
         else:
-            cols.append(_cast(F.col(f"`{src}`"), f.dataType).alias(f.name))
+            cols.append(_cast(F.col(f"`{src}`"), f.dataType, day_first).alias(f.name))
     for f in (optional.fields if optional else []):
         src = resolve(df, f.name)
         if src is not None:
-            cols.append(_cast(F.col(f"`{src}`"), f.dataType).alias(f.name) if df.schema[src].dataType != f.dataType
+            cols.append(_cast(F.col(f"`{src}`"), f.dataType, day_first).alias(f.name) if df.schema[src].dataType != f.dataType
                         else F.col(f"`{src}`").alias(f.name))
     cols += [F.col(f"`{k}`") for k in keep if k in df.columns]
     return df.select(*cols)
 
 
+def absent(df: DataFrame, column: str) -> bool:
+    """Whether ``column`` is missing, or was missing from the table that ``conform`` read."""
+    return column not in df.columns or bool(df.schema[column].metadata.get("absent"))
+
+
 def schema_report(spark: SparkSession, df: DataFrame, schema: T.StructType, table: str) -> DataFrame:
     """(table, column, status) rows: 'ok', 'missing' or 'extra' per column."""
     present = {}

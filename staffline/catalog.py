@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fixture
-from .operators import filters, headcount, insights, kpis, prepare, risk, attrition
+from .operators import attrition, filters, headcount, insights, kpis, prepare, risk, spells
 from .plans import bundles
 from .schema import STAFF_SCHEMA, schema_report
 from .sources import tables
@@ -204,7 +204,7 @@ def q_coerce_dates(spark, sf_dir):
                 .otherwise(F.date_format("hire_date", "yyyy-MM-dd HH:mm:ss")))
     exit_txt = F.coalesce(F.date_format("exit_date", "dd/MM/yyyy"), F.lit("abc"))
     txt = s.select("employee_id", hire_txt.alias("hire_date"), exit_txt.alias("exit_date"))
-    return dates_as_text(prepare.coerce_dates(txt, ("hire_date", "exit_date")))
+    return dates_as_text(prepare.coerce_dates(txt, ("hire_date", "exit_date"), day_first=True))
 
 
 # ---- risk ------------------------------------------------------------------------------------
@@ -310,40 +310,111 @@ def q_schema_report(spark, sf_dir):
 
 
 # ---- dataset store ---------------------------------------------------------------------------
+DEPARTMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def _store_departments(spark, sf_dir) -> str:
+    """The whole staff table as one dataset per department, each saved and registered."""
+    root = bundles.store_root(spark)
+    s = spells.materialize(fixture.staff(spark, sf_dir))
+    for i, dept in enumerate(DEPARTMENTS):
+        tables.write_dataset(s.where(F.col("department") == dept), root, "staff", f"ds-{i}", "owner-1")
+        tables.register_dataset(spark, root, "staff", "owner-1", f"ds-{i}", dept.lower(), f"{dept.lower()}.xlsx",
+                                f"2001-12-0{i + 1} 00:00:00")
+    return root
+
+
 def q_dataset_roundtrip(spark, sf_dir):
+    """Two datasets of the whole staff table; the second under another owner."""
     root = bundles.store_root(spark)
-    tables.write_dataset(fixture.staff(spark, sf_dir), root, "staff", "ds-a")
-    tables.write_dataset(fixture.staff(spark, sf_dir).where(F.col("department") == "BUILDING"), root, "staff", "ds-b")
-    return dates_as_text(tables.read_dataset(spark, root, "staff", "ds-a"))
+    for owner in ("owner-1", "owner-2"):
+        tables.write_dataset(fixture.staff(spark, sf_dir), root, "staff", "ds-a", owner)
+    return dates_as_text(tables.read_dataset(spark, root, "staff", "ds-a", "owner-1"))
 
 
 def q_dataset_catalog(spark, sf_dir):
-    root = bundles.store_root(spark)
-    s = fixture.staff(spark, sf_dir)
-    for i, dept in enumerate(["BUILDING", "MACHINERY", "HOUSEHOLD"]):
-        part = s.where(F.col("department") == dept)
-        tables.write_dataset(part, root, "staff", f"ds-{i}")
-        tables.register_dataset(part, root, "owner-1", f"ds-{i}", dept.lower(), f"{dept.lower()}.xlsx",
-                                f"2001-12-0{i + 1} 00:00:00")
+    root = _store_departments(spark, sf_dir)
     return tables.list_datasets(spark, root, "owner-1").select("dataset_id", "name", "file_name", "rows")
 
 
 def q_dataset_delete(spark, sf_dir):
-    root = bundles.store_root(spark)
-    s = fixture.staff(spark, sf_dir)
-    for i, dept in enumerate(["BUILDING", "MACHINERY"]):
-        part = s.where(F.col("department") == dept)
-        tables.write_dataset(part, root, "staff", f"ds-{i}")
-        tables.register_dataset(part, root, "owner-1", f"ds-{i}", dept.lower(), f"{dept.lower()}.xlsx",
-                                f"2001-12-0{i + 1} 00:00:00")
-    tables.delete_dataset(spark, root, "ds-0", "2001-12-05 00:00:00")
+    root = _store_departments(spark, sf_dir)
+    tables.delete_dataset(spark, root, "ds-0", "2001-12-08 00:00:00", "owner-1")
+    return tables.list_datasets(spark, root, "owner-1").select("dataset_id", "name", "file_name", "rows")
+
+
+def q_dataset_resaved(spark, sf_dir):
+    """Saved, deleted and saved again: every dataset is there once, with its stored rows."""
+    root = _store_departments(spark, sf_dir)
+    for i, dept in enumerate(DEPARTMENTS):
+        tables.delete_dataset(spark, root, f"ds-{i}", "2001-12-08 00:00:00", "owner-1")
+        tables.register_dataset(spark, root, "staff", "owner-1", f"ds-{i}", dept.lower(), f"{dept.lower()}.xlsx",
+                                "2001-12-09 00:00:00")
     return tables.list_datasets(spark, root, "owner-1").select("dataset_id", "name", "file_name", "rows")
 
 
 def q_save_analysis(spark, sf_dir):
+    """The history stored as JSON rows and read back into typed columns."""
     root = bundles.store_root(spark)
-    tables.save_result(q_attrition_history(spark, sf_dir), root, "ds-a", "attrition_history", "2001-12-01 00:00:00")
-    return tables.read_results(spark, root, "ds-a", "attrition_history").select("kind", "result_json")
+    history = q_attrition_history(spark, sf_dir)
+    tables.save_result(history, root, "ds-a", "attrition_history", "2001-12-01 00:00:00")
+    back = tables.read_results(spark, root, "ds-a", "attrition_history")
+    return back.select("kind", F.from_json("result_json", history.schema).alias("r")).select("kind", "r.*")
+
+
+# ---- input variants --------------------------------------------------------------------------
+def _as_exported(spark, sf_dir) -> DataFrame:
+    """All staff rows as a spreadsheet export has them: text ids of three forms, hire dates spelled in
+    five ways."""
+    s = fixture.staff(spark, sf_dir)
+    k, h = F.col("employee_id"), F.col("hire_date")
+    text = lambda f: F.date_format(h, f)
+    return s.select(
+        F.when(k % 3 == 0, F.concat(F.lit("A-"), k)).when(k % 3 == 1, F.lpad(k.cast("string"), 10, "0"))
+        .otherwise(F.concat(F.lit(" "), k, F.lit(".0 "))).alias(" Matricula "),
+        F.when(k % 5 == 0, text("M/d/yyyy")).when(k % 5 == 1, text("yyyy-MM-dd HH:mm"))
+        .when(k % 5 == 2, text("yyyyMMdd")).when(k % 5 == 3, F.concat(text("yyyy-MM-dd"), F.lit("T00:00:00.125Z")))
+        .otherwise(F.lit("n/a")).alias("data de admissão"), "department")
+
+
+def q_text_ids_and_dates(spark, sf_dir):
+    s = prepare.prepare_staff(_as_exported(spark, sf_dir), None, AS_OF)
+    return dates_as_text(s.select("employee_id", "hire_date", "department"))
+
+
+def q_date_findings(spark, sf_dir):
+    raw = _as_exported(spark, sf_dir).withColumnRenamed("data de admissão", "hire_date")
+    return prepare.date_findings(raw, ("hire_date",), date_range=("1996-01-01", "2262-04-11"))
+
+
+def q_mixed_exit_types(spark, sf_dir):
+    """All staff as two data sets, one with an exit type column and one without."""
+    s = staff(spark, sf_dir)
+    odd = F.col("employee_id") % 2 == 1
+    s = s.withColumns({"has_exit_type": odd, "exit_type": F.when(odd & (F.col("manager_id") % 3 == 0), F.lit("Voluntário"))})
+    return attrition.attrition_history(s, as_of=AS_OF)
+
+
+def q_headcount_without_hire_column(spark, sf_dir):
+    s = prepare.prepare_staff(fixture.staff(spark, sf_dir).drop("hire_date"), None, AS_OF)
+    return headcount.headcount_at(s, "department", AS_OF)
+
+
+def q_headcount_without_dates(spark, sf_dir):
+    s = prepare.prepare_staff(fixture.staff(spark, sf_dir).drop("hire_date", "exit_date"), None, AS_OF)
+    return headcount.headcount_at(s, "department", AS_OF)
+
+
+def q_rates_without_exit_column(spark, sf_dir):
+    s = prepare.prepare_staff(fixture.staff(spark, sf_dir).drop("exit_date"), None, AS_OF)
+    p = attrition.attrition_period(s, YEAR, None, as_of=AS_OF).select("attrition_total", "attrition_vol", "attrition_inv")
+    found = kpis.quality_report(s, AS_OF).where(F.col("rule") == "missing_exit_column")
+    return spells.with_scalars(p, found.agg(F.max("severity").alias("severity"), F.max("rule").alias("rule")))
+
+
+def q_display_projection(spark, sf_dir):
+    return filters.select_present(staff(spark, sf_dir), ["name", "role", "no_such_column", "department", "employee_id"],
+                                  {"name": "nome", "role": "cargo"})
 
 
 def q_null_clean(spark, sf_dir):

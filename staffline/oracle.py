@@ -664,6 +664,9 @@ def q_dataset_roundtrip() -> str:
     return f"WITH {BASE} SELECT {cols} FROM staff"
 
 
+DEPARTMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
 def _catalog(depts) -> str:
     return " UNION ALL ".join(
         f"SELECT 'ds-{i}' AS dataset_id, '{dp.lower()}' AS name, '{dp.lower()}.xlsx' AS file_name, "
@@ -671,11 +674,43 @@ def _catalog(depts) -> str:
 
 
 def q_dataset_catalog() -> str:
-    return f"WITH {BASE} {_catalog(list(enumerate(['BUILDING', 'MACHINERY', 'HOUSEHOLD'])))}"
+    return f"WITH {BASE} {_catalog(list(enumerate(DEPARTMENTS)))}"
 
 
 def q_dataset_delete() -> str:
-    return f"WITH {BASE} {_catalog([(1, 'MACHINERY')])}"
+    return f"WITH {BASE} {_catalog(list(enumerate(DEPARTMENTS))[1:])}"
+
+
+def q_text_ids_and_dates() -> str:
+    return f"""WITH {BASE} SELECT CASE employee_id % 3 WHEN 0 THEN 'A-' || employee_id
+ WHEN 1 THEN lpad(CAST(employee_id AS VARCHAR), 10, '0') ELSE CAST(employee_id AS VARCHAR) END AS employee_id,
+ CASE WHEN employee_id % 5 < 4 THEN {d('hire_date').split(' AS ')[0]} END AS hire_date, department FROM staff"""
+
+
+def q_date_findings() -> str:
+    return f"""WITH {BASE} SELECT 'hire_date' AS "column", count(*) FILTER (employee_id % 5 = 4) AS unparsed,
+ count(*) FILTER (employee_id % 5 < 4 AND hire_date < DATE '1996-01-01') AS out_of_range FROM staff"""
+
+
+def q_headcount_without_hire_column() -> str:
+    return f"""WITH {BASE}, g AS (SELECT department, count(employee_id) AS headcount FROM staff
+ WHERE department IS NOT NULL AND (exit_date IS NULL OR exit_date > TIMESTAMP '{AS_OF} 00:00:00') GROUP BY department)
+SELECT department, headcount, headcount / sum(headcount) OVER () * 100.0 AS pct FROM g"""
+
+
+def q_headcount_without_dates() -> str:
+    return f"""WITH {BASE}, g AS (SELECT department, count(employee_id) AS headcount FROM staff
+ WHERE department IS NOT NULL GROUP BY department)
+SELECT department, headcount, headcount / sum(headcount) OVER () * 100.0 AS pct FROM g"""
+
+
+def q_rates_without_exit_column() -> str:
+    return ("SELECT 0.0::DOUBLE AS attrition_total, 0.0::DOUBLE AS attrition_vol, 0.0::DOUBLE AS attrition_inv, "
+            "'warning' AS severity, 'missing_exit_column' AS rule")
+
+
+def q_display_projection() -> str:
+    return f"WITH {BASE} SELECT name AS nome, role AS cargo, department, employee_id FROM staff"
 
 
 def q_null_clean() -> str:
@@ -781,6 +816,16 @@ ORACLE = {
     "dataset_roundtrip": q_dataset_roundtrip(),
     "dataset_catalog": q_dataset_catalog(),
     "dataset_delete": q_dataset_delete(),
+    "dataset_resaved": q_dataset_catalog(),
+    "save_analysis": f"SELECT 'attrition_history' AS kind, * FROM ({q_attrition_history()})",
+    "mixed_exit_types": q_attrition_history().replace(
+        VOL, f"CASE WHEN employee_id % 2 = 1 THEN coalesce(manager_id % 3 = 0, false) ELSE {VOL} END"),
+    "text_ids_and_dates": q_text_ids_and_dates(),
+    "date_findings": q_date_findings(),
+    "headcount_without_hire_column": q_headcount_without_hire_column(),
+    "headcount_without_dates": q_headcount_without_dates(),
+    "rates_without_exit_column": q_rates_without_exit_column(),
+    "display_projection": q_display_projection(),
     "null_clean": q_null_clean(),
     "result_json": q_result_json(),
     "scan_staff": q_scan_staff(),

@@ -50,6 +50,34 @@ def test_partial_aggregation_before_shuffle(spark):
 
 def test_null_manager_rows_are_spread_by_the_join_key(spark):
     """The salt must be a join key (part of the hash partitioning), not a folded filter."""
-    p = plan(catalog.QUERIES["team_size"](spark, SF))
-    join = [ln for ln in p.splitlines() if "Join" in ln and "manager_id" in ln][0]
-    assert "__salt" in join.split("]")[0] + "]" + join.split("]")[1], join
+    from pyspark.sql import functions as F
+
+    from staffline.operators import risk
+
+    df = spark.createDataFrame([(1, None), (2, 5), (3, 5), (4, None)], "employee_id long, manager_id long")
+    got = risk.team_size(df.hint("merge"))
+    assert sorted((r["employee_id"], r["team_size"]) for r in got.collect()) == [(1, 0), (2, 2), (3, 2), (4, 0)]
+    optimized = got._jdf.queryExecution().optimizedPlan().toString()
+    join = [ln for ln in optimized.splitlines() if "Join LeftOuter" in ln][0]
+    assert "__salt" in join and "__rsalt" in join
+    many = spark.range(1000).select(F.col("id").alias("employee_id"), F.lit(None).cast("long").alias("manager_id"))
+    assert risk.team_size(many).where("team_size = 0").count() == 1000
+
+
+def test_team_size_reads_only_what_it_needs(spark, tmp_path):
+    from staffline.operators import risk
+
+    (spark.range(10).selectExpr("id AS employee_id", "id % 3 AS manager_id", "'x' AS name", "'d' AS department", "1 AS a", "2 AS b")
+     .write.parquet(str(tmp_path / "staff.parquet")))
+    got = risk.team_size(spark.read.parquet(str(tmp_path / "staff.parquet"))).select("employee_id", "team_size")
+    assert checks.scanned_columns(got) == {"staff.parquet": {"employee_id", "manager_id"}}
+    assert checks.scanned_columns(catalog.QUERIES["team_size"](spark, SF))["orders.parquet"] == {"o_orderkey", "o_custkey"}
+
+
+def test_rating_join_shuffles_once_per_side(spark):
+    from staffline import fixture
+    from staffline.operators import prepare
+
+    staff = spark.range(1000).selectExpr("id AS employee_id", "'n' AS name")
+    joined = prepare.attach_rating(staff.hint("merge"), fixture.reviews(spark, SF))
+    assert checks.exchanges(joined) <= 2

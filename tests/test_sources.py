@@ -23,7 +23,7 @@ def test_resolve_and_conform(spark):
     row = c.collect()[0]
     assert row["name"] == "Ana" and row["gender"] == "GENERO?"
     assert row["hire_date"] == dt.datetime(2020, 12, 31)
-    assert row["employee_id"] == 7  # text ids are trimmed and cast; junk would give null
+    assert row["employee_id"] == "7"  # text ids stay text, trimmed
     rep = {(r["column"], r["status"]) for r in schema_report(spark, df, STAFF_SCHEMA, "staff").collect()}
     assert ("employee_id", "ok") in rep and ("exit_date", "missing") in rep
 
@@ -61,16 +61,26 @@ def test_filters(spark):
 def test_dataset_store_roundtrip_and_delete(spark):
     root = bundles.store_root(spark)
     df = staff_df(spark, [{"name": "a"}, {"name": "b"}])
-    tables.write_dataset(df, root, "staff", "d1")
-    tables.write_dataset(df.limit(1), root, "staff", "d2")
-    tables.write_dataset(df.where(F.col("name") == "b"), root, "staff", "d1")  # overwrite d1 only
-    assert tables.read_dataset(spark, root, "staff", "d1").count() == 1
-    assert tables.read_dataset(spark, root, "staff", "d2").count() == 1
-    tables.register_dataset(df, root, "o", "d1", "n1", "f1.xlsx", "2001-01-01 00:00:00")
-    tables.register_dataset(df, root, "o", "d2", "n2", "f2.xlsx", "2001-01-02 00:00:00")
-    tables.delete_dataset(spark, root, "d1", "2001-01-03 00:00:00")
-    assert [r["dataset_id"] for r in tables.list_datasets(spark, root, "o").collect()] == ["d2"]
-    assert tables.read_dataset(spark, root, "staff", "d1").count() == 0
+    tables.write_dataset(df, root, "staff", "d1", "o")
+    tables.write_dataset(df.limit(1), root, "staff", "d2", "o")
+    tables.write_dataset(df, root, "staff", "d1", "other")
+    tables.write_dataset(df.where(F.col("name") == "b"), root, "staff", "d1", "o")  # overwrite o's d1 only
+    read = lambda d, o="o": tables.read_dataset(spark, root, "staff", d, o).count()
+    assert (read("d1"), read("d2"), read("d1", "other")) == (1, 1, df.count())
+    assert read("no such") == 0
+    tables.register_dataset(spark, root, "staff", "o", "d1", "n1", "f1.xlsx", "2001-01-01 00:00:00")
+    tables.register_dataset(spark, root, "staff", "o", "d1", "n1", "f1.xlsx", "2001-01-01 12:00:00")  # an upsert
+    tables.register_dataset(spark, root, "staff", "o", "d2", "n2", "f2.xlsx", "2001-01-02 00:00:00")
+    listed = lambda: [(r["dataset_id"], r["rows"]) for r in tables.list_datasets(spark, root, "o").collect()]
+    assert listed() == [("d2", 1), ("d1", 1)]
+    tables.delete_dataset(spark, root, "d1", "2001-01-03 00:00:00", "o")
+    assert listed() == [("d2", 1)]
+    assert read("d1") == 0 and read("d1", "other") == df.count()
+    tables.write_dataset(df, root, "staff", "d1", "o")  # saved again after the delete
+    tables.register_dataset(spark, root, "staff", "o", "d1", "n1", "f1.xlsx", "2001-01-04 00:00:00")
+    assert listed() == [("d1", df.count()), ("d2", 1)] and read("d1") == df.count()
+    tables.write_dataset(df.limit(0), root, "staff", "d1", "o")  # an empty table clears it
+    assert read("d1") == 0
 
 
 def test_missing_table_is_empty(spark):
@@ -95,7 +105,9 @@ def test_entry_and_registry(spark):
     assert set(df.columns) >= {"month", "headcount", "exits", "attrition_total"}
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"save_analysis"}
+    from staffline.catalog import QUERIES
+
+    assert set(QUERIES) <= set(o)  # those of the optional subpackage have their own tests
 
 
 def test_report_file_and_bundles(spark):
@@ -135,3 +147,36 @@ def test_month_names_and_labels(spark):
     assert (r["n"], r["k"]) == ("Março", 3)
     assert r["a"] == "Junho/2000" and r["b"] == "Ano 2000 (média mensal)"
     assert r["c"] == "Mês Janeiro (média de todos os anos)" and r["d"] == "Todo o período"
+
+
+def test_records_keep_null_fields(spark):
+    rec = tables.to_records(spark.createDataFrame([(1, None)], "k int, v double")).first()["json"]
+    assert rec == '{"k":1,"v":null}'
+
+
+def test_checkpoint_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from staffline import session
+
+    monkeypatch.setattr(session, "_configured_root", lambda s: None)
+    monkeypatch.setattr(session, "is_local", lambda s: False)
+    with pytest.raises(RuntimeError):
+        session.shared_dir(spark, "x")
+
+
+def test_date_spellings_and_ids(spark):
+    from staffline.functions.dates import coerce_timestamp
+    from staffline.schema import STAFF_SCHEMA, absent, conform
+
+    spelled = {"1/3/2020": "2020-01-03 00:00:00", "03/15/2020": "2020-03-15 00:00:00", "31/12/2020": "2020-12-31 00:00:00",
+               "2020-05-01 10:00": "2020-05-01 10:00:00", "2020-05-01T10:00:00.123": "2020-05-01 10:00:00.123",
+               "2020-05-01T10:00:00Z": "2020-05-01 10:00:00", "2020-05-01 10:00:00.5": "2020-05-01 10:00:00.5",
+               "20200501": "2020-05-01 00:00:00", "2020-5-1": "2020-05-01 00:00:00", " 2020/05/01 ": "2020-05-01 00:00:00",
+               "abc": None, "": None, "2020-13-01": None, "99/99/2020": None}
+    df = spark.createDataFrame([(k,) for k in spelled], "t string")
+    got = {r["t"]: r["s"] for r in df.select("t", coerce_timestamp(F.col("t")).cast("string").alias("s")).collect()}
+    assert got == spelled
+    first = df.select(coerce_timestamp(F.lit("1/3/2020"), day_first=True).cast("string")).first()[0]
+    assert first == "2020-03-01 00:00:00"
+    ids = conform(spark.createDataFrame([(" A1 ", "0012"), ("12.0", ""), (None, "7")], "matricula string, manager_id string"), STAFF_SCHEMA)
+    assert [tuple(r) for r in ids.select("employee_id", "manager_id").collect()] == [("A1", "0012"), ("12", None), (None, "7")]
+    assert absent(ids, "hire_date") and not absent(ids, "employee_id")

@@ -21,9 +21,9 @@ def test_upload_stream(spark):
         f.write(b"nope")
     q = ingest_uploads(spark, up, root, "owner-1", checkpoint=ckpt)
     q.awaitTermination(120)
-    staff = tables.read_dataset(spark, root, "staff", "acme")
+    staff = tables.read_dataset(spark, root, "staff", "acme", "owner-1")
     assert sorted(r["name"] for r in staff.collect()) == ["Ana", "Rui"]
-    assert tables.read_dataset(spark, root, "reviews", "acme").count() == 1
+    assert tables.read_dataset(spark, root, "reviews", "acme", "owner-1").count() == 1
     cat = tables.list_datasets(spark, root, "owner-1").collect()
     assert [(r["dataset_id"], r["rows"]) for r in cat] == [("acme", 2)]
     assert spark.read.parquet(f"{root}/_errors").count() == 1
@@ -34,4 +34,4 @@ def test_upload_stream(spark):
     q2.awaitTermination(120)
     ids = sorted(r["dataset_id"] for r in tables.list_datasets(spark, root, "owner-1").collect())
     assert ids == ["acme", "beta"]
-    assert tables.read_dataset(spark, root, "staff", "acme").count() == 2
+    assert tables.read_dataset(spark, root, "staff", "acme", "owner-1").count() == 2

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffline.llm import licenses, mixing, pii, pq, routed, sharding, simhash, toxicity, unigram, urltree
+from staffline.llm.oracle import ORACLE as ORACLE
 from staffline.llm.store import table
 
 
@@ -68,5 +69,3 @@ QUERIES = {
     "op9_histogram_sort": op9_histogram_sort,
     "op8_simhash": op8_simhash,
 }
-
-ORACLE: dict[str, str] = {}

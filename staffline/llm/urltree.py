@@ -60,9 +60,10 @@ def templates(paths: DataFrame, depth: int, max_kinds: int = 20, min_labels: int
                                          F.sum("labelled").alias("pl"), F.sum("blocked").alias("pb"))
         other, other_b = F.col("pl") - F.col("labelled"), F.col("pb") - F.col("blocked")
         pooled = (F.col("pb") + 1) / (F.col("pl") + 2)
-        spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / other))
+        share = lambda x, of: F.try_divide(x.cast("double"), of.cast("double"))
+        spread = F.sqrt(pooled * (1 - pooled) * (share(F.lit(1), F.col("labelled")) + share(F.lit(1), other)))
         similar = ((F.col("labelled") >= min_labels) & (other >= min_labels)
-                   & (F.abs(F.col("blocked") / F.col("labelled") - other_b / other) < z * spread))
+                   & (F.abs(share(F.col("blocked"), F.col("labelled")) - share(other_b, other)) < z * spread))
         variable = (F.col("kinds") > max_kinds) & (F.col("n") * max_kinds <= F.col("pn"))
         keep = (F.col(seg) == "") | (F.col("kinds") == 1) | ~(variable | F.coalesce(similar, F.lit(False)))
         part = F.when(F.col(seg) == "", F.lit("")).otherwise(

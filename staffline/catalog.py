@@ -417,6 +417,33 @@ def q_display_projection(spark, sf_dir):
                                   {"name": "nome", "role": "cargo"})
 
 
+def _tidy_parts(parts: dict, keys: dict[str, str | None], value: dict[str, str]) -> DataFrame:
+    """The frames of a bundle as one table (section, month, item, value)."""
+    out = None
+    for name, df in parts.items():
+        item = F.col(keys[name]).cast("string") if keys[name] else F.lit(None).cast("string")
+        month = F.col("month") if "month" in df.columns else F.lit(None).cast("string")
+        rows = df.select(F.lit(name).alias("section"), month.alias("month"), item.alias("item"),
+                         F.col(value.get(name, "headcount")).cast("double").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def q_headcount_bundle(spark, sf_dir):
+    """A26 for June 2000, all parts as one tidy table."""
+    parts = bundles.headcount_bundle(staff(spark, sf_dir, with_rating=True), YEAR, MONTH, AS_OF)
+    keys = {"headcount_by_department": "department", "headcount_temporal": "department", "headcount_growth": "department",
+            "headcount_gender": "gender", "headcount_tenure": "tenure_band", "headcount_performance": "rating"}
+    return _tidy_parts(parts, keys, {"headcount_growth": "growth_pct"})
+
+
+def q_attrition_bundle(spark, sf_dir):
+    """A27 for the year 2000, both parts as one tidy table."""
+    parts = bundles.attrition_bundle(staff(spark, sf_dir), YEAR, None, AS_OF)
+    return _tidy_parts(parts, {"attrition_period": None, "attrition_history": None},
+                       {"attrition_period": "attrition_total", "attrition_history": "attrition_total"})
+
+
 def q_null_clean(spark, sf_dir):
     """A result with NaN marks (even period headcounts) cleaned to nulls before storing."""
     g = q_headcount_compare(spark, sf_dir)

@@ -248,8 +248,9 @@ def calibrate(z: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[float,
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "toxic", max_labelled: int = 10_000, max_train: int = 20_000,
-                   max_entries: int = 2048, gold: float = 0.9, extra: list | None = None) -> DataFrame:
-    """id, held_out, score, predicted (1 from a score of 0.5), and ``extra`` columns, of every document."""
+                   max_entries: int = 2048, gold: float = 0.9, whole_rows: bool = False) -> DataFrame:
+    """id, held_out, score and predicted (1 from a score of 0.5) of every document; with ``whole_rows``
+    the documents themselves with their ``__score``."""
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
              .filter((F.col("id").isNotNull()) & F.col("label").isin(0, 1))
              .groupBy("id").agg(F.max("label").alias("label")).filter(~held_out("id")))
@@ -270,9 +271,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield pd.DataFrame({"entries": [r[0] for r in rows], "patterns": [r[1] for r in rows], "votes": [r[2] for r in rows]})
 
     features = F.pandas_udf(read, "entries array<int>, patterns array<double>, votes long")
-    carried = [F.col(c) for c in extra or []]
-    seen = staged(docs.select(F.col(id_col).alias("id"), *carried, features(F.col(text_col)).alias("f"))
-                  .select("id", *(extra or []), "f.*", held_out("id").alias("held_out")), "toxic-features")
+    seen = staged(docs.select(F.col(id_col).alias("id"), features(F.col(text_col)).alias("f"))
+                  .select("id", "f.*", held_out("id").alias("held_out")), "toxic-features")
     train = seen.filter(~F.col("held_out")).select("id", "votes", "entries", "patterns").join(known, "id", "left")
     patterns = staged(train.groupBy("votes", "label").agg(F.count("*").alias("n")), "toxic-votes")
     bias, w = label_model(patterns, lex.n_voters, prior)
@@ -292,20 +292,28 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     slope, shift = calibrate(z, np.array([rows[i]["label"] for i in gold_rows], float))
     by_entry, by_pattern, base = slope * by_entry, slope * by_pattern, slope * base + shift
 
+    def logits(entries, values) -> float:
+        return base + by_entry[np.asarray(entries, np.int64)].sum() + float(np.dot(values, by_pattern))
+
     def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for entries, values in batches:
-            z = [base + by_entry[np.asarray(e, np.int64)].sum() + float(np.dot(v, by_pattern)) for e, v in zip(entries, values, strict=True)]
+            z = [logits(e, v) for e, v in zip(entries, values, strict=True)]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))), dtype="float64")
+
+    def reread(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache: dict = {}
+        for batch in batches:
+            z = [logits(*lex.read(t, cache)[:2]) for t in batch]
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))), dtype="float64")
 
+    if whole_rows:  # a second reading of the texts costs less than writing them beside their features
+        return docs.withColumn("__score", F.pandas_udf(reread, "double")(F.col(text_col)))
     score = F.pandas_udf(scored, "double")
     return (seen.withColumn("score", score("entries", "patterns"))
-            .select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
-                    *(extra or [])))
+            .select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows predicted toxic."""
-    cols = docs.columns
-    out = score_toxicity(docs.withColumns({f"__{i}": F.col(c) for i, c in enumerate(cols)}), labels, id_col, text_col,
-                         extra=[f"__{i}" for i in range(len(cols))])
-    return out.filter("predicted = 0").select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(cols)])
+    scored = score_toxicity(docs, labels, id_col, text_col, whole_rows=True)
+    return scored.filter("__score < 0.5").select(*docs.columns)

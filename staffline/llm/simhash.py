@@ -156,9 +156,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                                    extra=["__row"]), "groups")
     order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
     rows = groups.groupBy("root", order.alias("o")).agg(F.count("*").alias("n"))
-    best = rows.groupBy("root").agg(F.min(F.struct("o", "n")).alias("w")).select(
-        F.col("w.o.id").alias("__id"), F.col("w.o.row").alias("__best"), F.col("w.n").alias("__n"))
+    best = staged(rows.groupBy("root").agg(F.min(F.struct("o", "n")).alias("w")).select(
+        F.col("w.o.id").alias("__id"), F.col("w.o.row").alias("__best"), F.col("w.n").alias("__n")), "best")
     kept = docs.withColumn("__row", row_hash).join(
         best, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__best")), "inner")
+    if best.filter("__n > 1").isEmpty():  # no wholly equal rows: one pass over the texts
+        return kept.select(*cols)
     once = kept.filter("__n = 1").select(*cols)
     return once.unionByName(kept.filter("__n > 1").select(*cols).distinct())

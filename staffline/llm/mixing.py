@@ -166,8 +166,8 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     decided = staged(mix(sized.select(F.col(id_col), F.col(source_col).alias("source"), F.col("__size").alias("size")),
                          id_col, weights, cap), "copies")
     key = [F.col(id_col).alias("__id"), F.col("source").alias("__src"), F.col("size").alias("__z")]
-    per_key = decided.groupBy(*key).agg(F.count("*").alias("__n"), F.min("copies").alias("__least"),
-                                        F.sum("copies").alias("__sum"))
+    per_key = staged(decided.groupBy(*key).agg(F.count("*").alias("__n"), F.min("copies").alias("__least"),
+                                               F.sum("copies").alias("__sum")).filter("__sum > 0"), "taken")
     same = (F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__src"))
             & (F.col("__size") == F.col("__z")))
     joined = sized.join(per_key, same)
@@ -177,6 +177,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     many = joined.filter("__n > 1").withColumn("__nth", F.row_number().over(
         Window.partitionBy(id_col, source_col, "__size").orderBy(text_col)))
     many = many.withColumn("__copies", F.col("__least") + (F.col("__nth") <= more).cast("int")).drop("__nth")
-    every = once.unionByName(many)
+    equals = not per_key.filter("__n > 1").isEmpty()  # else one pass over the texts
+    every = once.unionByName(many) if equals else joined.withColumn("__copies", F.col("__least"))
     copies = F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))
     return every.select(*cols, copies.alias("__copy")).select(*cols)

@@ -4,13 +4,13 @@ Equal vectors are first joined into classes. A coarse quantiser (k-means on a bo
 the classes into inverted lists; each class's residual is coded by sub-space. A class looks into every
 list whose border with its own is near enough. A link of length r across a border has one end within
 r / 2 of it, and one look, from either end, finds the link; so borders within r / 2 are enough for all
-links. For noise without a preferred direction r is seen across a border as about r / sqrt(dimension),
-and ``probe_z`` standard deviations of that are looked through (never more than r / 2).
+links, in any dimension.
 
-Inside a list, queries meet members in blocks of bounded size. Table look-ups give the inner product
-with each member's quantised form; as the member's quantisation error is known, every pair that could
-reach the threshold is kept (none is lost here), and its cosine is taken in double precision from the
-original vectors. A block reports how many links each class has and a spanning forest of them, so its
+Lists that lie near each other share a shelf of bounded size, and a class is sent once to each shelf
+that it looks into. There, queries meet members in blocks of bounded size, list by list. The inner
+product with a member's quantised form (codes and centre) is taken first; as the member's quantisation
+error is known, every pair that could reach the threshold is kept (none is lost here), and its cosine
+is taken in double precision from the original vectors. A block reports how many links each class has and a spanning forest of them, so its
 output is linear in its rows however dense the group. Components join the forests.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and vectors not
@@ -62,52 +62,79 @@ class Quantiser:
             left += ((r - book[near]) ** 2).sum(1)
         return codes, np.sqrt(left)
 
-    def probes(self, x: np.ndarray, home: np.ndarray, margin: float) -> list[np.ndarray]:
-        """Lists whose border with the home list is within ``margin``, the home list included."""
-        out = []
+    def probes(self, x: np.ndarray, home: np.ndarray, margin: float) -> np.ndarray:
+        """Lists whose border with the home list is within ``margin``, the home list included: bits by row."""
+        out = [np.zeros((0, (len(self.coarse) + 7) // 8), np.uint8)]
         gaps = np.sqrt(np.maximum(2 - 2 * self.coarse @ self.coarse.T, 1e-12))
         for i in range(0, len(x), 4096):
             dots, h = x[i:i + 4096] @ self.coarse.T, home[i:i + 4096]
-            near = dots[np.arange(len(h)), h][:, None] - dots <= margin * gaps[h]
+            near = dots[np.arange(len(h)), h][:, None] - dots <= (margin + 1e-9) * gaps[h]
             near[np.arange(len(h)), h] = True
-            out += [np.nonzero(r)[0].astype(np.int32) for r in near]
-        return out
+            out.append(np.packbits(near, axis=1))
+        return np.concatenate(out)
 
-    def table_scores(self, q: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
-        """Inner products of q's rows with the quantised members of one list, by table look-up."""
-        total = np.repeat((q @ self.coarse[centre]).astype(np.float32)[:, None], len(codes), 1)
+    def quantised(self, home: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The members as their codes give them."""
+        out = self.coarse[home].astype(np.float32)
         for j, ((a, b), book) in enumerate(zip(self.spans, self.books, strict=True)):
-            total += (q[:, a:b] @ book.T).astype(np.float32)[:, codes[:, j]]
-        return total
+            out[:, a:b] += book[codes[:, j]].astype(np.float32)
+        return out
+
+    def shelves(self, members: dict[int, int], most: int) -> np.ndarray:
+        """Shelf of each list: lists that are near each other share one of at most ``most`` members (a
+        larger list has its own); -1 for empty lists."""
+        out, left = np.full(len(self.coarse), -1), np.ones(len(self.coarse), bool)
+        at, shelf, held = 0, 0, 0
+        for _ in range(len(self.coarse)):
+            left[at] = False
+            if n := members.get(at, 0):
+                if held and held + n > most:
+                    shelf, held = shelf + 1, 0
+                out[at], held = shelf, held + n
+            at = int(np.where(left, self.coarse @ self.coarse[at], -np.inf).argmax())
+        return out
+
+
+def _bits(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column of equal lengths as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
 def _block(quantiser: Quantiser, dim: int, threshold: float, group: pa.Table) -> pa.Table:
-    """One block of one list: links of queries (role 1) to members (role 0)."""
+    """One block of one shelf: links of queries (role 1) to members (role 0)."""
     role = group["role"].to_numpy()
     member, query = group.filter(pa.array(role == 0)), group.filter(pa.array(role == 1))
     out = {"node": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)}
     if len(member) and len(query):
-        centre = int(member["list"][0].as_py())
+        member = member.sort_by("home")
         m, q = unit(matrix(member["v"], dim)), unit(matrix(query["v"], dim))
-        codes, left = quantiser.encode(m, np.full(len(m), centre))
-        may = quantiser.table_scores(q, centre, codes) >= (threshold - left - 1e-4).astype(np.float32)
         m_id, q_id = member["node"].to_numpy(), query["node"].to_numpy()
-        may &= q_id[:, None] != m_id[None, :]
-        if may.mean() > 0.02:
-            qi, mi = np.nonzero(may & (q @ m.T >= threshold))
-        else:
-            qi, mi = np.nonzero(may)
-            cosine = np.concatenate([np.einsum("ij,ij->i", q[qi[i:i + 65536]], m[mi[i:i + 65536]])
-                                     for i in range(0, len(qi), 65536)] or [np.zeros(0)])
-            qi, mi = qi[cosine >= threshold], mi[cosine >= threshold]
+        m_home, q_home = member["home"].to_numpy(), query["home"].to_numpy()
+        width = (len(quantiser.coarse) + 7) // 8
+        m_looks, q_looks = (np.unpackbits(_bits(x["looks"], width), axis=1).view(bool) for x in (member, query))
+        near = quantiser.quantised(m_home, _bits(member["codes"], len(quantiser.spans)))
+        least = (threshold - member["error"].to_numpy() - 1e-4).astype(np.float32)
+        single, pairs = q.astype(np.float32), []
+        cuts = np.concatenate([[0], np.nonzero(np.diff(m_home))[0] + 1, [len(m)]])
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            asks = np.nonzero(q_looks[:, m_home[lo]])[0]
+            may = single[asks] @ near[lo:hi].T >= least[lo:hi]
+            if may.any() and may.mean() > 0.02:
+                qi, mi = np.nonzero(may & (q[asks] @ m[lo:hi].T >= threshold))
+                qi, mi = asks[qi], mi + lo
+            else:
+                qi, mi = np.nonzero(may)
+                qi, mi = asks[qi], mi + lo
+                cosine = np.concatenate([np.einsum("ij,ij->i", q[qi[i:i + 65536]], m[mi[i:i + 65536]])
+                                         for i in range(0, len(qi), 65536)] or [np.zeros(0)])
+                qi, mi = qi[cosine >= threshold], mi[cosine >= threshold]
+            other = q_id[qi] != m_id[mi]
+            pairs.append((qi[other], mi[other]))
+        qi, mi = (np.concatenate(x) for x in zip(*pairs, strict=True))
         if len(qi):
             m_n, q_n = member["n"].to_numpy(), query["n"].to_numpy()
-            q_home = query["home"].to_numpy()
-            looks = np.zeros((len(m), len(quantiser.coarse)), bool)
-            lists = member["probes"].combine_chunks()
-            looks[np.repeat(np.arange(len(m)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
             # a member that looks into the query's list counts this link there
-            back = ~looks[mi, q_home[qi]] & (q_home[qi] != centre)
+            back = ~m_looks[mi, q_home[qi]]
             counts_q = np.bincount(qi, m_n[mi], len(q)).astype(np.int64)
             counts_m = np.bincount(mi[back], q_n[qi[back]], len(m)).astype(np.int64)
             ids, at = np.unique(np.concatenate([q_id, m_id]), return_inverse=True)
@@ -120,47 +147,75 @@ def _block(quantiser: Quantiser, dim: int, threshold: float, group: pa.Table) ->
     return pa.table(out)
 
 
-def class_links(classes: DataFrame, dim: int, count: int, threshold: float, probe_z: float, max_lists: int,
+def class_links(classes: DataFrame, dim: int, count: int, threshold: float, max_lists: int,
                 per_list: int, parts: int, codes: int, sample_rows: int, block_rows: int) -> DataFrame:
     """classes: node, v, n. Rows (node, other, links): links of a class to other classes' rows, summed by
     block (other = node), and forest edges (links = 0)."""
     sample = bounded_sample(classes.select("node", "v"), sample_rows, "node").select("v").toArrow()  # sample_rows at most
     quantiser = Quantiser(matrix(sample["v"], dim), max(1, min(max_lists, round(count / per_list))), parts, codes)
-    margin = math.sqrt(2 - 2 * threshold) / 2 * min(1.0, probe_z / math.sqrt(dim))
+    margin = math.sqrt(2 - 2 * threshold) / 2
+    width = (len(quantiser.coarse) + 7) // 8
 
     def assign(batches):
         for batch in batches:
             x = unit(matrix(batch.column("v"), dim)) if len(batch) else np.zeros((0, dim))
             home = quantiser.home(x)
-            near = quantiser.probes(x, home, margin)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), pa.array(near, pa.list_(pa.int32()))],
-                                             names=[*batch.schema.names, "home", "probes"])
+            code, error = quantiser.encode(x, home)
+            rows = lambda b: pa.array([r.tobytes() for r in b], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(home.astype(np.int32)), rows(quantiser.probes(x, home, margin)), rows(code), pa.array(error)],
+                names=[*batch.schema.names, "home", "looks", "codes", "error"])
 
     kind = dict(classes.dtypes)["v"]
     found = staged(classes.select("node", "v", "n").mapInArrow(
-        assign, f"node long, v {kind}, n long, home int, probes array<int>"), "lists")
-    # one number for each list: sizes of lists and of what looks into them, max_lists rows at most
+        assign, f"node long, v {kind}, n long, home int, looks binary, codes binary, error double"), "lists")
+    # one number for each list: max_lists rows at most
     members = {r["home"]: r["k"] for r in found.groupBy("home").agg(F.count("*").alias("k")).collect()}
-    queries = {r["c"]: r["k"] for r in found.select(F.explode("probes").alias("c")).groupBy("c").agg(F.count("*").alias("k")).collect()}
-    blocks = lambda sizes: F.create_map(*[x for c in members for x in (
-        F.lit(c), F.lit(max(1, math.ceil(sizes.get(c, 0) / block_rows))))])
-    m_blocks, q_blocks = blocks(members), blocks(queries)
+    shelf_of = quantiser.shelves(members, block_rows)
+    shelves = int(shelf_of.max()) + 1
+    on_shelf = np.zeros((len(shelf_of), shelves), np.float32)
+    on_shelf[np.nonzero(shelf_of >= 0)[0], shelf_of[shelf_of >= 0]] = 1
+
+    def looked(batch) -> np.ndarray:
+        """Which shelves each row looks into."""
+        bits = np.unpackbits(_bits(batch.column("looks"), width), axis=1)[:, :len(shelf_of)]
+        return bits.astype(np.float32) @ on_shelf > 0
+
+    def counted(batches):
+        total = np.zeros(shelves, np.int64)
+        for batch in batches:
+            total += looked(batch).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], names=["k"])
+
+    def sent(batches):
+        for batch in batches:
+            row, shelf = np.nonzero(looked(batch))
+            for i in range(0, len(row), 16384):
+                part = batch.take(pa.array(row[i:i + 16384]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shelf[i:i + 16384].astype(np.int32))],
+                                                 names=[*batch.schema.names, "shelf"])
+
+    queries = np.sum([r["k"] for r in found.select("looks").mapInArrow(counted, "k array<long>").collect()], axis=0)
+    held = np.bincount(shelf_of[shelf_of >= 0], [members.get(c, 0) for c in np.nonzero(shelf_of >= 0)[0]], shelves)
+    numbers = lambda xs: F.array(*[F.lit(int(x)) for x in xs])
+    blocks = lambda sizes, shelf: F.get(numbers(max(1, math.ceil(n / block_rows)) for n in sizes), shelf)
     span = lambda n: F.sequence(F.lit(0), n - 1)
-    spread = F.xxhash64("node")
-    as_member = found.select(F.col("home").alias("list"), F.lit(0).alias("role"), "node", "v", "n", "home", "probes",
-                             F.pmod(spread, F.element_at(m_blocks, F.col("home"))).cast("int").alias("mb"),
-                             F.explode(span(F.element_at(q_blocks, F.col("home")))).alias("qb"))
-    looks = found.select("node", "v", "n", "home", F.explode("probes").alias("list")).filter(
-        F.col("list").isin(list(members)))
-    as_query = looks.select("list", F.lit(1).alias("role"), "node", "v", "n", "home", F.array().cast("array<int>").alias("probes"),
-                            F.pmod(spread, F.element_at(q_blocks, F.col("list"))).cast("int").alias("qb"),
-                            F.explode(span(F.element_at(m_blocks, F.col("list")))).alias("mb"))
-    return as_member.unionByName(as_query).groupBy("list", "mb", "qb").applyInArrow(
+    own, spread = F.get(numbers(shelf_of), F.col("home")), F.xxhash64("node")
+    as_member = found.select(own.alias("shelf"), F.lit(0).alias("role"), "node", "v", "n", "home", "looks", "codes", "error",
+                             F.pmod(spread, blocks(held, own)).cast("int").alias("mb"),
+                             F.explode(span(blocks(queries, own))).alias("qb"))
+    looks = found.select("node", "v", "n", "home", "looks").mapInArrow(
+        sent, f"node long, v {kind}, n long, home int, looks binary, shelf int")
+    as_query = looks.select("shelf", F.lit(1).alias("role"), "node", "v", "n", "home", "looks", F.lit(None).cast("binary").alias("codes"),
+                            F.lit(None).cast("double").alias("error"),
+                            F.pmod(spread, blocks(queries, F.col("shelf"))).cast("int").alias("qb"),
+                            F.explode(span(blocks(held, F.col("shelf")))).alias("mb"))
+    return as_member.unionByName(as_query).groupBy("shelf", "mb", "qb").applyInArrow(
         lambda group: _block(quantiser, dim, threshold, group), "node long, other long, links long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9,
-                    probe_z: float = 4.0, max_lists: int = 1024, per_list: int = 200, parts: int = 8, codes: int = 256,
+                    max_lists: int = 1024, per_list: int = 200, parts: int = 8, codes: int = 256,
                     sample_rows: int = 32768, block_rows: int = 2048) -> DataFrame:
     """id, n_links, component_id and kept of every row."""
     rows = staged(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "vectors")
@@ -173,7 +228,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     if not count:
         linked = classes.select("h", "v", (F.col("n") - 1).alias("n_links"), F.col("least").alias("component_id"))
     else:
-        out = staged(class_links(classes, dim, count, threshold, probe_z, max_lists, per_list, parts, codes, sample_rows,
+        out = staged(class_links(classes, dim, count, threshold, max_lists, per_list, parts, codes, sample_rows,
                                  block_rows), "links")
         links = out.filter("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
         roots = connected_components(out.filter("links = 0").select(F.col("node").alias("a"), F.col("other").alias("b")))

@@ -90,6 +90,29 @@ def test_dense_group_and_recall_in_many_dimensions(spark):
     assert (counts <= c.sum(1)).all() and counts.sum() >= 0.97 * c.sum()
 
 
+def test_links_along_the_line_between_centres(spark):
+    """A dense arc in 64 dimensions: lists cut it across, and links run straight over the borders."""
+    t = np.linspace(0, np.pi, 400)
+    x = np.zeros((400, 64))
+    x[:, 0], x[:, 1] = np.cos(t), np.sin(t)
+    x += 0.002 * np.random.default_rng(6).standard_normal(x.shape)
+    check_many(spark, x, per_list=20)
+
+
+def check_many(spark, x, **options):
+    c = cosines(list(x)) >= 0.9
+    np.fill_diagonal(c, False)
+    got = {r["vec_id"]: r["n_links"] for r in pq.near_duplicates(table(spark, list(enumerate(x.tolist()))), **options).collect()}
+    assert [got[i] for i in range(len(x))] == c.sum(1).tolist()
+
+
+def test_all_links_of_a_crowd_in_small_blocks(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((300, 48))
+    check_many(spark, np.concatenate([base, base[:100] + 0.3 * rng.standard_normal((100, 48)),
+                                      base[299] + 0.28 * rng.standard_normal((250, 48))]), per_list=20, block_rows=64)
+
+
 def brute_nearest(rows, wanted):
     fine = good(rows)
     out = {}

@@ -1,7 +1,8 @@
 """URL filter by a path-template tree.
 
-Pages are counted once by (host, leading path segments with digit runs as ``#``). The tree grows
-level by level under each host: a segment becomes ``*`` when it is one of very many rare siblings
+Pages are counted once by (host, path segments with digit runs as ``#``). The tree grows level by
+level under each host until no path has a further segment; where all paths of a node go on alike,
+the rest is taken at once. A segment becomes ``*`` when it is one of very many rare siblings
 (a variable segment), or when its labelled block rate does not differ from its siblings' by a
 two-proportion test (similar branches merge; without enough labels on both sides nothing is known to
 be similar). A leaf template's purity is its labelled block rate, smoothed towards its host's rate
@@ -44,17 +45,17 @@ def matched_rule(rules=RULES) -> Column:
     return out
 
 
-def _segments(depth: int) -> list[Column]:
-    """The path's first non-empty segments, digit runs as #, '' beyond the end."""
-    parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    return [F.coalesce(F.regexp_replace(F.get(parts, F.lit(i)), "[0-9]+", "#"), F.lit("")) for i in range(depth)]
+def _segments() -> Column:
+    """The path's non-empty segments, digit runs as #."""
+    return F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, "[0-9]+", "#"))
 
 
-def templates(paths: DataFrame, depth: int, max_kinds: int = 20, min_labels: int = 5, z: float = 1.96) -> DataFrame:
-    """paths: (host, s0.., n, labelled, blocked). Adds ``template``, the generalised path."""
-    cur = paths.withColumn("template", F.lit(""))
-    for i in range(depth):
-        seg, at = f"s{i}", ["host", "template"]
+def templates(paths: DataFrame, max_kinds: int = 20, min_labels: int = 5, z: float = 1.96) -> DataFrame:
+    """paths: (host, segs, n, labelled, blocked). Adds ``template``, the generalised path."""
+    cur, closed, i = paths.withColumn("template", F.lit("")), [], 0
+    while not closed or not cur.isEmpty():
+        seg, at = "seg", ["host", "template"]
+        cur = cur.withColumn(seg, F.coalesce(F.get("segs", F.lit(i)), F.lit("")))
         branch = cur.groupBy(*at, seg).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
         parent = branch.groupBy(*at).agg(F.count("*").alias("kinds"), F.sum("n").alias("pn"),
                                          F.sum("labelled").alias("pl"), F.sum("blocked").alias("pb"))
@@ -69,9 +70,22 @@ def templates(paths: DataFrame, depth: int, max_kinds: int = 20, min_labels: int
         part = F.when(F.col(seg) == "", F.lit("")).otherwise(
             F.concat(F.lit("/"), F.when(keep, F.col(seg)).otherwise(F.lit("*"))))
         chosen = branch.join(parent, at).select(*at, seg, part.alias("part"))
-        cur = staged(cur.join(chosen, [*at, seg]).withColumn("template", F.concat("template", "part")).drop("part"),
-                     f"tree-{i}")
-    return cur
+        i += 1
+        grown = staged(cur.join(chosen, [*at, seg]).withColumn("template", F.concat("template", "part")).drop("part", seg),
+                       f"tree-{i}")
+        closed.append(grown.filter(F.size("segs") <= i))
+        rest = F.slice("segs", i + 1, F.greatest(F.size("segs") - i, F.lit(0)))
+        going = grown.filter(F.size("segs") > i).withColumn("rest", rest)
+        alike = going.groupBy(*at).agg((F.min("rest") == F.max("rest")).alias("alike"))
+        cur = staged(going.join(alike, at), f"tree-open-{i}")
+        # a node with one way on has no siblings at any later level
+        closed.append(cur.filter("alike").withColumn("template", F.concat("template", F.lit("/"), F.array_join("rest", "/")))
+                      .drop("rest", "alike"))
+        cur = cur.filter("not alike").drop("rest", "alike")
+    out = closed[0]
+    for more in closed[1:]:
+        out = out.unionByName(more)
+    return staged(out, "tree")
 
 
 def purities(tree: DataFrame, smoothing: float = 5.0) -> DataFrame:
@@ -85,20 +99,19 @@ def purities(tree: DataFrame, smoothing: float = 5.0) -> DataFrame:
         (F.col("b") + m * F.col("prior")) / (F.col("l") + m)).alias("purity"))
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, depth: int = 4,
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES,
                threshold: float = 0.8, max_kinds: int = 20, smoothing: float = 5.0) -> DataFrame:
     """id, host, path, rule, verdict (allow or block), template and purity of every page."""
     named = with_url_parts(pages.select(F.col(id_col), F.col(url_col).alias("__url")), "__url").drop("__url")
-    segs = [f"s{i}" for i in range(depth)]
     parsed = (named.withColumn("hit", matched_rule(rules))
               .select(id_col, "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("given"),
-                      *[c.alias(s) for s, c in zip(segs, _segments(depth), strict=True)]))
+                      _segments().alias("segs")))
     parsed = staged(parsed, "urls")
-    paths = parsed.groupBy("host", *segs).agg(
+    paths = parsed.groupBy("host", "segs").agg(
         F.count("*").alias("n"), F.count("given").alias("labelled"),
         F.sum(F.when(F.col("given") == "block", 1).otherwise(0)).alias("blocked"))
-    tree = templates(staged(paths, "paths"), depth, max_kinds)
-    judged = tree.join(purities(tree, smoothing), ["host", "template"]).select("host", *segs, "template", "purity")
+    tree = templates(staged(paths, "paths"), max_kinds)
+    judged = tree.join(purities(tree, smoothing), ["host", "template"]).select("host", "segs", "template", "purity")
     verdict = F.coalesce("given", F.when(F.col("purity") >= threshold, "block").otherwise("allow"))
-    return parsed.join(judged, ["host", *segs]).select(id_col, "host", "path", "rule", verdict.alias("verdict"),
-                                                       "template", "purity")
+    return parsed.join(judged, ["host", "segs"]).select(id_col, "host", "path", "rule", verdict.alias("verdict"),
+                                                        "template", "purity")

@@ -68,6 +68,21 @@ def test_templates_generalise_merge_and_reject(spark):
     assert got["/spam/xa"]["template"] == "/spam/*"
 
 
+def test_paths_that_differ_only_at_the_sixth_segment(spark):
+    deep = "/a/b/c/d/e"
+    urls = [f"http://a.com{deep}/{kind}/{i}.html" for kind in ("spam", "good") for i in range(30)] + ["http://b.com" + "/x" * 300]
+    rules = (("block", f"a.com{deep}/spam/1"), ("block", f"a.com{deep}/spam/2"), ("allow", f"a.com{deep}/good/1"),
+             ("allow", f"a.com{deep}/good/2"))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["path"]: r for r in urltree.judge_urls(pages, rules=rules).collect()}
+    assert len(got) == len(urls)
+    spam, good = got[f"{deep}/spam/3.html"], got[f"{deep}/good/3.html"]
+    assert spam["rule"] is None and good["rule"] is None
+    assert (spam["template"], good["template"]) == (f"{deep}/spam/#.html", f"{deep}/good/#.html")
+    assert (spam["verdict"], good["verdict"]) == ("block", "allow")
+    assert got["/x" * 300]["template"] == "/x" * 300
+
+
 def test_native_plan(spark):
     plan = urltree.judge_urls(spark.read.parquet(f"{SF}/pages.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

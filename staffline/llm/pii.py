@@ -7,8 +7,9 @@ span stays.
 
 The CRF is trained on the driver from a small labelled table (a parameter). Its tokens are words, digit
 runs and single signs; features are the shapes of a token and its neighbours, spacing, and a few cue
-words. Only tokens within ``REACH`` of a trigger (a digit, ``@`` or a bracketed at/dot) can be in a
-span; each such stretch is one sequence. The sequences of a batch are decoded together by Viterbi in
+words. Decoding starts from the tokens within ``REACH`` of a trigger (a digit, ``@`` or the word at or
+dot, in any case), on to the next blanks; each such stretch is one sequence, and one whose span comes
+near its edge is decoded again with a wider stretch, until the span ends inside. The sequences of a batch are decoded together by Viterbi in
 numpy, side by side in blocks of bounded size.
 
 Defined results: a null text counts as empty (no spans; masking keeps it null); positions are code
@@ -39,8 +40,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-TRIGGER = re.compile(r"\d+|@|[\[(] ?(?:at|dot) ?[\])]")
+TRIGGER = re.compile(r"\d+|@|(?<![^\W\d_])(?:at|dot)(?![^\W\d_])", re.IGNORECASE)
 REACH = 6
+EDGE = 2  # tokens that the features look ahead and back
 CUES = ("at", "dot", "tel", "phone", "call", "fax", "mobile", "ssn", "security", "iban", "account", "mail", "email", "contact", "id")
 CELLS = 1 << 20  # cells of one block of sequences
 
@@ -142,30 +144,37 @@ def shape(token: str) -> str:
     return token if ord(token) < 128 else "?"
 
 
-def stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Token extents of every stretch of tokens within REACH of a trigger, in order.
-
-    Tokens are read outwards from each trigger, so text without triggers costs one search."""
-    out: list[list[tuple[int, int]]] = []
-    for m in TRIGGER.finditer(text):
-        if out and len(out[-1]) > REACH and m.start() < out[-1][-1 - REACH][1]:
-            continue  # the last stretch already goes far enough
-        left = max(0, m.start() - 24 * REACH)
-        before = [t.span() for t in TOKEN.finditer(text, left, m.start())]
-        if left and before:
-            before = before[1:]  # it may be cut
-        after = []
-        for t in TOKEN.finditer(text, m.start()):
-            after.append(t.span())
-            if len(after) > REACH:
-                break
-        run = [*before[-REACH:], *after]
-        if out and run[0][0] <= out[-1][-1][1]:
-            last = out[-1][-1][0]
-            out[-1] += [s for s in run if s[0] > last]
-        else:
-            out.append(run)
-    return out
+class Tokens:
+    """Token extents of a text, and where its blank-separated chunks begin."""
+
+    def __init__(self, text: str):
+        at = np.fromiter((x for m in TOKEN.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
+        self.starts, self.ends = at[:, 0], at[:, 1]
+        self.n = len(at)
+        new = np.nonzero(self.starts[1:] > self.ends[:-1])[0] + 1
+        self.chunks = np.concatenate([[0], new, [self.n]])
+
+    def whole(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Token ranges widened to whole chunks, and those that meet merged: rows (lo, hi)."""
+        lo, hi = np.clip(lo, 0, self.n - 1), np.clip(hi, 1, self.n)
+        lo = self.chunks[np.searchsorted(self.chunks, lo, "right") - 1]
+        hi = self.chunks[np.searchsorted(self.chunks, hi, "left")]
+        order = np.argsort(lo, kind="stable")
+        lo, hi = lo[order], np.maximum.accumulate(hi[order])
+        first = np.concatenate([[True], lo[1:] > hi[:-1]])
+        last = np.concatenate([first[1:], [True]])
+        return np.stack([lo[first], hi[last]], 1)
+
+    def extents(self, lo: int, hi: int) -> list[tuple[int, int]]:
+        return list(zip(self.starts[lo:hi].tolist(), self.ends[lo:hi].tolist(), strict=True))
+
+
+def stretches(text: str, tokens: Tokens) -> np.ndarray:
+    """Token ranges (lo, hi) of every stretch of tokens within REACH of a trigger, in order."""
+    at = np.fromiter((x for m in TRIGGER.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
+    if not len(at):
+        return np.zeros((0, 2), np.int64)
+    return tokens.whole(np.searchsorted(tokens.starts, at[:, 0]) - REACH, np.searchsorted(tokens.starts, at[:, 1]) + REACH)
 
 
 class Crf:
@@ -307,34 +316,64 @@ def train(rows: tuple[str, ...] = LABELLED, steps: int = 120, l2: float = 0.02)
     return crf
 
 
-def model_spans(crf: Crf, texts: list[str]) -> list[list[Span]]:
-    """The CRF's spans of each text. Sequences are decoded in order of length, in bounded blocks."""
-    found: list[list[Span]] = [[] for _ in texts]
-    runs = [(i, r, crf.codes(t, r)) for i, t in enumerate(texts) for r in stretches(t)]
-    runs.sort(key=lambda x: len(x[2]))
+def _decoded(crf: Crf, runs: list[tuple]) -> Iterator[tuple[tuple, list[tuple[str, int, int]]]]:
+    """Each of ``runs`` (anything, codes) and its spans in tokens, in order of length, in bounded blocks."""
+    runs = sorted(runs, key=lambda x: len(x[1]))
     lo = 0
     while lo < len(runs):
         hi = lo + 1
-        while hi < len(runs) and (hi - lo + 1) * len(runs[hi][2]) * K <= CELLS:
+        while hi < len(runs) and (hi - lo + 1) * len(runs[hi][1]) * K <= CELLS:
             hi += 1
         block = runs[lo:hi]
-        length = np.array([len(c) for *_, c in block])
+        length = np.array([len(c) for _, c in block])
         codes = np.zeros((len(block), length.max()), np.int64)
-        for row, (*_, c) in enumerate(block):
+        for row, (_, c) in enumerate(block):
             codes[row, :len(c)] = c
         labels = crf.viterbi(codes, length)
         for row in np.nonzero((labels != O).any(1))[0]:
-            i, run, _ = block[row]
-            start = kind = None
+            spans, start, kind = [], None, None
             for j in range(length[row] + 1):
                 name = LABELS[labels[row, j]] if j < length[row] else "O"
                 if name[0] != "I" and start is not None:
-                    found[i].append((kind, start, run[j - 1][1]))
+                    spans.append((kind, start, j))
                     start = None
                 if name[0] == "B":
-                    start, kind = run[j][0], name[2:]
+                    start, kind = j, name[2:]
+            yield block[row][0], spans
         lo = hi
-    return found
+
+
+def model_spans(crf: Crf, texts: list[str]) -> list[list[Span]]:
+    """The CRF's spans of each text. Stretches with a span near an edge that is not the text's are decoded
+    again with the stretch as long again on that side."""
+    tokens, open_runs, spans_of = {}, [], {}
+    for i, t in enumerate(texts):
+        if TRIGGER.search(t):
+            tokens[i] = Tokens(t)
+            found = stretches(t, tokens[i])
+            open_runs += [(i, lo, hi) for lo, hi in found.tolist()]
+            spans_of[i] = {(lo, hi): [] for lo, hi in found.tolist()}
+    while open_runs:
+        wider: dict[int, list[tuple[int, int]]] = {}
+        coded = [((i, lo, hi), crf.codes(texts[i], tokens[i].extents(lo, hi))) for i, lo, hi in open_runs]
+        for (i, lo, hi), spans in _decoded(crf, coded):
+            spans_of[i][lo, hi] = [(k, lo + a, lo + b) for k, a, b in spans]
+            left = lo > 0 and spans[0][1] < EDGE
+            right = hi < tokens[i].n and spans[-1][2] > hi - lo - EDGE
+            if left or right:
+                more = max(REACH, hi - lo)
+                wider.setdefault(i, []).append((lo - more * left, hi + more * right))
+        open_runs = []
+        for i, grown in wider.items():
+            every = np.array([*spans_of[i], *grown], np.int64)
+            merged = [(lo, hi) for lo, hi in tokens[i].whole(every[:, 0], every[:, 1]).tolist()]
+            open_runs += [(i, *r) for r in merged if r not in spans_of[i]]
+            spans_of[i] = {r: spans_of[i].get(r, []) for r in merged}
+    out: list[list[Span]] = [[] for _ in texts]
+    for i, by_range in spans_of.items():
+        t = tokens[i]
+        out[i] = [(k, int(t.starts[a]), int(t.ends[b - 1])) for r in sorted(by_range) for k, a, b in by_range[r]]
+    return out
 
 
 def find_spans(crf: Crf, texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:

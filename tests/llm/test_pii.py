@@ -109,6 +109,31 @@ def test_training_table_is_learned(crf):
     assert wrong <= 0.06 * len(pii.LABELLED)
 
 
+def whole_text_spans(crf, text):
+    ts = [m.span() for m in pii.TOKEN.finditer(text)]
+    return [(k, ts[a][0], ts[b - 1][1]) for _, spans in pii._decoded(crf, [(None, crf.codes(text, ts))]) for k, a, b in spans]
+
+
+def test_stretches_cut_no_span(crf):
+    around = ("we all went there for a long walk by the sea and then she said so ", " and all of them went home by the old road")
+    for row in pii.LABELLED:
+        text, spans = pii._marked(row)
+        if spans:
+            assert pii.model_spans(crf, [text])[0] == whole_text_spans(crf, text), text
+            assert set(spans) <= set(pii.find_spans(crf, [text])[0][1]), text
+    for text in ("mary.smith [at] mail.example.com", "jane [at] secure.mail.example.com", "jane [AT] example [DOT] com"):
+        for long in (text, around[0] + "mail " + text + around[1]):
+            assert pii.model_spans(crf, [long])[0] == whole_text_spans(crf, long), long
+    long = around[0] + "contact mary.smith [at] mail.example.com soon"
+    assert pii.masked(long, pii.find_spans(crf, [long])[0][1]) == around[0] + "contact <EMAIL> soon"
+
+
+def test_every_at_and_dot_is_decoded():
+    for text in ("jane [AT] example [DOT] com", "jane at example dot com"):
+        t = pii.Tokens(text)
+        assert pii.stretches(text, t).tolist() == [[0, t.n]]
+
+
 def test_viterbi_against_all_paths(crf):
     codes = np.array(crf.codes("(415) 55", [m.span() for m in pii.TOKEN.finditer("(415) 55")]))[None]
     labels = crf.viterbi(codes, np.array([codes.shape[1]]))[0]

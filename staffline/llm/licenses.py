@@ -26,6 +26,7 @@ from staffline.llm.store import ascii_lower, staged
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_BROADCAST = 200_000
+BITS = 62  # template words of one long of a mask
 
 # fixed values: the phrases and their labels
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -56,16 +57,17 @@ def words(text: Column) -> Column:
 
 def template_table(spark: SparkSession, k: int = 4, phrases=PHRASES, passages=PASSAGES) -> DataFrame:
     """One row per k-gram place: template, label, base, length, k, grams (places of the template),
-    j (word position) and the k words. Base phrases use k = 2; a passage shorter than k uses its
+    j (word position), the k words, and a mask of their positions. Base phrases use k = 2; a passage shorter than k uses its
     length."""
     rows = []
     cut = lambda s: re.findall(WORD, s.translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})))
+    masks = lambda j, n, size: [sum(1 << (i - b) for i in range(j, j + n) if b <= i < b + BITS) for b in range(0, size, BITS)]
     for t, (label, text, base) in enumerate([(b, a, True) for a, b in phrases] + [(a, b, False) for a, b in passages]):
         w = cut(text)
         n = 2 if base else min(k, len(w))
-        rows += [(t, label, base, len(w), n, len(w) - n + 1, j, w[j:j + n]) for j in range(len(w) - n + 1)]
+        rows += [(t, label, base, len(w), n, len(w) - n + 1, j, w[j:j + n], masks(j, n, len(w))) for j in range(len(w) - n + 1)]
     return spark.createDataFrame(
-        rows, "template int, label string, base boolean, length int, k int, grams int, j int, gram array<string>")
+        rows, "template int, label string, base boolean, length int, k int, grams int, j int, gram array<string>, mask array<long>")
 
 
 def _gram(pos: Column, k: int) -> list[Column]:
@@ -73,8 +75,8 @@ def _gram(pos: Column, k: int) -> list[Column]:
 
 
 def diagonal_votes(docs: DataFrame, grams: DataFrame, row: str) -> DataFrame:
-    """docs: ``row``, ``words``. One row per (row, template, diagonal) with its votes and extent, and
-    one with a null template per row of docs."""
+    """docs: ``row``, ``words``. One row per (row, template, diagonal) with its votes, extent and the
+    template words matched (bits of m0, m1, ...), and one with a null template per row of docs."""
     ks = sorted(r["k"] for r in grams.select("k").distinct().collect())  # a handful by construction
     small = grams.count() <= MAX_BROADCAST
     placed = docs.select(row, F.size("words").alias("n_words"), "words", F.posexplode_outer("words").alias("pos", "word"))
@@ -87,31 +89,35 @@ def diagonal_votes(docs: DataFrame, grams: DataFrame, row: str) -> DataFrame:
     hits = []
     for k in ks:
         table = grams.filter(F.col("k") == k).groupBy(F.xxhash64(*[F.get("gram", F.lit(i)) for i in range(k)]).alias(f"h{k}")).agg(
-            F.collect_list(F.struct("template", "base", "length", "grams", "j", "k", "gram")).alias(f"at{k}"))
+            F.collect_list(F.struct("template", "base", "length", "grams", "j", "k", "gram", "mask")).alias(f"at{k}"))
         placed = placed.join(F.broadcast(table) if small else table, f"h{k}", "left")
         hits.append(F.col(f"at{k}"))
     found = F.concat(*[F.coalesce(h, F.array().cast(
-        "array<struct<template:int,base:boolean,length:int,grams:int,j:int,k:int,gram:array<string>>>")) for h in hits])
+        "array<struct<template:int,base:boolean,length:int,grams:int,j:int,k:int,gram:array<string>,mask:array<bigint>>>")) for h in hits])
     any_hit = F.coalesce(*hits).isNotNull()
     at = (placed.filter(any_hit | F.col("pos").isNull() | (F.col("pos") == 0))
           .select(row, "n_words", "pos", (here if small else F.col("here")).alias("here"), F.explode_outer(found).alias("t")))
     same = F.slice("here", 1, F.col("t.k")) == F.col("t.gram")
     t = F.col("t")
     seen = at.select(row, "n_words", "pos", F.when(same, t).alias("t"))
+    longs = -(-(grams.agg(F.max("length")).first()[0] or 1) // BITS)
     # a row that has no vote stays as its text's word count
     return (seen.groupBy(row, "n_words", F.col("t.template").alias("template"), (F.col("pos") - F.col("t.j")).alias("diagonal"))
             .agg(F.first("t.base").alias("base"), F.first("t.length").alias("length"), F.first("t.grams").alias("grams"),
                  F.first("t.k").alias("k"), F.count("*").alias("votes"),
+                 *[F.bit_or(F.get("t.mask", F.lit(b))).alias(f"m{b}") for b in range(longs)],
                  F.min(F.col("t.j")).alias("j0"), F.max(F.col("t.j") + F.col("t.k")).alias("j1")))
 
 
 def spans(votes: DataFrame, row: str, drift: int = 3, least: float = 0.6) -> DataFrame:
     """Verified spans: row, template, base, first, last (word positions, last exclusive) and coverage.
     A base phrase needs its whole length on one diagonal. A passage's diagonals up to ``drift`` apart
-    are merged if they also overlap in the text; its coverage is the share of its words matched."""
+    are merged if they also overlap in the text; its coverage is the share of its words that
+    verified k-grams cover, each counted once."""
     base = votes.filter("base and votes = grams").select(
         row, "template", "base", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("length")).alias("last"),
         F.lit(1.0).alias("coverage"))
+    masks = [c for c in votes.columns if re.fullmatch("m[0-9]+", c)]
     w = Window.partitionBy(row, "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(w) > drift
     merged = (votes.filter("not base").withColumn("new", F.coalesce(apart, F.lit(True)).cast("int"))
@@ -119,8 +125,9 @@ def spans(votes: DataFrame, row: str, drift: int = 3, least: float = 0.6) -> Dat
               .groupBy(row, "template", "band").agg(
                   F.first("length").alias("length"), F.min(F.col("diagonal") + F.col("j0")).alias("first"),
                   F.max(F.col("diagonal") + F.col("j1")).alias("last"),
-                  F.sum(F.least(F.col("votes") + F.col("k") - 1, F.col("j1") - F.col("j0"))).alias("matched")))
-    coverage = F.least(F.lit(1.0), F.col("matched") / F.col("length"))
+                  *[F.bit_or(m).alias(m) for m in masks]))
+    matched = sum((F.coalesce(F.bit_count(m), F.lit(0)) for m in masks), F.lit(0))
+    coverage = matched / F.col("length")
     long = merged.withColumn("coverage", coverage).filter(F.col("coverage") >= least).select(
         row, "template", F.lit(False).alias("base"), "first", "last", "coverage")
     return base.unionByName(long)

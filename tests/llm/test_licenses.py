@@ -49,6 +49,23 @@ def test_passage_with_inserted_and_missing_words_is_one_span(spark):
     assert got[1]["labels"] == ""
 
 
+def test_words_replaced_evenly_cost_only_themselves(spark):
+    label, passage = licenses.PASSAGES[0]
+    rows = []
+    for i, gone in enumerate([(), (8, 15, 22), (5, 10, 15, 20, 25)]):
+        w = passage.split()
+        for j in gone:
+            w[j - 1] = "zzz"
+        rows.append((i, " ".join(w)))
+    long = " ".join(f"w{i}" for i in range(148))
+    rows.append((3, " ".join("zzz" if i % 7 == 0 else f"w{i}" for i in range(148))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan_licenses(docs, passages=(*licenses.PASSAGES, ("long", long))).orderBy("doc_id").collect()
+    n = len(passage.split())
+    for r, share in zip(got, [1, (n - 3) / n, (n - 5) / n, 126 / 148], strict=True):
+        assert r["labels"] == ("long" if r["doc_id"] == 3 else label) and abs(r["score"] - share) < 1e-9
+
+
 def test_common_words_do_not_make_labels(spark):
     text = "the work of the user is in the use of the terms and the license of the public " * 50
     got = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

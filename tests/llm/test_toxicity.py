@@ -94,3 +94,10 @@ def test_linear_classifier_and_calibration():
 def test_patterns_are_bounded(text):
     w = toxicity._words(text)
     assert all(0 <= v <= 1 for v in toxicity.text_patterns(text, w, len(set(w))))
+
+
+@pytest.mark.parametrize("text", ["Abcdefg " * 2000, "aB" * 4000, "x" * 9000 + "É" * 3000, "Word and more words, " * 1237])
+def test_shouting_counts_every_character(text):
+    w = toxicity._words(text)
+    share = sum(c.isupper() for c in text) / sum(map(len, w))
+    assert toxicity.text_patterns(text, w, len(set(w)))[0] == min(1.0, share)

@@ -37,9 +37,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with its id and source."""
-    return unigram.encode_texts(docs.select("doc_id", "source", "text"), PIECES).select(
-        "doc_id", "source", "n_tokens", "ids")
+    """Token ids of every document, with its id, source and whether decoding them gives the text back."""
+    return unigram.encode_texts(docs.select("doc_id", "source", "text"), PIECES, check=True).select(
+        "doc_id", "source", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [

@@ -86,6 +86,11 @@ def test_tokens_decode_to_the_texts(outputs):
     assert all(r["decoded"] == texts[r["doc_id"]].replace("▁", " ") for r in back.collect())
 
 
+def test_the_last_stage_decodes_what_it_encodes(spark, edge_docs):
+    got = corpus_pipeline.to_tokens(spark, edge_docs, SF)
+    assert got.count() == edge_docs.count() and got.filter("not coalesce(round_trip, false)").count() == 0
+
+
 def test_stages_on_edges(spark, edge_docs, tmp_path):
     (spark.createDataFrame([(1, 1, 0), (5, 1, 1)], "doc_id long, quality int, toxic int")
      .write.parquet(str(tmp_path / "labels.parquet")))

@@ -313,14 +313,25 @@ def q_schema_report(spark, sf_dir):
 DEPARTMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
+def _departments(spark, sf_dir) -> list[tuple[str, DataFrame]]:
+    """The whole staff table as (name, rows) by department: the listed ones, then the rest (null
+    included) if there is any."""
+    s = spells.materialize(fixture.staff(spark, sf_dir))
+    listed = [(dept.lower(), s.where(F.col("department") == dept)) for dept in DEPARTMENTS]
+    rest = s.where(~F.coalesce(F.col("department").isin(*DEPARTMENTS), F.lit(False)))
+    return listed if rest.isEmpty() else [*listed, ("other", rest)]
+
+
+def _save_department(spark, root, i, name, rows, at) -> None:
+    tables.write_dataset(rows, root, "staff", f"ds-{i}", "owner-1")
+    tables.register_dataset(spark, root, "staff", "owner-1", f"ds-{i}", name, f"{name}.xlsx", at)
+
+
 def _store_departments(spark, sf_dir) -> str:
     """The whole staff table as one dataset per department, each saved and registered."""
     root = bundles.store_root(spark)
-    s = spells.materialize(fixture.staff(spark, sf_dir))
-    for i, dept in enumerate(DEPARTMENTS):
-        tables.write_dataset(s.where(F.col("department") == dept), root, "staff", f"ds-{i}", "owner-1")
-        tables.register_dataset(spark, root, "staff", "owner-1", f"ds-{i}", dept.lower(), f"{dept.lower()}.xlsx",
-                                f"2001-12-0{i + 1} 00:00:00")
+    for i, (name, rows) in enumerate(_departments(spark, sf_dir)):
+        _save_department(spark, root, i, name, rows, f"2001-12-0{i + 1} 00:00:00")
     return root
 
 
@@ -344,13 +355,19 @@ def q_dataset_delete(spark, sf_dir):
 
 
 def q_dataset_resaved(spark, sf_dir):
-    """Saved, deleted and saved again: every dataset is there once, with its stored rows."""
-    root = _store_departments(spark, sf_dir)
-    for i, dept in enumerate(DEPARTMENTS):
+    """Saved, deleted and saved again: every dataset is there once, with its rows as read back."""
+    root = bundles.store_root(spark)
+    parts, read = _departments(spark, sf_dir), None
+    for i, (name, rows) in enumerate(parts):
+        _save_department(spark, root, i, name, rows, f"2001-12-0{i + 1} 00:00:00")
+    for i, (name, rows) in enumerate(parts):
         tables.delete_dataset(spark, root, f"ds-{i}", "2001-12-08 00:00:00", "owner-1")
-        tables.register_dataset(spark, root, "staff", "owner-1", f"ds-{i}", dept.lower(), f"{dept.lower()}.xlsx",
-                                "2001-12-09 00:00:00")
-    return tables.list_datasets(spark, root, "owner-1").select("dataset_id", "name", "file_name", "rows")
+        _save_department(spark, root, i, name, rows, "2001-12-09 00:00:00")
+        back = tables.read_dataset(spark, root, "staff", f"ds-{i}", "owner-1").agg(F.count("*").alias("rows"))
+        back = back.select(F.lit(f"ds-{i}").alias("dataset_id"), "rows")
+        read = back if read is None else read.unionByName(back)
+    listed = tables.list_datasets(spark, root, "owner-1").select("dataset_id", "name", "file_name")
+    return listed.join(read, "dataset_id", "left").select("dataset_id", "name", "file_name", "rows")
 
 
 def q_save_analysis(spark, sf_dir):

@@ -751,25 +751,26 @@ def q_overview(year=2000, month=6) -> str:
 
 SCORED_COLS = "employee_id, score_perf_inv, score_promotion, score_tenure, score_merit, score_team"
 
-def _tidy(section: str, sql: str, item: str | None, value: str = "headcount", month: bool = True) -> str:
+
+def _tidy_rows(section: str, sql: str, item: str | None, value: str = "headcount", month: bool = True) -> str:
     return (f"SELECT '{section}' AS section, {'month' if month else 'CAST(NULL AS VARCHAR)'} AS month, "
             f"CAST({item or 'NULL'} AS VARCHAR) AS item, CAST({value} AS DOUBLE) AS value FROM ({sql})")
 
 
 def q_headcount_bundle() -> str:
     return " UNION ALL ".join([
-        _tidy("headcount_by_department", q_headcount_at("department", "2000-06-01"), "department", month=False),
-        _tidy("headcount_temporal", q_headcount_monthly("department"), "department"),
-        _tidy("headcount_growth", q_headcount_growth(), "department", "growth_pct"),
-        _tidy("headcount_gender", q_headcount_monthly("gender"), "gender"),
-        _tidy("headcount_tenure", q_headcount_monthly_tenure(), "tenure_band"),
-        _tidy("headcount_performance", q_headcount_monthly("rating", "sr"), "rating")])
+        _tidy_rows("headcount_by_department", q_headcount_at("department", "2000-06-01"), "department", month=False),
+        _tidy_rows("headcount_temporal", q_headcount_monthly("department"), "department"),
+        _tidy_rows("headcount_growth", q_headcount_growth(), "department", "growth_pct"),
+        _tidy_rows("headcount_gender", q_headcount_monthly("gender"), "gender"),
+        _tidy_rows("headcount_tenure", q_headcount_monthly_tenure(), "tenure_band"),
+        _tidy_rows("headcount_performance", q_headcount_monthly("rating", "sr"), "rating")])
 
 
 def q_attrition_bundle() -> str:
     return " UNION ALL ".join([
-        _tidy("attrition_period", q_attrition_period(2000, None), None, "attrition_total", month=False),
-        _tidy("attrition_history", q_attrition_history(), None, "attrition_total")])
+        _tidy_rows("attrition_period", q_attrition_period(2000, None), None, "attrition_total", month=False),
+        _tidy_rows("attrition_history", q_attrition_history(), None, "attrition_total")])
 
 
 ORACLE = {

@@ -41,6 +41,7 @@ MIN_SUPPORT = 3
 VOTER_ODDS = 2.5      # log-odds from which an entry may vote
 MAX_LEXICONS = 24
 EM_STEPS = 25
+CACHE = 100_000       # words whose entries a task keeps
 ADDRESS = re.compile(r"\b(?:you|your|tu|vous|du|ihr|ustedes|vosotros)\b")
 BANGS = re.compile(r"!!+|\?!+")
 UPPER = np.array([chr(i).isupper() for i in range(0x110000)])
@@ -136,7 +137,7 @@ class Lexicon:
             ids = cache.get(w)
             if ids is None:
                 ids = tuple(self.ids[e] for e in entries_of(w) if e in self.ids)
-                if len(cache) < 500_000:
+                if len(cache) < CACHE:
                     cache[w] = ids
             found.update(ids)
         values = text_patterns(text, words, len(seen))

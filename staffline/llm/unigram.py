@@ -33,9 +33,11 @@ MARK = "▁"
 UNK_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHE = 400_000       # distinct words kept per task
-BLOCK = 1 << 21       # cells of one Viterbi table
-TEXT_BLOCK = 8 << 20  # characters of the texts handled at once
+CACHE_BYTES = 40 << 20  # of distinct words kept per task, with their ids
+ENTRY_BYTES = 220       # of a kept word besides its characters and ids
+BLOCK = 1 << 19         # cells of one Viterbi table
+TEXT_BLOCK = 1 << 20    # characters of the texts handled at once
+SLICE = 64              # rows made Python strings at once
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -100,8 +102,8 @@ class DoubleArray:
     def __init__(self, keys: list[tuple[tuple[int, ...], int]], symbols: int):
         self.symbols = symbols
         size = 1 << 16
-        self.base, self.check = np.zeros(size, np.int64), np.full(size, -1, np.int64)
-        self.value = np.full(size, -1, np.int64)
+        self.base, self.check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+        self.value = np.full(size, -1, np.int32)
         self.check[0] = -2
         free = 1  # no free cell below
         todo = [(0, 0, 0, len(keys))]  # state, depth, range of the sorted keys
@@ -138,9 +140,9 @@ class DoubleArray:
     def _grow(self, need: int) -> None:
         if need >= len(self.check):
             more = max(need + 1 - len(self.check), len(self.check))
-            self.base = np.concatenate([self.base, np.zeros(more, np.int64)])
-            self.check = np.concatenate([self.check, np.full(more, -1, np.int64)])
-            self.value = np.concatenate([self.value, np.full(more, -1, np.int64)])
+            self.base = np.concatenate([self.base, np.zeros(more, np.int32)])
+            self.check = np.concatenate([self.check, np.full(more, -1, np.int32)])
+            self.value = np.concatenate([self.value, np.full(more, -1, np.int32)])
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Children by symbol, -1 where there is none (or state is -1 or symbol is negative)."""
@@ -150,6 +152,24 @@ class DoubleArray:
         return np.where(ok & (self.check[t] == state), t, -1)
 
 
+class Cache:
+    """Words and their ids (as bytes) of at most ``CACHE_BYTES``; emptied when full."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, bytes] = {}
+        self.size = 0
+
+    def keep(self, word: str, ids: bytes) -> bytes:
+        need = ENTRY_BYTES + 4 * len(word) + len(ids)
+        if self.size + need > CACHE_BYTES:
+            self.words.clear()
+            self.size = 0
+        if need <= CACHE_BYTES:
+            self.words[word] = ids
+            self.size += need
+        return ids
+
+
 class Unigram:
     """Encoder and decoder of one vocabulary."""
 
@@ -254,20 +274,15 @@ class Unigram:
     def marked(text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
-    def encode(self, texts: list[str | None], cache: dict | None = None) -> list[np.ndarray | None]:
+    def encode(self, texts: list[str | None], cache: Cache | None = None) -> list[np.ndarray | None]:
         """Ids of each text; None for None."""
-        cache = {} if cache is None else cache
+        cache = Cache() if cache is None else cache
         split = [None if t is None else WORDS.findall(self.marked(t)) for t in texts]
-        new = [w for w in dict.fromkeys(w for ws in split if ws for w in ws) if w not in cache]
-        found = dict(zip(new, self.segment(new), strict=True))
-        if len(cache) + len(found) > CACHE:
-            cache_view = {w: cache[w] for ws in split if ws for w in ws if w in cache} | found
-            cache.clear()
-        else:
-            cache.update(found)
-            cache_view = cache
-        none = np.zeros(0, np.int32)
-        return [None if ws is None else np.concatenate([cache_view[w] for w in ws]) if ws else none for ws in split]
+        here = {w: cache.words.get(w) for ws in split if ws for w in ws}
+        new = [w for w, ids in here.items() if ids is None]
+        for w, ids in zip(new, self.segment(new), strict=True):
+            here[w] = cache.keep(w, ids.tobytes())
+        return [None if ws is None else np.frombuffer(b"".join([here[w] for w in ws]), np.int32) for ws in split]
 
     def decode(self, ids) -> str:
         """The text of ids: markers become spaces, and the one in front goes."""
@@ -281,14 +296,16 @@ def load(path: str) -> Unigram:
     return Unigram(pieces, zipf_scores(pieces) if model == 2 else [s for _, s, _ in pieces])
 
 
-def _blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
+def _blocks(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The column's texts, about ``TEXT_BLOCK`` characters at once."""
     block, size = [], 0
-    for t in texts:
-        block.append(t)
-        size += len(t or "")
-        if size >= TEXT_BLOCK:
-            yield block
-            block, size = [], 0
+    for lo in range(0, len(texts), SLICE):
+        for t in texts.slice(lo, SLICE).to_pylist():
+            block.append(t)
+            size += len(t or "")
+            if size >= TEXT_BLOCK:
+                yield block
+                block, size = [], 0
     if block:
         yield block
 
@@ -301,10 +318,10 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", check: bool
                            T.StructField("n_tokens", T.LongType()), *[T.StructField("round_trip", T.BooleanType())] * check])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = load(path), {}
+        model, cache = load(path), Cache()
         for batch in batches:
             start = 0
-            for block in _blocks(batch.column(text_col).to_pylist()):
+            for block in _blocks(batch.column(text_col)):
                 ids = model.encode(block, cache)
                 sizes = [0 if x is None else len(x) for x in ids]
                 ends = pa.array([None if x is None else o for x, o in zip(ids, np.cumsum([0, *sizes[:-1]]), strict=True)]
@@ -344,12 +361,12 @@ def encode_and_check(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        model, cache = load(path), {}
+        model, cache = load(path), Cache()
         is_byte = np.zeros(len(model.pieces), bool)
         is_byte[list(model.byte.values())] = True
         for batch in batches:
             n, b, crc, ok = [], [], [], []
-            for block in _blocks(batch.column(text_col).to_pylist()):
+            for block in _blocks(batch.column(text_col)):
                 for text, ids in zip(block, model.encode(block, cache), strict=True):
                     ids = np.zeros(0, np.int32) if ids is None else ids
                     n.append(len(ids))

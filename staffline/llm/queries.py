@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.llm import licenses, mixing, pii, pq, routed, sharding, simhash, toxicity, unigram, urltree
+from staffline.llm import align, licenses, mixing, pii, pq, routed, sharding, simhash, toxicity, unigram, urltree
 from staffline.llm.oracle import ORACLE as ORACLE
 from staffline.llm.store import table
 
@@ -49,6 +49,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: A byte-level tokenizer every worker can read.
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokenizers(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_LEVEL, PIECES)
+
+
 def op3_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -58,6 +66,7 @@ def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op3_pq_near_dedup": op3_pq_near_dedup,
     "op7_learned_partitions": op7_learned_partitions,
     "op4_sentencepiece": op4_sentencepiece,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from staffline.llm import secrets
 from staffline.llm.store import LOWER, UPPER
 from staffline.llm.urltree import RULES
 
@@ -56,6 +57,45 @@ SELECT page_id, u.host, path, rule, coalesce(given, CASE WHEN purity >= {thresho
 FROM urls u JOIN {last} t ON u.host = t.host AND {same} JOIN leaves x ON t.host = x.host AND t.template = x.template"""
 
 
+def secrets_sql(max_owners: int = 1, max_repos: int = 3, min_token: int = 20, min_variety: int = 8) -> str:
+    """Matches and the gaps between them by kind, places by running sums, owners by distinct counts."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    kinds, base = list(secrets.PATTERNS), len(secrets.BASE)
+    found = " UNION ALL ".join(
+        f"""SELECT rid, owner, repo, {n} AS kind, unnest(regexp_extract_all(t, {p})) AS m,
+  unnest(list_slice(regexp_split_to_array(t, {p}), 1, len(regexp_extract_all(t, {p})))) AS gap,
+  unnest(range(len(regexp_extract_all(t, {p})))) AS k FROM d"""
+        for n, p in enumerate(quote(v % min_token if k == "owned" else v) for k, v in secrets.PATTERNS.items()))
+    least = " ".join(f"WHEN {n} THEN length(value) >= {secrets.LEAST[k]}" for n, k in enumerate(secrets.BASE))
+    names = " ".join(f"WHEN {n} THEN '{k}'" for n, k in enumerate(kinds))
+    told = f"CASE kind {names} END || ':' || start || ':' || stop"
+    joined = lambda where: (f"coalesce(string_agg({told}, ',' ORDER BY start, kind, stop)"
+                            f"{where and f' FILTER ({where})'}, '')")
+    counts = [f"count(*) FILTER (kind = {n}) AS n_{k}" for n, k in enumerate(kinds)]
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS owner, struct_pack(s := source, l := lang) AS repo,
+  coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+valued AS (SELECT *, CASE kind WHEN 0 THEN regexp_replace(m, {quote('^' + secrets.NAMED)}, '') ELSE m END AS value,
+  sum(length(gap) + length(m)) OVER (PARTITION BY rid, kind ORDER BY k) AS stop FROM found),
+looked AS (SELECT rid, owner, repo, kind, m, value, CAST(stop AS BIGINT) AS stop, CAST(stop - length(m) AS BIGINT) AS start,
+  len(list_distinct(string_split(value, ''))) >= {min_variety} AND NOT regexp_matches(lower(value), '{secrets.PLACEHOLDERS}') AS live
+  FROM valued),
+held AS (SELECT * FROM looked WHERE CASE kind {least}
+  ELSE live AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') END),
+spans AS (SELECT * FROM held h WHERE kind < {base} OR NOT EXISTS (SELECT 1 FROM held b WHERE b.rid = h.rid AND b.kind < {base}
+  AND b.start < h.stop AND b.stop > h.start)),
+known AS (SELECT value, count(DISTINCT coalesce(owner, chr(1))) AS owners, count(DISTINCT repo) AS repos FROM spans GROUP BY value),
+judged AS (SELECT s.* REPLACE (s.live AND owners <= {max_owners} AND repos <= {max_repos} AS live),
+  NOT (owners <= {max_owners} AND repos <= {max_repos}) AS copied FROM spans s JOIN known USING (value)),
+told AS (SELECT rid, {', '.join(counts)}, count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied,
+  {joined(f'kind < {base}')} AS base, {joined('')} AS spans, {joined('live')} AS live
+  FROM judged WHERE kind < {base} OR live GROUP BY rid)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+  coalesce(live, '') AS live FROM d LEFT JOIN told USING (rid)"""
+
+
 ORACLE = {
+    "op13_secret_ownership": secrets_sql(),
     "op2_url_filter": url_filter_sql(),
 }

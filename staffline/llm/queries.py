@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.llm import align, licenses, mixing, pii, pq, routed, secrets, sharding, simhash, toxicity, unigram, urltree
+from staffline.llm import align, licenses, mixing, pii, pq, routed, secrets, sharding, simhash, toxicity, turns, unigram, urltree
 from staffline.llm.oracle import ORACLE as ORACLE
 from staffline.llm.store import table
 
@@ -57,6 +57,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_tokenizers(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_LEVEL, PIECES)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op13_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source stands for an owner, its documents of one language for a repository."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
@@ -72,6 +76,7 @@ def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_secret_ownership": op13_secret_ownership,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op3_pq_near_dedup": op3_pq_near_dedup,

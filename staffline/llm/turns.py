@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -370,6 +370,7 @@ def _repair_stretches(schema: T.StructType) -> Callable:
                         chars += len(text)
                         if len(rows) >= CHUNK_ROWS or chars >= CHUNK_CHARS:
                             spill(conv, rows, chunk)
+                            yield flush()
                             rows, chars, chunk = [], 0, chunk + 1
                     if len(out) >= 4096:
                         yield flush()
@@ -485,7 +486,3 @@ def cheapest(rows: list[tuple[str, str]]) -> tuple[int, str]:
         stretch.add(None, role, fault)
     counts, audit = stretch.result()
     return counts[-1], audit
-
-
-def column_of(found: DataFrame, name: str) -> Column:
-    return found[name]

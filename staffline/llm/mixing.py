@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from staffline.llm.store import staged
+from staffline.llm.store import sent_if_small, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 ONE = 1 << 30  # fixed-point 1.0 of a rate
@@ -167,10 +167,11 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                          id_col, weights, cap), "copies")
     key = [F.col(id_col).alias("__id"), F.col("source").alias("__src"), F.col("size").alias("__z")]
     per_key = staged(decided.groupBy(*key).agg(F.count("*").alias("__n"), F.min("copies").alias("__least"),
-                                               F.sum("copies").alias("__sum")).filter("__sum > 0"), "taken")
+                                               F.sum("copies").alias("__sum"))
+                     .filter("__n > 1 OR __sum != 1"), "taken")  # whoever is not named here is taken once
     same = (F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__src"))
             & (F.col("__size") == F.col("__z")))
-    joined = sized.join(per_key, same)
+    joined = sized.join(sent_if_small(per_key), same, "left").fillna({"__n": 1, "__least": 1, "__sum": 1})
     # running sums round a run of equals to copies that differ by 1 at most: the first few rows get one more
     more = F.col("__sum") - F.col("__least") * F.col("__n")
     once = joined.filter("__n = 1").withColumn("__copies", F.col("__least"))

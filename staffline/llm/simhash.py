@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staffline.llm.components import connected_components
-from staffline.llm.store import staged
+from staffline.llm.store import sent_if_small, staged
 
 SEED = 42
 CHUNK = 65536
@@ -156,11 +156,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                                    extra=["__row"]), "groups")
     order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
     rows = groups.groupBy("root", order.alias("o")).agg(F.count("*").alias("n"))
-    best = staged(rows.groupBy("root").agg(F.min(F.struct("o", "n")).alias("w")).select(
-        F.col("w.o.id").alias("__id"), F.col("w.o.row").alias("__best"), F.col("w.n").alias("__n")), "best")
-    kept = docs.withColumn("__row", row_hash).join(
-        best, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__best")), "inner")
-    if best.filter("__n > 1").isEmpty():  # no wholly equal rows: one pass over the texts
+    best = rows.groupBy("root").agg(F.min("o").alias("b"), F.count("*").alias("rows"))
+    named = lambda df: df.select(F.col("o.id").alias("__id"), F.col("o.row").alias("__hash"))
+    # the few rows that go (or stand more than once) meet the texts, not the many that stay
+    lost = staged(named(rows.join(best.filter("rows > 1"), "root").filter(~F.col("o").eqNullSafe(F.col("b")))), "lost")
+    twins = staged(named(rows.filter("n > 1")), "twins")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__hash"))
+    kept = docs.withColumn("__row", row_hash).join(sent_if_small(lost), same, "left_anti")
+    if twins.isEmpty():  # no wholly equal rows: one pass over the texts
         return kept.select(*cols)
-    once = kept.filter("__n = 1").select(*cols)
-    return once.unionByName(kept.filter("__n > 1").select(*cols).distinct())
+    twins = sent_if_small(twins)
+    once = kept.join(twins, same, "left_anti").select(*cols)
+    return once.unionByName(kept.join(twins, same, "left_semi").select(*cols).distinct())

@@ -30,6 +30,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def sent_if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df`` (a few narrow columns, written already) marked for sending to all tasks if it has at most
+    ``most`` rows; else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def parallelism(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -33,7 +33,11 @@ def history_frame(staff: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT
                   mode: str = "compat") -> DataFrame:
     """Monthly history with ``month`` as a DATE (internal form of ``attrition_history``)."""
     by = list(by)
-    ev = spells.month_events(staff, by, mode)
+    return history_of(spells.month_events(staff, by, mode), by, as_of)
+
+
+def history_of(ev: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF) -> DataFrame:
+    """``history_frame`` of month events that exist already."""
     if by:
         ev = spells.drop_null_keys(ev, by)
     x = spells.step_series(ev, by, as_of)
@@ -54,7 +58,11 @@ def attrition_history(staff: DataFrame, by: Sequence[str] = (), as_of: str = DEF
     With ``by`` each group gets its own spine bounds (as the reference's per-department subsets)."""
     staff = _dated(staff)
     by = list(by)
-    h = history_frame(staff, by, as_of, mode)
+    return labelled(history_frame(staff, by, as_of, mode), by)
+
+
+def labelled(h: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The history with its month as text."""
     return h.select(
         *by, month_label(F.col("month")).alias("month"), "headcount", "exits", "voluntary", "involuntary",
         *RATE_COLUMNS,
@@ -74,55 +82,59 @@ def attrition_period(staff: DataFrame, year: int | None = None, month: int | Non
     """
     staff = _dated(staff)
     by = list(by)
-    need_years = year is None and month is not None
-    ev = spells.month_events(staff, by, mode, years=need_years)
-    if by:
-        ev = spells.drop_null_keys(ev, by)
+    ev = spells.month_events(staff, by, mode, years=needs_years(year, month))
+    return period_of(ev, {"": (year, month)}, by, as_of)
+
+
+def needs_years(year: int | None, month: int | None) -> bool:
+    """Whether the months of a period hang on the calendar years that occur."""
+    return year is None and month is not None
+
+
+def _months(year: int | None, month: int | None) -> tuple[Column | None, Column]:
+    """How far a series must reach for a period, and which of its months belong to it."""
     m = F.col("month")
-    extend_to = None
     if year is not None and month is not None:
         target = date_lit(f"{year:04d}-{month:02d}-01")
-        extend_to, cond = target, m == target
-    elif year is not None:
-        extend_to = date_lit(f"{year:04d}-12-01")
-        cond = F.year(m) == F.lit(year)
-    elif month is not None:
-        extend_to = make_month(F.array_max(F.col("years")), F.lit(month))
-        cond = (F.month(m) == F.lit(month)) & F.array_contains(F.col("years"), F.year(m))
-    else:
-        cond = (m >= F.col("lo")) & (m <= F.col("hi"))
+        return target, m == target
+    if year is not None:
+        return date_lit(f"{year:04d}-12-01"), F.year(m) == F.lit(year)
+    if month is not None:
+        return (make_month(F.array_max(F.col("years")), F.lit(month)),
+                (F.month(m) == F.lit(month)) & F.array_contains(F.col("years"), F.year(m)))
+    return None, (m >= F.col("lo")) & (m <= F.col("hi"))
+
+
+def period_of(ev: DataFrame, periods: dict[str, tuple[int | None, int | None]], by: Sequence[str] = (),
+              as_of: str = DEFAULT_AS_OF) -> DataFrame:
+    """``attrition_period`` of month events that exist already, for several periods (name prefix ->
+    year, month) at once: all are conditional aggregates of one dense series."""
+    by = list(by)
+    if by:
+        ev = spells.drop_null_keys(ev, by)
+    need_years = any(needs_years(*p) for p in periods.values())
+    parts = {name: _months(*p) for name, p in periods.items()}
+    reach = [r for r, _ in parts.values() if r is not None]
+    extend_to = reach[0] if len(reach) == 1 else F.greatest(*reach) if reach else None
     x = _rates(spells.step_series(ev, by, as_of, extend_to=extend_to, years=need_years))
-    use = F.col("lo").isNotNull() & cond & (F.col("headcount") > 0)
-
-    def when_used(c: str) -> Column:
-        return F.when(use, F.col(c))
-
-    agg = x.groupBy(*by).agg(
-        F.avg(when_used("attrition_total")).alias("r_total"),
-        F.avg(when_used("attrition_vol")).alias("r_vol"),
-        F.avg(when_used("attrition_inv")).alias("r_inv"),
-        F.sum(when_used("headcount")).alias("s_hc"),
-        F.sum(when_used("exits")).alias("s_ex"),
-        F.sum(when_used("voluntary")).alias("s_vol"),
-        F.sum(when_used("involuntary")).alias("s_inv"),
-        F.count_if(use).alias("n"),
-    )
-    n = F.coalesce(F.col("n"), F.lit(0))
-
-    def mean_count(c: str) -> Column:
-        return F.when(n > 0, round_half_even(F.col(c) / n, 1)).otherwise(F.lit(0.0))
-
-    return agg.select(
-        *by,
-        F.coalesce(round_half_even(F.col("r_total"), 1), F.lit(0.0)).alias("attrition_total"),
-        F.coalesce(round_half_even(F.col("r_vol"), 1), F.lit(0.0)).alias("attrition_vol"),
-        F.coalesce(round_half_even(F.col("r_inv"), 1), F.lit(0.0)).alias("attrition_inv"),
-        F.when(n > 0, F.floor(F.col("s_hc") / n)).otherwise(F.lit(0)).cast("long").alias("avg_headcount"),
-        mean_count("s_ex").alias("avg_exits"),
-        mean_count("s_vol").alias("avg_voluntary"),
-        mean_count("s_inv").alias("avg_involuntary"),
-        n.cast("long").alias("months_used"),
-    )
+    sums = {"r_total": ("avg", "attrition_total"), "r_vol": ("avg", "attrition_vol"), "r_inv": ("avg", "attrition_inv"),
+            "s_hc": ("sum", "headcount"), "s_ex": ("sum", "exits"), "s_vol": ("sum", "voluntary"), "s_inv": ("sum", "involuntary")}
+    aggs, out = [], [F.col(b) for b in by]
+    for name, (_, cond) in parts.items():
+        use = F.col("lo").isNotNull() & cond & (F.col("headcount") > 0)
+        aggs += [getattr(F, f)(F.when(use, F.col(c))).alias(name + k) for k, (f, c) in sums.items()]
+        aggs.append(F.count_if(use).alias(name + "n"))
+        n = F.coalesce(F.col(name + "n"), F.lit(0))
+        rate = lambda c, name=name: F.coalesce(round_half_even(F.col(name + c), 1), F.lit(0.0))
+        mean = lambda c, name=name, n=n: F.when(n > 0, round_half_even(F.col(name + c) / n, 1)).otherwise(F.lit(0.0))
+        out += [
+            rate("r_total").alias(name + "attrition_total"), rate("r_vol").alias(name + "attrition_vol"),
+            rate("r_inv").alias(name + "attrition_inv"),
+            F.when(n > 0, F.floor(F.col(name + "s_hc") / n)).otherwise(F.lit(0)).cast("long").alias(name + "avg_headcount"),
+            mean("s_ex").alias(name + "avg_exits"), mean("s_vol").alias(name + "avg_voluntary"),
+            mean("s_inv").alias(name + "avg_involuntary"), n.cast("long").alias(name + "months_used"),
+        ]
+    return x.groupBy(*by).agg(*aggs).select(*out)
 
 
 def attrition_by_department(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "compat",
@@ -197,16 +209,13 @@ COMPARE_MEASURES = ("attrition_total", "attrition_vol", "attrition_inv",
 
 def attrition_compare(staff: DataFrame, year: int | None, month: int | None, as_of: str = DEFAULT_AS_OF,
                      mode: str = "compat") -> DataFrame:
-    """The seven period measures next to the whole-history ones, with differences.
-    Two one-row frames joined on a constant (a 1 × 1 join), then unpivoted to rows."""
-    sel = attrition_period(staff, year, month, as_of=as_of, mode=mode)
-    tot = attrition_period(staff, None, None, as_of=as_of, mode=mode)
-    s = sel.select(*[F.col(c).cast("double").alias(f"p_{c}") for c in COMPARE_MEASURES])
-    t = tot.select(*[F.col(c).cast("double").alias(f"t_{c}") for c in COMPARE_MEASURES])
-    j = spells.with_scalars(s, t)
+    """The seven period measures next to the whole-history ones, with differences: both are
+    conditional aggregates of one series, so staff is read once."""
+    ev = spells.month_events(_dated(staff), (), mode, years=needs_years(year, month))
+    j = period_of(ev, {"p_": (year, month), "t_": (None, None)}, as_of=as_of)
     rows = F.array(*[
-        F.struct(F.lit(i + 1).alias("ord"), F.lit(c).alias("measure"), F.col(f"p_{c}").alias("period"),
-                 F.col(f"t_{c}").alias("total"))
+        F.struct(F.lit(i + 1).alias("ord"), F.lit(c).alias("measure"), F.col(f"p_{c}").cast("double").alias("period"),
+                 F.col(f"t_{c}").cast("double").alias("total"))
         for i, c in enumerate(COMPARE_MEASURES)
     ])
     out = j.select(F.inline(rows))

@@ -67,6 +67,10 @@ def headcount_at(staff: DataFrame, group: str = "department", at: str = DEFAULT_
         .groupBy(group)
         .agg(F.count("employee_id").alias("headcount"))
     )
+    return shares_of(grouped, group)
+
+
+def shares_of(grouped: DataFrame, group: str) -> DataFrame:
     return share_of_total(grouped, "headcount", "pct").orderBy(F.desc("headcount"), F.col(group))
 
 
@@ -78,10 +82,10 @@ def headcount_compare(staff: DataFrame, year: int | None, month: int | None, gro
     tp = ts_lit(reference_date(year, month, as_of, anchor))
     tt = ts_lit(as_of)
     g = staff.where(F.col(group).isNotNull()).groupBy(group).agg(
-        F.count(F.when(active_at(tp), F.col("employee_id"))).alias("headcount_period"),
-        F.count(F.when(active_at(tt), F.col("employee_id"))).alias("headcount_total"),
-        F.count_if(active_at(tp)).alias("_np"),
-        F.count_if(active_at(tt)).alias("_nt"),
+        F.count(F.when(counted_at(staff, tp), F.col("employee_id"))).alias("headcount_period"),
+        F.count(F.when(counted_at(staff, tt), F.col("employee_id"))).alias("headcount_total"),
+        F.count_if(counted_at(staff, tp)).alias("_np"),
+        F.count_if(counted_at(staff, tt)).alias("_nt"),
     )
     g = g.where((F.col("_np") > 0) | (F.col("_nt") > 0))
     diff = F.col("headcount_period") - F.col("headcount_total")
@@ -92,7 +96,11 @@ def headcount_compare(staff: DataFrame, year: int | None, month: int | None, gro
 
 def _global_series(staff: DataFrame, group: str, as_of: str) -> DataFrame:
     """Per-group dense series on the global spine (bounds over all rows, null groups included)."""
-    ev = spells.month_events(staff, [group], id_col="employee_id")  # its exchange serves both branches
+    return series_of(spells.month_events(staff, [group], id_col="employee_id"), group, as_of)
+
+
+def series_of(ev: DataFrame, group: str, as_of: str) -> DataFrame:
+    """The dense series of month events that exist already (its exchange serves both branches)."""
     end_default = month_floor(F.to_date(ts_lit(as_of)))
     gb = ev.agg(
         F.min(F.when(F.col("hire_mark") > 0, F.col("month"))).alias("lo"),
@@ -106,7 +114,11 @@ def _global_series(staff: DataFrame, group: str, as_of: str) -> DataFrame:
 def headcount_monthly(staff: DataFrame, group: str = "department", as_of: str = DEFAULT_AS_OF) -> DataFrame:
     """A8 (A9 gender, A10 rating): per spine month and non-null group, people active at the month
     start; (month, group) pairs with nobody active are absent. Ordered by month, group."""
-    x = _global_series(staff, group, as_of).where(F.col("headcount") > 0)
+    return monthly_of(_global_series(staff, group, as_of), group)
+
+
+def monthly_of(series: DataFrame, group: str) -> DataFrame:
+    x = series.where(F.col("headcount") > 0)
     return x.select(month_label(F.col("month")).alias("month"), group, "headcount").orderBy("month", group)
 
 
@@ -117,7 +129,11 @@ def headcount_monthly_tenure(staff: DataFrame, as_of: str = DEFAULT_AS_OF) -> Da
     Band 0 of the event table carries the total and the series bounds; bands 1-5 the segments.
     One window pass per band (the band table is fixed-size, so the global bound window is
     bounded by 6 × months rows); band-0 rows with total > 0 emit the zero rows of the grid."""
-    ev = spells.band_events(staff)
+    return tenure_of(spells.band_events(staff), as_of)
+
+
+def tenure_of(ev: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
+    """``headcount_monthly_tenure`` of band events that exist already."""
     w0 = Window.partitionBy()
     end_default = month_floor(F.to_date(ts_lit(as_of)))
     b0 = F.col("band_no") == 0

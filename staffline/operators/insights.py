@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import DEFAULT_AS_OF, months_30
 from ..functions.numeric import round_half_even
-from . import spells, attrition
+from ..schema import absent
+from . import attrition, cube, spells
 
 # ---- fixed values: thresholds and texts of the reference's rules and report ---------------
 RISE_FACTOR = 1.2
@@ -37,11 +38,16 @@ REPORT_FOOTER = "*Relatório gerado automaticamente.*"
 # ---------------------------------------------------------------------------------------------
 
 
-def _narrow(staff: DataFrame) -> DataFrame:
-    """The columns the rules read, written once: three rule branches scan it, each its own columns."""
-    keep = [c for c in ("employee_id", "department", "hire_date", "exit_date", "exit_reason", "exit_type", "has_exit_type", "active")
-            if c in staff.columns]
-    return spells.materialize(staff.select(*keep))
+def _cells(staff: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
+    """One pass over staff for all rules: the cells by department, and the events attrition is told from (none
+    without a hire or exit column)."""
+    active = F.col("active") if "active" in staff.columns else F.col("exit_date").isNull()
+    left = ~F.col("active") if "active" in staff.columns else F.col("exit_date").isNotNull()
+    tenure = F.when(left, months_30(F.to_date("exit_date"), F.to_date("hire_date")))
+    counts = {"n_active": F.when(active, 1).otherwise(0), "left_m": tenure, "left_k": F.when(tenure.isNotNull(), 1).otherwise(0)}
+    cells = spells.materialize(cube.event_cells(staff, ("department",), counts, mode=mode))
+    undated = absent(staff, "hire_date") or absent(staff, "exit_date")
+    return cells, cells.where(F.lit(False)) if undated else cells
 
 
 def fmt1(c: Column) -> Column:
@@ -92,25 +98,25 @@ def insights(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "compat")
     """Alert and recommendation rows (line_no, kind, rule, subject, value, message) from
     four rules: rising rate, mean rate above 5%, worst department above 8%, mean tenure of
     leavers below 12 months. Rules that do not fire give no rows."""
-    staff = _narrow(staff)
-    return _rules(staff, _history(staff, as_of, mode), as_of, mode)
+    cells, dated = _cells(staff, mode)
+    return _rules(cells, dated, _history(dated, as_of), as_of)
 
 
-def _history(staff: DataFrame, as_of: str, mode: str) -> DataFrame:
-    """The month-grain history, written once for the rules and the report that read it."""
-    return spells.materialize(attrition.attrition_history(staff, as_of=as_of, mode=mode))
+def _history(dated: DataFrame, as_of: str) -> DataFrame:
+    """The monthly history of the cells."""
+    return attrition.labelled(attrition.history_of(cube.month_events(dated), (), as_of))
 
 
-def _rules(staff: DataFrame, hist: DataFrame, as_of: str, mode: str) -> DataFrame:
-    """The rows of ``insights`` over narrowed staff and its history."""
+def _rules(cells: DataFrame, dated: DataFrame, hist: DataFrame, as_of: str) -> DataFrame:
+    """The rows of ``insights`` over the cells and their history."""
     hr = _history_rules(hist)
-    dept = attrition.attrition_by_department(staff, as_of=as_of, mode=mode)
+    dept = attrition.period_of(cube.month_events(dated, ["department"]), {"": (None, None)}, ["department"], as_of)
     worst = dept.agg(
         F.min_by("department", F.struct((-F.col("attrition_total")).alias("r"), F.col("department").alias("d"))).alias("worst"),
         F.max("attrition_total").alias("worst_rate"),
     )
-    left = staff.where(F.col("exit_date").isNotNull()) if "active" not in staff.columns else staff.where(~F.col("active"))
-    ten = left.agg(F.avg(months_30(F.to_date("exit_date"), F.to_date("hire_date"))).alias("tenure"))
+    ten = cube.row_counts(cells, (), ("left_m", "left_k")).select(
+        F.try_divide(F.col("left_m"), F.col("left_k")).alias("tenure"))
     j = spells.with_scalars(spells.with_scalars(hr, worst), ten)
     rise = (F.col("k") >= 3) & (F.col("r_last") > F.col("r_third") * RISE_FACTOR)
     high = F.coalesce(F.col("mean_rate") > MEAN_RATE_LIMIT, F.lit(False))
@@ -143,13 +149,12 @@ def report_lines(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "comp
     """The report as ordered (line_no, text) Markdown lines: summary (mean rate, period,
     active total), alerts, recommendations (numbered), footer. Built from metric rows with
     ``format_string``; the rows are few, ``line_no`` orders them."""
-    staff = _narrow(staff)
-    hist = _history(staff, as_of, mode)
+    cells, dated = _cells(staff, mode)
+    hist = _history(dated, as_of)
     hs = hist.agg(F.avg("attrition_total").alias("mean_rate"), F.min("month").alias("m0"),
                   F.max("month").alias("m1"), F.count(F.lit(1)).alias("nh"))
-    act = staff.agg(F.count_if(F.col("exit_date").isNull() if "active" not in staff.columns
-                               else F.col("active")).alias("n_active"))
-    ins = spells.materialize(_rules(staff, hist, as_of, mode))  # a handful of rows, read twice
+    act = cube.row_counts(cells, (), ("n_active",)).select(F.coalesce(F.col("n_active"), F.lit(0)).cast("long").alias("n_active"))
+    ins = spells.materialize(_rules(cells, dated, hist, as_of))  # a handful of rows, read twice
     alerts = ins.where(F.col("kind") == "alert").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "message"))).alias("alerts"))
     recs = ins.where(F.col("kind") == "recommendation").agg(

@@ -3,7 +3,7 @@ KPIs (A15), data-quality report (A16)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import absent
@@ -21,22 +21,35 @@ def tenure_at_exit(staff: DataFrame, mode: str = "compat") -> DataFrame:
     """Mean months (whole days / 30) from hire to exit among rows not active, total,
     voluntary and involuntary, rounded to 1. With no voluntary row all three are the total;
     with no row at all, zeros."""
-    left = staff.where(~_active(staff)) if "active" in staff.columns else staff
+    return tenure_of(_summed(staff, tenure_counts(staff, mode)))
+
+
+def _summed(staff: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    return staff.agg(*[F.sum(c).alias(k) for k, c in counts.items()])
+
+
+def tenure_counts(staff: DataFrame, mode: str = "compat") -> dict[str, Column]:
+    """Per row, what ``tenure_of`` needs the sums of: leavers, their months (m) and how many are known (k),
+    in total, voluntary (v) and involuntary (i)."""
+    left = ~_active(staff) if "active" in staff.columns else F.lit(True)
     tenure = months_30(F.to_date("exit_date"), F.to_date("hire_date"))
     vol = voluntary_flag(staff, mode)
-    a = left.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(tenure).alias("t"),
-        F.avg(F.when(vol, tenure)).alias("tv"),
-        F.avg(F.when(~vol, tenure)).alias("ti"),
-        F.count_if(vol).alias("nv"),
-    )
-    empty = F.col("n") == 0
-    t = round_half_even(F.col("t"), 1)
-    return a.select(
-        F.when(empty, F.lit(0.0)).otherwise(t).alias("tenure_total"),
-        F.when(empty, F.lit(0.0)).when(F.col("nv") > 0, round_half_even(F.col("tv"), 1)).otherwise(t).alias("tenure_vol"),
-        F.when(empty, F.lit(0.0)).when(F.col("nv") > 0, round_half_even(F.col("ti"), 1)).otherwise(t).alias("tenure_inv"),
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    known = tenure.isNotNull()
+    return {"left_n": flag(left), "left_v": flag(left & vol),
+            "left_m": F.when(left, tenure), "left_k": flag(left & known),
+            "left_mv": F.when(left & vol, tenure), "left_kv": flag(left & vol & known),
+            "left_mi": F.when(left & ~vol, tenure), "left_ki": flag(left & ~vol & known)}
+
+
+def tenure_of(sums: DataFrame) -> DataFrame:
+    """``tenure_at_exit`` of the sums of ``tenure_counts``."""
+    empty = F.coalesce(F.col("left_n"), F.lit(0)) == 0
+    mean = lambda k: round_half_even(F.try_divide(F.col(f"left_m{k}"), F.col(f"left_k{k}")), 1)
+    return sums.select(
+        F.when(empty, F.lit(0.0)).otherwise(mean("")).alias("tenure_total"),
+        F.when(empty, F.lit(0.0)).when(F.col("left_v") > 0, mean("v")).otherwise(mean("")).alias("tenure_vol"),
+        F.when(empty, F.lit(0.0)).when(F.col("left_v") > 0, mean("i")).otherwise(mean("")).alias("tenure_inv"),
     )
 
 
@@ -48,6 +61,10 @@ def contract_mix(staff: DataFrame) -> DataFrame:
         .groupBy("contract_type")
         .agg(F.count(F.lit(1)).alias("quantity"))
     )
+    return mix_of(grouped)
+
+
+def mix_of(grouped: DataFrame) -> DataFrame:
     return share_of_total(grouped, "quantity", "pct", digits=1).orderBy(F.desc("quantity"), "contract_type")
 
 
@@ -63,6 +80,11 @@ def monthly_exits(staff: DataFrame) -> DataFrame:
         .groupBy(F.trunc(F.to_date("exit_date"), "MM").alias("m"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
+    return exits_of(per_month)
+
+
+def exits_of(per_month: DataFrame) -> DataFrame:
+    """``monthly_exits`` of the exits by month (``c``, months without any left out)."""
     a = per_month.agg(F.avg("c").alias("avg"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("months"))
     return a.select(
         F.coalesce(round_half_even(F.col("avg"), 1), F.lit(0.0)).alias("avg_exits_per_month"),
@@ -74,18 +96,27 @@ def monthly_exits(staff: DataFrame) -> DataFrame:
 def basic_kpis(staff: DataFrame) -> DataFrame:
     """Active total; count and % (of all active rows, rounded to 1) of CLT contracts,
     women, men and leaders — one aggregate pass."""
-    act = staff.where(_active(staff))
+    return basic_of(_summed(staff, basic_counts(staff)))
+
+
+def basic_counts(staff: DataFrame) -> dict[str, Column]:
+    """Per row, what ``basic_of`` needs the sums of."""
+    act = _active(staff)
     clt = F.coalesce(F.upper("contract_type") == F.lit(CLT_VALUE), F.lit(False))
     fem = F.coalesce(F.lower("gender").isin(*FEMALE_VALUES), F.lit(False))
     masc = F.coalesce(F.lower("gender").isin(*MALE_VALUES), F.lit(False))
     lead = contains_any(F.col("role"), LEADER_PATTERN)
-    a = act.agg(
-        F.count(F.lit(1)).alias("total_active"),
-        F.count_if(clt).alias("clt_count"),
-        F.count_if(fem).alias("female_count"),
-        F.count_if(masc).alias("male_count"),
-        F.count_if(lead).alias("leader_count"),
-    )
+    flag = lambda c: F.when(act & c, 1).otherwise(0)
+    return {"total_active": flag(F.lit(True)), "clt_count": flag(clt), "female_count": flag(fem), "male_count": flag(masc),
+            "leader_count": flag(lead)}
+
+
+BASIC = ("total_active", "clt_count", "female_count", "male_count", "leader_count")
+
+
+def basic_of(sums: DataFrame) -> DataFrame:
+    """``basic_kpis`` of the sums of ``basic_counts``."""
+    a = sums.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in BASIC])
     n = F.col("total_active")
 
     def share(c: str):

@@ -155,6 +155,12 @@ def band_events(staff: DataFrame, starts: Sequence[int] = TENURE_BAND_START_DAYS
         .agg(F.count(F.lit(1)).alias("c"), F.sum("total").alias("total"), F.sum("exits").alias("exits"),
              F.max("hire_mark").alias("hire_mark"))
     )
+    return band_deltas(trans)
+
+
+def band_deltas(trans: DataFrame) -> DataFrame:
+    """Per-band month events of summed transitions (mi, frm, to, c, total, exits, hire_mark)."""
+    z = F.lit(0)
     # month-grain: each transition group → (band 0 total) + (from band −c) + (to band +c)
     deltas = F.array(
         F.struct(z.alias("band_no"), F.col("total").alias("delta"), F.col("exits").alias("exits"),

@@ -38,6 +38,11 @@ def scanned_columns(df: DataFrame) -> dict[str, set[str]]:
     return out
 
 
+def scans_of(df: DataFrame, name: str) -> int:
+    """How often the plan scans the table whose path ends in ``name``."""
+    return sum(n.relation().location().rootPaths().apply(0).toString().rstrip("/").endswith("/" + name) for n in _scans(df))
+
+
 def exchanges(df: DataFrame) -> int:
     """Shuffles that the plan needs before run-time changes."""
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")

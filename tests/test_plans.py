@@ -81,3 +81,23 @@ def test_rating_join_shuffles_once_per_side(spark):
     staff = spark.range(1000).selectExpr("id AS employee_id", "'n' AS name")
     joined = prepare.attach_rating(staff.hint("merge"), fixture.reviews(spark, SF))
     assert checks.exchanges(joined) <= 2
+
+
+@pytest.mark.parametrize("build", ["overview", "headcount_bundle", "attrition_bundle", "attrition_compare", "insights", "report_lines"])
+def test_bundles_read_staff_once(spark, tmp_path, monkeypatch, build):
+    """Staff is scanned by one plan only, once: the one that makes the cells (or the result itself)."""
+    from staffline.operators import attrition, insights, spells
+    from staffline.plans import bundles
+
+    catalog.staff(spark, SF, with_rating=True).write.parquet(str(tmp_path / "staff.parquet"))
+    staff = spark.read.parquet(str(tmp_path / "staff.parquet"))
+    plans, materialize = [], spells.materialize
+    monkeypatch.setattr(spells, "materialize", lambda df: (plans.append(df), materialize(df))[1])
+    got = {
+        "overview": lambda: bundles.overview(staff, 2000, 6), "headcount_bundle": lambda: bundles.headcount_bundle(staff, 2000, 6),
+        "attrition_bundle": lambda: bundles.attrition_bundle(staff, None, 3),
+        "attrition_compare": lambda: attrition.attrition_compare(staff, 2000, 6),
+        "insights": lambda: insights.insights(staff), "report_lines": lambda: insights.report_lines(staff),
+    }[build]()
+    plans += list(got.values()) if isinstance(got, dict) else [got]
+    assert sum(checks.scans_of(p, "staff.parquet") for p in plans) == 1

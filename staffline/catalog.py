@@ -15,7 +15,7 @@ from . import fixture
 from .operators import attrition, filters, headcount, insights, kpis, prepare, risk, spells
 from .plans import bundles
 from .schema import STAFF_SCHEMA, schema_report
-from .sources import tables
+from .sources import store, tables
 
 AS_OF = fixture.AS_OF
 YEAR, MONTH, ONLY_MONTH = 2000, 6, 3
@@ -323,8 +323,7 @@ def _departments(spark, sf_dir) -> list[tuple[str, DataFrame]]:
 
 
 def _save_department(spark, root, i, name, rows, at) -> None:
-    tables.write_dataset(rows, root, "staff", f"ds-{i}", "owner-1")
-    tables.register_dataset(spark, root, "staff", "owner-1", f"ds-{i}", name, f"{name}.xlsx", at)
+    store.save_dataset(spark, root, "owner-1", f"ds-{i}", {"staff": rows}, name, f"{name}.xlsx", at)
 
 
 def _store_departments(spark, sf_dir) -> str:
@@ -339,19 +338,19 @@ def q_dataset_roundtrip(spark, sf_dir):
     """Two datasets of the whole staff table; the second under another owner."""
     root = bundles.store_root(spark)
     for owner in ("owner-1", "owner-2"):
-        tables.write_dataset(fixture.staff(spark, sf_dir), root, "staff", "ds-a", owner)
-    return dates_as_text(tables.read_dataset(spark, root, "staff", "ds-a", "owner-1"))
+        store.save_dataset(spark, root, owner, "ds-a", {"staff": fixture.staff(spark, sf_dir)}, "a", "a.xlsx", "2001-12-01 00:00:00")
+    return dates_as_text(store.read_dataset(spark, root, "staff", "ds-a", "owner-1"))
 
 
 def q_dataset_catalog(spark, sf_dir):
     root = _store_departments(spark, sf_dir)
-    return tables.list_datasets(spark, root, "owner-1").select("dataset_id", "name", "file_name", "rows")
+    return store.list_datasets(spark, root, "owner-1").select("dataset_id", "name", "file_name", "rows")
 
 
 def q_dataset_delete(spark, sf_dir):
     root = _store_departments(spark, sf_dir)
-    tables.delete_dataset(spark, root, "ds-0", "2001-12-08 00:00:00", "owner-1")
-    return tables.list_datasets(spark, root, "owner-1").select("dataset_id", "name", "file_name", "rows")
+    store.delete_dataset(spark, root, "ds-0", "2001-12-08 00:00:00", "owner-1")
+    return store.list_datasets(spark, root, "owner-1").select("dataset_id", "name", "file_name", "rows")
 
 
 def q_dataset_resaved(spark, sf_dir):
@@ -361,22 +360,76 @@ def q_dataset_resaved(spark, sf_dir):
     for i, (name, rows) in enumerate(parts):
         _save_department(spark, root, i, name, rows, f"2001-12-0{i + 1} 00:00:00")
     for i, (name, rows) in enumerate(parts):
-        tables.delete_dataset(spark, root, f"ds-{i}", "2001-12-08 00:00:00", "owner-1")
+        store.delete_dataset(spark, root, f"ds-{i}", "2001-12-08 00:00:00", "owner-1")
         _save_department(spark, root, i, name, rows, "2001-12-09 00:00:00")
-        back = tables.read_dataset(spark, root, "staff", f"ds-{i}", "owner-1").agg(F.count("*").alias("rows"))
+        back = store.read_dataset(spark, root, "staff", f"ds-{i}", "owner-1").agg(F.count("*").alias("rows"))
         back = back.select(F.lit(f"ds-{i}").alias("dataset_id"), "rows")
         read = back if read is None else read.unionByName(back)
-    listed = tables.list_datasets(spark, root, "owner-1").select("dataset_id", "name", "file_name")
+    listed = store.list_datasets(spark, root, "owner-1").select("dataset_id", "name", "file_name")
     return listed.join(read, "dataset_id", "left").select("dataset_id", "name", "file_name", "rows")
 
 
 def q_save_analysis(spark, sf_dir):
-    """The history stored as JSON rows and read back into typed columns."""
+    """The history stored as self-describing rows and read back into typed columns."""
     root = bundles.store_root(spark)
     history = q_attrition_history(spark, sf_dir)
     tables.save_result(history, root, "ds-a", "attrition_history", "2001-12-01 00:00:00")
     back = tables.read_results(spark, root, "ds-a", "attrition_history")
-    return back.select("kind", F.from_json("result_json", history.schema).alias("r")).select("kind", "r.*")
+    fields = {f.name: (f"$.{f.name}", f.dataType.simpleString()) for f in history.schema.fields}
+    return tables.result_fields(back, fields).select("kind", *fields)
+
+
+def q_saved_results(spark, sf_dir):
+    """Three kinds of results in one table, one measure of each read by its path."""
+    root, at = bundles.store_root(spark), "2001-12-01 00:00:00"
+    tables.save_result(q_attrition_history(spark, sf_dir), root, "ds-a", "attrition_history", at)
+    tables.save_result(q_contract_mix(spark, sf_dir), root, "ds-a", "contract_mix", at)
+    tables.save_result(q_basic_kpis(spark, sf_dir), root, "ds-a", "basic_kpis", at)
+    read = tables.result_fields(tables.read_results(spark, root, "ds-a"), {
+        "exits": ("$.exits", "bigint"), "quantity": ("$.quantity", "bigint"), "leaders": ("$.leader_count", "bigint")})
+    return read.groupBy("kind").agg(F.count("*").alias("rows"), F.sum("exits").alias("exits"),
+                                    F.sum("quantity").alias("quantity"), F.sum("leaders").alias("leaders"))
+
+
+def q_dataset_tables(spark, sf_dir):
+    """Staff and reviews as one data set: a save that fails between its tables leaves the former version, which is then read
+    and saved again as the next one; people reviewed by department."""
+    root, at = bundles.store_root(spark), "2001-12-0%d 00:00:00"
+    save = lambda ts, n: store.save_dataset(spark, root, "owner-1", "ds (a)/ção", ts, "a", "a.xlsx", at % n)
+    save({"staff": fixture.staff(spark, sf_dir), "reviews": fixture.reviews(spark, sf_dir)}, 1)
+    broken = fixture.reviews(spark, sf_dir).select(F.raise_error(F.lit("lost connection")).alias("employee_id"))
+    try:
+        save({"staff": fixture.staff(spark, sf_dir).where("department IS NULL"), "reviews": broken}, 2)
+    except Exception as e:  # noqa: BLE001 - the failure is the case shown
+        if "lost connection" not in str(e):
+            raise
+    save(store.load_dataset(spark, root, "ds (a)/ção", "owner-1"), 3)
+    found = store.load_dataset(spark, root, "ds (a)/ção", "owner-1")
+    reviewed = found["reviews"].groupBy("employee_id").agg(F.count("*").alias("n"))
+    return (found["staff"].join(reviewed, "employee_id", "left").groupBy("department")
+            .agg(F.count("*").alias("people"), F.count("n").alias("reviewed"), F.sum("n").alias("reviews")))
+
+
+def q_dataset_versions(spark, sf_dir):
+    """Two versions of one data set, the log folded in between: both are readable, the newest is what a reader gets."""
+    root = bundles.store_root(spark)
+    people = fixture.staff(spark, sf_dir)
+    first = store.save_dataset(spark, root, "owner-1", "ds-a", {"staff": people}, "a", "a.xlsx", "2001-12-01 00:00:00")
+    store.compact(spark, root)
+    left = people.where("exit_date IS NOT NULL")
+    store.save_dataset(spark, root, "owner-1", "ds-a", {"staff": left}, "a", "a.xlsx", "2001-12-02 00:00:00")
+    by = lambda df, c: df.groupBy("department").agg(F.count("*").alias(c))
+    old = store.load_dataset(spark, root, "ds-a", "owner-1", first)["staff"]
+    return by(old, "first_rows").join(by(store.read_dataset(spark, root, "staff", "ds-a", "owner-1"), "newest_rows"), "department", "left")
+
+
+def q_dataset_vacuum(spark, sf_dir):
+    """All staff rows on storage by department after one data set was deleted and the store vacuumed."""
+    root = _store_departments(spark, sf_dir)
+    store.delete_dataset(spark, root, "ds-0", "2001-12-08 00:00:00", "owner-1")
+    store.vacuum(spark, root, "2001-12-09 00:00:00")
+    on_disk = spark.read.schema("department STRING").parquet(f"{root}/data/*/*/staff")
+    return on_disk.groupBy("department").agg(F.count("*").alias("rows"))
 
 
 # ---- input variants --------------------------------------------------------------------------

@@ -681,6 +681,30 @@ def q_dataset_delete() -> str:
     return f"WITH {BASE} {_catalog(list(enumerate(DEPARTMENTS))[1:])}"
 
 
+def q_saved_results() -> str:
+    rows = lambda k, sql, a, b, c: (f"SELECT '{k}' AS kind, count(*) AS rows, CAST({a} AS BIGINT) AS exits, CAST({b} AS BIGINT) "
+                                    f"AS quantity, CAST({c} AS BIGINT) AS leaders FROM ({sql})")
+    return " UNION ALL ".join([
+        rows("attrition_history", q_attrition_history(), "sum(exits)", "NULL", "NULL"),
+        rows("contract_mix", q_contract_mix(), "NULL", "sum(quantity)", "NULL"),
+        rows("basic_kpis", q_basic_kpis(), "NULL", "NULL", "sum(leader_count)")])
+
+
+def q_dataset_tables() -> str:
+    return f"""WITH {BASE}, n AS (SELECT employee_id, count(*) AS n FROM reviews GROUP BY employee_id)
+SELECT department, count(*) AS people, count(n) AS reviewed, CAST(sum(n) AS BIGINT) AS reviews
+FROM staff LEFT JOIN n USING (employee_id) GROUP BY department"""
+
+
+def q_dataset_versions() -> str:
+    return (f"WITH {BASE} SELECT department, count(*) AS first_rows, count(exit_date) AS newest_rows FROM staff "
+            "GROUP BY department")
+
+
+def q_dataset_vacuum() -> str:
+    return f"WITH {BASE} SELECT department, count(*) AS rows FROM staff WHERE department <> '{DEPARTMENTS[0]}' GROUP BY department"
+
+
 def q_text_ids_and_dates() -> str:
     return f"""WITH {BASE} SELECT CASE employee_id % 3 WHEN 0 THEN 'A-' || employee_id
  WHEN 1 THEN lpad(CAST(employee_id AS VARCHAR), 10, '0') ELSE CAST(employee_id AS VARCHAR) END AS employee_id,
@@ -842,6 +866,10 @@ ORACLE = {
     "dataset_delete": q_dataset_delete(),
     "dataset_resaved": q_dataset_catalog(),
     "save_analysis": f"SELECT 'attrition_history' AS kind, * FROM ({q_attrition_history()})",
+    "saved_results": q_saved_results(),
+    "dataset_tables": q_dataset_tables(),
+    "dataset_versions": q_dataset_versions(),
+    "dataset_vacuum": q_dataset_vacuum(),
     "mixed_exit_types": q_attrition_history().replace(
         VOL, f"CASE WHEN employee_id % 2 = 1 THEN coalesce(manager_id % 3 = 0, false) ELSE {VOL} END"),
     "text_ids_and_dates": q_text_ids_and_dates(),

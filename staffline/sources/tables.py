@@ -1,11 +1,4 @@
-"""Table sources and sinks.
-
-Datasets are Parquet tables partitioned by ``owner`` and ``dataset_id`` under one root: writes
-overwrite only the partition they name, reads prune to it. The catalog and the tombstones are
-append-only tables next to them. The newest catalog row of a dataset is its entry, and a delete is a
-tombstone that hides entries not newer than it, so nothing is rewritten in place and a dataset
-saved again after a delete is there again.
-"""
+"""Table source, stored results and other sinks (S2, S9-S12). Data sets are in ``sources.store``."""
 
 from __future__ import annotations
 
@@ -14,25 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-CATALOG_SCHEMA = T.StructType([
-    T.StructField("owner", T.StringType()),
-    T.StructField("dataset_id", T.StringType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("file_name", T.StringType()),
-    T.StructField("rows", T.LongType()),
-    T.StructField("created_at", T.TimestampNTZType()),
-])
-TOMBSTONE_SCHEMA = T.StructType([
-    T.StructField("owner", T.StringType()),
-    T.StructField("dataset_id", T.StringType()),
-    T.StructField("deleted_at", T.TimestampNTZType()),
-])
-
-
 RESULT_SCHEMA = T.StructType([
     T.StructField("dataset_id", T.StringType()),
     T.StructField("kind", T.StringType()),
-    T.StructField("result_json", T.StringType()),
+    T.StructField("result", T.VariantType()),
     T.StructField("created_at", T.TimestampNTZType()),
 ])
 
@@ -47,81 +25,12 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
         raise
 
 
-def write_dataset(df: DataFrame, root: str, table: str, dataset_id: str, owner: str = "") -> None:
-    """Store one table of an owner's dataset, replacing that partition only (an empty table
-    leaves an empty one)."""
-    df.write.mode("overwrite").parquet(_partition(root, table, owner, dataset_id))
-
-
-def _partition(root: str, table: str, owner: str, dataset_id: str) -> str:
-    from urllib.parse import quote
-
-    folder = lambda v: quote(v, safe=" .-_") if v else "__HIVE_DEFAULT_PARTITION__"
-    return f"{root}/{table}/owner={folder(owner)}/dataset_id={folder(dataset_id)}"
-
-
-def _latest_entries(spark: SparkSession, root: str) -> DataFrame:
-    """The newest catalog row of each dataset, without those deleted since."""
-    cat = read_table(spark, f"{root}/_catalog", CATALOG_SCHEMA)
-    rest = [f.name for f in CATALOG_SCHEMA.fields if f.name not in ("owner", "dataset_id")]
-    last = cat.groupBy("owner", "dataset_id").agg(
-        F.max(F.struct("created_at", *[c for c in rest if c != "created_at"])).alias("e"))
-    tomb = read_table(spark, f"{root}/_deleted", TOMBSTONE_SCHEMA).groupBy("owner", "dataset_id").agg(
-        F.max("deleted_at").alias("deleted_at"))
-    entries = last.select("owner", "dataset_id", *[F.col(f"e.{c}").alias(c) for c in rest])
-    return entries.join(tomb, ["owner", "dataset_id"], "left").where(
-        F.col("deleted_at").isNull() | (F.col("created_at") > F.col("deleted_at"))).drop("deleted_at")
-
-
-def read_dataset(spark: SparkSession, root: str, table: str, dataset_id: str, owner: str = "",
-                 schema: T.StructType | None = None) -> DataFrame:
-    """One dataset's table, hidden once deleted. Without data (or none of this table) it is empty:
-    with ``schema`` an empty table of that schema, else an empty one without columns."""
-    path = _partition(root, table, owner, dataset_id)
-    reader = spark.read.schema(schema) if schema else spark.read
-    try:
-        df = reader.parquet(path)
-    except AnalysisException as ex:
-        if "PATH_NOT_FOUND" in str(ex) or "Path does not exist" in str(ex):
-            return spark.createDataFrame([], schema or T.StructType([]))
-        raise
-    mine = (F.col("owner") == F.lit(owner)) & (F.col("dataset_id") == F.lit(dataset_id))
-    deleted = read_table(spark, f"{root}/_deleted", TOMBSTONE_SCHEMA).where(mine).agg(F.max("deleted_at").alias("d"))
-    created = read_table(spark, f"{root}/_catalog", CATALOG_SCHEMA).where(mine).agg(F.max("created_at").alias("c"))
-    gone, made = deleted.scalar(), created.scalar()
-    return df.where(gone.isNull() | F.coalesce(made > gone, F.lit(False)))
-
-
-def register_dataset(spark: SparkSession, root: str, table: str, owner: str, dataset_id: str, name: str,
-                     file_name: str, created_at: str) -> None:
-    """The dataset's catalog row (an upsert: the newest row counts), with the number of rows of the
-    stored ``table``."""
-    stored = spark.read.parquet(_partition(root, table, owner, dataset_id))
-    row = stored.agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(owner).alias("owner"), F.lit(dataset_id).alias("dataset_id"), F.lit(name).alias("name"),
-        F.lit(file_name).alias("file_name"), F.col("rows").cast("long"),
-        F.lit(created_at).cast("timestamp_ntz").alias("created_at"))
-    row.write.mode("append").parquet(f"{root}/_catalog")
-
-
-def list_datasets(spark: SparkSession, root: str, owner: str) -> DataFrame:
-    """An owner's datasets that are not deleted, newest first."""
-    mine = _latest_entries(spark, root).where(F.col("owner") == F.lit(owner))
-    return mine.orderBy(F.desc("created_at"), "dataset_id")
-
-
-def delete_dataset(spark: SparkSession, root: str, dataset_id: str, deleted_at: str, owner: str = "") -> None:
-    """Append a tombstone; readers drop what was saved before it."""
-    spark.createDataFrame([(owner, dataset_id)], "owner string, dataset_id string").select(
-        "owner", "dataset_id", F.lit(deleted_at).cast("timestamp_ntz").alias("deleted_at")
-    ).write.mode("append").parquet(f"{root}/_deleted")
-
-
 def save_result(result: DataFrame, root: str, dataset_id: str, kind: str, created_at: str) -> None:
-    """Append a result as JSON rows (dataset_id, kind, result_json, created_at), one per
-    result row: nothing is gathered into one record."""
+    """Append a result as rows (dataset_id, kind, result, created_at), one per result row: nothing is
+    gathered into one record. ``result`` is a VARIANT, which carries its own field names and types, so results of
+    all kinds share one table."""
     (to_records(null_clean(result))
-     .select(F.lit(dataset_id).alias("dataset_id"), F.lit(kind).alias("kind"), F.col("json").alias("result_json"),
+     .select(F.lit(dataset_id).alias("dataset_id"), F.lit(kind).alias("kind"), F.parse_json("json").alias("result"),
              F.lit(created_at).cast("timestamp_ntz").alias("created_at"))
      .write.mode("append").parquet(f"{root}/_results"))
 
@@ -131,6 +40,18 @@ def read_results(spark: SparkSession, root: str, dataset_id: str, kind: str | No
     return df if kind is None else df.where(F.col("kind") == F.lit(kind))
 
 
+def result_fields(results: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """(dataset_id, kind, created_at) and one column per field (name -> path, type) of stored results of any kinds; a
+    result without the path (or whose value isn't of the type) gives null. No schema is needed."""
+    return results.select("dataset_id", "kind", "created_at", *[
+        F.try_variant_get("result", path, dtype).alias(name) for name, (path, dtype) in fields.items()])
+
+
+def result_schema(results: DataFrame) -> DataFrame:
+    """The fields and types that the stored results of each kind have (merged over their rows)."""
+    return results.groupBy("dataset_id", "kind").agg(F.schema_of_variant_agg("result").alias("fields"))
+
+
 def _clean_type(c, dtype: T.DataType):
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return F.when(F.isnan(c), F.lit(None).cast(dtype)).otherwise(c)

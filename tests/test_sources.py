@@ -58,31 +58,6 @@ def test_filters(spark):
     assert prof["name"] == 1 and prof["role"] == 1
 
 
-def test_dataset_store_roundtrip_and_delete(spark):
-    root = bundles.store_root(spark)
-    df = staff_df(spark, [{"name": "a"}, {"name": "b"}])
-    tables.write_dataset(df, root, "staff", "d1", "o")
-    tables.write_dataset(df.limit(1), root, "staff", "d2", "o")
-    tables.write_dataset(df, root, "staff", "d1", "other")
-    tables.write_dataset(df.where(F.col("name") == "b"), root, "staff", "d1", "o")  # overwrite o's d1 only
-    read = lambda d, o="o": tables.read_dataset(spark, root, "staff", d, o).count()
-    assert (read("d1"), read("d2"), read("d1", "other")) == (1, 1, df.count())
-    assert read("no such") == 0
-    tables.register_dataset(spark, root, "staff", "o", "d1", "n1", "f1.xlsx", "2001-01-01 00:00:00")
-    tables.register_dataset(spark, root, "staff", "o", "d1", "n1", "f1.xlsx", "2001-01-01 12:00:00")  # an upsert
-    tables.register_dataset(spark, root, "staff", "o", "d2", "n2", "f2.xlsx", "2001-01-02 00:00:00")
-    listed = lambda: [(r["dataset_id"], r["rows"]) for r in tables.list_datasets(spark, root, "o").collect()]
-    assert listed() == [("d2", 1), ("d1", 1)]
-    tables.delete_dataset(spark, root, "d1", "2001-01-03 00:00:00", "o")
-    assert listed() == [("d2", 1)]
-    assert read("d1") == 0 and read("d1", "other") == df.count()
-    tables.write_dataset(df, root, "staff", "d1", "o")  # saved again after the delete
-    tables.register_dataset(spark, root, "staff", "o", "d1", "n1", "f1.xlsx", "2001-01-04 00:00:00")
-    assert listed() == [("d1", df.count()), ("d2", 1)] and read("d1") == df.count()
-    tables.write_dataset(df.limit(0), root, "staff", "d1", "o")  # an empty table clears it
-    assert read("d1") == 0
-
-
 def test_missing_table_is_empty(spark):
     df = tables.read_table(spark, "/nonexistent/staffline/table", STAFF_SCHEMA)
     assert df.count() == 0 and df.columns == [f.name for f in STAFF_SCHEMA.fields]

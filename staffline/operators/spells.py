@@ -15,6 +15,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.dates import DEFAULT_AS_OF, month_floor, month_sequence, ts_lit
 from ..functions.text import voluntary_flag
 
@@ -225,16 +226,10 @@ def step_series(events: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage of an intermediate that several branches read: a Parquet table in the shared
     folder, so it is made once, a lost executor does not replay it, and each branch reads only
-    the columns it needs."""
-    import uuid
-
-    from ..session import shared_dir
-
+    the columns it needs. ``scratch.scope`` removes it."""
     if getattr(df, "_staffline_written", False):
         return df
-    path = shared_dir(df.sparkSession, "staffline-tables", uuid.uuid4().hex)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = scratch.written(df)
     out._staffline_written = True
     return out
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffline.session import shared_dir
+from staffline.scratch import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -15,10 +13,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the cluster's shared folder and read back.
 
-    Later jobs read the columns they need and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession, 'llm')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    Later jobs read the columns they need and a lost executor costs no recomputation; inside
+    ``scratch.scope`` it is removed at the end."""
+    return written(df, "llm", name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,12 +7,17 @@ again as the next one's documents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffline.llm import mixing, pii, simhash, toxicity, unigram
 from staffline.llm.queries import PIECES
-from staffline.llm.store import staged, table
+from staffline.llm.store import table
+from staffline.scratch import scope
+from staffline.session import shared_dir
+from staffline.sources import files
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, kept = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scope(spark):  # what the stage writes for itself goes once its rows are stored
+            rows = stage(spark, docs, sf_dir)
+            path = shared_dir(spark, "llm", f"pipeline-{name}-{uuid.uuid4().hex}")
+            rows.write.parquet(path)
+        if kept:  # the former stage's rows have been read
+            files.remove(spark, kept)
+        docs, kept = spark.read.schema(rows.schema).parquet(path), path
     return docs

@@ -49,12 +49,12 @@ def month_sequence(lo: Column, hi: Column) -> Column:
     return F.when(lo <= hi, F.sequence(lo, hi, F.expr("INTERVAL 1 MONTH")))
 
 
-def coerce_timestamp(c: Column, day_first: bool = False) -> Column:
+def coerce_timestamp(c: Column, day_first: bool | Column = False) -> Column:
     """Text → TIMESTAMP_NTZ; anything that is no date becomes null (never raises under ANSI).
 
     Year-first, year-last and compact dates with one- or two-digit parts and an optional time; a zone
     is dropped, so the wall-clock time stays. Year-last dates are read month first, as the reference
-    reads them, or day first on request; a first part above 12 is a day either way, and so is a
+    reads them, or day first on request (a flag, or a column that tells it per row); a first part above 12 is a day either way, and so is a
     second one."""
     text = F.trim(c.cast("string"))
 
@@ -70,13 +70,21 @@ def coerce_timestamp(c: Column, day_first: bool = False) -> Column:
 
     a, b = part(YEAR_LAST, 1), part(YEAR_LAST, 2)
     number = lambda x: x.try_cast("int")
-    a_is_day = (number(a) > 12) | ((number(b) <= 12) & F.lit(day_first))
+    a_is_day = (number(a) > 12) | ((number(b) <= 12) & (F.lit(day_first) if isinstance(day_first, bool) else day_first))
     return F.coalesce(
         built(YEAR_FIRST, part(YEAR_FIRST, 1), part(YEAR_FIRST, 2), part(YEAR_FIRST, 3)),
         built(YEAR_LAST, part(YEAR_LAST, 3), F.when(a_is_day, b).otherwise(a), F.when(a_is_day, a).otherwise(b)),
         built(COMPACT, part(COMPACT, 1), part(COMPACT, 2), part(COMPACT, 3)))
 
 
+def order_evidence(c: Column) -> tuple[Column, Column]:
+    """Of a text date: 1 where it can only be read day first, 1 where it can only be read month first (else 0)."""
+    text = F.trim(c.cast("string"))
+    a, b = (F.regexp_extract(text, YEAR_LAST, i).try_cast("int") for i in (1, 2))
+    one = lambda x: F.when(x, 1).otherwise(0)
+    return one((a > 12) & (a <= 31) & (b <= 12)), one((b > 12) & (b <= 31) & (a <= 12))
+
+
 def make_month(year: Column, month: Column) -> Column:
     return F.make_date(year, month, F.lit(1))
 

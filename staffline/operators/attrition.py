@@ -36,11 +36,11 @@ def history_frame(staff: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT
     return history_of(spells.month_events(staff, by, mode), by, as_of)
 
 
-def history_of(ev: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF) -> DataFrame:
-    """``history_frame`` of month events that exist already."""
+def history_of(ev: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF, end: str | None = None) -> DataFrame:
+    """``history_frame`` of month events that exist already; ``end``: as in ``attrition_history``."""
     if by:
         ev = spells.drop_null_keys(ev, by)
-    x = spells.step_series(ev, by, as_of)
+    x = spells.step_series(ev, by, as_of, hi=spells.end_month(end))
     x = x.where(F.col("lo").isNotNull() & (F.col("month") >= F.col("lo")) & (F.col("month") <= F.col("hi")))
     return _rates(x.drop("lo", "hi"))
 
@@ -52,13 +52,14 @@ def _dated(staff: DataFrame) -> DataFrame:
 
 
 def attrition_history(staff: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_AS_OF,
-                     mode: str = "compat") -> DataFrame:
+                     mode: str = "compat", end: str | None = None) -> DataFrame:
     """A3: per month of the spine, headcount at the month start, exits in the month, voluntary,
     involuntary and the three rates in %. Months with headcount 0 stay, with rate 0.
-    With ``by`` each group gets its own spine bounds (as the reference's per-department subsets)."""
+    With ``by`` each group gets its own spine bounds (as the reference's per-department subsets).
+    ``end`` (A24): the spine's last month instead of the last exit's, so hires after the last exit are seen."""
     staff = _dated(staff)
     by = list(by)
-    return labelled(history_frame(staff, by, as_of, mode), by)
+    return labelled(history_of(spells.month_events(staff, by, mode), by, as_of, end), by)
 
 
 def labelled(h: DataFrame, by: Sequence[str] = ()) -> DataFrame:

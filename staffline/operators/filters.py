@@ -7,6 +7,7 @@ from typing import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import ts_lit
 from ..functions.text import non_blank
 
 ALL = "all"
@@ -61,12 +62,11 @@ def available_years(staff: DataFrame) -> DataFrame:
 
 def hires_in_period(staff: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
     """Rows hired in the given year and/or month (no filter when both are None)."""
-    df = staff
-    if year is not None:
-        df = df.where(F.year("hire_date") == F.lit(year))
-    if month is not None:
-        df = df.where(F.month("hire_date") == F.lit(month))
-    return df
+    if year is not None:  # a range, which reaches a scan where the column is read as it is stored
+        first, after = (year, month), (year, month + 1) if month is not None and month < 12 else (year + 1, 1)
+        lo, hi = f"{first[0]:04d}-{first[1] or 1:02d}-01 00:00:00", f"{after[0]:04d}-{after[1]:02d}-01 00:00:00"
+        return staff.where((F.col("hire_date") >= ts_lit(lo)) & (F.col("hire_date") < ts_lit(hi)))
+    return staff if month is None else staff.where(F.month("hire_date") == F.lit(month))
 
 
 def row_count(df: DataFrame) -> DataFrame:

@@ -94,27 +94,30 @@ def headcount_compare(staff: DataFrame, year: int | None, month: int | None, gro
                     change.alias("change_pct")).orderBy(F.desc("headcount_period"), F.col(group))
 
 
-def _global_series(staff: DataFrame, group: str, as_of: str) -> DataFrame:
+def _global_series(staff: DataFrame, group: str, as_of: str, end: str | None = None) -> DataFrame:
     """Per-group dense series on the global spine (bounds over all rows, null groups included)."""
-    return series_of(spells.month_events(staff, [group], id_col="employee_id"), group, as_of)
+    return series_of(spells.month_events(staff, [group], id_col="employee_id"), group, as_of, end)
 
 
-def series_of(ev: DataFrame, group: str, as_of: str) -> DataFrame:
+def series_of(ev: DataFrame, group: str, as_of: str, end: str | None = None) -> DataFrame:
     """The dense series of month events that exist already (its exchange serves both branches)."""
     end_default = month_floor(F.to_date(ts_lit(as_of)))
     gb = ev.agg(
         F.min(F.when(F.col("hire_mark") > 0, F.col("month"))).alias("lo"),
-        F.coalesce(F.max(F.when(F.col("exits") > 0, F.col("month"))), end_default).alias("hi"),
+        (F.coalesce(F.max(F.when(F.col("exits") > 0, F.col("month"))), end_default) if end is None
+         else F.max(spells.end_month(end))).alias("hi"),
     )
     evg = spells.with_scalars(spells.drop_null_keys(ev, [group]), gb)
     x = spells.step_series(evg, [group], as_of, lo=F.col("lo"), hi=F.col("hi"))
     return x.where(F.col("lo").isNotNull() & (F.col("month") >= F.col("lo")) & (F.col("month") <= F.col("hi")))
 
 
-def headcount_monthly(staff: DataFrame, group: str = "department", as_of: str = DEFAULT_AS_OF) -> DataFrame:
+def headcount_monthly(staff: DataFrame, group: str = "department", as_of: str = DEFAULT_AS_OF,
+                      end: str | None = None) -> DataFrame:
     """A8 (A9 gender, A10 rating): per spine month and non-null group, people active at the month
-    start; (month, group) pairs with nobody active are absent. Ordered by month, group."""
-    return monthly_of(_global_series(staff, group, as_of), group)
+    start; (month, group) pairs with nobody active are absent. Ordered by month, group. ``end``: the last month
+    instead of the last exit's (A24)."""
+    return monthly_of(_global_series(staff, group, as_of, end), group)
 
 
 def monthly_of(series: DataFrame, group: str) -> DataFrame:

@@ -145,6 +145,21 @@ def _rules(cells: DataFrame, dated: DataFrame, hist: DataFrame, as_of: str) -> D
                       "message")
 
 
+def trends(hist: DataFrame) -> DataFrame:
+    """The trend of the monthly rate as a row like the alerts' (rule ``attrition_trend``, subject the trend's name, value
+    its slope); none with fewer than three months."""
+    f = forecast(hist).where(F.col("trend").isNotNull())
+    return f.select(F.lit(8).alias("line_no"), F.lit("trend").alias("kind"), F.lit("attrition_trend").alias("rule"),
+                    F.col("trend").alias("subject"), F.col("slope").alias("value"), "message")
+
+
+def insights_with_trends(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "compat") -> DataFrame:
+    """``insights`` and ``trends`` from one pass over staff."""
+    cells, dated = _cells(staff, mode)
+    hist = _history(dated, as_of)
+    return _rules(cells, dated, hist, as_of).unionByName(trends(hist))
+
+
 def report_lines(staff: DataFrame, as_of: str = DEFAULT_AS_OF, mode: str = "compat") -> DataFrame:
     """The report as ordered (line_no, text) Markdown lines: summary (mean rate, period,
     active total), alerts, recommendations (numbered), footer. Built from metric rows with

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import DEFAULT_AS_OF, coerce_timestamp, months_30, ts_lit
+from ..functions.dates import DEFAULT_AS_OF, coerce_timestamp, months_30, order_evidence, ts_lit
 from ..schema import REVIEWS_SCHEMA, STAFF_OPTIONAL, STAFF_SCHEMA, conform
 
 STAFF_DATE_COLUMNS = ("hire_date", "exit_date", "last_promotion", "last_merit")
@@ -37,6 +37,36 @@ def coerce_dates(df: DataFrame, cols=STAFF_DATE_COLUMNS, day_first: bool = False
     return out
 
 
+def date_orders(raw: DataFrame, cols=STAFF_DATE_COLUMNS, by: str = "dataset_id", default_day_first: bool = False) -> DataFrame:
+    """How each date column of each data set writes its dates, learned from values that have one reading only:
+    (by, column, day_first_seen, month_first_seen, day_first, conflict). More evidence wins; none or a tie
+    is the default; ``conflict``: both kinds occur. One aggregate, summed inside each task before the shuffle."""
+    sums = []
+    for c in (present := [c for c in cols if c in raw.columns]):
+        d, m = order_evidence(F.col(f"`{c}`"))
+        sums += [F.sum(d).alias(f"d_{c}"), F.sum(m).alias(f"m_{c}")]
+    seen = raw.groupBy(by).agg(*sums)
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d_{c}").alias("day_first_seen"),
+                              F.col(f"m_{c}").alias("month_first_seen")) for c in present])
+    d, m = F.col("day_first_seen"), F.col("month_first_seen")
+    return seen.select(by, F.inline(rows)).withColumns({
+        "day_first": F.when(d != m, d > m).otherwise(F.lit(default_day_first)), "conflict": (d > 0) & (m > 0)})
+
+
+def coerce_dates_learned(raw: DataFrame, cols=STAFF_DATE_COLUMNS, by: str = "dataset_id", default_day_first: bool = False) -> DataFrame:
+    """C2 with the order of day and month as ``date_orders`` finds it for each data set and column. The evidence (one
+    row per data set) is joined by data set; a null data set is one of its own."""
+    present = [c for c in cols if c in raw.columns and raw.schema[c].dataType.typeName() not in ("timestamp", "timestamp_ntz", "date")]
+    if not present:
+        return coerce_dates(raw, cols)
+    orders = date_orders(raw, present, by, default_day_first).groupBy(F.col(by).alias("__by")).agg(
+        *[F.bool_or(F.when(F.col("column") == c, F.col("day_first"))).alias(f"__first_{c}") for c in present])
+    both = raw.join(orders, F.col(by).eqNullSafe(F.col("__by")), "left")
+    out = both.withColumns({c: coerce_timestamp(F.col(f"`{c}`"), F.coalesce(F.col(f"__first_{c}"), F.lit(default_day_first)))
+                            for c in present})
+    return coerce_dates(out.drop("__by", *[f"__first_{c}" for c in present]), cols)
+
+
 def date_findings(raw: DataFrame, cols=STAFF_DATE_COLUMNS, day_first: bool = False,
                   date_range: tuple[str, str] | None = None) -> DataFrame:
     """(column, unparsed, out_of_range): how many non-blank values of each date column no date

@@ -223,6 +223,11 @@ def step_series(events: DataFrame, by: Sequence[str] = (), as_of: str = DEFAULT_
     )
 
 
+def end_month(end: str | None) -> Column | None:
+    """The last month of a series that was given an end, None for the data's own."""
+    return None if end is None else month_floor(F.to_date(ts_lit(end)))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage of an intermediate that several branches read: a Parquet table in the shared
     folder, so it is made once, a lost executor does not replay it, and each branch reads only

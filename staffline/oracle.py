@@ -59,21 +59,21 @@ def ceil_month(d: str) -> str:
             f"ELSE CAST(date_trunc('month', {d}) + INTERVAL 1 MONTH AS DATE) END)")
 
 
-def spine_sql(src: str = "s", by: str | None = None) -> str:
+def spine_sql(src: str = "s", by: str | None = None, end: str | None = None) -> str:
     """Month starts from ceil(min hire) to max exit (or as_of) of ``src``, per ``by`` if given."""
     g = f"{by}, " if by else ""
     grp = f" GROUP BY {by}" if by else ""
     where = f" WHERE {by} IS NOT NULL" if by else ""
     return f"""(SELECT {g}CAST(unnest(generate_series(CAST({ceil_month('lo')} AS TIMESTAMP), CAST(hi AS TIMESTAMP),
           INTERVAL 1 MONTH)) AS DATE) AS m
-        FROM (SELECT {g}min(h) AS lo, coalesce(max(e), DATE '{AS_OF}') AS hi FROM {src}{where}{grp}) WHERE lo IS NOT NULL)"""
+        FROM (SELECT {g}min(h) AS lo, {f"DATE '{end}'" if end else f"coalesce(max(e), DATE '{AS_OF}')"} AS hi FROM {src}{where}{grp}) WHERE lo IS NOT NULL)"""
 
 
-def history_sql() -> str:
+def history_sql(end: str | None = None) -> str:
     """Per spine month: the nested-loop definition of headcount, exits and voluntary exits."""
     return f"""
 WITH {BASE},
-sp AS {spine_sql()},
+sp AS {spine_sql(end=end)},
 hist AS (
   SELECT sp.m,
     count(*) FILTER (WHERE s.h <= sp.m AND (s.e IS NULL OR s.e > sp.m)) AS headcount,
@@ -87,8 +87,8 @@ def rate(x: str, hc: str = "headcount") -> str:
     return f"(CASE WHEN {hc} > 0 THEN {x} / {hc} * 100.0 ELSE 0.0 END)"
 
 
-def q_attrition_history() -> str:
-    return history_sql() + f"""
+def q_attrition_history(end: str | None = None) -> str:
+    return history_sql(end) + f"""
 SELECT strftime(m, '%Y-%m') AS month, headcount, exits, voluntary, exits - voluntary AS involuntary,
   {rate('exits')} AS attrition_total, {rate('voluntary')} AS attrition_vol, {rate('(exits - voluntary)')} AS attrition_inv
 FROM hist ORDER BY m
@@ -262,16 +262,16 @@ FROM g
 """
 
 
-def monthly_sql(group: str, src: str = "s") -> str:
+def monthly_sql(group: str, src: str = "s", end: str | None = None) -> str:
     """CTEs ``sp`` (global spine) and ``mg`` (month, group, headcount) by the nested loop."""
-    return f"""sp AS {spine_sql(src)},
+    return f"""sp AS {spine_sql(src, end=end)},
 mg AS (SELECT sp.m, x.{group}, count(x.employee_id) AS headcount FROM sp JOIN {src} x
    ON x.h <= sp.m AND (x.e IS NULL OR x.e > sp.m) WHERE x.{group} IS NOT NULL GROUP BY sp.m, x.{group})"""
 
 
-def q_headcount_monthly(group: str, src: str = "s", where: str = "") -> str:
+def q_headcount_monthly(group: str, src: str = "s", where: str = "", end: str | None = None) -> str:
     return f"""
-WITH {BASE}, {monthly_sql(group, src)}
+WITH {BASE}, {monthly_sql(group, src, end)}
 SELECT strftime(m, '%Y-%m') AS month, {group}, headcount FROM mg {where}
 """
 
@@ -627,6 +627,50 @@ def q_name_search() -> str:
     return f"WITH {BASE} SELECT employee_id, name FROM s WHERE coalesce(regexp_matches(name, 'CUSTOMER#00000012', 'i'), false)"
 
 
+def _picks(**picks) -> list[tuple[str, str, str]]:
+    """(facet, column, whether a row passes) in order."""
+    passes = {"company": "coalesce(company = 'NATION_1', false)", "department": "coalesce(department IN ('BUILDING', 'MACHINERY'), false)",
+              "role": "role IS NOT NULL", "manager": "true", "contract_type": "coalesce(contract_type IN ('CLT', 'PJ'), false)"}
+    return [(f, "manager_id" if f == "manager" else f, p) for f, p in passes.items()]
+
+
+def q_facets(cascade: bool) -> str:
+    picks, parts = _picks(), []
+    for i, (f, c, own) in enumerate(picks):
+        others = [p for j, (_, _, p) in enumerate(picks) if (j < i if cascade else j != i)]
+        where = " AND ".join([f"trim(CAST({c} AS VARCHAR)) <> ''", *others])
+        parts.append(f"SELECT {i + 1} AS facet_no, '{f}' AS facet, CAST({c} AS VARCHAR) AS value, count(*) AS rows, {own} AS picked "
+                     f"FROM staff WHERE {where} GROUP BY ALL")
+    return f"WITH {BASE} " + " UNION ALL ".join(parts)
+
+
+def q_staff_of_named_managers() -> str:
+    return (f"WITH {BASE} SELECT employee_id, 'G' || (manager_id % 10) AS manager_name FROM staff WHERE manager_id % 10 IN (1, 7)")
+
+
+def q_facets_of_named_managers() -> str:
+    return f"""WITH {BASE} SELECT 1 AS facet_no, 'department' AS facet, department AS value, count(*) AS rows,
+ department = 'BUILDING' AS picked FROM staff WHERE department IS NOT NULL GROUP BY department
+UNION ALL SELECT 2, 'manager', 'G' || (manager_id % 10), count(*), true FROM staff WHERE department = 'BUILDING' GROUP BY manager_id % 10"""
+
+
+def q_name_search_indexed() -> str:
+    return f"WITH {BASE} SELECT employee_id, name FROM staff WHERE regexp_matches(lower(name), 'customer#0*12')"
+
+
+def q_learned_dates() -> str:
+    return (f"WITH {BASE} SELECT CASE WHEN employee_id % 2 = 1 THEN 'day' ELSE 'month' END AS dataset_id, employee_id, "
+            f"{d('hire_date')}, {d('exit_date')} FROM staff")
+
+
+def q_date_orders() -> str:
+    col = lambda c: f"""SELECT CASE WHEN employee_id % 2 = 1 THEN 'day' ELSE 'month' END AS dataset_id, '{c}' AS "column",
+ count(*) FILTER (employee_id % 2 = 1 AND day({c}) > 12) AS day_first_seen,
+ count(*) FILTER (employee_id % 2 = 0 AND day({c}) > 12) AS month_first_seen, bool_or(employee_id % 2 = 1) AS day_first,
+ false AS conflict FROM staff GROUP BY employee_id % 2"""
+    return f"WITH {BASE} {col('hire_date')} UNION ALL {col('exit_date')}"
+
+
 def q_available_years() -> str:
     return f"""WITH {BASE}
 SELECT DISTINCT CAST(y AS INTEGER) AS year FROM (SELECT year(hire_date) AS y FROM s UNION ALL SELECT year(exit_date) FROM s)
@@ -852,6 +896,25 @@ ORACLE = {
     "insights": q_insights(),
     "report_lines": q_report_lines(),
     "overview": q_overview(),
+    "insights_with_trends": (f"SELECT * FROM ({q_insights()}) UNION ALL SELECT 8, 'trend', 'attrition_trend', trend, slope, message "
+                             f"FROM ({q_attrition_forecast()}) WHERE trend IS NOT NULL"),
+    "report_file": f"SELECT text, count(*) AS lines FROM ({q_report_lines()}) GROUP BY text",
+    "month_numbers": history_sql() + f"SELECT strftime(m, '%Y-%m') AS month, {MONTHS_PT}[month(m)] AS name, month(m) AS number FROM hist",
+    "attrition_history_until": q_attrition_history("2002-06-01"),
+    "headcount_monthly_until": q_headcount_monthly("department", end="2002-06-01"),
+    "period_flags_default": (f"WITH {BASE} SELECT unnest(['none', 'year']) AS period, count(*) FILTER (exit_date IS NULL) AS active, "
+                             "CAST(0 AS BIGINT) AS exited FROM staff"),
+    "history_from_summaries": q_attrition_history(),
+    "headcount_from_summaries": q_headcount_monthly("department"),
+    "prepare_staff_cached": (f"SELECT p.employee_id, p.department, c.active, c.tenure_months FROM (WITH {BASE} SELECT employee_id, "
+                             f"department FROM staff) p JOIN ({q_core_fields()}) c USING (employee_id)"),
+    "facets_cascade": q_facets(True),
+    "facets_others": q_facets(False),
+    "staff_of_named_managers": q_staff_of_named_managers(),
+    "facets_of_named_managers": q_facets_of_named_managers(),
+    "name_search_indexed": q_name_search_indexed(),
+    "learned_dates": q_learned_dates(),
+    "date_orders": q_date_orders(),
     "facet_values": q_facet_values(),
     "staff_filtered": q_staff_filtered(),
     "staff_filtered_count": q_staff_filtered_count(),

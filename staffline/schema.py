@@ -47,6 +47,8 @@ STAFF_OPTIONAL = T.StructType(
         # whether the row's own data set has an exit type column (tables made of several sets)
         T.StructField("has_exit_type", T.BooleanType()),
         T.StructField("company", T.StringType()),
+        # the manager by name, for tables without manager ids
+        T.StructField("manager_name", T.StringType()),
     ]
 )
 
@@ -75,6 +77,7 @@ HEADER_NAMES = {
     "departamento": "department",
     "cargo": "role",
     "matricula do gestor": "manager_id",
+    "gestor": "manager_name",
     "tipo_contrato": "contract_type",
     "genero": "gender",
     "data de admissão": "hire_date",

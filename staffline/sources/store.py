@@ -156,6 +156,20 @@ def read_dataset(spark: SparkSession, root: str, table: str, dataset_id: str, ow
     return found if found is not None else spark.createDataFrame([], schema or T.StructType([]))
 
 
+def read_all(spark: SparkSession, root: str, owner: str, table: str, dataset_ids=None) -> DataFrame | None:
+    """One table of all live data sets of an owner (or of the given ones) together, in one read; None if no live data set
+    has it. The tables must have one schema."""
+    mine = _newest(entries(spark, root).where(F.col("owner") == F.lit(owner))).where(~F.col("deleted"))
+    if dataset_ids is not None:
+        mine = mine.where(F.col("dataset_id").isin(list(dataset_ids)))
+    rows = mine.select(F.col("tables")[table].alias("t")).where("t IS NOT NULL").collect()  # one path per live data set
+    if not rows:
+        return None
+    schema = T.StructType.fromJson(json.loads(rows[0]["t"]["schema"]))
+    paths = [r["t"]["path"] for r in rows if r["t"]["path"]]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def compact(spark: SparkSession, root: str, forget_before: str | None = None) -> int:
     """Folds the log into a new snapshot of one file and swaps it in; returns the manifest's number. Entries that a
     newer one replaces stay (old versions remain readable), but what was deleted or replaced before

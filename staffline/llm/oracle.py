@@ -18,9 +18,9 @@ def _verdicts(rules) -> tuple[str, str]:
     return f"CASE{rule} END", f"CASE{verdict} END"
 
 
-def url_filter_sql(rules=RULES, depth: int = 4, max_kinds: int = 20, min_labels: int = 5, z: float = 1.96,
+def url_filter_sql(rules=RULES, depth: int = 8, least_labels: int = 3, max_kinds: int = 20, min_labels: int = 5, z: float = 1.96,
                    smoothing: float = 5.0, threshold: float = 0.8) -> str:
-    """The path-template tree, one level of tables for each leading segment."""
+    """The path-template tree, one level of tables for each leading segment (``depth``: most segments of a path)."""
     rule, verdict = _verdicts(rules)
     segs = [f"s{i}" for i in range(depth)]
     parts = ", ".join(f"coalesce(regexp_replace(parts[{i + 1}], '[0-9]+', '#', 'g'), '') AS s{i}" for i in range(depth))
@@ -49,10 +49,12 @@ t{i + 1} AS (SELECT t.* REPLACE (t.template || part AS template) FROM t{i} t JOI
     same = " AND ".join(f"u.{s} = t.{s}" for s in segs)
     return sql + f""",
 total AS (SELECT (coalesce(sum(blocked), 0) + 1) / (coalesce(sum(labelled), 0) + 2) AS p FROM {last}),
-hosts AS (SELECT host, (sum(blocked) + {m} * max(p)) / (sum(labelled) + {m}) AS prior FROM {last}, total GROUP BY host),
-leaves AS (SELECT t.host, template, (sum(blocked) + {m} * max(prior)) / (sum(labelled) + {m}) AS purity
-   FROM {last} t JOIN hosts h ON t.host = h.host GROUP BY ALL)
-SELECT page_id, u.host, path, rule, coalesce(given, CASE WHEN purity >= {threshold} THEN 'block' ELSE 'allow' END) AS verdict,
+sums AS (SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS parent, sum(blocked) AS b, sum(labelled) AS own
+   FROM {last} GROUP BY host, template),
+split AS (SELECT host, parent, (sum(b) + {m} * max(p)) / (sum(own) + {m}) AS prior FROM sums, total GROUP BY host, parent),
+leaves AS (SELECT s.host, template, own, (b + {m} * prior) / (own + {m}) AS purity
+   FROM sums s JOIN split x ON s.host = x.host AND s.parent = x.parent)
+SELECT page_id, u.host, path, rule, coalesce(given, CASE WHEN purity >= {threshold} AND own >= {least_labels} THEN 'block' ELSE 'allow' END) AS verdict,
   t.template, purity
 FROM urls u JOIN {last} t ON u.host = t.host AND {same} JOIN leaves x ON t.host = x.host AND t.template = x.template"""
 

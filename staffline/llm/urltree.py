@@ -5,8 +5,10 @@ level under each host until no path has a further segment; where all paths of a
 the rest is taken at once. A segment becomes ``*`` when it is one of very many rare siblings
 (a variable segment), or when its labelled block rate does not differ from its siblings' by a
 two-proportion test (similar branches merge; without enough labels on both sides nothing is known to
-be similar). A leaf template's purity is its labelled block rate, smoothed towards its host's rate
-and that towards the rate of all labels; templates of high purity are rejected.
+be similar). A leaf template's purity is its labelled block rate, smoothed towards the rate of the
+templates that split off at the same place and that towards the rate of all labels. Templates of high
+purity are rejected if at least ``least_labels`` of their own pages are labelled: what is known of other
+folders, or of the host, alone rejects nothing.
 
 Labels are the verdicts of the listed rules; a page under a rule gets the rule's verdict, every
 other page its template's.
@@ -89,18 +91,20 @@ def templates(paths: DataFrame, max_kinds: int = 20, min_labels: int = 5, z: flo
 
 
 def purities(tree: DataFrame, smoothing: float = 5.0) -> DataFrame:
-    """(host, template, purity): block rate, smoothed to the host's and that to all labels'."""
+    """(host, template, own, purity): labelled pages and their block rate, smoothed towards that of the
+    templates under the same parent, and that towards all labels'."""
     total = tree.agg(((F.coalesce(F.sum("blocked"), F.lit(0)) + 1)
                       / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("p")).scalar()
     m = F.lit(float(smoothing))
-    hosts = tree.groupBy("host").agg(((F.sum("blocked") + m * total) / (F.sum("labelled") + m)).alias("prior"))
-    leaves = tree.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-    return leaves.join(hosts, "host").select("host", "template", (
-        (F.col("b") + m * F.col("prior")) / (F.col("l") + m)).alias("purity"))
+    leaves = (tree.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("own"))
+              .withColumn("parent", F.regexp_replace("template", "/[^/]*$", "")))
+    split = leaves.groupBy("host", "parent").agg(((F.sum("b") + m * total) / (F.sum("own") + m)).alias("prior"))
+    return leaves.join(split, ["host", "parent"]).select("host", "template", "own", (
+        (F.col("b") + m * F.col("prior")) / (F.col("own") + m)).alias("purity"))
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES,
-               threshold: float = 0.8, max_kinds: int = 20, smoothing: float = 5.0) -> DataFrame:
+               threshold: float = 0.8, max_kinds: int = 20, smoothing: float = 5.0, least_labels: int = 3) -> DataFrame:
     """id, host, path, rule, verdict (allow or block), template and purity of every page."""
     named = with_url_parts(pages.select(F.col(id_col), F.col(url_col).alias("__url")), "__url").drop("__url")
     parsed = (named.withColumn("hit", matched_rule(rules))
@@ -111,7 +115,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         F.count("*").alias("n"), F.count("given").alias("labelled"),
         F.sum(F.when(F.col("given") == "block", 1).otherwise(0)).alias("blocked"))
     tree = templates(staged(paths, "paths"), max_kinds)
-    judged = tree.join(purities(tree, smoothing), ["host", "template"]).select("host", "segs", "template", "purity")
-    verdict = F.coalesce("given", F.when(F.col("purity") >= threshold, "block").otherwise("allow"))
+    judged = tree.join(purities(tree, smoothing), ["host", "template"]).select("host", "segs", "template", "own", "purity")
+    impure = (F.col("purity") >= threshold) & (F.col("own") >= least_labels)
+    verdict = F.coalesce("given", F.when(impure, "block").otherwise("allow"))
     return parsed.join(judged, ["host", "segs"]).select(id_col, "host", "path", "rule", verdict.alias("verdict"),
                                                         "template", "purity")

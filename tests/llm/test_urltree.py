@@ -83,6 +83,19 @@ def test_paths_that_differ_only_at_the_sixth_segment(spark):
     assert got["/x" * 300]["template"] == "/x" * 300
 
 
+def test_nothing_is_rejected_without_labels_of_its_own(spark):
+    urls = [f"http://a.example.com/de/{k}" for k in range(40)] + [f"http://a.example.com/en/{k}" for k in range(200)]
+    urls += [f"http://a.example.com/{k}" for k in ("x", "y/z", "")] + [f"http://b.example.com/fr/{k}" for k in range(9)]
+    got = urltree.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert all((r["verdict"] == "block") == ("/de/" in r["path"]) for r in got)
+
+
+def test_whole_table_rejects_only_labelled_templates(spark):
+    got = urltree.judge_urls(spark.read.parquet(f"{SF}/pages.parquet")).collect()
+    labelled = {(r["host"], r["template"]) for r in got if r["rule"]}
+    assert all(r["verdict"] == "allow" or (r["host"], r["template"]) in labelled for r in got)
+
+
 def test_native_plan(spark):
     plan = urltree.judge_urls(spark.read.parquet(f"{SF}/pages.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -1,7 +1,9 @@
 """Sharding by histogram sort: shards of near-equal bytes, equal texts side by side.
 
-Rows are ordered by a 63-bit key: the CRC-32 of the text above 31 bits of a hash of the id, so
-equal texts are neighbours and even one text that fills a third of the corpus can be cut anywhere.
+Rows are ordered by a 63-bit key: the CRC-32 of the text above 20 bits of a hash of the id and 11 bits
+of a hash of the row's number, so equal texts are neighbours, and even one text that fills a third of the
+corpus can be cut anywhere, its rows having different ids or not (rows of equal ids and texts are
+interchangeable: their numbers only spread them).
 The splitters are found without sorting: each round counts the exact bytes of every candidate cell
 (``2**bits`` cells under each cell that still holds an undecided splitter), keeps the cell each
 target falls into, and refines it in the next round, until the cell weighs less than the tolerance
@@ -10,7 +12,7 @@ or is a single key. Only then do rows move, once, to number the slots of each sh
 What reaches the driver in a round is at most shards * 2**bits cell sums.
 
 Defined results: a null text has no bytes and CRC 0 (as an empty one); rows with equal ids and equal
-texts share one key, stay in one shard and get different slots; a null id is a value like any
+texts get different slots, and fall into several shards where they are too many for one; a null id is a value like any
 other; an empty table gives an empty one; further columns of the input are carried along unless
 they clash with the added names (shard, slot), which replace them.
 """
@@ -19,23 +21,30 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from staffline.llm.store import staged
+from staffline.llm.store import parallelism, staged
 
 KEY_BITS = 63
-ID_BITS = 31
+ID_BITS, ROW_BITS = 20, 11
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8) -> DataFrame:
-    """id, size (UTF-8 bytes of the text plus ``overhead``), text_crc32 and the 63-bit sort key."""
+    """id, size (UTF-8 bytes of the text plus ``overhead``), text_crc32 and the 63-bit sort key. The key holds a
+    row number, so the table is to be written before it is used more than once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    crc, key = _key(id_col, text)
+    return docs.select(F.col(id_col), (F.octet_length(text).cast("long") + overhead).alias("size"), crc.alias("text_crc32"),
+                       key.alias("key"))
+
+
+def _key(id_col: str, text: Column) -> tuple[Column, Column]:
     crc = F.crc32(text.cast("binary"))
-    low = F.xxhash64(F.col(id_col)).bitwiseAND(F.lit((1 << ID_BITS) - 1))
-    return docs.select(F.col(id_col), (F.octet_length(text).cast("long") + overhead).alias("size"),
-                       crc.alias("text_crc32"), F.shiftleft(crc, ID_BITS).bitwiseOR(low).alias("key"))
+    low = lambda h, bits: h.bitwiseAND(F.lit((1 << bits) - 1))
+    key = F.shiftleft(crc, ID_BITS + ROW_BITS).bitwiseOR(F.shiftleft(low(F.xxhash64(F.col(id_col)), ID_BITS), ROW_BITS))
+    return crc, key.bitwiseOR(low(F.xxhash64(F.monotonically_increasing_id()), ROW_BITS))
 
 
 def _histogram(rows: DataFrame, shift: int, parents: list[int] | None, parent_shift: int) -> dict[int, int]:
@@ -78,15 +87,19 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 0.001, bits: int
     return [done[j] for j in sorted(done)]
 
 
+def _shard(bounds: list[int]) -> Column:
+    shard = F.lit(0)
+    for b in bounds:
+        shard = shard + (F.col("key") >= F.lit(b)).cast("int")
+    return shard
+
+
 def histogram_sort(rows: DataFrame, shards: int, tolerance: float = 0.001, bits: int = 10,
                    rows_per_task: int = 4096) -> DataFrame:
     """``rows`` (with columns key and size) plus shard (0 to shards - 1) and slot (gapless from 0 in
     each shard). Slots follow the key, but for cells of over ``rows_per_task`` rows, which are
     numbered in several tasks."""
-    bounds = splitters(rows, shards, tolerance, bits)
-    shard = F.lit(0)
-    for b in bounds:
-        shard = shard + (F.col("key") >= F.lit(b)).cast("int")
+    shard = _shard(splitters(rows, shards, tolerance, bits))
     n = rows.count()
     cell_shift = KEY_BITS - min(30, max(4, math.ceil(math.log2(max(1, n / rows_per_task)))))
     dealt = rows.drop("shard", "slot").withColumn("shard", shard).withColumn(
@@ -112,19 +125,13 @@ def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     return histogram_sort(rows, shards, tolerance).drop("key")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """The documents themselves as one Parquet folder per shard, by slot. Rows of equal ids and equal
-    texts are interchangeable, so they are matched by their number among their equals."""
-    placed = shard_documents(docs, shards, id_col, text_col)
-    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    w = Window.partitionBy("__id", "__crc")
-    left = docs.withColumn("__id", F.col(id_col)).withColumn("__crc", crc)
-    left = left.withColumn("__k", F.row_number().over(w.orderBy("__id")))
-    right = placed.select(F.col(id_col).alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot")
-    right = right.withColumn("__k", F.row_number().over(w.orderBy("slot"))).select(
-        F.col("__id").alias("__rid"), F.col("__crc").alias("__rcrc"), F.col("__k").alias("__rk"), "shard", "slot")
-    joined = left.drop("shard", "slot").join(right, F.col("__id").eqNullSafe(F.col("__rid"))
-                                             & (F.col("__crc") == F.col("__rcrc")) & (F.col("__k") == F.col("__rk")))
-    out = joined.drop("__id", "__crc", "__k", "__rid", "__rcrc", "__rk")
-    out.repartition("shard", F.shiftright("slot", 17)).sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard").mode("overwrite").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text",
+                 tolerance: float = 0.001) -> None:
+    """The documents themselves as one Parquet folder per shard, in the order of their keys. The splitters come from
+    counts alone; then the documents are exchanged once, by range of (shard, key)."""
+    rows = staged(sized(docs, id_col, text_col), "sized")
+    bounds = splitters(rows, shards, tolerance)
+    key = _key(id_col, F.coalesce(F.col(text_col), F.lit("")))[1]
+    out = docs.drop("shard", "key").withColumn("key", key).withColumn("shard", _shard(bounds))
+    out = out.repartitionByRange(max(shards, parallelism(docs.sparkSession)), "shard", "key").sortWithinPartitions("shard", "key")
+    out.drop("key").write.partitionBy("shard").mode("overwrite").parquet(path)

@@ -15,8 +15,11 @@ the number of pairs is bounded by the two vocabularies, whatever the corpus
 Defined results: a text that is null or empty, or whose decoded tokens of A or of B are not the
 bytes of space + text, has no tokens, zero counts and '' as its hash; strings of special tokens are plain
 text; repeated rows are rows of their own (each counts); an empty table gives an empty one; other
-columns are left out. Texts of over ``PART`` characters are encoded in parts cut at a blank between
-two ASCII letters, where neither tokenizer joins.
+columns are left out.
+
+Texts are cut at single blanks between words, where a byte-level token always begins with the blank and
+no piece reaches over its marker (checked when the model is loaded); the chunks are aligned on their own,
+many at once, and the ones met lately are kept, so a long text needs no more memory than its chunks.
 """
 
 from __future__ import annotations
@@ -36,10 +39,13 @@ from pyspark.sql import types as T
 
 from staffline.llm.store import staged
 
-PART = 1 << 18   # characters of a text encoded at once
-BLOCK = 1 << 17  # characters of the texts encoded at once
-SLICE = 32       # rows made Python strings at once
-JOINT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+PART = 1 << 17           # characters of the chunks encoded at once
+BLOCK = 1 << 20          # characters of the texts handled at once
+SLICE = 64               # rows made Python strings at once
+CACHE_BYTES = 192 << 20  # of the aligned chunks that a worker keeps
+ENTRY_BYTES, CHARACTER_BYTES = 420, 10  # of a kept chunk: at rest, and for each of its characters
+#: A blank between two characters that are neither blanks nor marks: neither tokenizer joins over it.
+JOINT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 BYTE_PIECE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 
 
@@ -95,6 +101,8 @@ class Pair:
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         self.b = Side([bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode()
                        for p in pieces])
+        if any("\u2581" in p.lstrip("\u2581") for p in pieces):
+            raise ValueError("a piece holds a marker behind other characters")
         self.shift = len(self.b.raw)
         # decimal ids followed by the separators they can have: A inside, A last, B inside, B last
         self.words = [f"{i}{s}" for n, seps in ((size, ",|"), (self.shift, ",;")) for i in range(n) for s in seps]
@@ -151,43 +159,102 @@ class Pair:
         return la, lb, "".join([words[k] for k in order.tolist()])[:-1]
 
 
+def joins(chunk: str) -> bool:
+    """Whether a chunk begins and ends with characters that ``JOINT`` takes, so that it may stand beside others."""
+    a, b = chunk[0], chunk[-1]
+    return ("!" <= a <= "~" or a.isalnum()) and ("!" <= b <= "~" or b.isalnum())
+
+
+Entry = tuple[int, int, str, bytes]  # tokens of A, of B, the groups as text, the linked pairs as 64-bit integers
+
+
+class Chunks:
+    """Aligned chunks, the last ones used of at most ``CACHE_BYTES``: two generations, of which the older goes. A worker
+    keeps them for its next task."""
+
+    def __init__(self, pair: Pair):
+        self.pair = pair
+        self.new: dict[str, Entry | None] = {}
+        self.old: dict[str, Entry | None] = {}
+        self.size = 0
+
+    def of(self, chunks: set[str]) -> dict[str, Entry | None]:
+        """The entry of each chunk; None where its decoded tokens are not its bytes."""
+        new = self.new
+        found = {c: new[c] for c in chunks if c in new}
+        missing = [c for c in chunks if c not in found]
+        if old := {c: self.old[c] for c in missing if c in self.old}:
+            self._keep(old)
+            found |= old
+            missing = [c for c in missing if c not in old]
+        plain, rest = [], []
+        for c in missing:
+            (plain if joins(c) else rest).append(c)
+        lo = 0
+        while lo < len(plain):  # as many as make a text of about PART characters
+            hi, size = lo, 0
+            while hi < len(plain) and size < PART:
+                size += len(plain[hi]) + 1
+                hi += 1
+            made = self._together(plain[lo:hi])
+            if made is None:  # one of them has other bytes
+                rest += plain[lo:hi]
+            else:
+                both = dict(zip(plain[lo:hi], made, strict=True))
+                self._keep(both)
+                found |= both
+            lo = hi
+        for c in rest:
+            made = self._together([c])
+            found[c] = None if made is None else made[0]
+        self._keep({c: found[c] for c in rest})
+        return found
+
+    def _keep(self, entries: dict[str, Entry | None]) -> None:
+        """Entries of a block; about as many groups as characters bound their size."""
+        need = sum(map(len, entries)) * CHARACTER_BYTES + ENTRY_BYTES * len(entries)
+        if self.size + need > CACHE_BYTES // 2:
+            self.old, self.new, self.size = self.new, {}, 0
+        if need <= CACHE_BYTES // 2:
+            self.new.update(entries)
+            self.size += need
+
+    def _together(self, chunks: list[str]) -> list[Entry] | None:
+        """The chunks aligned as one text, joined by the blanks that both encoders put in front of each."""
+        got = self.pair.align([" ".join(chunks)])[0]
+        if got is None:
+            return None
+        ia, ea, ib, eb = got
+        la, lb, groups = self.pair.groups(ia, ea, ib, eb)
+        ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        a, b = np.searchsorted(ea, ends), np.searchsorted(eb, ends)  # last token of each chunk: both end there
+        g = np.searchsorted(ea[la], ends)  # its last group
+        pairs = (ia[la] * self.pair.shift + ib[lb]).tobytes()
+        told = groups.split(";")
+        out, a0, b0, g0 = [], 0, 0, 0
+        for x, y, z in zip((a + 1).tolist(), (b + 1).tolist(), (g + 1).tolist(), strict=True):
+            out.append((x - a0, y - b0, ";".join(told[g0:z]), pairs[8 * g0:8 * z]))
+            a0, b0, g0 = x, y, z
+        return out
+
+
 @functools.lru_cache(maxsize=1)
-def load(path_a: str, path_b: str) -> Pair:
-    return Pair(path_a, path_b)
-
-
-def parts(text: str) -> list[str]:
-    """The text cut, where it is long, at blanks between ASCII letters; each blank cut away is the one
-    that both encoders put in front of the next part."""
-    out, lo = [], 0
-    while len(text) - lo > PART:
-        m = JOINT.search(text, lo + PART)
-        if not m:
-            break
-        out.append(text[lo:m.start()])
-        lo = m.end()
-    return [*out, text[lo:]]
-
-
-def encode_aligned(pair: Pair, texts: list[str | None]) -> list[tuple | None]:
-    """(n_a, n_b, linked ids of A, linked ids of B, hash of the groups) of each text, None without tokens."""
-    cut = [parts(t) if t else [] for t in texts]
-    flat = pair.align([p for ps in cut for p in ps])
+def load(path_a: str, path_b: str) -> Chunks:
+    return Chunks(Pair(path_a, path_b))
+
+
+def encode_aligned(chunks: Chunks, texts: list[str | None]) -> list[tuple | None]:
+    """(n_a, n_b, linked pairs, hash of the groups) of each text, None without tokens."""
+    cut = [JOINT.split(t) if t else [] for t in texts]
+    known = chunks.of({c for cs in cut for c in cs})
     out: list = []
-    k = 0
-    for ps in cut:
-        got, k = flat[k:k + len(ps)], k + len(ps)
-        if not got or any(x is None for x in got):
+    for cs in cut:
+        found = [known[c] for c in cs]
+        if not found or None in found:
             out.append(None)
             continue
-        n_a = n_b = 0
-        links, digest = [], hashlib.sha256()
-        for j, (ia, ea, ib, eb) in enumerate(got):
-            la, lb, text = pair.groups(ia, ea, ib, eb)
-            digest.update((";" + text if j else text).encode())
-            n_a, n_b = n_a + len(ia), n_b + len(ib)
-            links.append((ia[la], ib[lb]))
-        out.append((n_a, n_b, np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links]), digest.hexdigest()))
+        n_a, n_b, told, links = zip(*found, strict=True)
+        out.append((sum(n_a), sum(n_b), np.frombuffer(b"".join(links), np.int64), hashlib.sha256(";".join(told).encode()).hexdigest()))
     return out
 
 
@@ -214,18 +281,18 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
                            T.StructField("pair", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = load(path_a, path_b)
+        chunks = load(path_a, path_b)
         none = np.zeros(0, np.int64)
         for batch in batches:
             start = 0
             for block in _blocks(batch.column(text_col)):
-                rows = encode_aligned(pair, block)
-                kinds = [(none, none) if r is None else np.unique(r[2] * pair.shift + r[3], return_counts=True) for r in rows]
+                rows = encode_aligned(chunks, block)
+                kinds = [(none, none) if r is None else np.unique(r[2], return_counts=True) for r in rows]
                 ends = pa.array(np.cumsum([0, *[len(c) for c, _ in kinds]]), pa.int32())
                 n = [(0, 0, 0) if r is None else (r[0], r[1], len(r[2])) for r in rows]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(id_col).slice(start, len(block)), *[pa.array([x[i] for x in n], pa.int64()) for i in (0, 1, 2, 2)],
-                    pa.array(["" if r is None else r[4] for r in rows], pa.string()),
+                    pa.array(["" if r is None else r[3] for r in rows], pa.string()),
                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate([c for c, _ in kinds]), pa.int64())),
                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate([t for _, t in kinds]).astype(np.int32), pa.int32()))],
                     names=schema.names)
@@ -255,7 +322,7 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
     ``n_best``: links whose pair is the most frequent of its B id in the corpus, ties included;
     ``count_sum``: the corpus counts of the pairs, summed over the document's links."""
     rows = staged(aligned(docs, path_a, path_b, id_col, text_col), "aligned")
-    pair = load(path_a, path_b)
+    pair = load(path_a, path_b).pair
     table = pair_counts(rows).toArrow()
     if table.num_rows > (bound := pair_bound(pair)):
         raise RuntimeError(f"{table.num_rows} linked pairs, {bound} at most in these vocabularies")

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -76,14 +78,23 @@ def test_empty_table(spark, no_docs):
     assert out.columns == list(COLS) and out.count() == 0
 
 
-def test_long_texts_in_parts_are_encoded_alike(monkeypatch):
-    pair = align.load(BYTE_LEVEL, PIECES)
-    text = " Ab cd  12 ef\n gé h. I j's k" * 40
-    whole = align.encode_aligned(pair, [text])[0]
+def test_chunks_are_encoded_as_in_the_whole_text(monkeypatch):
+    """Cut at blanks and joined again, with hardly any cache, every text has the tokens of its one whole encoding."""
+    pair = align.load(BYTE_LEVEL, PIECES).pair
+    rnd = random.Random(6)
+    signs = ["a", "Z", "é", "中", "😀", "1", "²", "'s", ".", "-", "_", " ", " ", " ", "  ", "\n", "\u00a0", "\u3000", "\x1c", "\u0301", "ß", "<s>"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(1, 60))) for _ in range(400)]
+    texts += [" Ab cd  12 ef\n gé h. I j's k" * 40, "a \u2581 b", "x \u0301y z"]
+    monkeypatch.setattr(align, "JOINT", re.compile("(?!)"))
+    whole = align.encode_aligned(align.Chunks(pair), texts)
+    monkeypatch.undo()
     monkeypatch.setattr(align, "PART", 30)
-    assert len(align.parts(text)) > 10
-    cut = align.encode_aligned(pair, [text])[0]
-    assert whole[:2] == cut[:2] and whole[4] == cut[4] and (whole[2] == cut[2]).all() and (whole[3] == cut[3]).all()
+    monkeypatch.setattr(align, "CACHE_BYTES", 9000)
+    cut = align.encode_aligned(align.Chunks(pair), texts)
+    assert sum(w is not None for w in whole) > 350
+    for t, w, c in zip(texts, whole, cut, strict=True):
+        assert (w is None) == (c is None), t
+        assert w is None or (w[:2] == c[:2] and w[3] == c[3] and (w[2] == c[2]).all()), t
 
 
 @pytest.mark.parametrize("sure", [[1, 1, 1, 1], [1, 0, 0, 1], [0, 0, 0, 0]])
@@ -96,7 +107,7 @@ def test_refine_follows_decoded_bytes(sure):
 
 
 def test_bound_holds(spark):
-    pair = align.load(BYTE_LEVEL, PIECES)
+    pair = align.load(BYTE_LEVEL, PIECES).pair
     suffix_pairs = 0
     of = Counter(pair.b.raw)
     for raw in pair.a.raw:

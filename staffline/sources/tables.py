@@ -59,11 +59,13 @@ def _clean_type(c, dtype: T.DataType):
         return F.struct(*[_clean_type(c.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields])
     if isinstance(dtype, T.ArrayType):
         return F.transform(c, lambda x: _clean_type(x, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        return F.transform_values(c, lambda _, v: _clean_type(v, dtype.valueType))
     return c
 
 
 def null_clean(df: DataFrame) -> DataFrame:
-    """NaN → null in every double column, also inside structs and arrays of structs."""
+    """NaN → null in every double column, also inside structs, arrays and the values of maps."""
     return df.select(*[_clean_type(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 

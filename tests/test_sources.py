@@ -64,8 +64,10 @@ def test_missing_table_is_empty(spark):
 
 
 def test_null_clean_and_records(spark):
-    df = spark.createDataFrame([(1, float("nan"), [(float("nan"),)])], "id long, x double, arr array<struct<v:double>>")
+    df = spark.createDataFrame([(1, float("nan"), [(float("nan"),)], {"k": (float("nan"), 1)})],
+                               "id long, x double, arr array<struct<v:double>>, m map<string,struct<v:double,n:int>>")
     row = tables.null_clean(df).collect()[0]
+    assert row["m"]["k"]["v"] is None and row["m"]["k"]["n"] == 1
     assert row["x"] is None and row["arr"][0]["v"] is None
     js = [r["json"] for r in tables.to_records(spark.createDataFrame([(1, "a")], "k long, v string")).collect()]
     assert js == ['{"k":1,"v":"a"}']

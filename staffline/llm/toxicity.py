@@ -8,7 +8,8 @@
    and on clean texts; labelled training rows are held at their label. Voters that go together more
    than their class explains are discounted by their conditional correlations.
 3. A linear classifier over entries and patterns is trained on the model's posterior labels of a
-   bounded sample of training documents, and scores every document.
+   bounded sample of training documents, and scores every document. Its logit is then calibrated (two
+   numbers) on the labelled training rows.
 
 Training rows are those whose crc32 of the id as text is not divisible by 5; nothing is learned from
 the others. Bounds (parameters): ``max_labelled`` labelled rows for the lexicons, ``max_train``
@@ -250,9 +251,10 @@ def calibrate(z: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[float,
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "toxic", max_labelled: int = 10_000, max_train: int = 20_000,
-                   max_entries: int = 2048, gold: float = 0.9, whole_rows: bool = False) -> DataFrame:
+                   max_entries: int = 2048, gold: float = 0.0, whole_rows: bool = False) -> DataFrame:
     """id, held_out, score and predicted (1 from a score of 0.5) of every document; with ``whole_rows``
-    the documents themselves with their ``__score``."""
+    the documents themselves with their ``__score``. ``gold``: the share of its label in a labelled
+    training row's target, the rest being its posterior (0: posteriors alone)."""
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
              .filter((F.col("id").isNotNull()) & F.col("label").isin(0, 1))
              .groupBy("id").agg(F.max("label").alias("label")).filter(~held_out("id")))

@@ -106,6 +106,7 @@ class Pair:
         self.shift = len(self.b.raw)
         # decimal ids followed by the separators they can have: A inside, A last, B inside, B last
         self.words = [f"{i}{s}" for n, seps in ((size, ",|"), (self.shift, ",;")) for i in range(n) for s in seps]
+        self.letters = np.array([len(w) for w in self.words])
         self.from_b = 2 * size
 
     def spans_a(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -145,8 +146,9 @@ class Pair:
                         ib, refine(np.where(fb > 0, fb + 1, 0), eb + 1, self.b.length[ib], len(data))))
         return out
 
-    def groups(self, ia, ea, ib, eb) -> tuple[np.ndarray, np.ndarray, str]:
-        """Places in A and in B of the tokens that end together, and the groups as text."""
+    def groups(self, ia, ea, ib, eb) -> tuple[np.ndarray, np.ndarray, str, np.ndarray]:
+        """Places in A and in B of the tokens that end together, the groups as text (each with its separator), and
+        the characters of that text up to every token in it."""
         cuts = np.intersect1d(ea, eb, assume_unique=True)
         la, lb = np.searchsorted(ea, cuts), np.searchsorted(eb, cuts)
         ga, gb = np.searchsorted(cuts, ea), np.searchsorted(cuts, eb)  # group of each token
@@ -156,7 +158,7 @@ class Pair:
         order[np.arange(len(ia)) + np.append(0, lb + 1)[ga]] = 2 * ia + last_a
         order[np.arange(len(ib)) + (la + 1)[gb]] = self.from_b + 2 * ib + last_b
         words = self.words
-        return la, lb, "".join([words[k] for k in order.tolist()])[:-1]
+        return la, lb, "".join([words[k] for k in order.tolist()]), np.cumsum(self.letters[order])
 
 
 def joins(chunk: str) -> bool:
@@ -178,15 +180,19 @@ class Chunks:
         self.old: dict[str, Entry | None] = {}
         self.size = 0
 
-    def of(self, chunks: set[str]) -> dict[str, Entry | None]:
-        """The entry of each chunk; None where its decoded tokens are not its bytes."""
-        new = self.new
-        found = {c: new[c] for c in chunks if c in new}
-        missing = [c for c in chunks if c not in found]
-        if old := {c: self.old[c] for c in missing if c in self.old}:
-            self._keep(old)
-            found |= old
-            missing = [c for c in missing if c not in old]
+    def add(self, chunks: set[str]) -> dict[str, Entry | None]:
+        """The kept entries, after those of ``chunks`` that aren't among them were added: each chunk's own, None where its
+        decoded tokens are not its bytes."""
+        if self.size > CACHE_BYTES // 2:
+            self.old, self.new, self.size = self.new, {}, 0
+        new, missing = self.new, []
+        added = [c for c in chunks if c not in new]
+        for c in added:
+            if c in self.old:
+                new[c] = self.old[c]
+            else:
+                missing.append(c)
+        self.size += ENTRY_BYTES * len(added) + CHARACTER_BYTES * sum(map(len, added))
         plain, rest = [], []
         for c in missing:
             (plain if joins(c) else rest).append(c)
@@ -200,24 +206,12 @@ class Chunks:
             if made is None:  # one of them has other bytes
                 rest += plain[lo:hi]
             else:
-                both = dict(zip(plain[lo:hi], made, strict=True))
-                self._keep(both)
-                found |= both
+                new.update(zip(plain[lo:hi], made, strict=True))
             lo = hi
         for c in rest:
             made = self._together([c])
-            found[c] = None if made is None else made[0]
-        self._keep({c: found[c] for c in rest})
-        return found
-
-    def _keep(self, entries: dict[str, Entry | None]) -> None:
-        """Entries of a block; about as many groups as characters bound their size."""
-        need = sum(map(len, entries)) * CHARACTER_BYTES + ENTRY_BYTES * len(entries)
-        if self.size + need > CACHE_BYTES // 2:
-            self.old, self.new, self.size = self.new, {}, 0
-        if need <= CACHE_BYTES // 2:
-            self.new.update(entries)
-            self.size += need
+            new[c] = None if made is None else made[0]
+        return new
 
     def _together(self, chunks: list[str]) -> list[Entry] | None:
         """The chunks aligned as one text, joined by the blanks that both encoders put in front of each."""
@@ -225,16 +219,15 @@ class Chunks:
         if got is None:
             return None
         ia, ea, ib, eb = got
-        la, lb, groups = self.pair.groups(ia, ea, ib, eb)
+        la, lb, groups, upto = self.pair.groups(ia, ea, ib, eb)
         ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
         a, b = np.searchsorted(ea, ends), np.searchsorted(eb, ends)  # last token of each chunk: both end there
         g = np.searchsorted(ea[la], ends)  # its last group
         pairs = (ia[la] * self.pair.shift + ib[lb]).tobytes()
-        told = groups.split(";")
-        out, a0, b0, g0 = [], 0, 0, 0
-        for x, y, z in zip((a + 1).tolist(), (b + 1).tolist(), (g + 1).tolist(), strict=True):
-            out.append((x - a0, y - b0, ";".join(told[g0:z]), pairs[8 * g0:8 * z]))
-            a0, b0, g0 = x, y, z
+        out, a0, b0, g0, s0 = [], 0, 0, 0, 0
+        for x, y, z, s in zip((a + 1).tolist(), (b + 1).tolist(), (8 * g + 8).tolist(), upto[a + b + 1].tolist(), strict=True):
+            out.append((x - a0, y - b0, groups[s0:s - 1], pairs[g0:z]))
+            a0, b0, g0, s0 = x, y, z, s
         return out
 
 
@@ -246,7 +239,7 @@ def load(path_a: str, path_b: str) -> Chunks:
 def encode_aligned(chunks: Chunks, texts: list[str | None]) -> list[tuple | None]:
     """(n_a, n_b, linked pairs, hash of the groups) of each text, None without tokens."""
     cut = [JOINT.split(t) if t else [] for t in texts]
-    known = chunks.of({c for cs in cut for c in cs})
+    known = chunks.add({c for cs in cut for c in cs})
     out: list = []
     for cs in cut:
         found = [known[c] for c in cs]

@@ -399,6 +399,14 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``rows``: texts, spans and new texts of a whole batch are never held at once."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+
+
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crf: Crf | None = None) -> DataFrame:
     """id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every document."""
     crf = crf or train()
@@ -406,7 +414,7 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cr
                            T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = find_spans(crf, batch.column(text_col).to_pylist())
             counts = [pa.array([sum(k == s[0] for s in base) for base, _ in found], pa.int64()) for k in BASE_KINDS]
             digest = pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found], pa.string())
@@ -431,7 +439,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text", crf: Crf | None = None) ->
     crf = crf or train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             i = batch.schema.get_field_index(text_col)
             texts = batch.column(i).to_pylist()
             new = [None if t is None else masked(t, every) for t, (_, every) in zip(texts, find_spans(crf, texts), strict=True)]

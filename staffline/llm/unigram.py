@@ -33,7 +33,7 @@ MARK = "▁"
 UNK_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHE_BYTES = 40 << 20  # of distinct words kept per task, with their ids
+CACHE_BYTES = 24 << 20  # of distinct words kept per task, with their ids
 ENTRY_BYTES = 220       # of a kept word besides its characters and ids
 BLOCK = 1 << 19         # cells of one Viterbi table
 TEXT_BLOCK = 1 << 20    # characters of the texts handled at once
@@ -334,6 +334,7 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", check: bool
                     [*part.columns, pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())), pa.array(sizes, pa.int64()), *same],
                     names=schema.names)
                 start += len(block)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return docs.mapInArrow(run, schema)
 

@@ -387,8 +387,8 @@ def q_facets_of_named_managers(spark, sf_dir):
 def q_name_search_indexed(spark, sf_dir):
     """The name search over an index stored beside the data set."""
     root, s = bundles.store_root(spark), staff(spark, sf_dir).select("employee_id", "name")
-    store.save_dataset(spark, root, "owner-1", "ds-a", {"staff": s, "name_index": name_index.build_index(s)}, "a", "a.xlsx",
-                       "2001-12-01 00:00:00")
+    index = lambda stored: name_index.build_index(stored["staff"])
+    store.save_dataset(spark, root, "owner-1", "ds-a", {"staff": s, "name_index": index}, "a", "a.xlsx", "2001-12-01 00:00:00")
     found = store.load_dataset(spark, root, "ds-a", "owner-1")
     return name_index.search(found["staff"], found["name_index"], "customer#0*12")
 

@@ -1,9 +1,10 @@
 """Name search by an inverted index of trigrams.
 
-The index holds (gram, id) for every three consecutive characters of a folded name, sorted by gram, so that a
-search reads the row groups of a few grams. The pattern's literal runs give the grams that every match must
-contain; names that hold all of them are candidates, and the regular expression decides. A pattern without such runs
-(alternatives, classes, short literals) reads all names, as ``filters.name_search`` does.
+The index holds (gram, id) for every three consecutive characters of a folded name. It is split into parts by id, each
+sorted by gram, so that a search reads the pages of a few grams of each part and counts an id's grams where they lie
+together. The pattern's literal runs give the grams that every match must contain; names that hold all of them are
+candidates, and the regular expression decides. A pattern without such runs (alternatives, classes, short literals)
+reads all names, as ``filters.name_search`` does.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from . import filters
 
 #: The characters beyond ASCII that match an ASCII letter without regard to case, and that letter.
 ALIKE = ("\u0130\u0131\u017f\u212a", "iisk")
+NAMES = 150_000  # rows for a part of the index: the grams of as many names are sorted in a task's memory
 
 
 def folded(c: Column) -> Column:
@@ -22,16 +24,27 @@ def folded(c: Column) -> Column:
     return F.lower(F.translate(c, *ALIKE))
 
 
-def grams_of(c: Column) -> Column:
-    text = folded(c)
+def grams_of(text: Column) -> Column:
+    """The distinct grams of a folded name. ``text`` should be a column of its own: every gram is cut from it, and an expression
+    would be computed again for each."""
     return F.when(F.length(text) >= 3, F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))))
 
 
 def build_index(staff: DataFrame, id_col: str = "employee_id", name_col: str = "name") -> DataFrame:
-    """(gram, id) by gram, for storing beside the data set; rows without a name or an id have no entries."""
-    pairs = staff.where(F.col(id_col).isNotNull()).select(F.explode(grams_of(F.col(name_col))).alias("gram"), F.col(id_col).alias("id"))
-    return pairs.distinct().repartitionByRange("gram", "id").sortWithinPartitions("gram", "id")
+    """(gram, id) by part and gram, for storing beside the data set; rows without a name or an id have no entries.
+
+    ``staff`` should be a stored table, as its rows are counted first. Names are shuffled by id, never the grams cut from them:
+    an id's entries lie in one part. Most ids have one name, whose grams are distinct by themselves; only those of ids
+    with several names are made distinct over rows."""
+    parts = -(-staff.count() // NAMES) or 1
+    texts = (staff.select(F.col(id_col).alias("id"), folded(F.col(name_col)).alias("text"))
+             .where(F.col("id").isNotNull() & (F.length("text") >= 3)).repartition(parts, "id"))
+    by_id = texts.groupBy("id").agg(F.min("text").alias("text"), F.max("text").alias("last"))
+    grams = lambda df: df.select(F.explode(grams_of(F.col("text"))).alias("gram"), "id")
+    several = texts.join(by_id.where("text <> last").select("id"), "id", "left_semi")
+    pairs = grams(by_id.where("text = last")).unionByName(grams(several).distinct())
+    return pairs.sortWithinPartitions("gram", "id")
 
 
 def required_runs(pattern: str) -> list[str]:

@@ -21,7 +21,7 @@ import hashlib
 import json
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,16 +95,23 @@ def _newest(log: DataFrame) -> DataFrame:
     return last.select("owner", "dataset_id", *[F.col(f"e.{c}").alias(c) for c in rest])
 
 
-def save_dataset(spark: SparkSession, root: str, owner: str, dataset_id: str, tables: Mapping[str, DataFrame], name: str,
+Derived = Callable[[Mapping[str, DataFrame]], DataFrame]
+
+
+def save_dataset(spark: SparkSession, root: str, owner: str, dataset_id: str, tables: Mapping[str, DataFrame | Derived], name: str,
                  file_name: str, created_at: str, counted: str = "staff") -> str:
     """Stores all tables of a data set as one new version and publishes it; returns the version.
-    ``counted``: the table whose rows the catalog shows."""
+    ``counted``: the table whose rows the catalog shows. A function in place of a table is given the tables stored before
+    it, so that a table made from others reads their files and doesn't compute them again."""
     version = _version()
-    stored = {}
+    stored, written = {}, {}
     for table, df in tables.items():
+        if not isinstance(df, DataFrame):
+            df = df(written)
         path = f"{_folder(root, owner, dataset_id)}/{version}/{table}"
         df.write.parquet(path)
-        stored[table] = {"path": path, "rows": spark.read.schema(df.schema).parquet(path).count(), "schema": df.schema.json()}
+        written[table] = spark.read.schema(df.schema).parquet(path)
+        stored[table] = {"path": path, "rows": written[table].count(), "schema": df.schema.json()}
     publish(spark, root, version, {
         "version": version, "owner": owner, "dataset_id": dataset_id, "deleted": False, "name": name, "file_name": file_name,
         "rows": stored.get(counted, {"rows": 0})["rows"], "created_at": _iso(created_at), "tables": stored})

@@ -65,6 +65,39 @@ def test_indexed_search_equals_the_scan(spark):
         assert sorted(r[0] for r in name_index.search(s, index, p).collect()) == want, p
 
 
+def test_index_of_ids_with_one_and_several_names(spark, monkeypatch):
+    monkeypatch.setattr(name_index, "NAMES", 10)  # several parts
+    rnd = random.Random(5)
+    names = [*NAMES, "000000", "Ana Ana Ana"]
+    rows = [(rnd.choice([None, *range(40)]), rnd.choice(names)) for _ in range(60)] + [(i, f"Name {i % 7}") for i in range(40, 90)] * 2
+    s = spark.createDataFrame(rows, "employee_id long, name string")
+    index = name_index.build_index(s)
+    folds = {r[0]: r[1] for r in spark.createDataFrame([(n,) for n in {n for _, n in rows if n}], "n string")
+             .select("n", name_index.folded(F.col("n"))).collect()}
+    want = {(folds[n][k:k + 3], i) for i, n in rows if i is not None and n for k in range(len(folds[n]) - 2)}
+    got = [tuple(r) for r in index.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    for p in PATTERNS:
+        assert (sorted(r[0] for r in name_index.search(s, index, p).collect())
+                == sorted(r[0] for r in filters.name_search(s.where("employee_id IS NOT NULL"), p).collect())), p
+    assert name_index.build_index(s.limit(0)).count() == 0
+
+
+def test_index_shuffles_names_not_grams(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(name_index, "NAMES", 10)
+    spark.createDataFrame([(i, f"Name {i}") for i in range(40)], "employee_id long, name string").write.parquet(str(tmp_path / "s"))
+    index = name_index.build_index(spark.read.parquet(str(tmp_path / "s")))
+    moved = [ln for ln in checks.physical_plan(index).splitlines() if "Exchange" in ln and "gram" in ln]
+    assert not moved, moved
+    parts = index.withColumn("p", F.spark_partition_id())
+    assert parts.select("p").distinct().count() > 1
+    assert parts.groupBy("id").agg(F.count_distinct("p").alias("n")).where("n > 1").count() == 0
+    index.write.parquet(str(tmp_path / "i"))
+    for f in (tmp_path / "i").glob("*.parquet"):
+        grams = [tuple(r) for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+        assert grams == sorted(grams)
+
+
 def test_required_runs_are_in_every_match():
     assert name_index.required_runs("customer#0*12") == ["customer#"] and name_index.required_runs("cust|abc") == []
     assert name_index.required_grams("Tomas") == ["mas", "oma", "tom"]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staffline import catalog
-from staffline.plans import bundles
+from staffline.plans import bundles, checks
 from staffline.sources import files, store, tables
 
 
@@ -43,6 +43,20 @@ def _keys(spark, root, dataset, owner="o", **kw):
     return sorted(r["k"] for r in found["staff"].collect()) if found else None
 
 
+def test_a_derived_table_reads_the_stored_ones(spark):
+    root, seen = bundles.store_root(spark), []
+
+    def doubled(stored):
+        seen.append(sorted(stored))
+        assert checks.scans_of(stored["staff"], "staff") == 1
+        return stored["staff"].select((F.col("k") * 2).alias("k"))
+
+    _save(spark, root, "d", [1, 2], 1, double=doubled)
+    found = store.load_dataset(spark, root, "d", "o")
+    assert seen == [["staff"]] and sorted(r["k"] for r in found["double"].collect()) == [2, 4]
+    assert _keys(spark, root, "d") == [1, 2]
+
+
 def test_save_read_delete_and_save_again(spark):
     root = bundles.store_root(spark)
     names = ["d1", "folha (1)", "relatório/á b%20c", "[x]{y}*?"]

@@ -1,7 +1,12 @@
+import contextlib
+import threading
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from staffline import session
 from staffline.llm import pq, routed
 from staffline.llm.vectors import forest
 from tests.llm.conftest import SF
@@ -185,3 +190,57 @@ def test_whole_table(spark, name):
             hit += len(set(ids[np.lexsort((ids, -s))[:20]]) & {r["vec_id"] for r in found if r["query_id"] == q})
             total += 20
         assert hit / total >= 0.9
+
+
+class Disk(threading.Thread):
+    """Bytes of the shuffle files of a session, and of files in a folder, that are seen while it runs."""
+
+    def __init__(self, spark, folder):
+        super().__init__(daemon=True)
+        tops = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        self.globs = [(Path(top), "*/shuffle_*.data") for top in tops] + [(Path(folder), "**/part-*.parquet")]
+        self.seen, self.ended = {}, threading.Event()
+        self.old = set(self.files())
+
+    def files(self):
+        return {f for top, glob in self.globs for f in top.glob(glob)}
+
+    def run(self):
+        while not self.ended.wait(0.02):
+            for f in self.files() - self.old:
+                with contextlib.suppress(OSError):  # gone meanwhile
+                    self.seen[f] = f.stat().st_size
+
+    def total(self):
+        self.ended.set()
+        self.join()
+        return sum(self.seen.values())
+
+
+def test_vectors_are_sent_once_however_many_lists_they_look_into(spark, tmp_path):
+    """Vectors without structure look into many lists; all that is shuffled and written stays a few times their size."""
+    x = np.random.default_rng(8).standard_normal((2000, 32))
+    table(spark, list(enumerate(x.tolist()))).write.parquet(f"{tmp_path}/v")
+    disk = Disk(spark, session.shared_dir(spark))
+    disk.start()
+    got = {r["vec_id"]: r["n_links"] for r in pq.near_duplicates(spark.read.parquet(f"{tmp_path}/v"), per_list=20, block_rows=64).collect()}
+    assert disk.total() < 8 * x.nbytes
+    c = cosines(list(x)) >= 0.9
+    np.fill_diagonal(c, False)
+    assert [got[i] for i in range(len(x))] == c.sum(1).tolist()
+
+
+def test_copies_far_apart_are_one_class(spark):
+    """Copies in all partitions, with 0.0 and -0.0, and ids that are text."""
+    x = np.random.default_rng(9).standard_normal((60, 8))
+    x[:, 0] = 0.0
+    rows = [(f"{k:02d}-{i:02d}", (v * (-1 if k % 2 and j == 0 else 1) for j, v in enumerate(x[i]))) for k in range(30) for i in range(60)]
+    df = spark.createDataFrame([(i, [float(v) for v in vs]) for i, vs in rows], "vec_id string, embedding array<double>").repartition(6)
+    near = cosines(list(x)) >= 0.9
+    np.fill_diagonal(near, True)
+    least = forest(60, *np.nonzero(near))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in pq.near_duplicates(df, per_list=10, block_rows=16).collect()}
+    assert len(got) == 1800
+    for i, _ in rows:
+        k = int(i[3:])
+        assert got[i] == (30 * near[k].sum() - 1, f"00-{least[k]:02d}", i == f"00-{least[k]:02d}")
